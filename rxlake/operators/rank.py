@@ -36,6 +36,14 @@ def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
     return first_k(df, keys, order, 1)
 
 
+def keep_first_by_ord(df: DataFrame, keys: list, ord_col: str) -> DataFrame:
+    """T2 with a unique order column: ``min(ord)`` per key (a grouped
+    aggregate that combines map-side), then a semi join on ``ord``.  Only
+    (key, ord) pairs are shuffled for the aggregate, not whole rows."""
+    firsts = df.groupBy(*keys).agg(F.min(ord_col).alias(ord_col)).select(ord_col)
+    return df.join(firsts, on=ord_col, how="left_semi")
+
+
 def last_n_oldest_first(df: DataFrame, keys: list, time_order: list, n: int,
                         pos_col: str = "pos") -> DataFrame:
     """The latest ``n`` rows per key, numbered oldest first (1..n).

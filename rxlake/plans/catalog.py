@@ -13,7 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rxlake import fixed_values as FV
+from rxlake.functions import text as T
+from rxlake.operators import rank as R
+from rxlake.operators import shape as S
 from rxlake.plans import jobs as J
+from rxlake.sources import io as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -68,3 +73,180 @@ def part_year_slices(part: DataFrame) -> list:
 def q_catalogue_pipeline(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return J.catalogue_pipeline(part_year_slices(part), ord_col="ord")
+
+
+ORDER_YEARS = list(range(1995, 2002))      # the stand-in's yearly files
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
+ORDER_KEEP = ["O_ORDERKEY", "O_CUSTKEY", "O_ORDERSTATUS", "O_TOTALPRICE", "O_ORDERPRIORITY",
+              "O_ORDERDATE", "O_CLERK"]
+
+
+def order_year_slices(orders: DataFrame) -> list:
+    """One text slice of ``orders`` per year: headers in varying case and with
+    blanks, one column (other than the key) missing per year."""
+    out = []
+    for i, y in enumerate(ORDER_YEARS):
+        sl = orders.where((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) &
+                          (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
+        dropped = ORDER_COLS[1 + i % (len(ORDER_COLS) - 1)]
+        cols = []
+        for c in ORDER_COLS:
+            if c == dropped:
+                continue
+            v = (F.date_format(c, "yyyy-MM-dd") if c == "o_orderdate" else F.col(c).cast("string"))
+            header = c.upper() if i % 2 else f" {c} "
+            cols.append(v.alias(header))
+        out.append((y, sl.select(*cols)))
+    return out
+
+
+@register("union_by_name_years")
+def q_union_by_name_years(spark, sf_dir):
+    """Yearly files with drifting headers -> one table by name."""
+    orders = table(spark, sf_dir, "orders")
+    tagged = [S.normalize_headers(df).withColumn("SOURCE_YEAR", F.lit(y))
+              for y, df in order_year_slices(orders)]
+    kept = S.keep_columns(S.union_by_name(tagged), ORDER_KEEP, extra=["SOURCE_YEAR"])
+    return kept.select(*[T.blank_nan(c).alias(c) for c in ORDER_KEEP], "SOURCE_YEAR")
+
+
+SUPPLIER_MAP = [("supp_id", "S_SUPPKEY"), ("supp_name", "S_NAME"), ("nation_key", "S_NATIONKEY"),
+                ("acctbal", "S_ACCTBAL"), ("phone", "S_PHONE"), ("comment", "S_COMMENT")]
+
+
+@register("keep_cols_rename")
+def q_keep_cols_rename(spark, sf_dir):
+    """Map to target names, absent -> "", constant columns."""
+    sup = S.normalize_headers(table(spark, sf_dir, "supplier"))
+    out = S.map_columns(sup, SUPPLIER_MAP)
+    return S.with_constants(out, {"item_image": "", "edi_code": ""})
+
+
+@register("first_nonempty")
+def q_first_nonempty(spark, sf_dir):
+    """P5 F2: first non-empty of two alternative columns (here: language,
+    blanked for English rows, else the source)."""
+    docs = table(spark, sf_dir, "documents")
+    a = T.blank_nan(F.when(F.col("lang") != "en", F.col("lang")))
+    b = T.blank_nan(F.col("source"))
+    return docs.select("doc_id", S.first_nonempty(a, b).alias("lang_or_source"))
+
+
+@register("text_normalize")
+def q_text_normalize(spark, sf_dir):
+    """F1 (a-d) F3: markup -> clean text."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", T.clean_text("html").alias("text"))
+
+
+@register("numeric_coerce")
+def q_numeric_coerce(spark, sf_dir):
+    """text -> double, anything else -> 0.0."""
+    ev = table(spark, sf_dir, "events").select(
+        F.lit("events_k").alias("source"), F.col("event_id").alias("id"),
+        F.get_json_object("props", "$.k").alias("raw"))
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.lit("part_name").alias("source"), F.col("p_partkey").alias("id"),
+                        F.col("p_name").alias("raw"))
+    sizes = part.select(F.lit("part_size").alias("source"), F.col("p_partkey").alias("id"),
+                        F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" ")).alias("raw"))
+    suffixed = part.select(F.lit("part_size_d").alias("source"), F.col("p_partkey").alias("id"),
+                           F.concat(F.col("p_size").cast("string"), F.lit(".0d")).alias("raw"))
+    raw = ev.unionByName(names).unionByName(sizes).unionByName(suffixed)
+    return raw.select("source", "id", "raw", T.to_number("raw").alias("value"))
+
+
+@register("blank_key_filter")
+def q_blank_key_filter(spark, sf_dir):
+    """Drop blank keys/texts, keep documents longer than 20 chars."""
+    docs = table(spark, sf_dir, "documents")
+    d = S.drop_blank(docs.withColumn("lang", T.blank_nan("lang")), "lang")
+    d = S.drop_blank_text(d, "text")
+    d = S.longer_than(d, "text", FV.LEAFLET_MIN_CHARS)
+    return d.select("doc_id", "lang", F.length("text").alias("text_len"))
+
+
+@register("dedup_newest")
+def q_dedup_newest(spark, sf_dir):
+    """Newest event per user (ties: lower event id)."""
+    ev = table(spark, sf_dir, "events")
+    top = R.keep_first(ev, ["user_id"], [F.col("ts").desc(), F.col("event_id").asc()])
+    return top.select("user_id", "event_id", "event_type", "value",
+                      F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@register("dedup_first_seen")
+def q_dedup_first_seen(spark, sf_dir):
+    """One document per distinct text, the first by doc_id."""
+    docs = table(spark, sf_dir, "documents").withColumn("text_md5", F.md5("text"))
+    firsts = R.keep_first_by_ord(docs.select("doc_id", "text_md5"), ["text_md5"], "doc_id")
+    copies = docs.groupBy("text_md5").agg(F.count(F.lit(1)).alias("copies"))
+    kept = docs.select("doc_id", "lang", "source", "n_chars").join(firsts, "doc_id", "inner")
+    return kept.join(copies, "text_md5", "inner").select(
+        "doc_id", "text_md5", "copies", "lang", "source", "n_chars")
+
+
+def _part_words(part: DataFrame) -> DataFrame:
+    return part.withColumn("w1", word("p_name", 1)).withColumn("w2", word("p_name", 2))
+
+
+@register("document_build")
+def q_document_build(spark, sf_dir):
+    """Catalogue and leaflet documents with their ids."""
+    p = _part_words(table(spark, sf_dir, "part"))
+    size = F.col("p_size").cast("string")
+    otc = F.when(F.col("p_size") > 25, F.lit("ETC")).otherwise(F.lit(""))
+    cat = T.catalogue_document("p_name", "p_brand", "p_type", "w1", "w2", size, F.lit(""), otc,
+                               F.concat(F.lit("size "), size))
+    leaflet = T.leaflet_document("p_name", [F.col("p_type"), F.col("p_brand"), F.lit(""), F.col("w1"),
+                                            F.lit(""), F.col("w2"), otc])
+    return p.select(T.leaflet_id(F.col("p_partkey").cast("string")).alias("doc_id"),
+                    cat.alias("catalogue_text"), leaflet.alias("leaflet_text"),
+                    (F.length(leaflet) > FV.LEAFLET_MIN_CHARS).alias("leaflet_kept"))
+
+
+@register("upsert_last_wins")
+def q_upsert_last_wins(spark, sf_dir):
+    """Keyed upsert of a changed batch (two versions of some keys inside
+    the batch, plus new keys); the last version wins."""
+    cust = table(spark, sf_dir, "customer")
+    cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    old = cust.select(*cols, F.lit(0).alias("batch"), F.col("c_custkey").alias("ord"))
+    auto = cust.where(F.col("c_mktsegment") == "AUTOMOBILE")
+    v1 = auto.select("c_custkey", F.lower("c_name").alias("c_name"), "c_nationkey",
+                     (F.col("c_acctbal") + 100).alias("c_acctbal"), "c_mktsegment",
+                     F.lit(1).alias("batch"), (F.col("c_custkey") * 2).alias("ord"))
+    v2 = auto.where(F.col("c_nationkey") < 5).select(
+        "c_custkey", F.upper("c_name").alias("c_name"), "c_nationkey",
+        (F.col("c_acctbal") + 200).alias("c_acctbal"), "c_mktsegment",
+        F.lit(1).alias("batch"), (F.col("c_custkey") * 2 + 1).alias("ord"))
+    fresh = cust.where(F.col("c_mktsegment") == "MACHINERY").select(
+        (F.col("c_custkey") + 1_000_000_000).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal",
+        F.lit("NEW").alias("c_mktsegment"), F.lit(1).alias("batch"), F.col("c_custkey").alias("ord"))
+    merged = IO.upsert(old, v1.unionByName(v2).unionByName(fresh), ["c_custkey"], ["batch", "ord"])
+    return merged.select(*cols, "batch")
+
+
+TABLE_KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"],
+    "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "documents": ["doc_id"],
+    "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
+@register("table_refresh_report")
+def q_table_refresh_report(spark, sf_dir):
+    """Per table rows in, rows out after blank-key drop and key
+    dedup, and the half-built gate."""
+    parts = []
+    for name, keys in TABLE_KEYS.items():
+        t = table(spark, sf_dir, name)
+        # count(distinct k1, k2) skips rows with a null key part, as P7 does
+        parts.append(t.agg(F.count(F.lit(1)).alias("rows_in"),
+                           F.count_distinct(*[F.col(k) for k in keys]).alias("rows_out"))
+                      .select(F.lit(name).alias("table_name"), "rows_in", "rows_out"))
+    rep = S.union_by_name(parts)
+    return rep.withColumn("half_built", (F.col("rows_out") > 0) &
+                          (F.col("rows_out") < FV.HALF_BUILT_THRESHOLD))

@@ -51,3 +51,103 @@ SELECT {", ".join(FV.KEEP_COLS)}, SOURCE_YEAR,
        {X.catalogue_document("ITEM_NAME", "ENTP_NAME", "DRUG_SHAPE", "COLOR_CLASS1", "COLOR_CLASS2",
                              "PRINT_FRONT", "PRINT_BACK", "ETC_OTC_CODE", "CHARTN")} AS RAG_TEXT
 FROM d""")
+
+
+# ------------------------------------------------------ union_by_name_years ---
+def _order_slices() -> str:
+    from rxlake.plans.catalog import ORDER_COLS, ORDER_YEARS
+    sels = []
+    for i, y in enumerate(ORDER_YEARS):
+        dropped = ORDER_COLS[1 + i % (len(ORDER_COLS) - 1)]
+        cols = []
+        for c in ORDER_COLS:
+            if c == dropped:
+                continue
+            v = f"strftime({c}, '%Y-%m-%d')" if c == "o_orderdate" else f"CAST({c} AS VARCHAR)"
+            cols.append(f"{v} AS {c.upper()}")
+        sels.append(f"SELECT {', '.join(cols)}, {y} AS SOURCE_YEAR FROM orders "
+                    f"WHERE o_orderdate >= TIMESTAMP '{y}-01-01' AND o_orderdate < TIMESTAMP '{y + 1}-01-01'")
+    return "\nUNION ALL BY NAME\n".join(sels)
+
+
+def _union_by_name_years() -> str:
+    from rxlake.plans.catalog import ORDER_KEEP
+    return f"""
+WITH u AS ({_order_slices()}),
+u2 AS (SELECT *, NULL::VARCHAR AS O_CLERK FROM u)
+SELECT {", ".join(f"{X.blank_nan(c)} AS {c}" for c in ORDER_KEEP)}, SOURCE_YEAR FROM u2"""
+
+
+register("union_by_name_years", _union_by_name_years())
+
+register("keep_cols_rename", """
+SELECT s_suppkey AS supp_id, s_name AS supp_name, s_nationkey AS nation_key, s_acctbal AS acctbal,
+       '' AS phone, '' AS comment, '' AS item_image, '' AS edi_code
+FROM supplier""")
+
+_a = X.blank_nan("CASE WHEN lang <> 'en' THEN lang END")
+_b = X.blank_nan("source")
+register("first_nonempty", f"""
+SELECT doc_id, CASE WHEN {_a} <> '' THEN {_a} ELSE coalesce({_b}, '') END AS lang_or_source
+FROM documents""")
+
+register("text_normalize", f"SELECT page_id, {X.clean_text('html')} AS text FROM pages")
+
+register("numeric_coerce", f"""
+WITH raw AS (
+  SELECT 'events_k' AS source, event_id AS id, json_extract_string(props, '$.k') AS raw FROM events
+  UNION ALL SELECT 'part_name', p_partkey, p_name FROM part
+  UNION ALL SELECT 'part_size', p_partkey, ' ' || CAST(p_size AS VARCHAR) || ' ' FROM part
+  UNION ALL SELECT 'part_size_d', p_partkey, CAST(p_size AS VARCHAR) || '.0d' FROM part)
+SELECT source, id, raw, {X.to_number('raw')} AS value FROM raw""")
+
+register("blank_key_filter", f"""
+WITH d AS (SELECT doc_id, {X.blank_nan('lang')} AS lang, text FROM documents)
+SELECT doc_id, lang, length(text) AS text_len FROM d
+WHERE lang <> '' AND {X.ustrip("coalesce(text, '')")} <> '' AND length(text) > {FV.LEAFLET_MIN_CHARS}""")
+
+register("dedup_newest", """
+SELECT user_id, event_id, event_type, value, epoch_us(ts) AS ts_us FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1""")
+
+register("dedup_first_seen", """
+WITH d AS (SELECT *, md5(text) AS text_md5 FROM documents)
+SELECT doc_id, text_md5, count(*) OVER (PARTITION BY text_md5) AS copies, lang, source, n_chars FROM d
+QUALIFY row_number() OVER (PARTITION BY text_md5 ORDER BY doc_id) = 1""")
+
+_size = "CAST(p_size AS VARCHAR)"
+_otc = "CASE WHEN p_size > 25 THEN 'ETC' ELSE '' END"
+_w1, _w2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+_leaf = X.leaflet_document("p_name", ["p_type", "p_brand", "''", _w1, "''", _w2, _otc])
+register("document_build", f"""
+SELECT '{FV.LEAFLET_ID_PREFIX}' || CAST(p_partkey AS VARCHAR) AS doc_id,
+       {X.catalogue_document("p_name", "p_brand", "p_type", _w1, _w2, _size, "''", _otc, "'size ' || " + _size)} AS catalogue_text,
+       {_leaf} AS leaflet_text, length({_leaf}) > {FV.LEAFLET_MIN_CHARS} AS leaflet_kept
+FROM part""")
+
+register("upsert_last_wins", """
+WITH old AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, 0 AS batch, c_custkey AS ord FROM customer),
+v1 AS (SELECT c_custkey, lower(c_name) AS c_name, c_nationkey, c_acctbal + 100 AS c_acctbal, c_mktsegment,
+              1 AS batch, c_custkey * 2 AS ord FROM customer WHERE c_mktsegment = 'AUTOMOBILE'),
+v2 AS (SELECT c_custkey, upper(c_name) AS c_name, c_nationkey, c_acctbal + 200 AS c_acctbal, c_mktsegment,
+              1 AS batch, c_custkey * 2 + 1 AS ord FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_nationkey < 5),
+fresh AS (SELECT c_custkey + 1000000000 AS c_custkey, c_name, c_nationkey, c_acctbal, 'NEW' AS c_mktsegment,
+                 1 AS batch, c_custkey AS ord FROM customer WHERE c_mktsegment = 'MACHINERY'),
+a AS (SELECT * FROM old UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM fresh)
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, batch FROM a
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY batch DESC, ord DESC) = 1""")
+
+
+def _table_refresh_report() -> str:
+    from rxlake.plans.catalog import TABLE_KEYS
+    sels = []
+    for name, keys in TABLE_KEYS.items():
+        nn = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+        sels.append(f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS rows_in, "
+                    f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(keys)} FROM {name} WHERE {nn})) AS rows_out")
+    body = "\nUNION ALL\n".join(sels)
+    return (f"SELECT table_name, rows_in, rows_out, rows_out > 0 AND rows_out < {FV.HALF_BUILT_THRESHOLD} "
+            f"AS half_built FROM ({body})")
+
+
+register("table_refresh_report", _table_refresh_report())
