@@ -14,7 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxlake import fixed_values as FV
+from rxlake.functions import nested as N
 from rxlake.functions import text as T
+from rxlake.operators import lookup as L
+from rxlake.operators import state as A
+from rxlake.operators import vectors as V
 from rxlake.operators import rank as R
 from rxlake.operators import shape as S
 from rxlake.plans import jobs as J
@@ -250,3 +254,448 @@ def q_table_refresh_report(spark, sf_dir):
     rep = S.union_by_name(parts)
     return rep.withColumn("half_built", (F.col("rows_out") > 0) &
                           (F.col("rows_out") < FV.HALF_BUILT_THRESHOLD))
+
+
+# ------------------------------------------------------------ lookups (Q*) ---
+CAT_ORDER = ["item_name", "item_seq"]   # the catalogue's "first" order (ascending)
+CAT_COLS = ["item_seq", "item_name", "entp_name", "chartn", "drug_shape", "color_class1",
+            "color_class2", "etc_otc_code"]
+
+
+def medicines_from_part(part: DataFrame) -> DataFrame:
+    """The serving table ``medicines`` played by ``part`` (stored fold column)."""
+    size = F.col("p_size").cast("string")
+    return part.select(
+        F.col("p_partkey").cast("string").alias("item_seq"), F.col("p_name").alias("item_name"),
+        F.col("p_brand").alias("entp_name"), F.concat(F.lit("size "), size).alias("chartn"),
+        F.col("p_type").alias("drug_shape"), word("p_name", 1).alias("color_class1"),
+        word("p_name", 2).alias("color_class2"),
+        F.when(F.col("p_size") > 25, F.lit("ETC")).otherwise(F.lit("OTC")).alias("etc_otc_code"),
+        F.concat(F.lit("img/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("image_url"),
+        T.fold_ascii("p_name").alias("name_fold"))
+
+
+def user_keywords(spark, sf_dir, role: str = "user") -> DataFrame:
+    """Search keywords: the long tokens of the conversation turns of ``role``."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == role)
+    return conv.select(F.explode(T.long_tokens("text")).alias("keyword")).distinct()
+
+
+def _name_search(spark, sf_dir, role, strategy, index=None):
+    med = medicines_from_part(table(spark, sf_dir, "part"))
+    kws = user_keywords(spark, sf_dir, role)
+    hits = L.first_matches(kws, med, "keyword", CAT_COLS, CAT_ORDER, FV.NAME_SEARCH_LIMIT,
+                           strategy=strategy, index=index)
+    out = L.envelope(kws, hits, "keyword")
+    # rank 0 = no hit (keeps the column a plain integer)
+    return out.select("keyword", "found", "n_found", F.coalesce("rank", F.lit(0)).alias("rank"), *CAT_COLS)
+
+
+@register("name_search_top5")
+def q_name_search_top5(spark, sf_dir):
+    """Every keyword against the catalogue, first 5 by name.
+    ``auto``: broadcast the terms when few, else the n-gram index."""
+    return _name_search(spark, sf_dir, "user", "auto")
+
+
+@register("name_search_indexed")
+def q_name_search_indexed(spark, sf_dir):
+    """Q1 through a stored n-gram index of the catalogue (same result as the
+    theta join by construction)."""
+    med = medicines_from_part(table(spark, sf_dir, "part"))
+    index = L.build_ngram_index(med, list(dict.fromkeys(["name_fold", *CAT_COLS]))).checkpoint()
+    return _name_search(spark, sf_dir, "assistant", "ngram", index=index)
+
+
+def attribute_requests(part: DataFrame) -> DataFrame:
+    """(shape, color) requests derived from the catalogue's own values: both,
+    shape only, color only (shape "" counts as absent)."""
+    p = _part_words(part)
+    both = p.select(F.lower(F.substring("p_type", 1, 4)).alias("shape"), F.col("w1").alias("color"))
+    shape_only = p.select(F.lower("p_type").alias("shape"), F.lit(None).cast("string").alias("color"))
+    color_only = p.select(F.lit("").alias("shape"), F.col("w2").alias("color"))
+    req = both.unionByName(shape_only).unionByName(color_only).distinct()
+    return req.withColumn("request_id", F.concat_ws("|", F.coalesce("shape", F.lit("∅")),
+                                                    F.coalesce("color", F.lit("∅"))))
+
+
+def attribute_matches(requests: DataFrame, med: DataFrame, k: int) -> DataFrame:
+    """Shape LIKE and (color1 LIKE or color2 LIKE), absent
+    arguments add no condition; first ``k`` per request.  Each argument is
+    matched through ``substring_matches`` (size-checked broadcast or n-gram
+    index), then the per-argument hit lists are intersected on the item."""
+    keep = ["item_seq", "item_name"]
+    valid = requests.where(S.has_any_argument("shape", "color"))
+    has_s = F.coalesce(F.col("shape") != "", F.lit(False))
+    has_c = F.coalesce(F.col("color") != "", F.lit(False))
+    shape_cat = med.withColumn("shape_fold", T.fold_ascii("drug_shape"))
+    s_hits = L.substring_matches(valid.where(has_s), shape_cat, "shape", keep, name_fold="shape_fold") \
+              .select(F.col("term").alias("shape"), *keep)
+    c_parts = []
+    for cc in ("color_class1", "color_class2"):
+        cat = med.withColumn("c_fold", T.fold_ascii(cc))
+        c_parts.append(L.substring_matches(valid.where(has_c), cat, "color", keep, name_fold="c_fold")
+                        .select(F.col("term").alias("color"), *keep))
+    c_hits = c_parts[0].unionByName(c_parts[1]).distinct()
+    r_s = valid.where(has_s & ~has_c).join(s_hits, "shape")
+    r_c = valid.where(~has_s & has_c).join(c_hits, "color")
+    r_b = valid.where(has_s & has_c).join(s_hits, "shape").join(c_hits, ["color", "item_seq", "item_name"])
+    pairs = r_s.unionByName(r_c).unionByName(r_b)
+    top = R.first_k(pairs, ["request_id"], CAT_ORDER, k, rank_col="rank")
+    return top.join(med.select(*CAT_COLS), ["item_seq", "item_name"])
+
+
+@register("identify_by_attributes")
+def q_identify_by_attributes(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    med = medicines_from_part(part)
+    req = attribute_requests(part)
+    hits = attribute_matches(req, med, FV.SHAPE_SEARCH_LIMIT).drop("shape", "color")
+    out = L.envelope(req, hits, "request_id", "request_id")
+    return out.withColumn("rejected", ~S.has_any_argument("shape", "color")).select(
+        "request_id", "shape", "color", "rejected", "found", "n_found",
+        F.coalesce("rank", F.lit(0)).alias("rank"), *CAT_COLS)
+
+
+def warning_tables(spark, sf_dir) -> dict:
+    """The three safety lists played by part / supplier / customer:
+    (table, name column matched, key, detail columns)."""
+    part = table(spark, sf_dir, "part")
+    elderly = part.select(F.col("p_partkey").cast("string").alias("item_key"),
+                          F.col("p_name").alias("item_name"),
+                          F.concat(F.lit("caution "), F.col("p_brand")).alias("detail1"),
+                          F.col("p_type").alias("detail2"))
+    sup = table(spark, sf_dir, "supplier")
+    duration = sup.select(F.col("s_suppkey").cast("string").alias("item_key"), F.col("s_name").alias("item_name"),
+                          F.concat((F.col("s_nationkey") + 1).cast("string"), F.lit("일")).alias("detail1"),
+                          F.lit("").alias("detail2"))
+    cust = table(spark, sf_dir, "customer")
+    age = cust.select(F.col("c_custkey").cast("string").alias("item_key"), F.col("c_name").alias("item_name"),
+                      F.concat(F.lit("age "), F.col("c_nationkey").cast("string")).alias("detail1"),
+                      F.col("c_mktsegment").alias("detail2"))
+    return {"elderly": elderly, "duration": duration, "age_taboo": age}
+
+
+def warning_terms(spark, sf_dir) -> DataFrame:
+    """One drug list: catalogue nouns plus ingredient-name prefixes."""
+    part = _part_words(table(spark, sf_dir, "part")).select(F.col("w2").alias("term"))
+    sup = table(spark, sf_dir, "supplier").select(F.substring("s_name", 1, 17).alias("term"))
+    cust = table(spark, sf_dir, "customer").select(F.substring("c_name", 1, 17).alias("term"))
+    return part.unionByName(sup).unionByName(cust).distinct()
+
+
+@register("warning_lookup")
+def q_warning_lookup(spark, sf_dir):
+    """One drug list against every warning table, all
+    matches, with found/count per (term, table)."""
+    terms = warning_terms(spark, sf_dir)
+    outs = []
+    for wtype, tbl in warning_tables(spark, sf_dir).items():
+        cat = tbl.withColumn("name_fold", T.fold_ascii("item_name"))
+        hits = L.substring_matches(terms, cat, "term", ["item_key", "item_name", "detail1", "detail2"])
+        env = L.envelope(terms, hits.drop("name_fold"), "term")
+        outs.append(env.withColumn("warning_type", F.lit(wtype)))
+    return S.union_by_name(outs).select("term", "warning_type", "found", "n_found", "item_key",
+                                         "item_name", "detail1", "detail2")
+
+
+@register("first_match_or_null")
+def q_first_match_or_null(spark, sf_dir):
+    """Q6 Q7: first match per term (pill image and details) or nulls."""
+    med = medicines_from_part(table(spark, sf_dir, "part"))
+    bench = table(spark, sf_dir, "benchmark")
+    terms = bench.select(F.explode(T.long_tokens("text")).alias("term")).distinct()
+    hits = L.first_matches(terms, med, "term", ["item_seq", "item_name", "drug_shape", "entp_name", "image_url"],
+                           CAT_ORDER, 1)
+    out = terms.join(hits.drop("name_fold", "rank"), "term", "left")
+    return out.select("term", F.col("item_seq").isNotNull().alias("found"), "item_name",
+                      F.col("drug_shape").alias("appearance"), F.col("entp_name").alias("class_name"),
+                      "image_url")
+
+
+def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str,
+                  k: int = FV.TOKEN_CONTEXT_HITS) -> DataFrame:
+    """Q8 + F15: per message, the first token (in order, length >= 2) with any
+    catalogue hit; its first ``k`` hits formatted as the context block.
+    Messages without a hit are absent (callers left-join)."""
+    toks = msgs.select(*msg_keys, F.posexplode(T.long_tokens(text_col)).alias("pos", "token"))
+    hits = L.first_matches(toks.select("token").distinct(), med, "token", CAT_COLS, CAT_ORDER, k)
+    th = toks.join(hits.withColumnRenamed("term", "token"), "token")
+    firstpos = th.groupBy(*msg_keys).agg(F.min("pos").alias("pos"))
+    chosen = th.join(firstpos, [*msg_keys, "pos"])
+    line = T.context_line_table("item_name", "entp_name", "drug_shape", "color_class1",
+                                "etc_otc_code", "chartn")
+    return chosen.groupBy(*msg_keys).agg(
+        F.first("token").alias("matched_token"), F.count(F.lit(1)).alias("n_hits"),
+        F.concat(F.lit(FV.CONTEXT_HEADER),
+                 N.ordered_concat(F.collect_list(F.struct(F.col("rank").alias("pos"), line.alias("value"))),
+                                  sep="")).alias("context"))
+
+
+@register("first_token_match")
+def q_first_token_match(spark, sf_dir):
+    """First-matching-token lookup for every user message."""
+    med = medicines_from_part(table(spark, sf_dir, "part"))
+    msgs = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    ctx = token_context(msgs, med, ["conv_id", "turn"], "text")
+    out = msgs.select("conv_id", "turn").join(ctx, ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", "matched_token", F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
+                      F.coalesce("context", F.lit("")).alias("context"))
+
+
+# Latin gate terms for the stand-in text (the Korean list is DRUG_KEYWORDS).
+GATE_TERMS = ["the", "que", "und", "les"]
+
+
+@register("keyword_gate")
+def q_keyword_gate(spark, sf_dir):
+    """Does the message contain any gate term (case-sensitive)."""
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", T.contains_any("text", GATE_TERMS).alias("gated"))
+
+
+def extracted_names(text: Column) -> Column:
+    """Names a model might extract from a text: its distinct capitalised
+    tokens, with odd-length ones made unrecognisable ("Zq" prefix) to play
+    hallucinated names."""
+    caps = F.array_distinct(F.filter(T.tokens(text), lambda w: w.rlike(r"^\p{Lu}")))
+    return F.transform(caps, lambda w: F.when(F.length(w) % 2 == 0, w).otherwise(F.concat(F.lit("Zq"), w)))
+
+
+@register("validate_extractions")
+def q_validate_extractions(spark, sf_dir):
+    """Keep names whose first 4 characters occur in the text;
+    when none does, keep them all."""
+    docs = table(spark, sf_dir, "documents")
+    names = extracted_names(F.col("text"))
+    checked = F.transform(names, lambda n: F.struct(n.alias("name"),
+                                                    T.contains_text(F.col("text"), T.prefix(n)).alias("ok")))
+    d = docs.select("doc_id", checked.alias("c"))
+    d = d.withColumn("any_ok", F.exists("c", lambda s: s["ok"]))
+    ex = d.select("doc_id", "any_ok", F.posexplode("c").alias("pos", "x"))
+    ex = ex.select("doc_id", "pos", F.col("x.name").alias("name"), F.col("x.ok").alias("ok"),
+                   F.col("any_ok").alias("validated"))
+    return ex.where(F.col("ok") | ~F.col("validated"))
+
+
+@register("fuzzy_prefix_match")
+def q_fuzzy_prefix_match(spark, sf_dir):
+    """Q9: first 4 characters of each name -> first catalogue hit, or the
+    name itself with empty fields and ``db_matched = false``."""
+    med = medicines_from_part(table(spark, sf_dir, "part"))
+    names = user_keywords(spark, sf_dir).withColumnRenamed("keyword", "original") \
+        .withColumn("short", T.prefix("original"))
+    return prefix_match(names, med)
+
+
+def prefix_match(names: DataFrame, med: DataFrame) -> DataFrame:
+    hits = L.first_matches(names.select("short"), med, "short", CAT_COLS, CAT_ORDER, 1)
+    out = names.join(hits.withColumnRenamed("term", "short").drop("rank", "name_fold"), "short", "left")
+    m = F.col("item_seq").isNotNull()
+    e = lambda c: F.when(m, F.col(c)).otherwise(F.lit(""))
+    return out.select(*[c for c in names.columns if c not in ("short",)], "short",
+                      m.alias("db_matched"),
+                      F.when(m, F.col("item_name")).otherwise(F.col("original")).alias("name"),
+                      e("entp_name").alias("company"), e("chartn").alias("description"),
+                      e("drug_shape").alias("shape"), e("color_class1").alias("color1"),
+                      e("color_class2").alias("color2"), e("etc_otc_code").alias("otc_type"))
+
+
+def model_replies(events: DataFrame) -> Column:
+    """Model replies around JSON, one shape per event type (stand-in)."""
+    et, uid = F.col("event_type"), F.col("user_id").cast("string")
+    good = F.concat(F.lit('Result: {"medicines": ["'), et, F.lit('", "u'), uid, F.lit('"]} done'))
+    return (F.when((et == "purchase") & (F.col("value") > 50),
+                   F.concat(F.lit('{"medicines": ["a"]} and {"x": '), uid, F.lit("}")))
+             .when((et == "purchase") & (F.col("value") < 2), F.lit('{"medicines": [1, "b"]}'))
+             .when(et == "purchase", good)
+             .when(et == "signup", F.concat(F.lit('{"other": '), F.col("props"), F.lit("}")))
+             .when(et == "view", F.concat(F.lit("no json here ("), uid, F.lit(")")))
+             .when(et == "error", F.lit('{"medicines": ["a", }'))
+             .otherwise(F.concat(F.lit("{'medicines': ['"), et, F.lit("']}"))))
+
+
+@register("json_extract_list")
+def q_json_extract_list(spark, sf_dir):
+    """Outermost object -> strict parse -> list of names, one
+    row per name in order (or one row with no name)."""
+    ev = table(spark, sf_dir, "events")
+    status, names = N.parse_name_list(model_replies(ev))
+    d = ev.select("event_id", status.alias("status"), names.alias("names"))
+    out = d.select("event_id", "status", F.posexplode_outer("names").alias("pos", "name"))
+    return out.withColumn("pos", F.coalesce("pos", F.lit(-1)))   # -1 = no name
+
+
+@register("ocr_response_text")
+def q_ocr_response_text(spark, sf_dir):
+    """Recogniser response JSON -> text ("" when errored or empty)."""
+    docs = table(spark, sf_dir, "documents")
+    results = F.when(F.col("source") == "src3", F.array().cast("array<struct<ParsedText:string>>")) \
+        .otherwise(F.array(F.struct(F.col("text").alias("ParsedText"))))
+    resp = F.to_json(F.struct((F.col("lang") == "de").alias("IsErroredOnProcessing"),
+                              results.alias("ParsedResults")))
+    txt = N.ocr_text(resp)
+    return docs.select("doc_id", F.length(txt).alias("text_len"), F.md5(txt).alias("text_md5"))
+
+
+@register("extraction_match")
+def q_extraction_match(spark, sf_dir):
+    """Model reply -> names -> validation against the text -> prefix
+    match in the catalogue, one row per kept name."""
+    docs = table(spark, sf_dir, "documents")
+    part = table(spark, sf_dir, "part")
+    med = medicines_from_part(part)
+    withp = docs.join(part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id", "left")
+    reply = F.to_json(F.struct(F.filter(F.array(F.col("p_name"), F.concat(F.lit("Zq"), F.col("lang"))),
+                                        lambda x: x.isNotNull()).alias("medicines")))
+    status, names = N.parse_name_list(reply)
+    checked = F.transform(names, lambda n: F.struct(n.alias("name"),
+                                                    T.contains_text(F.col("text"), T.prefix(n)).alias("ok")))
+    d = withp.select("doc_id", status.alias("status"), checked.alias("c"))
+    d = d.withColumn("validated", F.exists("c", lambda s: s["ok"]))
+    ex = d.select("doc_id", "status", "validated", F.posexplode("c").alias("pos", "x"))
+    ex = ex.select("doc_id", "status", "validated", "pos", F.col("x.name").alias("original"),
+                   F.col("x.ok").alias("ok")).where(F.col("ok") | ~F.col("validated"))
+    ex = ex.withColumn("short", T.prefix("original"))
+    return prefix_match(ex.drop("ok"), med)
+
+
+@register("recent_history")
+def q_recent_history(spark, sf_dir):
+    """Last 6 turns per conversation, oldest first."""
+    conv = table(spark, sf_dir, "conversations")
+    last = R.last_n_oldest_first(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY)
+    return last.select("conv_id", "pos", "turn", "role", F.col("text").alias("content"))
+
+
+@register("rolling_context")
+def q_rolling_context(spark, sf_dir):
+    """For every turn the last 6 turns up to it, and the prompt sizes."""
+    conv = table(spark, sf_dir, "conversations")
+    msg = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
+    r = R.rolling_list(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history")
+    prompt = N.prompt_messages(F.lit(""), F.col("history"), F.col("text"))
+    return r.select("conv_id", "turn", F.size("history").alias("n_history"),
+                    F.concat_ws(",", F.transform("history", lambda m: m["role"])).alias("roles"),
+                    F.aggregate("history", F.lit(0).cast("long"),
+                                lambda acc, m: acc + F.length(m["content"])).alias("history_chars"),
+                    F.size(prompt).alias("n_prompt"))
+
+
+def chat_context(spark, sf_dir, gate_terms: list, rag_available: bool = False) -> DataFrame:
+    """C6 over the user turns: gate -> (vector search when available, else
+    first-token lookup) -> context text; "" when gated out or no hit."""
+    med = medicines_from_part(table(spark, sf_dir, "part"))
+    msgs = table(spark, sf_dir, "conversations").where(F.col("role") == "user") \
+        .withColumn("gated", T.contains_any("text", gate_terms))
+    ctx = token_context(msgs.where("gated"), med, ["conv_id", "turn"], "text")
+    out = msgs.join(ctx, ["conv_id", "turn"], "left")
+    has = F.col("context").isNotNull()
+    return out.select("conv_id", "turn", "text", "gated",
+                      F.when(has, F.lit("token")).otherwise(F.lit("none")).alias("context_source"),
+                      F.coalesce("context", F.lit("")).alias("context"))
+
+
+@register("message_context")
+def q_message_context(spark, sf_dir):
+    """Per user message the context block (token path)."""
+    return chat_context(spark, sf_dir, GATE_TERMS).drop("text")
+
+
+@register("prompt_usage_flags")
+def q_prompt_usage_flags(spark, sf_dir):
+    """Prompt size and usage flags per user message.  The history is
+    read after the message is saved, so the message is in it (and then added
+    once more as the user turn, as the original does)."""
+    conv = table(spark, sf_dir, "conversations")
+    msg = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
+    hist = R.rolling_list(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history") \
+        .select("conv_id", "turn", "history")
+    ctx = chat_context(spark, sf_dir, GATE_TERMS)
+    d = ctx.join(hist, ["conv_id", "turn"])
+    prompt = N.prompt_messages(F.col("context"), F.col("history"), F.col("text"))
+    chars = F.aggregate(prompt, F.lit(0).cast("long"), lambda acc, m: acc + F.length(m["content"]))
+    used = F.col("context") != ""
+    return d.select("conv_id", "turn", F.size(prompt).alias("n_prompt"), chars.alias("prompt_chars"),
+                    used.alias("med_context_used"), (F.lit(False) & used).alias("rag_used"))
+
+
+def alarm_log(events: DataFrame) -> DataFrame:
+    """Alarm event log from ``events``: non-error events register an alarm
+    (id = event id), error events disable the alarm named in ``props.k``."""
+    reg = events.where(F.col("event_type") != "error").select(
+        F.col("event_id").alias("alarm_id"), "ts", "event_id", F.lit("register").alias("action"),
+        F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("medication_name"),
+        F.date_format("ts", "HH:mm").alias("time_hhmm"), F.date_format("ts", "EEE").alias("days_of_week"))
+    dis = events.where(F.col("event_type") == "error").select(
+        F.get_json_object("props", "$.k").try_cast("long").alias("alarm_id"), "ts", "event_id",
+        F.lit("disable").alias("action"))
+    return reg.unionByName(dis, allowMissingColumns=True)
+
+
+@register("alarm_state")
+def q_alarm_state(spark, sf_dir):
+    """Fold the log into the current alarm table (soft delete;
+    disabling an unknown id changes nothing)."""
+    log = alarm_log(table(spark, sf_dir, "events"))
+    st = A.fold_alarms(log)
+    return st.select("alarm_id", "user_id", "medication_name", "time_hhmm", "days_of_week", "is_enabled")
+
+
+@register("append_with_ids")
+def q_append_with_ids(spark, sf_dir):
+    """New registrations get ids above the current maximum, in
+    request order, with the default flag and the confirmation text."""
+    ev = table(spark, sf_dir, "events")
+    existing = ev.where(F.col("event_type") != "signup").select(F.col("event_id").alias("id"))
+    new = ev.where(F.col("event_type") == "signup").select(
+        "ts", "event_id", F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.lit("med-"), F.get_json_object("props", "$.k")).alias("medication_name"),
+        F.date_format("ts", "HH:mm").alias("time_hhmm"), F.lit("daily").alias("days_of_week"))
+    out = IO.append_with_ids(existing, new, ["ts", "event_id"], defaults={"is_enabled": 1})
+    return out.select("id", "event_id", "user_id", "medication_name", "time_hhmm", "days_of_week",
+                      "is_enabled", T.alarm_message("medication_name", "time_hhmm").alias("message"))
+
+
+@register("speech_text")
+def q_speech_text(spark, sf_dir):
+    """Strip, reject blank, drop characters speech cannot say."""
+    docs = table(spark, sf_dir, "documents").withColumn("t", T.ustrip("text"))
+    kept = docs.where(F.col("t") != "").withColumn("clean", T.speech_text("t"))
+    return kept.select("doc_id", F.length("clean").alias("clean_len"), F.md5("clean").alias("clean_md5"))
+
+
+# --------------------------------------------------------------- vectors (V*) ---
+@register("vector_topk")
+def q_vector_topk(spark, sf_dir):
+    """The 3 nearest vectors (squared L2) to each label's centroid."""
+    emb = table(spark, sf_dir, "embeddings")
+    q = V.centroids(emb, "label")
+    out = V.knn_topk(q, emb, FV.VECTOR_TOP_K)
+    return out.select(F.col("qid").alias("label"), "rank", F.col("doc_id").alias("vec_id"),
+                      F.round("dist", 6).alias("dist"))
+
+
+@register("two_collection_search")
+def q_two_collection_search(spark, sf_dir):
+    """The same queries against two collections (even / odd labels)."""
+    emb = table(spark, sf_dir, "embeddings")
+    q = V.centroids(emb, "label")
+    even, odd = emb.where(F.col("label") % 2 == 0), emb.where(F.col("label") % 2 == 1)
+    out = V.two_collection_search(q, even, odd)
+    return out.select(F.col("qid").alias("label"), "source", "source_rank", "rank",
+                      F.col("doc_id").alias("vec_id"), F.round("dist", 6).alias("dist"))
+
+
+@register("embed_documents")
+def q_embed_documents(spark, sf_dir):
+    """Documents -> (id, document, embedding, metadata) with
+    the hashing encoder; rows-only check (no SQL oracle)."""
+    docs = table(spark, sf_dir, "documents")
+    idx = J.document_index(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"),
+                                       F.struct(F.col("lang").alias("name"), F.col("source").alias("company"))
+                                       .alias("metadata")))
+    return idx.select("id", F.size("embedding").alias("dim"),
+                      F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0),
+                                                 lambda a, x: a + x * x)), 4).alias("norm"),
+                      F.col("metadata.name").alias("name"))

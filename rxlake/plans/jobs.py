@@ -69,3 +69,55 @@ def with_name_fold(medicines: DataFrame, name_col: str = "item_name") -> DataFra
     """Store the ASCII-folded name next to the name so substring filters
     on it push down to Parquet as ``StringContains``."""
     return medicines.withColumn("name_fold", T.fold_ascii(name_col))
+
+
+# ----------------------------------------------------------------- V4/V5 ---
+def document_index(docs: DataFrame, encoder=None) -> DataFrame:
+    """V4: ``(id, document, metadata)`` -> + ``embedding``; blank documents
+    are skipped (P9).  ``encoder`` is a pandas UDF from ``make_encoder``."""
+    from rxlake.operators.vectors import make_encoder
+    enc = encoder or make_encoder()
+    kept = docs.where(T.ustrip(F.coalesce(F.col("document"), F.lit(""))) != "")
+    return kept.select("id", "document", enc(F.col("document")).alias("embedding"), "metadata")
+
+
+def catalogue_documents(catalogue: DataFrame) -> DataFrame:
+    """V4 input from the cleaned catalogue: id = ITEM_SEQ (stable, SURVEY D7),
+    metadata {name, company, shape, color1, description}."""
+    return catalogue.select(
+        F.col("ITEM_SEQ").alias("id"), F.col("RAG_TEXT").alias("document"),
+        F.struct(F.col("ITEM_NAME").alias("name"), F.col("ENTP_NAME").alias("company"),
+                 F.col("DRUG_SHAPE").alias("shape"), F.col("COLOR_CLASS1").alias("color1"),
+                 F.col("CHARTN").alias("description"), F.lit(None).cast("string").alias("image_url"),
+                 F.lit("medicines").alias("source")).alias("metadata"))
+
+
+def leaflet_documents(raw: DataFrame, ord_col: str | None = None) -> DataFrame:
+    """C5/V5 before encoding: 14 columns by position (P2) -> clean 9 text
+    columns (F1) -> key to text (F6) -> drop nameless (P7) -> first row per
+    key in file order (T2) -> document (F9) -> keep > 20 chars (P8) ->
+    id ``easy_<key>`` (F10) + metadata (N9)."""
+    if ord_col:
+        body = [c for c in raw.columns if c != ord_col]
+        if len(body) != len(FV.LEAFLET_COLUMNS):
+            raise ValueError(f"expected {len(FV.LEAFLET_COLUMNS)} columns, found {len(body)}")
+        df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(body, FV.LEAFLET_COLUMNS)],
+                        F.col(ord_col).alias("_ord"))
+    else:
+        df = S.rename_positional(raw, FV.LEAFLET_COLUMNS).withColumn("_ord", F.monotonically_increasing_id())
+    key = FV.LEAFLET_COLUMNS[0]
+    df = df.select(*[T.clean_text(c).alias(c) if c in FV.LEAFLET_CLEAN_COLS else F.col(c)
+                     for c in FV.LEAFLET_COLUMNS], "_ord")
+    df = df.withColumn(key, T.to_text(key))
+    df = S.drop_blank(df, "제품명")
+    df = R.keep_first_by_ord(df, [key], "_ord")
+    text = T.leaflet_document("제품명", [F.col(c) for c, _ in FV.LEAFLET_PARTS])
+    df = df.withColumn("RAG_TEXT", text)
+    df = S.longer_than(df, "RAG_TEXT", FV.LEAFLET_MIN_CHARS)
+    return df.select(
+        T.leaflet_id(key).alias("id"), F.col("RAG_TEXT").alias("document"),
+        F.struct(F.col("제품명").alias("name"), F.col("업체명").alias("company"),
+                 F.lit(None).cast("string").alias("shape"), F.lit(None).cast("string").alias("color1"),
+                 F.lit(None).cast("string").alias("description"),
+                 F.coalesce(F.col("낱알이미지").cast("string"), F.lit("")).alias("image_url"),
+                 F.lit(FV.LEAFLET_SOURCE).alias("source")).alias("metadata"))

@@ -151,3 +151,327 @@ def _table_refresh_report() -> str:
 
 
 register("table_refresh_report", _table_refresh_report())
+
+
+# ------------------------------------------------------------------ lookups ---
+MED = f"""med AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS item_seq, p_name AS item_name, p_brand AS entp_name,
+         'size ' || CAST(p_size AS VARCHAR) AS chartn, p_type AS drug_shape,
+         split_part(p_name, ' ', 1) AS color_class1, split_part(p_name, ' ', 2) AS color_class2,
+         CASE WHEN p_size > 25 THEN 'ETC' ELSE 'OTC' END AS etc_otc_code,
+         'img/' || CAST(p_partkey AS VARCHAR) || '.png' AS image_url, {X.fold('p_name')} AS name_fold
+  FROM part)"""
+CAT = "item_seq, item_name, entp_name, chartn, drug_shape, color_class1, color_class2, etc_otc_code"
+CAT_M = ", ".join(f"m.{c}" for c in CAT.split(", "))
+
+
+def kw_cte(name: str, source: str, col: str, col_alias: str, where: str = "") -> str:
+    """Distinct long tokens of ``source.col``."""
+    w = f"WHERE {where}" if where else ""
+    return (f"{name} AS (SELECT DISTINCT w AS {col_alias} FROM "
+            f"(SELECT unnest({X.tokens(col)}) AS w FROM {source} {w}) WHERE length(w) >= {FV.MIN_TOKEN_LEN})")
+
+
+def like_join(term: str, name_fold: str) -> str:
+    return f"{X.ustrip(term)} <> '' AND {X.like_contains(name_fold, X.fold(term))}"
+
+
+def _name_search(role: str) -> str:
+    return f"""
+WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'keyword', f"role = '{role}'")},
+top AS (SELECT k.keyword AS term, {CAT_M},
+               CAST(row_number() OVER (PARTITION BY k.keyword ORDER BY m.item_name, m.item_seq) AS INTEGER) AS rank
+        FROM kw k JOIN med m ON {like_join('k.keyword', 'm.name_fold')}
+        QUALIFY rank <= {FV.NAME_SEARCH_LIMIT}),
+cnt AS (SELECT term, count(*) AS n_found FROM top GROUP BY term)
+SELECT kw.keyword, coalesce(cnt.n_found, 0) > 0 AS found, coalesce(cnt.n_found, 0) AS n_found, coalesce(top.rank, 0) AS rank,
+       {", ".join(f"top.{c}" for c in CAT.split(", "))}
+FROM kw LEFT JOIN top ON kw.keyword = top.term LEFT JOIN cnt ON kw.keyword = cnt.term"""
+
+
+register("name_search_top5", _name_search("user"))
+register("name_search_indexed", _name_search("assistant"))
+
+_has_s = "coalesce(r.shape <> '', false)"
+_has_c = "coalesce(r.color <> '', false)"
+register("identify_by_attributes", f"""
+WITH {MED},
+req0 AS (SELECT DISTINCT shape, color FROM (
+   SELECT lower(substr(p_type, 1, 4)) AS shape, split_part(p_name, ' ', 1) AS color FROM part
+   UNION ALL SELECT lower(p_type), NULL FROM part
+   UNION ALL SELECT '', split_part(p_name, ' ', 2) FROM part)),
+req AS (SELECT *, coalesce(shape, '∅') || '|' || coalesce(color, '∅') AS request_id FROM req0),
+top AS (SELECT r.request_id, {CAT_M},
+               CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY m.item_name, m.item_seq) AS INTEGER) AS rank
+        FROM req r JOIN med m ON ({_has_s} OR {_has_c})
+          AND (NOT {_has_s} OR {X.like_contains(X.fold('m.drug_shape'), X.fold('r.shape'))})
+          AND (NOT {_has_c} OR {X.like_contains(X.fold('m.color_class1'), X.fold('r.color'))}
+                            OR {X.like_contains(X.fold('m.color_class2'), X.fold('r.color'))})
+        QUALIFY rank <= {FV.SHAPE_SEARCH_LIMIT}),
+cnt AS (SELECT request_id, count(*) AS n_found FROM top GROUP BY request_id)
+SELECT req.request_id, req.shape, req.color,
+       NOT (coalesce(req.shape <> '', false) OR coalesce(req.color <> '', false)) AS rejected,
+       coalesce(cnt.n_found, 0) > 0 AS found, coalesce(cnt.n_found, 0) AS n_found, coalesce(top.rank, 0) AS rank,
+       {", ".join(f"top.{c}" for c in CAT.split(", "))}
+FROM req LEFT JOIN top USING (request_id) LEFT JOIN cnt USING (request_id)""")
+
+_WARN = {
+    "elderly": "SELECT CAST(p_partkey AS VARCHAR) AS item_key, p_name AS item_name, 'caution ' || p_brand AS detail1, p_type AS detail2 FROM part",
+    "duration": "SELECT CAST(s_suppkey AS VARCHAR) AS item_key, s_name AS item_name, CAST(s_nationkey + 1 AS VARCHAR) || '일' AS detail1, '' AS detail2 FROM supplier",
+    "age_taboo": "SELECT CAST(c_custkey AS VARCHAR) AS item_key, c_name AS item_name, 'age ' || CAST(c_nationkey AS VARCHAR) AS detail1, c_mktsegment AS detail2 FROM customer",
+}
+
+
+def _warning_lookup() -> str:
+    parts = []
+    for wt, sel in _WARN.items():
+        parts.append(f"""
+SELECT t.term, '{wt}' AS warning_type, coalesce(c.n, 0) > 0 AS found, coalesce(c.n, 0) AS n_found,
+       h.item_key, h.item_name, h.detail1, h.detail2
+FROM terms t
+LEFT JOIN (SELECT t.term, x.* FROM terms t JOIN ({sel}) x ON {like_join('t.term', X.fold('x.item_name'))}) h USING (term)
+LEFT JOIN (SELECT t.term, count(*) AS n FROM terms t JOIN ({sel}) x ON {like_join('t.term', X.fold('x.item_name'))}
+           GROUP BY t.term) c USING (term)""")
+    return f"""
+WITH terms AS (SELECT DISTINCT term FROM (
+   SELECT split_part(p_name, ' ', 2) AS term FROM part
+   UNION ALL SELECT substr(s_name, 1, 17) FROM supplier
+   UNION ALL SELECT substr(c_name, 1, 17) FROM customer))
+{" UNION ALL ".join(parts)}"""
+
+
+register("warning_lookup", _warning_lookup())
+
+register("first_match_or_null", f"""
+WITH {MED}, {kw_cte('terms', 'benchmark', 'text', 'term')},
+h AS (SELECT t.term, m.* FROM terms t JOIN med m ON {like_join('t.term', 'm.name_fold')}
+      QUALIFY row_number() OVER (PARTITION BY t.term ORDER BY m.item_name, m.item_seq) = 1)
+SELECT terms.term, h.item_seq IS NOT NULL AS found, h.item_name, h.drug_shape AS appearance,
+       h.entp_name AS class_name, h.image_url
+FROM terms LEFT JOIN h USING (term)""")
+
+_LINE = X.context_line_table("item_name", "entp_name", "drug_shape", "color_class1", "etc_otc_code", "chartn")
+
+
+def token_context_sql(msgs: str) -> str:
+    """CTEs toks/ctx over a CTE ``msgs(conv_id, turn, text)``: Q8 + F15."""
+    return f"""
+toks0 AS (SELECT conv_id, turn, unnest({X.tokens('text')}) AS token,
+                 generate_subscripts({X.tokens('text')}, 1) AS pos FROM {msgs}),
+toks AS (SELECT * FROM toks0 WHERE length(token) >= {FV.MIN_TOKEN_LEN}),
+th0 AS (SELECT DISTINCT token FROM toks),
+hits AS (SELECT t.token, {CAT_M},
+                row_number() OVER (PARTITION BY t.token ORDER BY m.item_name, m.item_seq) AS rank
+         FROM th0 t JOIN med m ON {like_join('t.token', 'm.name_fold')}
+         QUALIFY rank <= {FV.TOKEN_CONTEXT_HITS}),
+th AS (SELECT toks.conv_id, toks.turn, toks.pos, hits.* FROM toks JOIN hits USING (token)),
+chosen AS (SELECT * FROM th QUALIFY pos = min(pos) OVER (PARTITION BY conv_id, turn)),
+ctx AS (SELECT conv_id, turn, any_value(token) AS matched_token, count(*) AS n_hits,
+               {X.q(FV.CONTEXT_HEADER)} || string_agg({_LINE}, '' ORDER BY rank) AS context
+        FROM chosen GROUP BY conv_id, turn)"""
+
+
+register("first_token_match", f"""
+WITH {MED}, msgs AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+{token_context_sql('msgs')}
+SELECT msgs.conv_id, msgs.turn, ctx.matched_token, coalesce(ctx.n_hits, 0) AS n_hits,
+       coalesce(ctx.context, '') AS context
+FROM msgs LEFT JOIN ctx USING (conv_id, turn)""")
+
+
+def _gate_terms():
+    from rxlake.plans.catalog import GATE_TERMS
+    return GATE_TERMS
+
+
+register("keyword_gate", f"""
+SELECT conv_id, turn, coalesce({X.contains_any('text', _gate_terms())}, false) AS gated FROM conversations""")
+
+_CAPS = f"list_filter({X.tokens('text')}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))"
+_NAMES_CTE = f"""
+caps AS (SELECT doc_id, text, {_CAPS} AS c0 FROM documents),
+dist AS (SELECT doc_id, text, list_filter(c0, lambda x, i: list_position(c0, x) = i) AS c1 FROM caps),
+nm AS (SELECT doc_id, text,
+              list_transform(c1, lambda w: CASE WHEN length(w) % 2 = 0 THEN w ELSE 'Zq' || w END) AS names FROM dist)"""
+
+
+def validate_sql(src: str, extra: str = "") -> str:
+    """rows (doc_id, pos, name, ok, validated) kept by T6, from CTE ``src(doc_id, text, names)``."""
+    return f"""
+ex AS (SELECT doc_id, text{extra}, unnest(names) AS name,
+              CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS pos FROM {src}),
+chk AS (SELECT *, contains(text, substr(name, 1, {FV.PREFIX_LEN})) AS ok FROM ex),
+val AS (SELECT *, bool_or(ok) OVER (PARTITION BY doc_id) AS validated FROM chk
+        QUALIFY ok OR NOT validated)"""
+
+
+register("validate_extractions", f"""
+WITH {_NAMES_CTE}, {validate_sql('nm')}
+SELECT doc_id, pos, name, ok, validated FROM val""")
+
+
+def prefix_match_sql(src: str, cols: str) -> str:
+    """SELECT over CTE ``src`` with ``original`` and ``short``: Q9 output."""
+    return f"""
+pm AS (SELECT DISTINCT short FROM {src}),
+ph AS (SELECT p.short, {CAT_M} FROM pm p JOIN med m ON {like_join('p.short', 'm.name_fold')}
+       QUALIFY row_number() OVER (PARTITION BY p.short ORDER BY m.item_name, m.item_seq) = 1)
+SELECT {cols}, s.short, ph.item_seq IS NOT NULL AS db_matched,
+       CASE WHEN ph.item_seq IS NOT NULL THEN ph.item_name ELSE s.original END AS name,
+       coalesce(ph.entp_name, '') AS company, coalesce(ph.chartn, '') AS description,
+       coalesce(ph.drug_shape, '') AS shape, coalesce(ph.color_class1, '') AS color1,
+       coalesce(ph.color_class2, '') AS color2, coalesce(ph.etc_otc_code, '') AS otc_type
+FROM {src} s LEFT JOIN ph USING (short)"""
+
+
+register("fuzzy_prefix_match", f"""
+WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'original', "role = 'user'")},
+names AS (SELECT original, substr(original, 1, {FV.PREFIX_LEN}) AS short FROM kw),
+{prefix_match_sql('names', 's.original')}""")
+
+_REPLY = """CASE
+  WHEN event_type = 'purchase' AND value > 50 THEN '{"medicines": ["a"]} and {"x": ' || CAST(user_id AS VARCHAR) || '}'
+  WHEN event_type = 'purchase' AND value < 2 THEN '{"medicines": [1, "b"]}'
+  WHEN event_type = 'purchase' THEN 'Result: {"medicines": ["' || event_type || '", "u' || CAST(user_id AS VARCHAR) || '"]} done'
+  WHEN event_type = 'signup' THEN '{"other": ' || props || '}'
+  WHEN event_type = 'view' THEN 'no json here (' || CAST(user_id AS VARCHAR) || ')'
+  WHEN event_type = 'error' THEN '{"medicines": ["a", }'
+  ELSE '{''medicines'': [''' || event_type || ''']}' END"""
+
+
+def parse_names_sql(reply: str) -> str:
+    """(status, names) columns for a reply expression."""
+    cut = f"regexp_extract({reply}, '\\{{.*\\}}', 0, 's')"
+    return cut
+
+
+register("json_extract_list", f"""
+WITH r AS (SELECT event_id, regexp_extract({_REPLY}, '\\{{.*\\}}', 0, 's') AS cut FROM events),
+p AS (SELECT event_id, cut, CASE WHEN cut = '' THEN false ELSE json_valid(cut) END AS valid FROM r),
+s AS (SELECT event_id, cut,
+        CASE WHEN cut = '' THEN 'no_json'
+             WHEN NOT valid THEN 'error'
+             WHEN json_type(cut, '$.medicines') IS NULL THEN 'ok'
+             WHEN json_type(cut, '$.medicines') = 'ARRAY'
+                  AND len(list_filter(json_extract(cut, '$.medicines[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN 'ok'
+             ELSE 'error' END AS status FROM p),
+n AS (SELECT event_id, status,
+        CASE WHEN status = 'ok' AND json_type(cut, '$.medicines') = 'ARRAY'
+             THEN json_extract_string(cut, '$.medicines[*]') ELSE [] END AS names FROM s)
+SELECT event_id, status, CAST(-1 AS INTEGER) AS pos, CAST(NULL AS VARCHAR) AS name FROM n WHERE len(names) = 0
+UNION ALL
+SELECT event_id, status, CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS pos, unnest(names) AS name
+FROM n WHERE len(names) > 0""")
+
+register("ocr_response_text", """
+WITH r AS (SELECT doc_id, json_object('IsErroredOnProcessing', lang = 'de', 'ParsedResults',
+                  CASE WHEN source = 'src3' THEN json_array() ELSE json_array(json_object('ParsedText', text)) END) AS resp
+           FROM documents),
+t AS (SELECT doc_id, CASE WHEN coalesce(CAST(json_extract(resp, '$.IsErroredOnProcessing') AS BOOLEAN), false) THEN ''
+                          ELSE coalesce(json_extract_string(resp, '$.ParsedResults[0].ParsedText'), '') END AS txt FROM r)
+SELECT doc_id, length(txt) AS text_len, md5(txt) AS text_md5 FROM t""")
+
+register("extraction_match", f"""
+WITH {MED},
+nm AS (SELECT d.doc_id, d.text, 'ok' AS status,
+              list_filter([p.p_name, 'Zq' || d.lang], lambda x: x IS NOT NULL) AS names
+       FROM documents d LEFT JOIN part p ON d.doc_id = p.p_partkey),
+{validate_sql('nm', ', status')},
+kept AS (SELECT doc_id, status, validated, pos, name AS original, substr(name, 1, {FV.PREFIX_LEN}) AS short FROM val),
+{prefix_match_sql('kept', 's.doc_id, s.status, s.validated, s.pos, s.original')}""")
+
+register("recent_history", f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations
+           QUALIFY rn <= {FV.PROMPT_HISTORY})
+SELECT conv_id, CAST(count(*) OVER (PARTITION BY conv_id) - rn + 1 AS INTEGER) AS pos, turn, role, text AS content
+FROM t""")
+
+_HIST = (f"list({{'role': role, 'content': text}}) OVER (PARTITION BY conv_id ORDER BY turn "
+         f"ROWS BETWEEN {FV.PROMPT_HISTORY - 1} PRECEDING AND CURRENT ROW)")
+register("rolling_context", f"""
+WITH h AS (SELECT conv_id, turn, {_HIST} AS history FROM conversations)
+SELECT conv_id, turn, CAST(len(history) AS INTEGER) AS n_history,
+       array_to_string(list_transform(history, lambda m: m.role), ',') AS roles,
+       CAST(list_sum(list_transform(history, lambda m: length(m.content))) AS BIGINT) AS history_chars,
+       CAST(len(history) + 2 AS INTEGER) AS n_prompt
+FROM h""")
+
+_CHAT_CTX = f"""
+msgs0 AS (SELECT conv_id, turn, text, coalesce({X.contains_any('text', _gate_terms())}, false) AS gated
+          FROM conversations WHERE role = 'user'),
+msgs AS (SELECT * FROM msgs0 WHERE gated),
+{token_context_sql('msgs')},
+chat AS (SELECT m.conv_id, m.turn, m.text, m.gated,
+                CASE WHEN ctx.context IS NOT NULL THEN 'token' ELSE 'none' END AS context_source,
+                coalesce(ctx.context, '') AS context
+         FROM msgs0 m LEFT JOIN ctx USING (conv_id, turn))"""
+
+register("message_context", f"""
+WITH {MED}, {_CHAT_CTX}
+SELECT conv_id, turn, gated, context_source, context FROM chat""")
+
+register("prompt_usage_flags", f"""
+WITH {MED}, {_CHAT_CTX},
+h AS (SELECT conv_id, turn, {_HIST} AS history FROM conversations)
+SELECT c.conv_id, c.turn, CAST(len(h.history) + 2 AS INTEGER) AS n_prompt,
+       CAST(length(c.context) + list_sum(list_transform(h.history, lambda m: length(m.content))) + length(c.text) AS BIGINT)
+         AS prompt_chars,
+       c.context <> '' AS med_context_used, false AS rag_used
+FROM chat c JOIN h USING (conv_id, turn)""")
+
+register("alarm_state", """
+WITH log AS (
+  SELECT event_id AS alarm_id, ts, event_id, 'register' AS action, CAST(user_id AS VARCHAR) AS user_id,
+         event_type AS medication_name, strftime(ts, '%H:%M') AS time_hhmm, strftime(ts, '%a') AS days_of_week
+  FROM events WHERE event_type <> 'error'
+  UNION ALL BY NAME
+  SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS alarm_id, ts, event_id, 'disable' AS action
+  FROM events WHERE event_type = 'error'),
+last AS (SELECT alarm_id, action AS last_action FROM log WHERE alarm_id IS NOT NULL
+         QUALIFY row_number() OVER (PARTITION BY alarm_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT r.alarm_id, r.user_id, r.medication_name, r.time_hhmm, r.days_of_week, l.last_action = 'register' AS is_enabled
+FROM log r JOIN last l USING (alarm_id) WHERE r.action = 'register'""")
+
+register("append_with_ids", f"""
+WITH n AS (SELECT ts, event_id, CAST(user_id AS VARCHAR) AS user_id,
+                  'med-' || json_extract_string(props, '$.k') AS medication_name,
+                  strftime(ts, '%H:%M') AS time_hhmm, 'daily' AS days_of_week
+           FROM events WHERE event_type = 'signup')
+SELECT CAST(coalesce((SELECT max(event_id) FROM events WHERE event_type <> 'signup'), 0)
+            + row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS id,
+       event_id, user_id, medication_name, time_hhmm, days_of_week, 1 AS is_enabled,
+       medication_name || {X.q(FV.ALARM_MSG_MIDDLE)} || time_hhmm || {X.q(FV.ALARM_MSG_END)} AS message
+FROM n""")
+
+register("speech_text", f"""
+WITH d AS (SELECT doc_id, {X.speech_text(X.ustrip('text'))} AS clean FROM documents
+           WHERE {X.ustrip("coalesce(text, '')")} <> '')
+SELECT doc_id, length(clean) AS clean_len, md5(clean) AS clean_md5 FROM d""")
+
+_VEC = """
+e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label AS q, i, avg(CAST(x AS DOUBLE)) AS cx FROM e GROUP BY label, i)"""
+
+
+def _topk_sql(where: str) -> str:
+    return f"""SELECT CAST(c.q AS BIGINT) AS label, e.vec_id,
+       sum((CAST(e.x AS DOUBLE) - c.cx) * (CAST(e.x AS DOUBLE) - c.cx)) AS dist
+FROM e JOIN c ON e.i = c.i WHERE {where} GROUP BY c.q, e.vec_id"""
+
+
+register("vector_topk", f"""
+WITH {_VEC}, d AS ({_topk_sql('true')})
+SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS INTEGER) AS rank,
+       vec_id, round(dist, 6) AS dist
+FROM d QUALIFY rank <= {FV.VECTOR_TOP_K}""")
+
+register("two_collection_search", f"""
+WITH {_VEC},
+a AS ({_topk_sql('e.label % 2 = 0')}), b AS ({_topk_sql('e.label % 2 = 1')}),
+ra AS (SELECT label, 'medicines' AS source, 1 AS source_rank,
+              CAST(row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id,
+              round(dist, 6) AS dist FROM a QUALIFY rank <= {FV.VECTOR_TOP_K}),
+rb AS (SELECT label, 'drug_info' AS source, 2 AS source_rank,
+              CAST(row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id,
+              round(dist, 6) AS dist FROM b QUALIFY rank <= {FV.VECTOR_TOP_K})
+SELECT * FROM ra UNION ALL SELECT * FROM rb""")

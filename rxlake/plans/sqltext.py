@@ -74,7 +74,7 @@ def leaflet_document(name: str, parts: list) -> str:
 def tokens(x: str) -> str:
     """list of whitespace tokens (empty list for blank text)."""
     stripped = ustrip(f"coalesce({x}, '')")
-    return f"list_filter(regexp_split_to_array({stripped}, {q(WS + '+')}), w -> w <> '')"
+    return f"list_filter(regexp_split_to_array({stripped}, {q(WS + '+')}), lambda w: w <> '')"
 
 
 def speech_text(x: str) -> str:
