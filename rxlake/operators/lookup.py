@@ -39,8 +39,8 @@ def like_regex(term_fold: Column) -> Column:
     """Java regex for ``LIKE '%term%'`` (find semantics): every character that
     is not a letter or digit is escaped, then ``\\%`` -> ``.*`` and ``\\_`` -> ``.``."""
     esc = F.regexp_replace(term_fold, r"([^\p{L}\p{N}])", r"\\$1")
-    esc = F.regexp_replace(esc, r"\\\\%", ".*")
-    esc = F.regexp_replace(esc, r"\\\\_", ".")
+    esc = F.regexp_replace(esc, r"\\%", ".*")
+    esc = F.regexp_replace(esc, r"\\_", ".")
     return F.concat(F.lit("(?s)"), esc)
 
 
