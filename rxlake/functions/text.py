@@ -19,6 +19,11 @@ from rxlake import fixed_values as FV
 WS_CHARS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS = "[" + WS_CHARS + "]"
+# The same set as literal characters, for trim(): stripping with a character
+# set is a linear scan from both ends instead of a regex search of the text.
+WS_SET = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+          + "".join(chr(c) for c in range(0x2000, 0x200B))
+          + "\u2028\u2029\u202f\u205f\u3000")
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -30,7 +35,7 @@ def col_(c) -> Column:
 
 def ustrip(c) -> Column:
     """strip leading/trailing Unicode whitespace (Python ``str.strip``)."""
-    return F.regexp_replace(col_(c), f"^{WS}+|{WS}+$", "")
+    return F.trim(col_(c), F.lit(WS_SET))
 
 
 def collapse_ws(c) -> Column:
@@ -134,8 +139,9 @@ def leaflet_id(key) -> Column:
 
 
 def tokens(c) -> Column:
-    """whitespace tokens in order (Python ``str.split()``)."""
-    parts = F.split(ustrip(F.coalesce(col_(c), F.lit(""))), f"{WS}+")
+    """whitespace tokens in order (Python ``str.split()``); the empty
+    pieces a leading or trailing run leaves are filtered out."""
+    parts = F.split(F.coalesce(col_(c), F.lit("")), f"{WS}+")
     return F.filter(parts, lambda w: w != "")
 
 

@@ -7,7 +7,7 @@ function of the same name in ``rxlake.functions.text`` computes.
 from __future__ import annotations
 
 from rxlake import fixed_values as FV
-from rxlake.functions.text import NUMBER_RE, SPEECH_DROP_RE, WS
+from rxlake.functions.text import NUMBER_RE, SPEECH_DROP_RE, WS, WS_SET
 
 UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LO = "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +19,7 @@ def q(s: str) -> str:
 
 
 def ustrip(x: str) -> str:
-    return f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+    return f"trim({x}, {q(WS_SET)})"
 
 
 def collapse_ws(x: str) -> str:
@@ -73,8 +73,7 @@ def leaflet_document(name: str, parts: list) -> str:
 
 def tokens(x: str) -> str:
     """list of whitespace tokens (empty list for blank text)."""
-    stripped = ustrip(f"coalesce({x}, '')")
-    return f"list_filter(regexp_split_to_array({stripped}, {q(WS + '+')}), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), {q(WS + '+')}), lambda w: w <> '')"
 
 
 def speech_text(x: str) -> str:
