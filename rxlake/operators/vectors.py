@@ -82,14 +82,18 @@ def centroids(vectors: DataFrame, group: str, vec: str = "embedding", id_col: st
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("qvec"))
 
 
-def _topk_partition(bc, k: int, id_col: str, vec_col: str, metric: str):
+def _ids(s: pd.Series, id_type: str) -> np.ndarray:
+    return s.to_numpy().astype(str) if id_type == "string" else s.to_numpy()
+
+
+def _topk_partition(bc, k: int, id_col: str, vec_col: str, metric: str, id_type: str = "bigint"):
     def run(it):
         qids, qmat = bc.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
             X = np.vstack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            ids = pdf[id_col].to_numpy()
+            ids = _ids(pdf[id_col], id_type)
             if metric == "cosine":
                 Xn = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
                 Qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
@@ -119,37 +123,83 @@ def _topk_partition(bc, k: int, id_col: str, vec_col: str, metric: str):
     return run
 
 
+def _rows_to_matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
+    return np.vstack(pdf[col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+
+
+def _scan_queries(bc, k: int, metric: str):
+    """mapInPandas over query batches against a broadcast collection: the
+    whole collection is here, so the top-k is final per query."""
+    def run(it):
+        ids, mat = bc.value
+        for pdf in it:
+            if len(pdf) == 0 or len(ids) == 0:
+                continue
+            Q = _rows_to_matrix(pdf, "qvec")
+            qids = pdf["qid"].to_numpy()
+            kk = min(k, len(ids))
+            out_q, out_id, out_d, out_r = [], [], [], []
+            for j in range(Q.shape[0]):
+                if metric == "cosine":
+                    col = 1.0 - (mat @ Q[j]) / np.maximum(np.linalg.norm(mat, axis=1) * np.linalg.norm(Q[j]), 1e-300)
+                else:
+                    diff = mat - Q[j]
+                    col = np.einsum("ij,ij->i", diff, diff)
+                order = np.lexsort((ids, col))[:kk]
+                out_q.append(np.full(kk, qids[j]))
+                out_id.append(ids[order])
+                out_d.append(col[order])
+                out_r.append(np.arange(1, kk + 1, dtype=np.int32))
+            if out_q:
+                yield pd.DataFrame({"qid": np.concatenate(out_q), "rank": np.concatenate(out_r),
+                                    "doc_id": np.concatenate(out_id), "dist": np.concatenate(out_d)})
+    return run
+
+
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid: str = "qid",
              qvec: str = "qvec", doc_id: str = "vec_id", doc_vec: str = "embedding",
              metric: str = "l2", max_bytes: int = QUERY_BROADCAST_BYTES) -> DataFrame:
     """V3: exact top-k documents per query; rows ``(qid, rank, doc_id, dist)``.
 
-    Ties in distance break by the lower document id.
+    Ties in distance break by the lower document id.  The smaller side is
+    broadcast after a size check (rows x dim x 8 bytes within ``max_bytes``):
+
+    * small collection (the catalogue case: tens of thousands of pills):
+      broadcast it and stream the queries; each query's top-k is final;
+    * small query set: broadcast the queries and stream the collection; each
+      partition keeps a local top-k per query, merged by a partial+final
+      group limit;
+    * both large: the query set is cut into chunks that fit, each chunk one
+      distributed pass over the collection.
     """
     spark = docs.sparkSession
-    qn = queries.count()
-    if qn == 0:
-        return spark.createDataFrame([], "qid long, rank int, doc_id long, dist double")
-    dim = queries.select(F.size(qvec).alias("d")).agg(F.max("d")).first()[0] or 1
-    per_pass = max(1, max_bytes // (8 * dim))
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
+    d = docs.select(F.col(doc_id).alias("_id"), F.col(doc_vec).alias("_v"))
+    id_type = dict(d.dtypes)["_id"]
+    if id_type not in ("string", "bigint"):
+        d = d.withColumn("_id", F.col("_id").cast("long"))
+        id_type = "bigint"
+    qn, dn = q.count(), d.count()
+    if qn == 0 or dn == 0:
+        return spark.createDataFrame([], f"qid long, rank int, doc_id {id_type}, dist double")
+    dim = d.select(F.size("_v").alias("n")).agg(F.max("n")).first()[0] or 1
+    per_pass = max(1, max_bytes // (8 * dim))
+    if dn <= per_pass and dn <= qn:
+        pdf = d.toPandas()  # bounded: dn * dim * 8 <= max_bytes
+        bc = spark.sparkContext.broadcast((_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v")))
+        return q.mapInPandas(_scan_queries(bc, k, metric), f"qid long, rank int, doc_id {id_type}, dist double")
     if qn > per_pass:
-        # chunk the query set; each chunk is a full distributed pass
-        q = R.sequential_ids(q, ["qid"], id_col="_qseq")
-        chunks = [q.where((F.col("_qseq") > i * per_pass) & (F.col("_qseq") <= (i + 1) * per_pass))
-                   .drop("_qseq") for i in range((qn + per_pass - 1) // per_pass)]
+        qs = R.sequential_ids(q, ["qid"], id_col="_qseq")
+        chunks = [qs.where((F.col("_qseq") > i * per_pass) & (F.col("_qseq") <= (i + 1) * per_pass))
+                    .drop("_qseq") for i in range((qn + per_pass - 1) // per_pass)]
     else:
         chunks = [q]
-    d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(doc_vec).alias("_v"))
     outs = []
     for ch in chunks:
         pdf = ch.toPandas()  # bounded by max_bytes, checked above
-        qids = pdf["qid"].to_numpy()
-        qmat = np.vstack(pdf["qvec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        bc = spark.sparkContext.broadcast((qids, qmat))   # size-checked above
-        part = d.mapInPandas(_topk_partition(bc, k, "_id", "_v", metric),
-                             "qid long, doc_id long, dist double")
-        outs.append(part)
+        bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), _rows_to_matrix(pdf, "qvec")))
+        outs.append(d.mapInPandas(_topk_partition(bc, k, "_id", "_v", metric, id_type),
+                                  f"qid long, doc_id {id_type}, dist double"))
     allp = outs[0]
     for o in outs[1:]:
         allp = allp.unionByName(o)

@@ -413,23 +413,7 @@ def q_first_match_or_null(spark, sf_dir):
                       "image_url")
 
 
-def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str,
-                  k: int = FV.TOKEN_CONTEXT_HITS) -> DataFrame:
-    """Q8 + F15: per message, the first token (in order, length >= 2) with any
-    catalogue hit; its first ``k`` hits formatted as the context block.
-    Messages without a hit are absent (callers left-join)."""
-    toks = msgs.select(*msg_keys, F.posexplode(T.long_tokens(text_col)).alias("pos", "token"))
-    hits = L.first_matches(toks.select("token").distinct(), med, "token", CAT_COLS, CAT_ORDER, k)
-    th = toks.join(hits.withColumnRenamed("term", "token"), "token")
-    firstpos = th.groupBy(*msg_keys).agg(F.min("pos").alias("pos"))
-    chosen = th.join(firstpos, [*msg_keys, "pos"])
-    line = T.context_line_table("item_name", "entp_name", "drug_shape", "color_class1",
-                                "etc_otc_code", "chartn")
-    return chosen.groupBy(*msg_keys).agg(
-        F.first("token").alias("matched_token"), F.count(F.lit(1)).alias("n_hits"),
-        F.concat(F.lit(FV.CONTEXT_HEADER),
-                 N.ordered_concat(F.collect_list(F.struct(F.col("rank").alias("pos"), line.alias("value"))),
-                                  sep="")).alias("context"))
+token_context = J.token_context
 
 
 @register("first_token_match")

@@ -121,3 +121,151 @@ def leaflet_documents(raw: DataFrame, ord_col: str | None = None) -> DataFrame:
                  F.lit(None).cast("string").alias("description"),
                  F.coalesce(F.col("낱알이미지").cast("string"), F.lit("")).alias("image_url"),
                  F.lit(FV.LEAFLET_SOURCE).alias("source")).alias("metadata"))
+
+
+# ------------------------------------------------------------ C3/C4 tables ---
+def safety_tables(sources: dict) -> dict:
+    """Table name -> raw DataFrame, refreshed per the fixed table list.
+
+    Returns table name -> cleaned DataFrame (write each with overwrite)."""
+    from rxlake.sources import io as IO
+    out = {}
+    for name, (key, cols, strict) in FV.SAFETY_TABLES.items():
+        if name in sources:
+            out[name] = IO.refresh_table(sources[name], key, cols, strict=strict)
+    pname, pkey, pcols = FV.PILL_TABLE
+    if pname in sources:
+        out[pname] = IO.refresh_table(sources[pname], pkey, pcols, name_col=FV.PILL_NAME_COL)
+    return out
+
+
+# ------------------------------------------------------ C6 message context ---
+def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col: str = "text",
+                    gate_terms: list = FV.DRUG_KEYWORDS, collections: tuple | None = None,
+                    encoder=None, k: int = FV.VECTOR_TOP_K) -> DataFrame:
+    """C6 for a table of messages: gate (P13) -> vector search over two
+    collections when they are given (V6, search layout) -> else, or when the
+    search finds nothing, first-token catalogue lookup (Q8, table layout).
+
+    ``medicines`` carries ``name_fold``; ``collections`` is a pair of
+    ``(id, document, embedding, metadata)`` tables.  Returns ``keys`` +
+    ``gated``, ``context_source`` in {vector, token, none} and ``context``.
+    """
+    from rxlake.functions import nested as N
+    from rxlake.operators import lookup as L
+    from rxlake.operators import vectors as V
+    m = msgs.select(*keys, text_col).withColumn("gated", T.contains_any(text_col, gate_terms))
+    gated = m.where("gated")
+    parts = []
+    remaining = gated
+    if collections is not None:
+        enc = encoder or V.make_encoder()
+        q = R.sequential_ids(gated.select(*keys, text_col), [F.col(c) for c in keys], id_col="qid")
+        qv = q.select("qid", *keys, enc(F.col(text_col)).alias("qvec"))
+        hits = []
+        for coll, rank_base in zip(collections, (0, 100)):   # first collection's hits come first
+            h = V.knn_topk(qv.select("qid", "qvec"), coll.select("id", "embedding"), k, doc_id="id")
+            h = h.join(coll.select(F.col("id").alias("doc_id"), "metadata"), "doc_id") \
+                 .withColumn("ord", F.col("rank") + rank_base)
+            hits.append(h)
+        allh = hits[0].unionByName(hits[1])
+        md = F.col("metadata")
+        line = T.context_line_search(md["name"], md["company"], md["shape"], md["color1"], md["description"])
+        vec = allh.groupBy("qid").agg(F.concat(F.lit(FV.CONTEXT_HEADER), N.ordered_concat(
+            F.collect_list(F.struct(F.col("ord").alias("pos"), line.alias("value"))), sep="")).alias("context"))
+        vec = vec.join(q.select("qid", *keys), "qid").drop("qid").withColumn("context_source", F.lit("vector"))
+        parts.append(vec)
+        remaining = gated.join(vec.select(*keys), keys, "left_anti")
+    tok = token_context(remaining, medicines, keys, text_col, FV.TOKEN_CONTEXT_HITS) \
+        .select(*keys, "context").withColumn("context_source", F.lit("token"))
+    parts.append(tok)
+    ctx = parts[0]
+    for p in parts[1:]:
+        ctx = ctx.unionByName(p)
+    out = m.join(ctx, keys, "left")
+    return out.select(*keys, "gated", F.coalesce("context_source", F.lit("none")).alias("context_source"),
+                      F.coalesce("context", F.lit("")).alias("context"))
+
+
+def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str,
+                  k: int = FV.TOKEN_CONTEXT_HITS) -> DataFrame:
+    """Q8 + F15: per message, the first token (in order, length >= 2) with any
+    catalogue hit; its first ``k`` hits formatted as the context block.
+    Messages without a hit are absent (callers left-join)."""
+    from rxlake.functions import nested as N
+    from rxlake.operators import lookup as L
+    cat_cols = ["item_seq", "item_name", "entp_name", "chartn", "drug_shape", "color_class1",
+                "color_class2", "etc_otc_code"]
+    toks = msgs.select(*msg_keys, F.posexplode(T.long_tokens(text_col)).alias("pos", "token"))
+    hits = L.first_matches(toks.select("token").distinct(), med, "token", cat_cols,
+                           ["item_name", "item_seq"], k)
+    th = toks.join(hits.withColumnRenamed("term", "token"), "token")
+    firstpos = th.groupBy(*msg_keys).agg(F.min("pos").alias("pos"))
+    chosen = th.join(firstpos, [*msg_keys, "pos"])
+    line = T.context_line_table("item_name", "entp_name", "drug_shape", "color_class1",
+                                "etc_otc_code", "chartn")
+    return chosen.groupBy(*msg_keys).agg(
+        F.first("token").alias("matched_token"), F.count(F.lit(1)).alias("n_hits"),
+        F.concat(F.lit(FV.CONTEXT_HEADER),
+                 N.ordered_concat(F.collect_list(F.struct(F.col("rank").alias("pos"), line.alias("value"))),
+                                  sep="")).alias("context"))
+
+
+# ------------------------------------------------- entry points (section 3) ---
+def build_catalogue(spark, files: list, out_path: str, csv_export: str | None = None) -> DataFrame:
+    """The catalogue build: S4 load -> C1 -> S6 write (Parquet; CSV optional).
+    Returns the load report."""
+    from rxlake.sources import io as IO
+    sources, report = IO.load_sources(spark, files)
+    cat = catalogue_pipeline(sources, ord_col="ORD")
+    IO.write_table(cat, out_path)
+    if csv_export:
+        IO.write_table(spark.read.parquet(out_path).orderBy("ITEM_NAME", "ITEM_SEQ"), csv_export, fmt="csv")
+    return report
+
+
+def load_serving_table(spark, catalogue_path: str, out_path: str) -> bool:
+    """C2 with the build-once guard (S8): returns False when already loaded."""
+    from rxlake.sources import io as IO
+    if IO.is_built(spark, out_path):
+        return False
+    med = with_name_fold(serving_table(spark.read.parquet(catalogue_path)))
+    IO.write_table(med, out_path)
+    return True
+
+
+def import_drug_data(spark, inputs: dict, out_dir: str, encoder=None,
+                     half_built_threshold: int = FV.HALF_BUILT_THRESHOLD) -> dict:
+    """The leaflet/safety import: S13 inputs present -> S9 reset a half-built
+    index -> C5 index (skipped when built, S8) -> C3/C4 tables (overwrite).
+
+    ``inputs`` maps the six input names (``easyDrug``, ``elderlyWarn``,
+    ``ageTaboo``, ``durationWarn``, ``additiveWarn``, ``pillId``) to landed
+    CSV/Parquet paths.  Returns table name -> row count written.
+    """
+    from rxlake.sources import io as IO
+    IO.require_inputs(spark, inputs)
+    index_path = f"{out_dir}/drug_info"
+    written = {}
+    if IO.half_built(spark, index_path, half_built_threshold):
+        IO.write_table(spark.createDataFrame([], "id string"), index_path)   # reset
+    if not IO.is_built(spark, index_path):
+        raw = _read_landed(spark, inputs["easyDrug"])
+        idx = document_index(leaflet_documents(raw), encoder)
+        IO.write_table(idx, index_path)
+        written["drug_info"] = spark.read.parquet(index_path).count()
+    names = {"elderlyWarn": "dur_elderly_warning", "ageTaboo": "dur_age_taboo",
+             "durationWarn": "dur_duration_warning", "additiveWarn": "dur_additive_warning",
+             "pillId": "pill_identification"}
+    tables = safety_tables({t: _read_landed(spark, inputs[k]) for k, t in names.items()})
+    for t, df in tables.items():
+        IO.write_table(df, f"{out_dir}/{t}")
+        written[t] = spark.read.parquet(f"{out_dir}/{t}").count()
+    return written
+
+
+def _read_landed(spark, path: str) -> DataFrame:
+    from rxlake.sources import io as IO
+    if path.endswith(".csv"):
+        return IO.read_csv_text(spark, path)
+    return spark.read.parquet(path)

@@ -210,3 +210,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
         path = os.path.abspath(path)
     fs, jpath = _fs(spark, path)
     return bool(fs.exists(jpath))
+
+
+def year_from_file(df: DataFrame, col: str = "SOURCE_YEAR") -> DataFrame:
+    """S5 for a directory scan: the year in the source file's name."""
+    return df.withColumn(col, F.regexp_extract(F.col("_metadata.file_name"), r"(20\d\d)", 1).try_cast("int"))

@@ -46,3 +46,71 @@ def test_document_index_skips_blank(spark):
                                  "id string, document string, metadata struct<name:string>")
     out = J.document_index(docs)
     assert [r[0] for r in rows(out, "id")] == ["a"]
+
+
+def _med(spark):
+    from rxlake.functions import text as T
+    return spark.createDataFrame(
+        [("1", "타이레놀정", "한국", "해열", "원형", "하양", "", "일반"),
+         ("2", "게보린정", "삼진", "두통", "원형", "분홍", "", "일반")],
+        "item_seq string, item_name string, entp_name string, chartn string, drug_shape string, "
+        "color_class1 string, color_class2 string, etc_otc_code string").withColumn("name_fold", T.fold_ascii("item_name"))
+
+
+def test_message_context_token_path_and_gate(spark):
+    msgs = spark.createDataFrame([(1, "오늘 타이레놀정 먹었어요"), (2, "안녕하세요"), (3, "게보린 복용 중")],
+                                 "mid long, text string")
+    out = {r[0]: r[1:] for r in rows(J.message_context(msgs, _med(spark), ["mid"]),
+                                     "mid", "gated", "context_source", "context")}
+    assert out[1][0] and out[1][1] == "token" and "- 타이레놀정 (한국) | 원형 | 하양 | 일반\n  설명: 해열\n" in out[1][2]
+    assert out[2] == (False, "none", "")          # no drug keyword: gated out
+    assert out[3][1] == "token" and "게보린정" in out[3][2]
+
+
+def test_message_context_vector_path(spark):
+    from pyspark.sql import functions as F
+    cat = spark.createDataFrame([("1", "타이레놀정 | 제조사: 한국", "타이레놀정", "한국", "원형", "하양", "해열")],
+                                "ITEM_SEQ string, RAG_TEXT string, ITEM_NAME string, ENTP_NAME string, "
+                                "DRUG_SHAPE string, COLOR_CLASS1 string, CHARTN string")
+    coll1 = J.document_index(J.catalogue_documents(cat))
+    coll2 = coll1.where(F.lit(False))             # empty second collection contributes nothing
+    msgs = spark.createDataFrame([(1, "타이레놀정 먹었어요")], "mid long, text string")
+    r = rows(J.message_context(msgs, _med(spark), ["mid"], collections=(coll1, coll2)),
+             "context_source", "context")[0]
+    assert r[0] == "vector"
+    assert r[1] == "\n\n[의약품 DB 검색 결과]\n- 타이레놀정 (한국) | 원형 | 하양\n  설명: 해열\n"
+
+
+def test_import_drug_data_end_to_end(spark, tmp_path):
+    import pandas as pd
+    d = tmp_path
+    cols14 = ["품목일련번호", "제품명", "업체명", "효능", "사용법", "경고주의사항", "주의사항", "상호작용",
+              "부작용", "보관법", "공개일자", "수정일자", "낱알이미지", "사업자번호"]
+    leaflet = pd.DataFrame([["1", "타이레놀정", "한국", "해열 진통에 쓰입니다", "", "", "", "", "", "", "", "", "", ""]],
+                           columns=cols14)
+    leaflet.to_csv(d / "easy.csv", index=False)
+    pd.DataFrame({"품목일련번호": ["1"], "품목명": ["타이레놀정"], "Dur성분명": ["아세트아미노펜"]}).to_csv(d / "eld.csv", index=False)
+    age = ["DUR일련번호", "DUR성분코드", "DUR성분명", "금기내용", "제형", "연령기준", "고시일자"]
+    pd.DataFrame([["a1", "c", "성분", "금기", "정", "65세 이상", "2024"]], columns=age).to_csv(d / "age.csv", index=False)
+    dur = ["DUR일련번호", "DUR성분코드", "DUR성분명", "제형", "최대투여기간", "고시일자", "비고"]
+    pd.DataFrame([["z1", "c", "졸피뎀", "정", "28일", "2024", ""], ["k1", "c", "케토롤락", "정", "7일", "2024", ""]],
+                 columns=dur).to_csv(d / "dur.csv", index=False)
+    add = ["DUR일련번호", "DUR성분코드", "DUR성분명", "금기내용", "비고"]
+    pd.DataFrame([["x1", "c", "첨가제", "주의", ""]], columns=add).to_csv(d / "add.csv", index=False)
+    pd.DataFrame({"품목일련번호": ["1"], "품목명": ["타이레놀정"], "큰제품이미지": ["img"]}).to_csv(d / "pill.csv", index=False)
+    inputs = {"easyDrug": str(d / "easy.csv"), "elderlyWarn": str(d / "eld.csv"), "ageTaboo": str(d / "age.csv"),
+              "durationWarn": str(d / "dur.csv"), "additiveWarn": str(d / "add.csv"), "pillId": str(d / "pill.csv")}
+    out = str(d / "out")
+    written = J.import_drug_data(spark, inputs, out)
+    assert written["drug_info"] == 1 and written["dur_duration_warning"] == 2
+    # golden lookups from the original's docstrings: 졸피뎀 -> 28일, 케토롤락 -> 7일
+    from rxlake.operators import lookup as L
+    from rxlake.functions import text as T
+    dur_t = spark.read.parquet(f"{out}/dur_duration_warning").withColumn("name_fold", T.fold_ascii("DUR성분명"))
+    terms = spark.createDataFrame([("졸피뎀",), ("케토롤락",)], "term string")
+    hits = rows(L.substring_matches(terms, dur_t, "term", ["최대투여기간"]), "term", "최대투여기간")
+    assert sorted(hits) == [("졸피뎀", "28일"), ("케토롤락", "7일")]
+    again = J.import_drug_data(spark, inputs, out)          # 0 < 1 < 4000: half-built, rebuilt
+    assert again["drug_info"] == 1
+    third = J.import_drug_data(spark, inputs, out, half_built_threshold=1)   # complete: skipped
+    assert "drug_info" not in third

@@ -56,3 +56,13 @@ def test_encoder_shape_and_determinism(spark):
     out = rows(df.select(enc("t").alias("e")))
     assert len(out[0][0]) == 64 and out[0][0] == out[2][0]
     assert np.allclose(np.linalg.norm(out[0][0]), 1.0, atol=1e-5)
+
+
+def test_broadcast_collection_path_equals_query_path(spark):
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    q = emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    small = emb.where("vec_id < 50")
+    a = sorted(rows(V.knn_topk(q, small, 3), "qid", "rank", "doc_id"))            # collection broadcast
+    qs = [(r[0], np.asarray(r[1])) for r in rows(q, "qid", "qvec")]
+    want = brute(qs, rows(small, "vec_id", "embedding"), 3)
+    assert {qid: [d for _, r, d in sorted(x for x in a if x[0] == qid)] for qid in want} == want
