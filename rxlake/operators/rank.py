@@ -65,6 +65,47 @@ def rolling_list(df: DataFrame, keys: list, order: list, n: int, value: Column,
     return df.withColumn(out_col, F.collect_list(value).over(w))
 
 
+def rolling_list_split(df: DataFrame, keys: list, order: list, n: int, value: Column,
+                       out_col: str) -> DataFrame:
+    """T5 without a per-key window: the same result as ``rolling_list``, with
+    a key holding a third of all rows spread over many tasks.
+
+    1. dense global ids in (keys, order) order (range partitioned, see
+       ``sequential_ids``); index in the group = id - the group's first id
+       (a grouped min, combined map-side);
+    2. every row is sent to the ``n`` positions whose frame contains it
+       (``explode`` of 0..n-1) and grouped by (key, position): each group has
+       at most ``n`` rows;
+    3. joined back on (key, index), a unique key.
+    """
+    kc = _cols(keys)
+    g = sequential_ids(df, [*kc, *_cols(order)], id_col="_g")
+    first = g.groupBy(*keys).agg(F.min("_g").alias("_g0"))
+    g = g.join(first, keys).withColumn("_i", F.col("_g") - F.col("_g0")).drop("_g", "_g0")
+    sent = g.select(*keys, "_i", value.alias("_v")) \
+            .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
+            .withColumn("_t", F.col("_i") + F.col("_d"))
+    frames = sent.groupBy(*keys, "_t").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_d")).alias("k"), F.col("_v").alias("v")))),
+                    lambda s: s["v"]).alias(out_col))
+    return g.join(frames.withColumnRenamed("_t", "_i"), [*keys, "_i"]).drop("_i")
+
+
+MAX_GROUP_ROWS = 2_000_000   # a per-key window above this is split instead
+
+
+def rolling_frames(df: DataFrame, keys: list, order: list, n: int, value: Column, out_col: str,
+                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """T5, choosing the plan by the data: one grouped count (combined
+    map-side) finds the largest key; up to ``max_group_rows`` the plain
+    bounded-frame window is cheapest, above it ``rolling_list_split`` keeps
+    the hot key from landing in one task."""
+    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= max_group_rows:
+        return rolling_list(df, keys, order, n, value, out_col)
+    return rolling_list_split(df, keys, order, n, value, out_col)
+
+
 def keep_valid_or_all(df: DataFrame, keys: list, ok_col: str, out_flag: str = "validated") -> DataFrame:
     """Per request keep the rows with ``ok``; when none is ok keep all.
 

@@ -557,7 +557,7 @@ def q_rolling_context(spark, sf_dir):
     """For every turn the last 6 turns up to it, and the prompt sizes."""
     conv = table(spark, sf_dir, "conversations")
     msg = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
-    r = R.rolling_list(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history")
+    r = R.rolling_frames(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history")
     prompt = N.prompt_messages(F.lit(""), F.col("history"), F.col("text"))
     return r.select("conv_id", "turn", F.size("history").alias("n_history"),
                     F.concat_ws(",", F.transform("history", lambda m: m["role"])).alias("roles"),
@@ -593,7 +593,7 @@ def q_prompt_usage_flags(spark, sf_dir):
     once more as the user turn, as the original does)."""
     conv = table(spark, sf_dir, "conversations")
     msg = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
-    hist = R.rolling_list(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history") \
+    hist = R.rolling_frames(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history") \
         .select("conv_id", "turn", "history")
     ctx = chat_context(spark, sf_dir, GATE_TERMS)
     d = ctx.join(hist, ["conv_id", "turn"])

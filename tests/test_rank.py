@@ -44,3 +44,21 @@ def test_keep_valid_or_all(spark):
                                "r int, n string, ok boolean")
     out = R.keep_valid_or_all(df, ["r"], "ok")
     assert sorted(rows(out, "r", "n", "validated")) == [(1, "a", True), (2, "c", False), (2, "d", False)]
+
+
+def test_rolling_split_equals_window(spark):
+    import random
+    random.seed(3)
+    data = [("hot", t, f"m{t}") for t in range(0, 300, 3)] + \
+           [(f"c{i}", t, f"x{i}-{t}") for i in range(20) for t in random.sample(range(50), 5)]
+    df = spark.createDataFrame(data, "c string, t int, v string")
+    a = R.rolling_list(df, ["c"], [F.col("t")], 6, F.col("v"), "h")
+    b = R.rolling_list_split(df, ["c"], [F.col("t")], 6, F.col("v"), "h")
+    assert sorted(rows(a, "c", "t", "h")) == sorted(rows(b, "c", "t", "h"))
+
+
+def test_rolling_frames_picks_split_for_hot_key(spark):
+    df = spark.createDataFrame([("hot", t, t) for t in range(30)] + [("c", 0, 0)], "c string, t int, v int")
+    a = R.rolling_frames(df, ["c"], [F.col("t")], 3, F.col("v"), "h", max_group_rows=10)   # split path
+    b = R.rolling_frames(df, ["c"], [F.col("t")], 3, F.col("v"), "h")                      # window path
+    assert sorted(rows(a, "c", "t", "h")) == sorted(rows(b, "c", "t", "h"))

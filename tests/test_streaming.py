@@ -1,0 +1,39 @@
+"""Streaming folds equal the batch fold."""
+
+import datetime as dt
+import uuid
+
+from conftest import rows
+from rxlake.operators import state as A
+from rxlake.streaming import logs as S
+
+T0 = dt.datetime(2024, 1, 1, 8, 0)
+
+
+def test_alarm_stream_matches_batch(spark, tmp_path):
+    log_dir, table = str(tmp_path / "log"), str(tmp_path / "alarms")
+    first = [(1, T0, 1, "register", "u1", "혈압약", "08:30", "매일"),
+             (2, T0 + dt.timedelta(minutes=1), 2, "register", "u2", "당뇨약", "09:00", "월")]
+    second = [(1, T0 + dt.timedelta(minutes=5), 3, "disable", None, None, None, None),
+              (7, T0 + dt.timedelta(minutes=6), 4, "disable", None, None, None, None)]
+    name = f"alarm-{uuid.uuid4().hex}"
+    for batch in (first, second):
+        spark.createDataFrame(batch, S.ALARM_LOG_SCHEMA).write.mode("append").parquet(log_dir)
+        q = S.alarm_state_stream(spark, log_dir, table, name=name)
+        q.awaitTermination()
+    got = sorted(rows(spark.read.parquet(table), "alarm_id", "is_enabled"))
+    want = sorted(rows(A.fold_alarms(spark.createDataFrame(first + second, S.ALARM_LOG_SCHEMA)),
+                       "alarm_id", "is_enabled"))
+    assert got == want == [(1, False), (2, True)]
+
+
+def test_chat_append_stream_ids(spark, tmp_path):
+    turns_dir, table = str(tmp_path / "turns"), str(tmp_path / "chat")
+    name = f"chat-{uuid.uuid4().hex}"
+    b1 = [("u1", "user", "안녕", T0, 1), ("u1", "assistant", "네", T0, 2)]
+    b2 = [("u1", "user", "약 먹었어요", T0 + dt.timedelta(seconds=5), 3)]
+    for batch in (b1, b2):
+        spark.createDataFrame(batch, S.CHAT_SCHEMA).write.mode("append").parquet(turns_dir)
+        S.chat_append_stream(spark, turns_dir, table, name=name).awaitTermination()
+    got = sorted(rows(spark.read.parquet(table), "id", "content"))
+    assert got == [(1, "안녕"), (2, "네"), (3, "약 먹었어요")]
