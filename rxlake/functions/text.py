@@ -145,6 +145,13 @@ def tokens(c) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def capitalised_tokens(c) -> Column:
+    """Tokens whose first character is an upper-case letter, in order; one
+    regex pass over the text (a token is a maximal run of non-space)."""
+    return F.regexp_extract_all(F.concat(F.lit(" "), F.coalesce(col_(c), F.lit(""))),
+                                F.lit(f"{WS}(\\p{{Lu}}[^{WS_CHARS}]*)"), 1)
+
+
 def long_tokens(c, min_len: int = FV.MIN_TOKEN_LEN) -> Column:
     """F11 + P17: tokens of at least ``min_len`` characters."""
     return F.filter(tokens(c), lambda w: F.length(w) >= min_len)

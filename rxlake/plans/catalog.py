@@ -34,8 +34,13 @@ def register(name: str):
     return deco
 
 
+# tables whose rows carry whole texts worked on by regexes or the encoder
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return IO.spread(df) if name in TEXT_TABLES else df
 
 
 def word(c: str, i: int) -> Column:
@@ -442,7 +447,7 @@ def extracted_names(text: Column) -> Column:
     """Names a model might extract from a text: its distinct capitalised
     tokens, with odd-length ones made unrecognisable ("Zq" prefix) to play
     hallucinated names."""
-    caps = F.array_distinct(F.filter(T.tokens(text), lambda w: w.rlike(r"^\p{Lu}")))
+    caps = F.array_distinct(T.capitalised_tokens(text))
     return F.transform(caps, lambda w: F.when(F.length(w) % 2 == 0, w).otherwise(F.concat(F.lit("Zq"), w)))
 
 

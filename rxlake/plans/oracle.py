@@ -287,7 +287,7 @@ def _gate_terms():
 register("keyword_gate", f"""
 SELECT conv_id, turn, coalesce({X.contains_any('text', _gate_terms())}, false) AS gated FROM conversations""")
 
-_CAPS = f"list_filter({X.tokens('text')}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))"
+_CAPS = X.capitalised_tokens("text")
 _NAMES_CTE = f"""
 caps AS (SELECT doc_id, text, {_CAPS} AS c0 FROM documents),
 dist AS (SELECT doc_id, text, list_filter(c0, lambda x, i: list_position(c0, x) = i) AS c1 FROM caps),

@@ -7,7 +7,7 @@ function of the same name in ``rxlake.functions.text`` computes.
 from __future__ import annotations
 
 from rxlake import fixed_values as FV
-from rxlake.functions.text import NUMBER_RE, SPEECH_DROP_RE, WS, WS_SET
+from rxlake.functions.text import NUMBER_RE, SPEECH_DROP_RE, WS, WS_CHARS, WS_SET
 
 UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LO = "abcdefghijklmnopqrstuvwxyz"
@@ -76,6 +76,11 @@ def tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({x}, ''), {q(WS + '+')}), lambda w: w <> '')"
 
 
+def capitalised_tokens(x: str) -> str:
+    return (f"regexp_extract_all(' ' || coalesce({x}, ''), "
+            f"{q(WS + '(' + chr(92) + 'p{Lu}[^' + WS_CHARS + ']*)')}, 1)")
+
+
 def speech_text(x: str) -> str:
     return f"regexp_replace({x}, {q(SPEECH_DROP_RE)}, '', 'g')"
 

@@ -215,3 +215,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def year_from_file(df: DataFrame, col: str = "SOURCE_YEAR") -> DataFrame:
     """S5 for a directory scan: the year in the source file's name."""
     return df.withColumn(col, F.regexp_extract(F.col("_metadata.file_name"), r"(20\d\d)", 1).try_cast("int"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster before CPU-heavy row work (regexes over
+    whole texts, the encoder).
+
+    A scan is only as parallel as its files and row groups; a large file
+    written as one row group is read by one task.  When the scan has fewer
+    partitions than the cluster has cores, repartition round-robin (Spark
+    sorts before a round-robin repartition, so a retried task gets the same
+    rows).  A big input already split in thousands of partitions is left
+    alone: no shuffle is added.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
