@@ -71,7 +71,8 @@ def prepare_terms(requests: DataFrame, term_col: str) -> DataFrame:
 def build_ngram_index(catalogue: DataFrame, carry: list, name_fold: str = "name_fold",
                       max_n: int = 3) -> DataFrame:
     """Rows ``(n, gram, *carry)``: every distinct n-gram (n = 1..max_n) of the
-    folded name.  Build once per catalogue version and keep it as a table."""
+    folded name.  Build once per catalogue version and keep it as a table;
+    ``names_index`` builds it over the distinct names only."""
     parts = []
     for n in range(1, max_n + 1):
         parts.append(catalogue.select(F.lit(n).alias("n"),
@@ -83,10 +84,18 @@ def build_ngram_index(catalogue: DataFrame, carry: list, name_fold: str = "name_
     return out
 
 
-def _match_ngram(terms: DataFrame, catalogue: DataFrame, carry: list, name_fold: str,
-                 index: DataFrame | None) -> DataFrame:
-    cols = list(dict.fromkeys([name_fold, *carry]))
-    idx = index if index is not None else build_ngram_index(catalogue, cols, name_fold)
+def distinct_names(catalogue: DataFrame, name_fold: str = "name_fold") -> DataFrame:
+    """The predicate depends on the folded name only: match distinct names
+    (copies of a name, however many, are matched once)."""
+    return catalogue.select(name_fold).where(F.col(name_fold).isNotNull()).distinct()
+
+
+def names_index(catalogue: DataFrame, name_fold: str = "name_fold") -> DataFrame:
+    return build_ngram_index(distinct_names(catalogue, name_fold), [name_fold], name_fold)
+
+
+def _names_ngram(terms: DataFrame, names: DataFrame, name_fold: str, index: DataFrame | None) -> DataFrame:
+    idx = index if index is not None else build_ngram_index(names, [name_fold], name_fold)
     freq = idx.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
     # literal part that drives the lookup: the whole term, or its longest
     # run between wildcards
@@ -102,48 +111,78 @@ def _match_ngram(terms: DataFrame, catalogue: DataFrame, carry: list, name_fold:
     cand = (best.join(idx, ["n", "gram"], "inner")
                 .join(literal.select("term", "term_fold", "is_wild", "term_re"), "term", "inner"))
     hits = cand.where(like_match(F.col(name_fold), F.col("term_fold"), F.col("is_wild"), F.col("term_re")))
-    hits = hits.select("term", *cols)
+    hits = hits.select("term", name_fold)
     # terms made only of wildcards: LIKE matches every name with at least
     # (#underscores) characters -> equi-join on the lengths a name allows
     allwild = t.where(F.col("n") < 1).select(
         "term", F.length(F.regexp_replace("term_fold", "%", "")).alias("_m"))
-    by_len = catalogue.where(F.col(name_fold).isNotNull()).select(
-        F.explode(F.sequence(F.lit(0), F.length(name_fold))).alias("_m"), *cols)
-    wild_hits = allwild.join(by_len, "_m", "inner").select("term", *cols)
+    by_len = names.select(F.explode(F.sequence(F.lit(0), F.length(name_fold))).alias("_m"), name_fold)
+    wild_hits = allwild.join(by_len, "_m", "inner").select("term", name_fold)
     return hits.unionByName(wild_hits)
 
 
-def _match_broadcast(terms: DataFrame, catalogue: DataFrame, carry: list, name_fold: str) -> DataFrame:
-    cols = list(dict.fromkeys([name_fold, *carry]))
-    cat = catalogue.select(*cols)
+def _names_broadcast(terms: DataFrame, names: DataFrame, name_fold: str, small: str) -> DataFrame:
     cond = like_match(F.col(name_fold), F.col("term_fold"), F.col("is_wild"), F.col("term_re"))
-    return cat.join(F.broadcast(terms), cond, "inner").select("term", *cols)
+    if small == "terms":
+        return names.join(F.broadcast(terms), cond, "inner").select("term", name_fold)
+    return terms.join(F.broadcast(names), cond, "inner").select("term", name_fold)
+
+
+def _fits(df: DataFrame, limit: int) -> bool:
+    """Size check before a broadcast: count at most limit+1 rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def name_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
+                 name_fold: str = "name_fold", strategy: str = "auto",
+                 index: DataFrame | None = None,
+                 broadcast_limit: int = BROADCAST_TERMS_LIMIT) -> DataFrame:
+    """(term, folded name) pairs with ``name LIKE '%term%'`` over the
+    distinct names of the catalogue."""
+    terms = prepare_terms(requests, term_col)
+    names = distinct_names(catalogue, name_fold)
+    if strategy == "auto":
+        if _fits(names, broadcast_limit):
+            strategy = "broadcast_names"
+        elif _fits(terms, broadcast_limit):
+            strategy = "broadcast"
+        else:
+            strategy = "ngram"
+    if strategy == "broadcast":
+        return _names_broadcast(terms, names, name_fold, "terms")
+    if strategy == "broadcast_names":
+        return _names_broadcast(terms, names, name_fold, "names")
+    if strategy == "ngram":
+        return _names_ngram(terms, names, name_fold, index)
+    raise ValueError(f"unknown strategy {strategy}")
 
 
 def substring_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carry: list,
                       name_fold: str = "name_fold", strategy: str = "auto",
                       index: DataFrame | None = None,
-                      broadcast_limit: int = BROADCAST_TERMS_LIMIT) -> DataFrame:
+                      broadcast_limit: int = BROADCAST_TERMS_LIMIT,
+                      per_name: tuple | None = None) -> DataFrame:
     """All (term, catalogue row) pairs with ``name LIKE '%term%'``.
 
+    Names are matched once each (``name_matches``), then expanded to the
+    catalogue rows carrying them.  ``per_name=(order, k)`` expands only each
+    name's first ``k`` rows in ``order`` (enough for any first-k per term).
     Returns ``term`` plus ``name_fold`` and the ``carry`` columns.
     """
-    terms = prepare_terms(requests, term_col)
-    if strategy == "auto":
-        # size check before broadcasting: count at most limit+1 rows
-        strategy = "broadcast" if terms.limit(broadcast_limit + 1).count() <= broadcast_limit else "ngram"
-    if strategy == "broadcast":
-        return _match_broadcast(terms, catalogue, carry, name_fold)
-    if strategy == "ngram":
-        return _match_ngram(terms, catalogue, carry, name_fold, index)
-    raise ValueError(f"unknown strategy {strategy}")
+    pairs = name_matches(requests, catalogue, term_col, name_fold, strategy, index, broadcast_limit)
+    cols = list(dict.fromkeys([name_fold, *carry]))
+    rows = catalogue.where(F.col(name_fold).isNotNull()).select(*cols)
+    if per_name is not None:
+        order, k = per_name
+        rows = R.first_k(rows, [name_fold], order, k)
+    return pairs.join(rows, name_fold, "inner").select("term", *cols)
 
 
 def first_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carry: list,
                   order: list, k: int, **kw) -> DataFrame:
     """Q1/Q2-style ``LIMIT k``: the first ``k`` matches per term in ``order``
     (catalogue order; must end in a unique key).  Adds ``rank`` 1..k."""
-    pairs = substring_matches(requests, catalogue, term_col, carry, **kw)
+    pairs = substring_matches(requests, catalogue, term_col, carry, per_name=(order, k), **kw)
     return R.first_k(pairs, ["term"], order, k, rank_col="rank")
 
 

@@ -308,7 +308,7 @@ def q_name_search_indexed(spark, sf_dir):
     """Q1 through a stored n-gram index of the catalogue (same result as the
     theta join by construction)."""
     med = medicines_from_part(table(spark, sf_dir, "part"))
-    index = L.build_ngram_index(med, list(dict.fromkeys(["name_fold", *CAT_COLS]))).checkpoint()
+    index = L.names_index(med).checkpoint()
     return _name_search(spark, sf_dir, "assistant", "ngram", index=index)
 
 

@@ -30,7 +30,7 @@ NAMES = ["Aspirin", "ÄB", "a_b", None, "타이레놀정", "aspirin protect", "a
 TERMS = ["aspirin", "äb", "_", "a_b", "레놀", "%", "__", "x", "in", "Ring", "a%b", "zz", "nothing", "정"]
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "ngram"])
+@pytest.mark.parametrize("strategy", ["broadcast", "broadcast_names", "ngram"])
 def test_like_semantics_match_brute_force(spark, strategy):
     cat = catalogue(spark, NAMES)
     req = spark.createDataFrame([(t,) for t in TERMS], "term string")
