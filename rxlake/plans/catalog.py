@@ -84,6 +84,16 @@ def q_catalogue_pipeline(spark, sf_dir):
     return J.catalogue_pipeline(part_year_slices(part), ord_col="ord")
 
 
+@register("catalogue_sample")
+def q_catalogue_sample(spark, sf_dir):
+    """The first three documents of the catalogue in its written order
+    (name, then key), as the build prints them.  The limit is the feature; a
+    global top-3 is a per-partition top-3 merged on one node."""
+    part = table(spark, sf_dir, "part")
+    cat = J.catalogue_pipeline(part_year_slices(part), ord_col="ord")
+    return cat.orderBy("ITEM_NAME", "ITEM_SEQ").limit(3).select("ITEM_SEQ", "ITEM_NAME", "RAG_TEXT")
+
+
 ORDER_YEARS = list(range(1995, 2002))      # the stand-in's yearly files
 ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
 ORDER_KEEP = ["O_ORDERKEY", "O_CUSTKEY", "O_ORDERSTATUS", "O_TOTALPRICE", "O_ORDERPRIORITY",

@@ -53,6 +53,17 @@ SELECT {", ".join(FV.KEEP_COLS)}, SOURCE_YEAR,
 FROM d""")
 
 
+register("catalogue_sample", f"""
+WITH {PART_SLICES},
+c AS (SELECT ITEM_SEQ, {", ".join(f"{X.blank_nan(c)} AS {c}" for c in _text)}, SOURCE_YEAR, _ord FROM u2),
+d AS (SELECT * FROM c WHERE ITEM_NAME <> ''
+      QUALIFY row_number() OVER (PARTITION BY ITEM_SEQ ORDER BY SOURCE_YEAR DESC, _ord) = 1)
+SELECT ITEM_SEQ, ITEM_NAME,
+       {X.catalogue_document("ITEM_NAME", "ENTP_NAME", "DRUG_SHAPE", "COLOR_CLASS1", "COLOR_CLASS2",
+                             "PRINT_FRONT", "PRINT_BACK", "ETC_OTC_CODE", "CHARTN")} AS RAG_TEXT
+FROM d ORDER BY ITEM_NAME, ITEM_SEQ LIMIT 3""")
+
+
 # ------------------------------------------------------ union_by_name_years ---
 def _order_slices() -> str:
     from rxlake.plans.catalog import ORDER_COLS, ORDER_YEARS

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -186,14 +186,15 @@ def append_with_ids(existing: DataFrame, new: DataFrame, order: list, id_col: st
     """New rows get ids above the current maximum, in ``order``.
 
     Ids rise and are dense within the batch; ``defaults`` fills columns the
-    requests do not carry (``is_enabled = 1``).  Returns only the new rows;
+    requests do not carry (``is_enabled = 1``; a Column such as
+    ``F.current_timestamp()`` for ``created_at``).  Returns only the new rows;
     append them with ``write_table(..., mode="append")``.
     """
     # scalar subquery: the current maximum id, evaluated inside the plan
     max_id = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
     out = R.sequential_ids(new, order, start=max_id, id_col=id_col)
     for k, v in (defaults or {}).items():
-        out = out.withColumn(k, F.lit(v))
+        out = out.withColumn(k, v if isinstance(v, Column) else F.lit(v))
     return out
 
 

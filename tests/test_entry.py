@@ -45,3 +45,18 @@ def test_query_matches_oracle(spark, duck, name):
 def test_rows_only_queries_run(spark):
     for name in RowsOnly:
         assert E.queries()[name](spark, SF001).count() > 0
+
+
+@pytest.mark.parametrize("name", ["catalogue_pipeline", "name_search_top5", "validate_extractions",
+                                  "alarm_state", "append_with_ids", "rolling_context"])
+def test_result_independent_of_partitioning(spark, name):
+    """Property: the same rows whatever the shuffle partition count."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = fingerprint(E.queries()[name](spark, SF001).toPandas())[2]
+        spark.conf.set("spark.sql.shuffle.partitions", "11")
+        b = fingerprint(E.queries()[name](spark, SF001).toPandas())[2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
