@@ -182,7 +182,7 @@ def q_blank_key_filter(spark, sf_dir):
     d = S.drop_blank(docs.withColumn("lang", T.blank_nan("lang")), "lang")
     d = S.drop_blank_text(d, "text")
     d = S.longer_than(d, "text", FV.LEAFLET_MIN_CHARS)
-    return d.select("doc_id", "lang", F.length("text").alias("text_len"))
+    return d.select("doc_id", "lang", F.length("text").cast("long").alias("text_len"))
 
 
 @register("dedup_newest")
@@ -534,7 +534,7 @@ def q_ocr_response_text(spark, sf_dir):
     resp = F.to_json(F.struct((F.col("lang") == "de").alias("IsErroredOnProcessing"),
                               results.alias("ParsedResults")))
     txt = N.ocr_text(resp)
-    return docs.select("doc_id", F.length(txt).alias("text_len"), F.md5(txt).alias("text_md5"))
+    return docs.select("doc_id", F.length(txt).cast("long").alias("text_len"), F.md5(txt).alias("text_md5"))
 
 
 @register("extraction_match")
@@ -661,7 +661,7 @@ def q_speech_text(spark, sf_dir):
     """Strip, reject blank, drop characters speech cannot say."""
     docs = table(spark, sf_dir, "documents").withColumn("t", T.ustrip("text"))
     kept = docs.where(F.col("t") != "").withColumn("clean", T.speech_text("t"))
-    return kept.select("doc_id", F.length("clean").alias("clean_len"), F.md5("clean").alias("clean_md5"))
+    return kept.select("doc_id", F.length("clean").cast("long").alias("clean_len"), F.md5("clean").alias("clean_md5"))
 
 
 # --------------------------------------------------------------- vectors (V*) ---
