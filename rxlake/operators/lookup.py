@@ -18,9 +18,16 @@ Two exact strategies:
   Wildcard terms use the longest literal run between wildcards; terms made
   only of wildcards match by name length through an equi-join on length.
 
-``auto`` picks ``broadcast`` when the distinct terms fit the limit, else
-``ngram``.  Blank terms are rejected up front (in the original an empty term
-matches every row; in batch form one blank row would multiply the join).
+Matching runs over the *distinct* folded names (the predicate depends on the
+name only), then expands to catalogue rows; for first-k lookups only each
+name's own first k rows are expanded.  ``auto`` (``choose_strategy``) uses
+bounded size checks: a few distinct names are broadcast whatever the number
+of terms; otherwise the terms are broadcast when few and the nested loop
+stays within a comparison budget; otherwise the n-gram index.  The streamed
+side of a nested loop is repartitioned explicitly so AQE cannot coalesce a
+small, CPU-heavy input into one task.  Blank terms are rejected up front (in
+the original an empty term matches every row; in batch form one blank row
+would multiply the join).
 """
 
 from __future__ import annotations
@@ -31,7 +38,11 @@ from pyspark.sql import functions as F
 from rxlake.functions import text as T
 from rxlake.operators import rank as R
 
-BROADCAST_TERMS_LIMIT = 2_000      # distinct terms we allow to broadcast
+BROADCAST_TERMS_LIMIT = 200_000    # rows we allow to broadcast (terms or names)
+BROADCAST_CHARS_LIMIT = 32 << 20   # ... and characters in them
+PAIR_BUDGET = 50_000_000           # nested-loop comparisons we accept
+SMALL_SIDE_ROWS = 1_000            # names this few are broadcast without counting terms
+MATERIALISE_HITS = True
 WILD = "[%_]"
 
 
@@ -121,16 +132,50 @@ def _names_ngram(terms: DataFrame, names: DataFrame, name_fold: str, index: Data
     return hits.unionByName(wild_hits)
 
 
+def _streamed(df: DataFrame) -> DataFrame:
+    """The streamed side of a nested loop is CPU-bound: an explicit
+    repartition keeps AQE from coalescing a small input into one task."""
+    sc = df.sparkSession.sparkContext
+    n = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def _names_broadcast(terms: DataFrame, names: DataFrame, name_fold: str, small: str) -> DataFrame:
     cond = like_match(F.col(name_fold), F.col("term_fold"), F.col("is_wild"), F.col("term_re"))
     if small == "terms":
-        return names.join(F.broadcast(terms), cond, "inner").select("term", name_fold)
-    return terms.join(F.broadcast(names), cond, "inner").select("term", name_fold)
+        return _streamed(names).join(F.broadcast(terms), cond, "inner").select("term", name_fold)
+    return _streamed(terms).join(F.broadcast(names), cond, "inner").select("term", name_fold)
+
 
+def _size_upto(df: DataFrame, col: str, cap: int) -> tuple:
+    """(rows, characters) of ``df``, reading at most ``cap + 1`` rows: one
+    bounded job, so the check costs little even when the side is huge."""
+    r = df.limit(cap + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(col)), F.lit(0))).first()
+    return int(r[0]), int(r[1])
 
-def _fits(df: DataFrame, limit: int) -> bool:
-    """Size check before a broadcast: count at most limit+1 rows."""
-    return df.limit(limit + 1).count() <= limit
+
+def choose_strategy(terms: DataFrame, names: DataFrame, name_fold: str,
+                    broadcast_limit: int = BROADCAST_TERMS_LIMIT,
+                    pair_budget: int = PAIR_BUDGET):
+    """Pick the plan from bounded size checks.  Returns ``(strategy, terms)``
+    (terms materialised when they had to be counted).
+
+    * few distinct names (a small catalogue, or many copies of few names):
+      broadcast the names and stream the terms, whatever their number;
+    * else few terms and a nested loop within ``pair_budget`` comparisons:
+      broadcast the terms;
+    * else the n-gram index.
+    """
+    nn, cn = _size_upto(names, name_fold, broadcast_limit)
+    if nn <= SMALL_SIDE_ROWS and cn <= BROADCAST_CHARS_LIMIT:
+        return "broadcast_names", terms
+    terms = terms.checkpoint(eager=True)          # counted, then matched: materialise once
+    nt, ct = _size_upto(terms, "term_fold", broadcast_limit)
+    if nt <= broadcast_limit and ct <= BROADCAST_CHARS_LIMIT and nt * nn <= pair_budget:
+        return "broadcast", terms
+    if nn <= broadcast_limit and cn <= BROADCAST_CHARS_LIMIT and nt * nn <= pair_budget:
+        return "broadcast_names", terms
+    return "ngram", terms
 
 
 def name_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
@@ -142,12 +187,7 @@ def name_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
     terms = prepare_terms(requests, term_col)
     names = distinct_names(catalogue, name_fold)
     if strategy == "auto":
-        if _fits(names, broadcast_limit):
-            strategy = "broadcast_names"
-        elif _fits(terms, broadcast_limit):
-            strategy = "broadcast"
-        else:
-            strategy = "ngram"
+        strategy, terms = choose_strategy(terms, names, name_fold, broadcast_limit)
     if strategy == "broadcast":
         return _names_broadcast(terms, names, name_fold, "terms")
     if strategy == "broadcast_names":
@@ -191,8 +231,13 @@ def envelope(requests: DataFrame, hits: DataFrame, req_key: str, hit_key: str =
     ``found`` and ``n_found`` per request.
 
     The count is a grouped aggregate joined back, so a term with a huge hit
-    list is counted map-side instead of in one window partition.
+    list is counted map-side instead of in one window partition.  ``hits``
+    feeds both the join and the count, so it is materialised once with
+    ``checkpoint()`` (in the shared ``spark.checkpoint.dir``) instead of
+    being computed twice.
     """
+    if MATERIALISE_HITS:
+        hits = hits.checkpoint(eager=True)
     h = hits.withColumnRenamed(hit_key, req_key) if hit_key != req_key else hits
     counts = h.groupBy(req_key).agg(F.count(F.lit(1)).alias("n_found"))
     out = requests.join(h, req_key, "left").join(counts, req_key, "left")

@@ -324,9 +324,10 @@ def q_name_search_indexed(spark, sf_dir):
 
 def attribute_requests(part: DataFrame) -> DataFrame:
     """(shape, color) requests derived from the catalogue's own values: both,
-    shape only, color only (shape "" counts as absent)."""
+    shape only (lower case: LIKE folds ASCII case), color only (shape ""
+    counts as absent)."""
     p = _part_words(part)
-    both = p.select(F.lower(F.substring("p_type", 1, 4)).alias("shape"), F.col("w1").alias("color"))
+    both = p.select(F.lower("p_type").alias("shape"), F.col("w1").alias("color"))
     shape_only = p.select(F.lower("p_type").alias("shape"), F.lit(None).cast("string").alias("color"))
     color_only = p.select(F.lit("").alias("shape"), F.col("w2").alias("color"))
     req = both.unionByName(shape_only).unionByName(color_only).distinct()
@@ -392,10 +393,11 @@ def warning_tables(spark, sf_dir) -> dict:
 
 
 def warning_terms(spark, sf_dir) -> DataFrame:
-    """One drug list: catalogue nouns plus ingredient-name prefixes."""
+    """One drug list: catalogue nouns plus the number part of every supplier
+    and customer name (each such term names one entry of both lists)."""
     part = _part_words(table(spark, sf_dir, "part")).select(F.col("w2").alias("term"))
-    sup = table(spark, sf_dir, "supplier").select(F.substring("s_name", 1, 17).alias("term"))
-    cust = table(spark, sf_dir, "customer").select(F.substring("c_name", 1, 17).alias("term"))
+    sup = table(spark, sf_dir, "supplier").select(F.split_part("s_name", F.lit("#"), F.lit(2)).alias("term"))
+    cust = table(spark, sf_dir, "customer").select(F.split_part("c_name", F.lit("#"), F.lit(2)).alias("term"))
     return part.unionByName(sup).unionByName(cust).distinct()
 
 

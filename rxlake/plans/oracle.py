@@ -208,7 +208,7 @@ _has_c = "coalesce(r.color <> '', false)"
 register("identify_by_attributes", f"""
 WITH {MED},
 req0 AS (SELECT DISTINCT shape, color FROM (
-   SELECT lower(substr(p_type, 1, 4)) AS shape, split_part(p_name, ' ', 1) AS color FROM part
+   SELECT lower(p_type) AS shape, split_part(p_name, ' ', 1) AS color FROM part
    UNION ALL SELECT lower(p_type), NULL FROM part
    UNION ALL SELECT '', split_part(p_name, ' ', 2) FROM part)),
 req AS (SELECT *, coalesce(shape, '∅') || '|' || coalesce(color, '∅') AS request_id FROM req0),
@@ -246,8 +246,8 @@ LEFT JOIN (SELECT t.term, count(*) AS n FROM terms t JOIN ({sel}) x ON {like_joi
     return f"""
 WITH terms AS (SELECT DISTINCT term FROM (
    SELECT split_part(p_name, ' ', 2) AS term FROM part
-   UNION ALL SELECT substr(s_name, 1, 17) FROM supplier
-   UNION ALL SELECT substr(c_name, 1, 17) FROM customer))
+   UNION ALL SELECT split_part(s_name, '#', 2) FROM supplier
+   UNION ALL SELECT split_part(c_name, '#', 2) FROM customer))
 {" UNION ALL ".join(parts)}"""
 
 
