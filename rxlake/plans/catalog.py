@@ -520,7 +520,7 @@ def model_replies(events: DataFrame) -> Column:
 def q_json_extract_list(spark, sf_dir):
     """Outermost object -> strict parse -> list of names, one
     row per name in order (or one row with no name)."""
-    ev = table(spark, sf_dir, "events")
+    ev = IO.spread(table(spark, sf_dir, "events"))     # JSON parsing per row: use every core
     status, names = N.parse_name_list(model_replies(ev))
     d = ev.select("event_id", status.alias("status"), names.alias("names"))
     out = d.select("event_id", "status", F.posexplode_outer("names").alias("pos", "name"))

@@ -16,9 +16,17 @@ def plan(df):
 
 
 def test_top_k_is_partial_before_shuffle(spark):
-    for name in ["dedup_newest", "recent_history", "name_search_indexed"]:
+    for name in ["dedup_newest", "recent_history", "catalogue_pipeline"]:
         p = plan(E.queries()[name](spark, SF01))
         assert "WindowGroupLimit" in p and "Partial" in p, name
+    # the name search's first-k (its hits are checkpointed inside the query)
+    from rxlake.operators import lookup as L
+    from rxlake.plans import catalog as C
+    med = C.medicines_from_part(C.table(spark, SF01, "part"))
+    hits = L.first_matches(C.user_keywords(spark, SF01), med, "keyword", C.CAT_COLS, C.CAT_ORDER, 5,
+                           strategy="ngram")
+    p = plan(hits)
+    assert "WindowGroupLimit" in p and "Partial" in p
 
 
 def test_no_row_at_a_time_python(spark):
