@@ -293,7 +293,10 @@ def medicines_from_part(part: DataFrame) -> DataFrame:
 def user_keywords(spark, sf_dir, role: str = "user") -> DataFrame:
     """Search keywords: the long tokens of the conversation turns of ``role``."""
     conv = table(spark, sf_dir, "conversations").where(F.col("role") == role)
-    return conv.select(F.explode(T.long_tokens("text")).alias("keyword")).distinct()
+    # explode_outer + null filter: keeps the optimizer from inferring a
+    # size(tokens) > 0 filter and pushing the tokenising into the scan task
+    return conv.select(F.explode_outer(T.long_tokens("text")).alias("keyword")) \
+        .where(F.col("keyword").isNotNull()).distinct()
 
 
 def _name_search(spark, sf_dir, role, strategy, index=None):
@@ -421,7 +424,8 @@ def q_first_match_or_null(spark, sf_dir):
     """Q6 Q7: first match per term (pill image and details) or nulls."""
     med = medicines_from_part(table(spark, sf_dir, "part"))
     bench = table(spark, sf_dir, "benchmark")
-    terms = bench.select(F.explode(T.long_tokens("text")).alias("term")).distinct()
+    terms = bench.select(F.explode_outer(T.long_tokens("text")).alias("term")) \
+        .where(F.col("term").isNotNull()).distinct()
     hits = L.first_matches(terms, med, "term", ["item_seq", "item_name", "drug_shape", "entp_name", "image_url"],
                            CAT_ORDER, 1)
     out = terms.join(hits.drop("name_fold", "rank"), "term", "left")
@@ -473,7 +477,10 @@ def q_validate_extractions(spark, sf_dir):
                                                     T.contains_text(F.col("text"), T.prefix(n)).alias("ok")))
     d = docs.select("doc_id", checked.alias("c"))
     d = d.withColumn("any_ok", F.exists("c", lambda s: s["ok"]))
-    ex = d.select("doc_id", "any_ok", F.posexplode("c").alias("pos", "x"))
+    # posexplode_outer + a null filter: a plain posexplode makes the optimizer
+    # infer size(c) > 0 and push that (the whole extraction) below the
+    # repartition, into the scan task
+    ex = d.select("doc_id", "any_ok", F.posexplode_outer("c").alias("pos", "x")).where(F.col("x").isNotNull())
     ex = ex.select("doc_id", "pos", F.col("x.name").alias("name"), F.col("x.ok").alias("ok"),
                    F.col("any_ok").alias("validated"))
     return ex.where(F.col("ok") | ~F.col("validated"))
@@ -554,7 +561,8 @@ def q_extraction_match(spark, sf_dir):
                                                     T.contains_text(F.col("text"), T.prefix(n)).alias("ok")))
     d = withp.select("doc_id", status.alias("status"), checked.alias("c"))
     d = d.withColumn("validated", F.exists("c", lambda s: s["ok"]))
-    ex = d.select("doc_id", "status", "validated", F.posexplode("c").alias("pos", "x"))
+    ex = d.select("doc_id", "status", "validated", F.posexplode_outer("c").alias("pos", "x")) \
+        .where(F.col("x").isNotNull())
     ex = ex.select("doc_id", "status", "validated", "pos", F.col("x.name").alias("original"),
                    F.col("x.ok").alias("ok")).where(F.col("ok") | ~F.col("validated"))
     ex = ex.withColumn("short", T.prefix("original"))

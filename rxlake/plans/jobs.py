@@ -196,7 +196,10 @@ def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str
     from rxlake.operators import lookup as L
     cat_cols = ["item_seq", "item_name", "entp_name", "chartn", "drug_shape", "color_class1",
                 "color_class2", "etc_otc_code"]
-    toks = msgs.select(*msg_keys, F.posexplode(T.long_tokens(text_col)).alias("pos", "token"))
+    # posexplode_outer + null filter: no inferred size() > 0 filter pushed
+    # below a repartition of the messages
+    toks = msgs.select(*msg_keys, F.posexplode_outer(T.long_tokens(text_col)).alias("pos", "token")) \
+        .where(F.col("token").isNotNull())
     hits = L.first_matches(toks.select("token").distinct(), med, "token", cat_cols,
                            ["item_name", "item_seq"], k)
     th = toks.join(hits.withColumnRenamed("term", "token"), "token")
