@@ -10,8 +10,10 @@ Two exact strategies:
 * ``broadcast``: the distinct terms, behind a row-count check, are broadcast
   and compared with every catalogue row (nested loop, O(N*M)); fine while one
   side is small.
-* ``ngram``: an n-gram index of the catalogue names (n = 1..3, kept as a
-  table).  Each term is routed to its *rarest* n-gram (n = min(3, len)),
+* ``ngram``: an n-gram index of the catalogue names (n = 1..``NGRAM_MAX``,
+  kept as a table).  Each term is routed to its *rarest* n-gram
+  (n = min(``NGRAM_MAX``, len); a longer gram is never more frequent than
+  the grams inside it, so the rarest gram is among the longest),
   equi-joined with the index and re-checked with the real predicate.  A true
   match contains every n-gram of the term, so no match is lost; the rarest
   gram keeps candidate lists short and a hot gram away from most terms.
@@ -40,9 +42,17 @@ from rxlake.operators import rank as R
 
 BROADCAST_TERMS_LIMIT = 200_000    # rows we allow to broadcast (terms or names)
 BROADCAST_CHARS_LIMIT = 32 << 20   # ... and characters in them
-PAIR_BUDGET = 50_000_000           # nested-loop comparisons we accept
+# nested-loop comparisons accepted per core: the loop's work divides over
+# the cores, while the n-gram plan pays a few shuffles whatever the size, so
+# the break-even grows with the cluster (about 25 M folded-text comparisons a
+# core-second, against ~1-2 s of fixed n-gram cost)
+PAIR_BUDGET_PER_CORE = 25_000_000
 SMALL_SIDE_ROWS = 1_000            # names this few are broadcast without counting terms
 MATERIALISE_HITS = True
+# longest indexed gram: 3-grams of low-entropy names (digits, codes) leave
+# hundreds of candidates per term, 5-grams few; the index holds about
+# NGRAM_MAX rows per name character
+NGRAM_MAX = 5
 WILD = "[%_]"
 
 
@@ -79,20 +89,24 @@ def prepare_terms(requests: DataFrame, term_col: str) -> DataFrame:
                  .withColumn("term_re", like_regex(F.col("term_fold"))))
 
 
+def all_ngrams(c: Column, max_n: int) -> Column:
+    """Distinct ``struct(n, gram)`` for every n = 1..max_n (one array, so the
+    index is one pass over the names, not one scan per n)."""
+    L = F.length(c)
+    per_n = F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), L)),
+                        lambda n: F.transform(F.sequence(F.lit(1), L - n + 1),
+                                              lambda i: F.struct(n.alias("n"), F.substring(c, i, n).alias("gram"))))
+    return F.when(L >= 1, F.array_distinct(F.flatten(per_n))) \
+        .otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+
 def build_ngram_index(catalogue: DataFrame, carry: list, name_fold: str = "name_fold",
-                      max_n: int = 3) -> DataFrame:
+                      max_n: int = NGRAM_MAX) -> DataFrame:
     """Rows ``(n, gram, *carry)``: every distinct n-gram (n = 1..max_n) of the
     folded name.  Build once per catalogue version and keep it as a table;
     ``names_index`` builds it over the distinct names only."""
-    parts = []
-    for n in range(1, max_n + 1):
-        parts.append(catalogue.select(F.lit(n).alias("n"),
-                                      F.explode(ngrams(F.col(name_fold), n)).alias("gram"),
-                                      *carry))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    g = catalogue.select(F.explode(all_ngrams(F.col(name_fold), max_n)).alias("_g"), *carry)
+    return g.select(F.col("_g.n").alias("n"), F.col("_g.gram").alias("gram"), *carry)
 
 
 def distinct_names(catalogue: DataFrame, name_fold: str = "name_fold") -> DataFrame:
@@ -102,18 +116,26 @@ def distinct_names(catalogue: DataFrame, name_fold: str = "name_fold") -> DataFr
 
 
 def names_index(catalogue: DataFrame, name_fold: str = "name_fold") -> DataFrame:
-    return build_ngram_index(distinct_names(catalogue, name_fold), [name_fold], name_fold)
+    """The n-gram index of the distinct names.  Generating grams multiplies
+    the rows by about ``NGRAM_MAX`` x name length, so the names are spread
+    over the cluster first (AQE would otherwise coalesce a few megabytes of
+    names into one task)."""
+    return build_ngram_index(_streamed(distinct_names(catalogue, name_fold)), [name_fold], name_fold)
 
 
 def _names_ngram(terms: DataFrame, names: DataFrame, name_fold: str, index: DataFrame | None) -> DataFrame:
-    idx = index if index is not None else build_ngram_index(names, [name_fold], name_fold)
+    if index is None:
+        # spread the names before generating grams (AQE would coalesce a few
+        # megabytes of names into one task)
+        index = build_ngram_index(_streamed(names), [name_fold], name_fold)
+    idx = index
     freq = idx.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
     # literal part that drives the lookup: the whole term, or its longest
     # run between wildcards
     segs = F.split(F.col("term_fold"), WILD)
     longest = F.aggregate(segs, F.lit(""), lambda acc, s: F.when(F.length(s) > F.length(acc), s).otherwise(acc))
     lit_part = F.when(F.col("is_wild"), longest).otherwise(F.col("term_fold"))
-    t = terms.withColumn("_lit", lit_part).withColumn("n", F.least(F.lit(3), F.length("_lit")))
+    t = terms.withColumn("_lit", lit_part).withColumn("n", F.least(F.lit(NGRAM_MAX), F.length("_lit")))
     literal = t.where(F.col("n") >= 1)
     tg = literal.select("term", "n", F.explode(ngrams(F.col("_lit"), F.col("n"))).alias("gram"))
     best = (tg.join(freq, ["n", "gram"], "left")
@@ -154,28 +176,46 @@ def _size_upto(df: DataFrame, col: str, cap: int) -> tuple:
     return int(r[0]), int(r[1])
 
 
+def pair_budget_for(spark) -> int:
+    return PAIR_BUDGET_PER_CORE * max(1, spark.sparkContext.defaultParallelism)
+
+
 def choose_strategy(terms: DataFrame, names: DataFrame, name_fold: str,
                     broadcast_limit: int = BROADCAST_TERMS_LIMIT,
-                    pair_budget: int = PAIR_BUDGET):
+                    pair_budget: int | None = None):
     """Pick the plan from bounded size checks.  Returns ``(strategy, terms)``
     (terms materialised when they had to be counted).
 
     * few distinct names (a small catalogue, or many copies of few names):
       broadcast the names and stream the terms, whatever their number;
-    * else few terms and a nested loop within ``pair_budget`` comparisons:
-      broadcast the terms;
+    * else, when one side fits a broadcast and terms x names stays within
+      ``pair_budget`` comparisons: a nested loop with the smaller side
+      broadcast.  The other side is counted only up to what the budget
+      allows, so the check stays bounded on a huge side;
     * else the n-gram index.
     """
+    if pair_budget is None:
+        pair_budget = pair_budget_for(names.sparkSession)
     nn, cn = _size_upto(names, name_fold, broadcast_limit)
-    if nn <= SMALL_SIDE_ROWS and cn <= BROADCAST_CHARS_LIMIT:
+    if nn <= min(SMALL_SIDE_ROWS, broadcast_limit) and cn <= BROADCAST_CHARS_LIMIT:
         return "broadcast_names", terms
     terms = terms.checkpoint(eager=True)          # counted, then matched: materialise once
     nt, ct = _size_upto(terms, "term_fold", broadcast_limit)
-    if nt <= broadcast_limit and ct <= BROADCAST_CHARS_LIMIT and nt * nn <= pair_budget:
+    terms_fit = nt <= broadcast_limit and ct <= BROADCAST_CHARS_LIMIT
+    names_fit = nn <= broadcast_limit and cn <= BROADCAST_CHARS_LIMIT
+    if not (terms_fit or names_fit):
+        return "ngram", terms
+    # a side above the broadcast limit was counted only up to it: count it
+    # again up to the most the budget allows next to the other side
+    if not names_fit:
+        nn, _ = _size_upto(names, name_fold, pair_budget // max(nt, 1))
+    if not terms_fit:
+        nt, _ = _size_upto(terms, "term_fold", pair_budget // max(nn, 1))
+    if nt * nn > pair_budget:
+        return "ngram", terms
+    if terms_fit and (not names_fit or ct < cn):
         return "broadcast", terms
-    if nn <= broadcast_limit and cn <= BROADCAST_CHARS_LIMIT and nt * nn <= pair_budget:
-        return "broadcast_names", terms
-    return "ngram", terms
+    return "broadcast_names", terms
 
 
 def name_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,

@@ -105,3 +105,17 @@ def test_like_regex_escapes(spark):
     t = F.lit("a.c")
     m = L.like_match(F.col("n"), t, F.lit(True), L.like_regex(t))
     assert rows(df.where(m)) == [("a.c",)]
+
+
+def test_choose_strategy_bounded_checks(spark):
+    cat = catalogue(spark, [f"name {i}" for i in range(2000)])
+    names = L.distinct_names(cat)
+    terms = L.prepare_terms(spark.createDataFrame([(f"{i}",) for i in range(50)], "term string"), "term")
+    # both sides fit: the smaller one (the terms) is broadcast
+    assert L.choose_strategy(terms, names, "name_fold", pair_budget=10**9)[0] == "broadcast"
+    # over the comparison budget: the n-gram index
+    assert L.choose_strategy(terms, names, "name_fold", pair_budget=10_000)[0] == "ngram"
+    # the names above the broadcast limit are recounted against the budget,
+    # not taken as the capped count
+    assert L.choose_strategy(terms, names, "name_fold", broadcast_limit=100, pair_budget=60_000)[0] == "ngram"
+    assert L.choose_strategy(terms, names, "name_fold", broadcast_limit=100, pair_budget=200_000)[0] == "broadcast"
