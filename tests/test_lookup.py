@@ -4,6 +4,8 @@ import fnmatch
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF001, rows
@@ -119,3 +121,34 @@ def test_choose_strategy_bounded_checks(spark):
     # not taken as the capped count
     assert L.choose_strategy(terms, names, "name_fold", broadcast_limit=100, pair_budget=60_000)[0] == "ngram"
     assert L.choose_strategy(terms, names, "name_fold", broadcast_limit=100, pair_budget=200_000)[0] == "broadcast"
+
+
+_ALPHA = list("abAB1_% 가")
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet=_ALPHA, min_size=1, max_size=9), min_size=1, max_size=12),
+       st.lists(st.text(alphabet=_ALPHA, min_size=1, max_size=7), min_size=1, max_size=8))
+def test_ngram_index_matches_brute_force_property(spark, names, terms):
+    """The n-gram plan (rarest gram routing, wildcard runs, all-wildcard
+    terms by length) equals SQLite LIKE on random names and terms."""
+    cat = catalogue(spark, names)
+    req = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = set(rows(L.substring_matches(req, cat, "term", ["item_seq"], strategy="ngram"), "term", "item_seq"))
+    want = {(t, str(i)) for t in set(terms) if t.strip() for i, n in enumerate(names) if sqlite_like(n, t)}
+    assert got == want
+
+
+def test_hot_name_first_k_equals_brute_force(spark):
+    """A name copied across a third of the catalogue: only its first k rows
+    are expanded, and the first k per term stay exact."""
+    names = ["hot ring"] * 300 + [f"part {i} ring" for i in range(600)]
+    cat = catalogue(spark, names)
+    req = spark.createDataFrame([("ring",), ("hot",), ("part 1",)], "term string")
+    order = ["item_name", "item_seq"]
+    got = rows(L.first_matches(req, cat, "term", ["item_seq", "item_name"], order, 5), "term", "rank", "item_seq")
+    want = []
+    for t in ("ring", "hot", "part 1"):
+        m = sorted((n, str(i)) for i, n in enumerate(names) if sqlite_like(n, t))[:5]
+        want += [(t, r + 1, seq) for r, (_, seq) in enumerate(m)]
+    assert sorted(got) == sorted(want)
