@@ -137,18 +137,24 @@ def _names_ngram(terms: DataFrame, names: DataFrame, name_fold: str, index: Data
     lit_part = F.when(F.col("is_wild"), longest).otherwise(F.col("term_fold"))
     t = terms.withColumn("_lit", lit_part).withColumn("n", F.least(F.lit(NGRAM_MAX), F.length("_lit")))
     literal = t.where(F.col("n") >= 1)
-    tg = literal.select("term", "n", F.explode(ngrams(F.col("_lit"), F.col("n"))).alias("gram"))
+    # the term's own columns ride along in the grouping (they depend on the
+    # term only), so the candidate list is built by one join with the index
+    tcols = ["term", "term_fold", "is_wild", "term_re"]
+    tg = literal.select(*tcols, "n", F.explode(ngrams(F.col("_lit"), F.col("n"))).alias("gram"))
     best = (tg.join(freq, ["n", "gram"], "left")
               .withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-              .groupBy("term", "n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
-    cand = (best.join(idx, ["n", "gram"], "inner")
-                .join(literal.select("term", "term_fold", "is_wild", "term_re"), "term", "inner"))
+              .groupBy(*tcols, "n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
+    cand = best.join(idx, ["n", "gram"], "inner")
     hits = cand.where(like_match(F.col(name_fold), F.col("term_fold"), F.col("is_wild"), F.col("term_re")))
     hits = hits.select("term", name_fold)
     # terms made only of wildcards: LIKE matches every name with at least
     # (#underscores) characters -> equi-join on the lengths a name allows
+    # (checked first: usually there are none, and then the names are not
+    # exploded by length at all)
     allwild = t.where(F.col("n") < 1).select(
         "term", F.length(F.regexp_replace("term_fold", "%", "")).alias("_m"))
+    if allwild.isEmpty():
+        return hits
     by_len = names.select(F.explode(F.sequence(F.lit(0), F.length(name_fold))).alias("_m"), name_fold)
     wild_hits = allwild.join(by_len, "_m", "inner").select("term", name_fold)
     return hits.unionByName(wild_hits)
