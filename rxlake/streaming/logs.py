@@ -5,15 +5,21 @@ Here new log files arriving in a folder are processed incrementally:
 
 * ``alarm_state_stream``: alarm actions (register / disable) -> the alarm
   table.  The fold is a streaming aggregation (``max_by`` per alarm id, state
-  kept by Spark between micro-batches); each micro-batch's changed alarms are
-  upserted into the table.
+  kept by Spark between micro-batches).  Each micro-batch writes only the
+  alarms it changed, with their full current state, into its own
+  ``epoch=<n>`` folder; ``alarm_table`` reads the table as the latest epoch
+  per alarm (a grouped ``max_by`` that combines map-side) and ``compact``
+  folds the folders into one table when wanted.
 * ``chat_append_stream``: new chat turns -> ``chat_history`` with ids above
-  the current maximum, dense in (timestamp, arrival) order.
-
-Both write through ``foreachBatch`` with a checkpoint in the shared folder
-named by ``spark.checkpoint.dir``, so a restarted query resumes where it
-stopped (exactly-once per micro-batch: a batch is replaced, not appended
-twice, when re-run).
+  the current maximum, dense in (timestamp, arrival) order, one ``epoch=<n>``
+  folder per micro-batch.  The current maximum is read from the newest
+  earlier epoch only (ids rise with the epochs).
+
+A micro-batch costs what it brings in, never a rewrite of the table.  Each
+folder is written with ``overwrite``, so a re-run epoch (after a failure)
+replaces its own output instead of appending twice.  Checkpoints go to the
+shared folder named by ``spark.checkpoint.dir``, so a restarted query
+resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -35,43 +41,68 @@ def _checkpoint(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
+def _epoch_path(table_path: str, epoch: int) -> str:
+    return f"{table_path.rstrip('/')}/epoch={epoch}"
+
+
+def _epochs(spark: SparkSession, table_path: str) -> list:
+    """Epoch numbers with a folder under ``table_path`` (a listing, no scan)."""
+    if not IO._exists(spark, table_path):
+        return []
+    fs, jpath = IO._fs(spark, table_path)
+    out = []
+    for st in fs.listStatus(jpath):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("epoch="):
+            out.append(int(name.split("=", 1)[1]))
+    return sorted(out)
+
+
 def alarm_state_stream(spark: SparkSession, log_dir: str, table_path: str,
                        trigger: dict | None = None, name: str = "alarm_state") -> StreamingQuery:
-    """M1 incrementally: fold new alarm actions into the table at ``table_path``."""
+    """M1 incrementally: each micro-batch's changed alarms go to its own epoch
+    folder under ``table_path``; read the table with ``alarm_table``."""
     log = spark.readStream.schema(ALARM_LOG_SCHEMA).parquet(log_dir)
     folded = A.fold_alarms(log)
 
-    def upsert_batch(batch: DataFrame, epoch: int) -> None:
-        changed = batch.withColumn("_epoch", F.lit(epoch))
-        if IO.is_built(spark, table_path):
-            old = spark.read.parquet(table_path)
-            merged = IO.upsert(old, changed.drop("_epoch").withColumn("_epoch", F.lit(epoch)),
-                               ["alarm_id"], ["_epoch"])
-        else:
-            merged = changed
-        IO.write_staged(merged, table_path)
+    def write_changes(batch: DataFrame, epoch: int) -> None:
+        IO.write_table(batch, _epoch_path(table_path, epoch))
 
-    w = (folded.writeStream.outputMode("update").foreachBatch(upsert_batch)
+    w = (folded.writeStream.outputMode("update").foreachBatch(write_changes)
          .option("checkpointLocation", _checkpoint(spark, name)))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
+def alarm_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The alarm table: per alarm id the row of its latest epoch."""
+    ch = spark.read.parquet(table_path)
+    cols = [c for c in ch.columns if c not in ("alarm_id", "epoch")]
+    latest = ch.groupBy("alarm_id").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("epoch")).alias("_r"))
+    return latest.select("alarm_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def compact(spark: SparkSession, table_path: str, out_path: str) -> None:
+    """Fold the epoch folders into one plain table at ``out_path``."""
+    IO.write_table(alarm_table(spark, table_path), out_path)
+
+
 def chat_append_stream(spark: SparkSession, turns_dir: str, table_path: str,
                        trigger: dict | None = None, name: str = "chat_append") -> StreamingQuery:
     """S14 incrementally: new turns get ids above the table's maximum."""
     turns = spark.readStream.schema(CHAT_SCHEMA).parquet(turns_dir)
 
     def append_batch(batch: DataFrame, epoch: int) -> None:
-        if IO.is_built(spark, table_path):
-            existing = spark.read.parquet(table_path)
-            # a re-run epoch replaces its own rows instead of appending twice
-            existing = existing.where(F.col("_epoch") != epoch)
+        if batch.isEmpty():
+            return                          # no folder: the newest folder always has rows
+        earlier = [e for e in _epochs(spark, table_path) if e < epoch]
+        if earlier:
+            # ids rise with the epochs: the maximum sits in the newest earlier folder
+            existing = spark.read.parquet(_epoch_path(table_path, earlier[-1])).select("id")
         else:
             existing = spark.createDataFrame([], "id long")
-        new = IO.append_with_ids(existing.select("id"), batch, ["ts", "seq"]).withColumn("_epoch", F.lit(epoch))
-        out = existing.unionByName(new, allowMissingColumns=True) if IO.is_built(spark, table_path) else new
-        IO.write_staged(out, table_path)
+        new = IO.append_with_ids(existing, batch, ["ts", "seq"])
+        IO.write_table(new, _epoch_path(table_path, epoch))
 
     w = (turns.writeStream.foreachBatch(append_batch)
          .option("checkpointLocation", _checkpoint(spark, name)))

@@ -21,7 +21,7 @@ def test_alarm_stream_matches_batch(spark, tmp_path):
         spark.createDataFrame(batch, S.ALARM_LOG_SCHEMA).write.mode("append").parquet(log_dir)
         q = S.alarm_state_stream(spark, log_dir, table, name=name)
         q.awaitTermination()
-    got = sorted(rows(spark.read.parquet(table), "alarm_id", "is_enabled"))
+    got = sorted(rows(S.alarm_table(spark, table), "alarm_id", "is_enabled"))
     want = sorted(rows(A.fold_alarms(spark.createDataFrame(first + second, S.ALARM_LOG_SCHEMA)),
                        "alarm_id", "is_enabled"))
     assert got == want == [(1, False), (2, True)]
@@ -37,3 +37,19 @@ def test_chat_append_stream_ids(spark, tmp_path):
         S.chat_append_stream(spark, turns_dir, table, name=name).awaitTermination()
     got = sorted(rows(spark.read.parquet(table), "id", "content"))
     assert got == [(1, "안녕"), (2, "네"), (3, "약 먹었어요")]
+    # one folder per micro-batch: a batch writes what it brings, no rewrite
+    assert len(S._epochs(spark, table)) == 2
+
+
+def test_alarm_compact_equals_read(spark, tmp_path):
+    log_dir, table, out = str(tmp_path / "log"), str(tmp_path / "alarms"), str(tmp_path / "compact")
+    name = f"alarm-{uuid.uuid4().hex}"
+    batches = [[(1, T0, 1, "register", "u1", "a", "08:30", "d"), (2, T0, 2, "register", "u2", "b", "09:00", "d")],
+               [(2, T0 + dt.timedelta(minutes=1), 3, "disable", None, None, None, None)],
+               [(2, T0 + dt.timedelta(minutes=2), 4, "register", "u2", "c", "10:00", "d")]]
+    for b in batches:
+        spark.createDataFrame(b, S.ALARM_LOG_SCHEMA).write.mode("append").parquet(log_dir)
+        S.alarm_state_stream(spark, log_dir, table, name=name).awaitTermination()
+    S.compact(spark, table, out)
+    got = sorted(rows(spark.read.parquet(out), "alarm_id", "medication_name", "is_enabled"))
+    assert got == [(1, "a", True), (2, "c", True)]
