@@ -276,16 +276,24 @@ def envelope(requests: DataFrame, hits: DataFrame, req_key: str, hit_key: str =
     """N7/A2 flat form: every request row once per hit, or once with nulls;
     ``found`` and ``n_found`` per request.
 
-    The count is a grouped aggregate joined back, so a term with a huge hit
-    list is counted map-side instead of in one window partition.  ``hits``
-    feeds both the join and the count, so it is materialised once with
-    ``checkpoint()`` (in the shared ``spark.checkpoint.dir``) instead of
-    being computed twice.
+    Written as an inner join plus an anti join rather than a left join: a
+    term with a huge hit list puts its hits on the non-preserved side of a
+    left join, which AQE cannot split; an inner join's skewed partition it
+    can.  The count is a grouped aggregate (combined map-side), not a window
+    over a possibly huge group.  ``hits`` feeds the join and the count, so it
+    is materialised once with ``checkpoint()`` (in the shared
+    ``spark.checkpoint.dir``) instead of being computed twice.
     """
     if MATERIALISE_HITS:
         hits = hits.checkpoint(eager=True)
     h = hits.withColumnRenamed(hit_key, req_key) if hit_key != req_key else hits
-    counts = h.groupBy(req_key).agg(F.count(F.lit(1)).alias("n_found"))
-    out = requests.join(h, req_key, "left").join(counts, req_key, "left")
-    return (out.withColumn("n_found", F.coalesce("n_found", F.lit(0)).cast("long"))
-               .withColumn("found", F.col("n_found") > 0))
+    counts = h.groupBy(req_key).agg(F.count(F.lit(1)).cast("long").alias("n_found"))
+    matched = requests.join(h, req_key, "inner").join(counts, req_key, "inner")
+    missing = requests.join(counts.select(req_key), req_key, "left_anti")
+    hit_cols = [c for c in h.columns if c != req_key and c not in requests.columns]
+    types = dict(h.dtypes)
+    missing = missing.select(*requests.columns,
+                             *[F.lit(None).cast(types[c]).alias(c) for c in hit_cols],
+                             F.lit(0).cast("long").alias("n_found"))
+    out = matched.select(*requests.columns, *hit_cols, "n_found").unionByName(missing)
+    return out.withColumn("found", F.col("n_found") > 0)

@@ -53,3 +53,19 @@ def test_column_pruning_in_catalogue_pipeline(spark):
 def test_vector_search_is_vectorised(spark):
     p = plan(E.queries()["vector_topk"](spark, SF001))
     assert "MapInPandas" in p
+
+
+def test_envelope_hot_term_inner_join(spark):
+    """A term matching a third of the catalogue: its hits sit on an inner
+    join (AQE can split that partition), never on the non-preserved side of
+    a left join; requests without hits come from an anti join."""
+    from rxlake.operators import lookup as L
+    hits = spark.createDataFrame([("hot", str(i)) for i in range(300)] + [("cold", "x")],
+                                 "term string, item_seq string")
+    req = spark.createDataFrame([("hot",), ("cold",), ("none",)], "term string")
+    out = L.envelope(req, hits, "term")
+    p = plan(out)
+    assert "LeftOuter" not in p and "LeftAnti" in p
+    got = {r.term: (r.found, r.n_found) for r in out.select("term", "found", "n_found").distinct().collect()}
+    assert got == {"hot": (True, 300), "cold": (True, 1), "none": (False, 0)}
+    assert out.count() == 302
