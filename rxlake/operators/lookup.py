@@ -272,7 +272,7 @@ def first_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carr
     return R.first_k(pairs, ["term"], order, k, rank_col="rank")
 
 
-def envelope(requests: DataFrame, hits: DataFrame, req_key: str, hit_key: str = "term") -> DataFrame:
+def envelope(requests: DataFrame, hits: DataFrame, req_key, hit_key: str = "term") -> DataFrame:
     """N7/A2 flat form: every request row once per hit, or once with nulls;
     ``found`` and ``n_found`` per request.
 
@@ -282,15 +282,17 @@ def envelope(requests: DataFrame, hits: DataFrame, req_key: str, hit_key: str =
     can.  The count is a grouped aggregate (combined map-side), not a window
     over a possibly huge group.  ``hits`` feeds the join and the count, so it
     is materialised once with ``checkpoint()`` (in the shared
-    ``spark.checkpoint.dir``) instead of being computed twice.
+    ``spark.checkpoint.dir``) instead of being computed twice.  ``req_key``
+    is a column or a list of columns (then ``hits`` carries the same names).
     """
     if MATERIALISE_HITS:
         hits = hits.checkpoint(eager=True)
-    h = hits.withColumnRenamed(hit_key, req_key) if hit_key != req_key else hits
-    counts = h.groupBy(req_key).agg(F.count(F.lit(1)).cast("long").alias("n_found"))
-    matched = requests.join(h, req_key, "inner").join(counts, req_key, "inner")
-    missing = requests.join(counts.select(req_key), req_key, "left_anti")
-    hit_cols = [c for c in h.columns if c != req_key and c not in requests.columns]
+    keys = [req_key] if isinstance(req_key, str) else list(req_key)
+    h = hits.withColumnRenamed(hit_key, req_key) if isinstance(req_key, str) and hit_key != req_key else hits
+    counts = h.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n_found"))
+    matched = requests.join(h, keys, "inner").join(counts, keys, "inner")
+    missing = requests.join(counts.select(*keys), keys, "left_anti")
+    hit_cols = [c for c in h.columns if c not in keys and c not in requests.columns]
     types = dict(h.dtypes)
     missing = missing.select(*requests.columns,
                              *[F.lit(None).cast(types[c]).alias(c) for c in hit_cols],

@@ -352,12 +352,12 @@ def attribute_matches(requests: DataFrame, med: DataFrame, k: int) -> DataFrame:
     shape_cat = med.withColumn("shape_fold", T.fold_ascii("drug_shape"))
     s_hits = L.substring_matches(valid.where(has_s), shape_cat, "shape", keep, name_fold="shape_fold") \
               .select(F.col("term").alias("shape"), *keep)
-    c_parts = []
-    for cc in ("color_class1", "color_class2"):
-        cat = med.withColumn("c_fold", T.fold_ascii(cc))
-        c_parts.append(L.substring_matches(valid.where(has_c), cat, "color", keep, name_fold="c_fold")
-                        .select(F.col("term").alias("color"), *keep))
-    c_hits = c_parts[0].unionByName(c_parts[1]).distinct()
+    # color1 OR color2: both colour columns as one catalogue of (item, colour)
+    # rows, matched in one pass; an item hit through both counts once
+    c_cat = S.union_by_name([med.select(*keep, T.fold_ascii(cc).alias("c_fold"))
+                             for cc in ("color_class1", "color_class2")])
+    c_hits = L.substring_matches(valid.where(has_c), c_cat, "color", keep, name_fold="c_fold") \
+        .select(F.col("term").alias("color"), *keep).distinct()
     r_s = valid.where(has_s & ~has_c).join(s_hits, "shape")
     r_c = valid.where(~has_s & has_c).join(c_hits, "color")
     r_b = valid.where(has_s & has_c).join(s_hits, "shape").join(c_hits, ["color", "item_seq", "item_name"])
@@ -409,16 +409,18 @@ def warning_terms(spark, sf_dir) -> DataFrame:
 @register("warning_lookup")
 def q_warning_lookup(spark, sf_dir):
     """One drug list against every warning table, all
-    matches, with found/count per (term, table)."""
+    matches, with found/count per (term, table).  The three lists are matched
+    as one catalogue tagged with its list (one size check, one index or
+    nested loop, one pass), then split per (term, list) by the envelope."""
     terms = warning_terms(spark, sf_dir)
-    outs = []
-    for wtype, tbl in warning_tables(spark, sf_dir).items():
-        cat = tbl.withColumn("name_fold", T.fold_ascii("item_name"))
-        hits = L.substring_matches(terms, cat, "term", ["item_key", "item_name", "detail1", "detail2"])
-        env = L.envelope(terms, hits.drop("name_fold"), "term")
-        outs.append(env.withColumn("warning_type", F.lit(wtype)))
-    return S.union_by_name(outs).select("term", "warning_type", "found", "n_found", "item_key",
-                                         "item_name", "detail1", "detail2")
+    tables = warning_tables(spark, sf_dir)
+    cat = S.union_by_name([tbl.withColumn("warning_type", F.lit(w)) for w, tbl in tables.items()]) \
+        .withColumn("name_fold", T.fold_ascii("item_name"))
+    hits = L.substring_matches(terms, cat, "term", ["warning_type", "item_key", "item_name", "detail1", "detail2"])
+    req = S.union_by_name([terms.select("term", F.lit(w).alias("warning_type")) for w in tables])
+    env = L.envelope(req, hits.drop("name_fold"), ["term", "warning_type"])
+    return env.select("term", "warning_type", "found", "n_found", "item_key",
+                      "item_name", "detail1", "detail2")
 
 
 @register("first_match_or_null")
