@@ -10,12 +10,15 @@
   collection computes distances with numpy and keeps its local top-k per
   query; a final first-k per query merges ``k x partitions`` candidates.  A
   query set above the limit is processed in chunks, each one a distributed
-  pass.  Results are exact in every case.
+  pass whose (final) top-k is written to the shared checkpoint folder, so
+  the plan stays small however many chunks there are and a finished chunk
+  survives a failure.  Results are exact in every case.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,7 +173,8 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
       partition keeps a local top-k per query, merged by a partial+final
       group limit;
     * both large: the query set is cut into chunks that fit, each chunk one
-      distributed pass over the collection.
+      distributed pass over the collection, its final top-k written to the
+      shared checkpoint folder (a small plan per chunk, not a union of all).
     """
     spark = docs.sparkSession
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
@@ -188,23 +192,26 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
         pdf = d.toPandas()  # bounded: dn * dim * 8 <= max_bytes
         bc = spark.sparkContext.broadcast((_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v")))
         return q.mapInPandas(_scan_queries(bc, k, metric), f"qid long, rank int, doc_id {id_type}, dist double")
-    if qn > per_pass:
-        qs = R.sequential_ids(q, ["qid"], id_col="_qseq")
-        chunks = [qs.where((F.col("_qseq") > i * per_pass) & (F.col("_qseq") <= (i + 1) * per_pass))
-                    .drop("_qseq") for i in range((qn + per_pass - 1) // per_pass)]
-    else:
-        chunks = [q]
-    outs = []
-    for ch in chunks:
-        pdf = ch.toPandas()  # bounded by max_bytes, checked above
+    schema = f"qid long, doc_id {id_type}, dist double"
+    order = [F.col("dist").asc(), F.col("doc_id").asc()]
+
+    def pass_over(chunk: DataFrame) -> DataFrame:
+        pdf = chunk.toPandas()  # bounded by max_bytes, checked above
         bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), _rows_to_matrix(pdf, "qvec")))
-        outs.append(d.mapInPandas(_topk_partition(bc, k, "_id", "_v", metric, id_type),
-                                  f"qid long, doc_id {id_type}, dist double"))
-    allp = outs[0]
-    for o in outs[1:]:
-        allp = allp.unionByName(o)
-    return R.first_k(allp, ["qid"], [F.col("dist").asc(), F.col("doc_id").asc()], k, rank_col="rank") \
-            .select("qid", "rank", "doc_id", "dist")
+        local = d.mapInPandas(_topk_partition(bc, k, "_id", "_v", metric, id_type), schema)
+        return R.first_k(local, ["qid"], order, k, rank_col="rank").select("qid", "rank", "doc_id", "dist")
+
+    if qn <= per_pass:
+        return pass_over(q)
+    # chunks hold disjoint queries, so each chunk's top-k is final: write
+    # each to the shared checkpoint folder and read them back as one table
+    from rxlake.session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knn-{uuid.uuid4().hex}"
+    qs = R.sequential_ids(q, ["qid"], id_col="_qseq")
+    for i in range((qn + per_pass - 1) // per_pass):
+        ch = qs.where((F.col("_qseq") > i * per_pass) & (F.col("_qseq") <= (i + 1) * per_pass)).drop("_qseq")
+        pass_over(ch).write.mode("overwrite").parquet(f"{base}/chunk={i}")
+    return spark.read.parquet(base).select("qid", "rank", "doc_id", "dist")
 
 
 def two_collection_search(queries: DataFrame, first: DataFrame, second: DataFrame,
