@@ -232,13 +232,18 @@ def name_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
     distinct names of the catalogue."""
     terms = prepare_terms(requests, term_col)
     names = distinct_names(catalogue, name_fold)
-    if strategy == "auto":
+    auto = strategy == "auto"
+    if auto:
         strategy, terms = choose_strategy(terms, names, name_fold, broadcast_limit)
     if strategy == "broadcast":
         return _names_broadcast(terms, names, name_fold, "terms")
     if strategy == "broadcast_names":
         return _names_broadcast(terms, names, name_fold, "names")
     if strategy == "ngram":
+        if not auto:
+            # read three times (routing, candidates, the all-wildcard
+            # check): materialise once, as the size checks do on ``auto``
+            terms = terms.checkpoint(eager=True)
         return _names_ngram(terms, names, name_fold, index)
     raise ValueError(f"unknown strategy {strategy}")
 
