@@ -9,7 +9,7 @@ value).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxlake.functions.text import col_
@@ -61,6 +61,26 @@ def parse_name_list(reply, field: str = "medicines"):
     return status, names
 
 
+def with_name_list(df: DataFrame, reply, field: str = "medicines", keep: list | None = None) -> DataFrame:
+    """``parse_name_list`` as staged projections: the cut, the parsed value
+    and the field each become a column once.  Catalyst does not inline a
+    non-trivial expression that a later projection reads twice, so each JSON
+    text is parsed once, where the nested ``Column`` form re-evaluates the
+    parse in every branch that reads it.  Adds ``status`` and ``names`` to
+    the ``keep`` columns (default: all of ``df``)."""
+    keep = list(df.columns) if keep is None else keep
+    d = df.select(*keep, outer_object(reply).alias("_cut"))
+    d = d.select(*keep, "_cut", single_json("_cut").alias("_obj"))
+    names, bad = string_list_field(F.col("_obj"), field)
+    d = d.select(*keep, "_cut", "_obj", names.alias("_names"), bad.alias("_bad"))
+    status = (F.when(F.col("_cut") == "", F.lit("no_json"))
+               .when(F.col("_obj").isNull() | F.col("_bad"), F.lit("error"))
+               .otherwise(F.lit("ok")))
+    d = d.select(*keep, "_names", status.alias("status"))
+    return d.select(*keep, "status", F.when(F.col("status") == "ok", F.col("_names"))
+                    .otherwise(F.array().cast("array<string>")).alias("names"))
+
+
 OCR_SCHEMA = "IsErroredOnProcessing boolean, ParsedResults array<struct<ParsedText: string>>"
 
 

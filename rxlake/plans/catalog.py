@@ -532,8 +532,8 @@ def q_json_extract_list(spark, sf_dir):
     """Outermost object -> strict parse -> list of names, one
     row per name in order (or one row with no name)."""
     ev = IO.spread(table(spark, sf_dir, "events"))     # JSON parsing per row: use every core
-    status, names = N.parse_name_list(model_replies(ev))
-    d = ev.select("event_id", status.alias("status"), names.alias("names"))
+    d = N.with_name_list(ev.select("event_id", model_replies(ev).alias("reply")), F.col("reply"),
+                         keep=["event_id"])
     out = d.select("event_id", "status", F.posexplode_outer("names").alias("pos", "name"))
     return out.withColumn("pos", F.coalesce("pos", F.lit(-1)))   # -1 = no name
 
@@ -560,10 +560,11 @@ def q_extraction_match(spark, sf_dir):
     withp = docs.join(part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id", "left")
     reply = F.to_json(F.struct(F.filter(F.array(F.col("p_name"), F.concat(F.lit("Zq"), F.col("lang"))),
                                         lambda x: x.isNotNull()).alias("medicines")))
-    status, names = N.parse_name_list(reply)
-    checked = F.transform(names, lambda n: F.struct(n.alias("name"),
-                                                    T.contains_text(F.col("text"), T.prefix(n)).alias("ok")))
-    d = withp.select("doc_id", status.alias("status"), checked.alias("c"))
+    parsed = N.with_name_list(withp.select("doc_id", "text", reply.alias("reply")), F.col("reply"),
+                              keep=["doc_id", "text"])
+    checked = F.transform("names", lambda n: F.struct(n.alias("name"),
+                                                      T.contains_text(F.col("text"), T.prefix(n)).alias("ok")))
+    d = parsed.select("doc_id", "status", checked.alias("c"))
     d = d.withColumn("validated", F.exists("c", lambda s: s["ok"]))
     ex = d.select("doc_id", "status", "validated", F.posexplode_outer("c").alias("pos", "x")) \
         .where(F.col("x").isNotNull())

@@ -41,3 +41,14 @@ def test_prompt_messages(spark):
     hist = F.array(F.struct(F.lit("user").alias("role"), F.lit("old").alias("content")))
     out = rows(df.select(N.prompt_messages(F.col("c"), hist, F.col("u")).alias("m")))[0][0]
     assert [(m["role"], m["content"]) for m in out] == [("system", "ctx"), ("user", "old"), ("user", "hi")]
+
+
+def test_staged_name_list_equals_column_form(spark):
+    replies = ['Result: {"medicines": ["a", "b"]} done', '{"medicines": [1, "b"]}', "no json here",
+               '{"medicines": ["a", }', "{'medicines': ['x']}", '{"other": 1}', '{"medicines": ["a"]} and {"x": 1}',
+               None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
+    st, names = N.parse_name_list(F.col("r"))
+    a = sorted(rows(df.select("i", st.alias("status"), names.alias("names"))))
+    b = sorted(rows(N.with_name_list(df, F.col("r"), keep=["i"]), "i", "status", "names"))
+    assert a == b
