@@ -204,11 +204,11 @@ def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str
                            ["item_name", "item_seq"], k)
     th = toks.join(hits.withColumnRenamed("term", "token"), "token")
     firstpos = th.groupBy(*msg_keys).agg(F.min("pos").alias("pos"))
-    chosen = th.join(firstpos, [*msg_keys, "pos"])
+    chosen = th.join(firstpos, [*msg_keys, "pos"])   # one token per message (its first with a hit)
     line = T.context_line_table("item_name", "entp_name", "drug_shape", "color_class1",
                                 "etc_otc_code", "chartn")
     return chosen.groupBy(*msg_keys).agg(
-        F.first("token").alias("matched_token"), F.count(F.lit(1)).alias("n_hits"),
+        F.min("token").alias("matched_token"), F.count(F.lit(1)).alias("n_hits"),
         F.concat(F.lit(FV.CONTEXT_HEADER),
                  N.ordered_concat(F.collect_list(F.struct(F.col("rank").alias("pos"), line.alias("value"))),
                                   sep="")).alias("context"))
