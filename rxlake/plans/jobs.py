@@ -202,9 +202,14 @@ def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str
         .where(F.col("token").isNotNull())
     hits = L.first_matches(toks.select("token").distinct(), med, "token", cat_cols,
                            ["item_name", "item_seq"], k)
-    th = toks.join(hits.withColumnRenamed("term", "token"), "token")
-    firstpos = th.groupBy(*msg_keys).agg(F.min("pos").alias("pos"))
-    chosen = th.join(firstpos, [*msg_keys, "pos"])   # one token per message (its first with a hit)
+    # at most k rows per distinct token, read twice below: materialise once
+    hits = hits.withColumnRenamed("term", "token").checkpoint(eager=True)
+    # the first token with a hit, found on narrow (message, pos, token) rows;
+    # only that token's k hits are joined to each message
+    cand = toks.join(hits.select("token").distinct(), "token", "left_semi")
+    firstpos = cand.groupBy(*msg_keys).agg(F.min("pos").alias("pos"))
+    first_tok = cand.join(firstpos, [*msg_keys, "pos"])
+    chosen = first_tok.join(hits, "token")
     line = T.context_line_table("item_name", "entp_name", "drug_shape", "color_class1",
                                 "etc_otc_code", "chartn")
     return chosen.groupBy(*msg_keys).agg(
