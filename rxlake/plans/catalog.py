@@ -147,7 +147,7 @@ def q_keep_cols_rename(spark, sf_dir):
 def q_first_nonempty(spark, sf_dir):
     """P5 F2: first non-empty of two alternative columns (here: language,
     blanked for English rows, else the source)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=False)    # short columns only
     a = T.blank_nan(F.when(F.col("lang") != "en", F.col("lang")))
     b = T.blank_nan(F.col("source"))
     return docs.select("doc_id", S.first_nonempty(a, b).alias("lang_or_source"))
@@ -577,7 +577,7 @@ def q_extraction_match(spark, sf_dir):
 @register("recent_history")
 def q_recent_history(spark, sf_dir):
     """Last 6 turns per conversation, oldest first."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = table(spark, sf_dir, "conversations", spread=False)   # the top-k shuffles by key anyway
     last = R.last_n_oldest_first(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY)
     return last.select("conv_id", "pos", "turn", "role", F.col("text").alias("content"))
 
@@ -585,7 +585,7 @@ def q_recent_history(spark, sf_dir):
 @register("rolling_context")
 def q_rolling_context(spark, sf_dir):
     """For every turn the last 6 turns up to it, and the prompt sizes."""
-    conv = table(spark, sf_dir, "conversations")
+    conv = table(spark, sf_dir, "conversations", spread=False)   # the window shuffles by key anyway
     msg = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
     r = R.rolling_frames(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history")
     prompt = N.prompt_messages(F.lit(""), F.col("history"), F.col("text"))
