@@ -22,6 +22,9 @@ BASE_CONF = {
     # cp949 / MS949 catalogue files (S1) need the legacy charset list.
     "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of DataFrames that are gone are deleted, so the
+    # shared checkpoint folder does not grow for the life of the session
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
