@@ -1,5 +1,7 @@
 """Ranking, dedup, ids and frames."""
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -62,3 +64,44 @@ def test_rolling_frames_picks_split_for_hot_key(spark):
     a = R.rolling_frames(df, ["c"], [F.col("t")], 3, F.col("v"), "h", max_group_rows=10)   # split path
     b = R.rolling_frames(df, ["c"], [F.col("t")], 3, F.col("v"), "h")                      # window path
     assert sorted(rows(a, "c", "t", "h")) == sorted(rows(b, "c", "t", "h"))
+
+
+_rows = st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(2020, 2023), st.booleans()),
+                 min_size=1, max_size=30)
+_prop = settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+@_prop
+@given(_rows)
+def test_keep_first_property(spark, data):
+    """Exactly one row per key (null keys form one group), the
+    brute-force first in (year desc, ord) and in ord order."""
+    df = spark.createDataFrame([(k, y, i, ok) for i, (k, y, ok) in enumerate(data)],
+                               "k string, y int, ord long, ok boolean")
+    newest = rows(R.keep_first(df, ["k"], [F.col("y").desc(), F.col("ord").asc()]), "k", "ord")
+    by_ord = rows(R.keep_first_by_ord(df, ["k"], "ord"), "k", "ord")
+    keys = {k for k, _, _ in data}
+    want_new = {k: min((-y, i) for i, (kk, y, _) in enumerate(data) if kk == k)[1] for k in keys}
+    want_ord = {k: min(i for i, (kk, _, _) in enumerate(data) if kk == k) for k in keys}
+    assert len(newest) == len(keys) and dict(newest) == want_new
+    assert len(by_ord) == len(keys) and dict(by_ord) == want_ord
+
+
+@_prop
+@given(_rows)
+def test_keep_valid_or_all_property(spark, data):
+    """Output is a subset of the input, never empty for a request that
+    had rows, and holds exactly the ok rows when any row is ok."""
+    df = spark.createDataFrame([(k or "∅", i, ok) for i, (k, _, ok) in enumerate(data)],
+                               "r string, i long, ok boolean")
+    out = rows(R.keep_valid_or_all(df, ["r"], "ok"), "r", "i", "ok", "validated")
+    got = {}
+    for r, i, ok, v in out:
+        got.setdefault(r, set()).add(i)
+    groups = {}
+    for i, (k, _, ok) in enumerate(data):
+        groups.setdefault(k or "∅", []).append((i, ok))
+    for r, members in groups.items():
+        oks = {i for i, ok in members if ok}
+        assert got[r] == (oks or {i for i, _ in members})
+    assert all(v == any(ok for _, ok in groups[r]) for r, _, _, v in out)
