@@ -304,3 +304,49 @@ def envelope(requests: DataFrame, hits: DataFrame, req_key, hit_key: str = "term
                              F.lit(0).cast("long").alias("n_found"))
     out = matched.select(*requests.columns, *hit_cols, "n_found").unionByName(missing)
     return out.withColumn("found", F.col("n_found") > 0)
+
+
+# ------------------------------------------------------- one request at a time ---
+def fold_ascii_text(s: str) -> str:
+    """D1 folding of a Python string (A-Z only), as ``fold_ascii`` on a column."""
+    return "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in s)
+
+
+def like_term(name_fold: Column, term: str) -> Column:
+    """``name LIKE '%term%'`` for one term given as text.  A literal term is a
+    plain ``contains`` (pushed into the Parquet scan as ``StringContains`` when
+    ``name_fold`` is a stored column); a term with ``%``/``_`` is a LIKE whose
+    escape character does not occur in the term (SQLite has none)."""
+    t = fold_ascii_text(term)
+    if not any(ch in t for ch in "%_"):
+        return name_fold.contains(t)
+    esc = next(chr(c) for c in range(1, 0x110000) if chr(c) not in t and chr(c) not in "%_")
+    return F.like(name_fold, F.lit(f"%{t}%"), F.lit(esc))
+
+
+def search_by_name(catalogue: DataFrame, keyword: str, order: list, k: int = 5,
+                   name_fold: str = "name_fold") -> DataFrame:
+    """Q1 for one keyword: the first ``k`` rows (in ``order``) whose name
+    contains it.  A filter plus ``orderBy().limit()``: Spark plans a
+    per-partition top-k merged once (``TakeOrderedAndProject``).  As in the
+    original, an empty keyword matches every named row."""
+    return catalogue.where(like_term(F.col(name_fold), keyword)).orderBy(*order).limit(k)
+
+
+def search_by_attributes(catalogue: DataFrame, shape: str | None, color: str | None, order: list,
+                         k: int = 10, shape_col: str = "drug_shape",
+                         color_cols: tuple = ("color_class1", "color_class2")) -> DataFrame:
+    """Q2/P11/P12 for one request: ``shape LIKE`` and ``(color1 LIKE or
+    color2 LIKE)``, an absent or empty argument adds no condition; at least
+    one argument is required (the original answers 400)."""
+    if not shape and not color:
+        raise ValueError("shape or color is required")
+    cond = F.lit(True)
+    if shape:
+        cond = cond & like_term(T.fold_ascii(shape_col), shape)
+    if color:
+        any_c = F.lit(False)
+        for c in color_cols:
+            any_c = any_c | F.coalesce(like_term(T.fold_ascii(c), color), F.lit(False))
+        cond = cond & any_c
+    return catalogue.where(F.coalesce(cond, F.lit(False))).orderBy(*order).limit(k)

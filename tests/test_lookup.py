@@ -152,3 +152,36 @@ def test_hot_name_first_k_equals_brute_force(spark):
         m = sorted((n, str(i)) for i, n in enumerate(names) if sqlite_like(n, t))[:5]
         want += [(t, r + 1, seq) for r, (_, seq) in enumerate(m)]
     assert sorted(got) == sorted(want)
+
+
+def test_single_keyword_search_semantics(spark):
+    names = ["Aspirin", "aspirin protect", "a_b", "axb", "a\\b", None, "RED plate", "a%b"]
+    cat = catalogue(spark, names)
+    for kw in ["aspirin", "ASPIRIN", "_", "a_b", "a%b", "a\\b", "", "zz", "%"]:
+        got = [r[0] for r in L.search_by_name(cat, kw, ["item_name", "item_seq"], 5).select("item_seq").collect()]
+        want = [str(i) for n, i in sorted((n, i) for i, n in enumerate(names) if n is not None and sqlite_like(n, kw))][:5]
+        assert got == want, kw
+
+
+def test_single_keyword_search_pushdown_and_top_k(spark, tmp_path):
+    path = str(tmp_path / "med")
+    C.medicines_from_part(C.table(spark, SF001, "part")).write.parquet(path)
+    med = spark.read.parquet(path)
+    out = L.search_by_name(med, "Ring", C.CAT_ORDER, 5)
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in p
+    assert "StringContains(name_fold,ring)" in out._jdf.queryExecution().toString()
+    assert out.count() <= 5
+
+
+def test_single_attribute_search(spark):
+    med = spark.createDataFrame([
+        ("1", "a", "원형", "하양", ""), ("2", "b", "원형", "", "하양"), ("3", "c", "타원형", "노랑", ""),
+        ("4", "d", "장방형", "하양", "")],
+        "item_seq string, item_name string, drug_shape string, color_class1 string, color_class2 string")
+    seqs = lambda df: [r[0] for r in df.select("item_seq").collect()]
+    assert seqs(L.search_by_attributes(med, "원형", None, ["item_name"])) == ["1", "2", "3"]
+    assert seqs(L.search_by_attributes(med, "원형", "하양", ["item_name"])) == ["1", "2"]
+    assert seqs(L.search_by_attributes(med, "", "하양", ["item_name"])) == ["1", "2", "4"]
+    with pytest.raises(ValueError):
+        L.search_by_attributes(med, "", None, ["item_name"])
