@@ -69,3 +69,12 @@ def test_envelope_hot_term_inner_join(spark):
     got = {r.term: (r.found, r.n_found) for r in out.select("term", "found", "n_found").distinct().collect()}
     assert got == {"hot": (True, 300), "cold": (True, 1), "none": (False, 0)}
     assert out.count() == 302
+
+
+def test_per_key_folds_combine_map_side(spark):
+    """Upsert and the alarm fold are grouped max_by aggregates with a partial
+    (map-side) step, so a key with millions of versions is combined in every
+    input partition before the shuffle."""
+    for name in ["upsert_last_wins", "alarm_state"]:
+        p = plan(E.queries()[name](spark, SF001))
+        assert "partial_max_by" in p, name
