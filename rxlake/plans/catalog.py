@@ -360,7 +360,12 @@ def attribute_matches(requests: DataFrame, med: DataFrame, k: int) -> DataFrame:
         .select(F.col("term").alias("color"), *keep).distinct()
     r_s = valid.where(has_s & ~has_c).join(s_hits, "shape")
     r_c = valid.where(~has_s & has_c).join(c_hits, "color")
-    r_b = valid.where(has_s & has_c).join(s_hits, "shape").join(c_hits, ["color", "item_seq", "item_name"])
+    # both arguments: intersect per item first (an item matches few shape and
+    # colour terms), then keep the requested (shape, color) pairs.  Joining
+    # requests to all items of their shape first would copy a shape that
+    # covers a third of the catalogue once per colour asked with it.
+    sc = s_hits.join(c_hits, ["item_seq", "item_name"])
+    r_b = valid.where(has_s & has_c).join(sc, ["shape", "color"])
     pairs = r_s.unionByName(r_c).unionByName(r_b)
     top = R.first_k(pairs, ["request_id"], CAT_ORDER, k, rank_col="rank")
     return top.join(med.select(*CAT_COLS), ["item_seq", "item_name"])
