@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from rxlake.functions import text as T
 from rxlake.operators import rank as R
+from rxlake.session import shuffle_partitions
 
 BROADCAST_TERMS_LIMIT = 200_000    # rows we allow to broadcast (terms or names)
 BROADCAST_CHARS_LIMIT = 32 << 20   # ... and characters in them
@@ -164,7 +165,7 @@ def _streamed(df: DataFrame) -> DataFrame:
     """The streamed side of a nested loop is CPU-bound: an explicit
     repartition keeps AQE from coalescing a small input into one task."""
     sc = df.sparkSession.sparkContext
-    n = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(sc.defaultParallelism, shuffle_partitions(df.sparkSession))
     return df.repartition(n)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rxlake.session import shuffle_partitions
+
 _RN = "_rn"
 
 
@@ -130,7 +132,7 @@ def sequential_ids(df: DataFrame, order: list, start: Column | int = 0,
        tiny, broadcast) summed over earlier partitions.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or shuffle_partitions(spark)
     ordered = (df.repartitionByRange(n, *_cols(order))
                  .sortWithinPartitions(*_cols(order))
                  .withColumn("_pid", F.spark_partition_id())

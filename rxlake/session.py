@@ -58,3 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partition count; a non-numeric setting (some
+    platforms allow ``auto``) falls back to the cluster's core count."""
+    v = spark.conf.get("spark.sql.shuffle.partitions", None)
+    try:
+        return max(1, int(v))
+    except (TypeError, ValueError):
+        return max(1, spark.sparkContext.defaultParallelism)
