@@ -198,13 +198,17 @@ def q_dedup_newest(spark, sf_dir):
 
 @register("dedup_first_seen")
 def q_dedup_first_seen(spark, sf_dir):
-    """One document per distinct text, the first by doc_id."""
-    docs = table(spark, sf_dir, "documents").withColumn("text_md5", F.md5("text"))
-    firsts = R.keep_first_by_ord(docs.select("doc_id", "text_md5"), ["text_md5"], "doc_id")
-    copies = docs.groupBy("text_md5").agg(F.count(F.lit(1)).alias("copies"))
-    kept = docs.select("doc_id", "lang", "source", "n_chars").join(firsts, "doc_id", "inner")
-    return kept.join(copies, "text_md5", "inner").select(
-        "doc_id", "text_md5", "copies", "lang", "source", "n_chars")
+    """One document per distinct text, the first by doc_id, with the
+    number of copies.  The texts are hashed in one pass: one grouped
+    aggregate per hash gives both the first doc_id (min) and the copy count,
+    combined map-side, so a text copied across a third of the table is
+    reduced in every partition.  The short columns are joined back by id
+    from a scan that does not read the text."""
+    docs = table(spark, sf_dir, "documents")
+    per_text = docs.select("doc_id", F.md5("text").alias("text_md5")).groupBy("text_md5").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    meta = table(spark, sf_dir, "documents", spread=False).select("doc_id", "lang", "source", "n_chars")
+    return per_text.join(meta, "doc_id").select("doc_id", "text_md5", "copies", "lang", "source", "n_chars")
 
 
 def _part_words(part: DataFrame) -> DataFrame:
