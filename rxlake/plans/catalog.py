@@ -307,7 +307,9 @@ def user_keywords(spark, sf_dir, role: str = "user") -> DataFrame:
 
 def _name_search(spark, sf_dir, role, strategy, index=None):
     med = medicines_from_part(table(spark, sf_dir, "part"))
-    kws = user_keywords(spark, sf_dir, role)
+    # the keywords come from tokenising every turn and feed the match and
+    # both sides of the envelope: tokenise once
+    kws = user_keywords(spark, sf_dir, role).checkpoint(eager=True)
     hits = L.first_matches(kws, med, "keyword", CAT_COLS, CAT_ORDER, FV.NAME_SEARCH_LIMIT,
                            strategy=strategy, index=index)
     out = L.envelope(kws, hits, "keyword")
