@@ -593,6 +593,23 @@ def q_recent_history(spark, sf_dir):
     return last.select("conv_id", "pos", "turn", "role", F.col("text").alias("content"))
 
 
+@register("history_report")
+def q_history_report(spark, sf_dir):
+    """C10 (T4 O3 O4 P14 N6): per conversation (the user) the last 20 turns,
+    oldest first, collected into one report row.  The group is at most 20
+    rows after the top-k, so collecting it is bounded."""
+    conv = table(spark, sf_dir, "conversations", spread=False)   # the top-k shuffles by key anyway
+    last = R.last_n_oldest_first(conv, ["conv_id"], [F.col("turn")], FV.REPORT_HISTORY)
+
+    def in_order(v: Column) -> Column:
+        return F.collect_list(F.struct(F.col("pos").alias("pos"), v.alias("value")))
+    return last.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        N.ordered_concat(in_order(F.col("role")), sep=",").alias("roles"),
+        F.md5(N.ordered_concat(in_order(F.col("text")))).alias("content_md5"),
+        F.sum(F.length("text")).cast("long").alias("chars"))
+
+
 @register("rolling_context")
 def q_rolling_context(spark, sf_dir):
     """For every turn the last 6 turns up to it, and the prompt sizes."""

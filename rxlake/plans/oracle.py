@@ -397,6 +397,14 @@ WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)
 SELECT conv_id, CAST(count(*) OVER (PARTITION BY conv_id) - rn + 1 AS INTEGER) AS pos, turn, role, text AS content
 FROM t""")
 
+register("history_report", f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations
+           QUALIFY rn <= {FV.REPORT_HISTORY})
+SELECT conv_id, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles,
+       md5(string_agg(text, '␞' ORDER BY turn)) AS content_md5,
+       CAST(sum(length(text)) AS BIGINT) AS chars
+FROM t GROUP BY conv_id""")
+
 _HIST = (f"list({{'role': role, 'content': text}}) OVER (PARTITION BY conv_id ORDER BY turn "
          f"ROWS BETWEEN {FV.PROMPT_HISTORY - 1} PRECEDING AND CURRENT ROW)")
 register("rolling_context", f"""

@@ -105,3 +105,11 @@ def test_keep_valid_or_all_property(spark, data):
         oks = {i for i, ok in members if ok}
         assert got[r] == (oks or {i for i, _ in members})
     assert all(v == any(ok for _, ok in groups[r]) for r, _, _, v in out)
+
+
+def test_report_depth_cuts_long_histories(spark):
+    """A conversation longer than the report depth keeps its last 20
+    turns, numbered oldest first."""
+    df = spark.createDataFrame([("u", t) for t in range(25)], "u string, t int")
+    out = sorted(rows(R.last_n_oldest_first(df, ["u"], [F.col("t")], 20), "pos", "t"))
+    assert out == [(i + 1, t) for i, t in enumerate(range(5, 25))]
