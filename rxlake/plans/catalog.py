@@ -277,6 +277,22 @@ def q_table_refresh_report(spark, sf_dir):
                           (F.col("rows_out") < FV.HALF_BUILT_THRESHOLD))
 
 
+SAFETY_STANDIN_COLS = [("host", "HOST"), ("page", "ID"), ("text", "NAME"), ("text_or_url", ("NAME", "SITE"))]
+
+
+@register("safety_refresh")
+def q_safety_refresh(spark, sf_dir):
+    """C3/C4 (S10 F1 F5 P7 T2 P4 P5): one safety list refreshed from a raw
+    file, played by ``pages``: every column cleaned (markup text through F1,
+    the numeric id through F5), rows with a blank name or key dropped, the
+    first row per key (the site) in file order, mapped to the output columns
+    with a first-non-empty pair."""
+    pages = table(spark, sf_dir, "pages")
+    raw = pages.select(F.col("page_id").alias("ID"), F.split_part("url", F.lit("/"), F.lit(3)).alias("HOST"),
+                       F.col("url").alias("SITE"), F.col("html").alias("NAME"), F.col("page_id").alias("ORD"))
+    return IO.refresh_table(raw, "HOST", SAFETY_STANDIN_COLS, name_col="NAME", ord_col="ORD")
+
+
 # ------------------------------------------------------------ lookups (Q*) ---
 CAT_ORDER = ["item_name", "item_seq"]   # the catalogue's "first" order (ascending)
 CAT_COLS = ["item_seq", "item_name", "entp_name", "chartn", "drug_shape", "color_class1",

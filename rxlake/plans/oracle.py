@@ -102,6 +102,17 @@ register("first_nonempty", f"""
 SELECT doc_id, CASE WHEN {_a} <> '' THEN {_a} ELSE coalesce({_b}, '') END AS lang_or_source
 FROM documents""")
 
+register("safety_refresh", f"""
+WITH raw AS (
+  SELECT page_id AS ord, {X.ustrip("coalesce(CAST(page_id AS VARCHAR), '')")} AS ID,
+         {X.clean_text("split_part(url, '/', 3)")} AS HOST, {X.clean_text('url')} AS SITE,
+         {X.clean_text('html')} AS NAME
+  FROM pages),
+kept AS (SELECT * FROM raw WHERE NAME <> '' AND HOST <> ''
+         QUALIFY row_number() OVER (PARTITION BY HOST ORDER BY ord) = 1)
+SELECT HOST AS host, ID AS page, NAME AS text, coalesce({X.nonempty('NAME')}, coalesce(SITE, '')) AS text_or_url
+FROM kept""")
+
 register("text_normalize", f"SELECT page_id, {X.clean_text('html')} AS text FROM pages")
 
 register("numeric_coerce", f"""
