@@ -113,3 +113,15 @@ def test_report_depth_cuts_long_histories(spark):
     df = spark.createDataFrame([("u", t) for t in range(25)], "u string, t int")
     out = sorted(rows(R.last_n_oldest_first(df, ["u"], [F.col("t")], 20), "pos", "t"))
     assert out == [(i + 1, t) for i, t in enumerate(range(5, 25))]
+
+
+def test_first_in_file_order_with_hot_key(spark):
+    """T2 with one key holding a third of the rows: min(ord) per key combines
+    map-side; the result is still the first row of every key."""
+    data = [("hot", i) for i in range(0, 900, 3)] + [(f"k{i % 200}", i) for i in range(900) if i % 3]
+    df = spark.createDataFrame(data, "k string, ord long").repartition(6)
+    got = dict(rows(R.keep_first_by_ord(df, ["k"], "ord"), "k", "ord"))
+    want = {}
+    for k, o in data:
+        want[k] = min(o, want.get(k, o))
+    assert got == want
