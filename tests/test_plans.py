@@ -78,3 +78,13 @@ def test_per_key_folds_combine_map_side(spark):
     for name in ["upsert_last_wins", "alarm_state"]:
         p = plan(E.queries()[name](spark, SF001))
         assert "partial_max_by" in p, name
+
+
+def test_dedup_reads_texts_once(spark):
+    """dedup_first_seen hashes the texts in one scan; the short columns come
+    from a scan that does not read the text."""
+    import re
+    p = plan(E.queries()["dedup_first_seen"](spark, SF001))
+    schemas = re.findall(r"ReadSchema: struct<([^\n]*)>", p)
+    assert sum("text:string" in s for s in schemas) == 1
+    assert any("text:string" not in s and "lang:string" in s for s in schemas)
