@@ -43,3 +43,14 @@ def test_history_tie_by_id(spark):
     out = R.last_n_oldest_first(df, ["user_id"], [F.col("ts"), F.col("id")], 6)
     assert [r[0] for r in sorted(rows(out, "pos", "id"))] == [1, 2, 3, 4, 5, 6]
     assert [r[1] for r in sorted(rows(out, "pos", "id"))] == [2, 3, 4, 5, 6, 7]
+
+
+def test_fold_hot_alarm_matches_brute_force(spark):
+    """One alarm id holding a third of the log (re-registered and disabled
+    over and over): the map-side max_by fold still gives its last action."""
+    entries = [(7, m, m, "register" if m % 2 == 0 else "disable", "u7") for m in range(300)]
+    entries += [(i, i, 1000 + i, "register", f"u{i}") for i in range(8, 608)]
+    df = log(spark, entries).repartition(5)
+    got = dict(rows(A.fold_alarms(df), "alarm_id", "is_enabled"))
+    assert got[7] is False                     # last event (m = 299) is a disable
+    assert len(got) == 601 and all(got[i] for i in range(8, 608))
