@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,12 +55,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="rxlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():   # one subfolder a session
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rxlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as tmp:
+        archive = os.path.join(tmp, "rxlake.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        path = os.path.join(folder, n)
+                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
+        sc.addPyFile(archive)       # copied at once to the session's file folder
+    sc._rxlake_shipped = True
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count; a non-numeric setting (some
     platforms allow ``auto``) falls back to the cluster's core count."""
