@@ -70,15 +70,15 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_rxlake_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as tmp:
-        archive = os.path.join(tmp, "rxlake.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for folder, _, names in os.walk(root):
-                for n in names:
-                    if n.endswith(".py"):
-                        path = os.path.join(folder, n)
-                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
-        sc.addPyFile(archive)       # copied at once to the session's file folder
+    # the driver's file server reads it from here as executors come and go
+    archive = os.path.join(tempfile.mkdtemp(prefix="rxlake-code-"), "rxlake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
     sc._rxlake_shipped = True
 
 
