@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import wumanber
+from rxlake.llm import quality, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,13 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op8_wu_manber": op8_wu_manber,
+    "op9_risk_controlled_rules": op9_risk_controlled_rules,
 }
 
 ORACLE = {
