@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import packing, quality, wumanber
+from rxlake.llm import dartminhash, packing, quality, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.report(table(spark, sf_dir, "documents"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +30,7 @@ def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ordered_packing": op2_ordered_packing,
+    "op5_dart_minhash": op5_dart_minhash,
     "op8_wu_manber": op8_wu_manber,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
 }

@@ -114,9 +114,9 @@ def word_bounds(offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20
-                  ) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about max_bytes of text (one row at least)."""
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20,
+                  max_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about max_bytes of text (one row at least, max_rows at most)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -125,5 +125,6 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
         i = 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + max_bytes, side="right")) - 1)
+            j = min(j, i + max_rows)
             yield batch.slice(i, j - i)
             i = j
