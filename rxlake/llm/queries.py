@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import dartminhash, packing, quality, wumanber
+from rxlake.llm import dartminhash, packing, pii, quality, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,7 @@ def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ordered_packing": op2_ordered_packing,
     "op5_dart_minhash": op5_dart_minhash,
+    "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op8_wu_manber": op8_wu_manber,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
 }
