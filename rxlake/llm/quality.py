@@ -135,8 +135,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", s
     rows = measured.where(~F.col("base_failed")).select(
         F.col(doc_id).alias("_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("\0")).alias("stratum"),
         F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES])).alias("x"))
-    counts = rows.join(good, "_id").groupBy("stratum", "x.rule", "x.level").agg(
-        F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") == 0).cast("long")).alias("bad"))
+    counts = written(rows.join(good, "_id").groupBy("stratum", "x.rule", "x.level").agg(
+        F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") == 0).cast("long")).alias("bad")), "levels")
+    tested = counts.agg(F.count_distinct("stratum")).first()[0] * len(RULES)
     # the share of a row at level l exceeds the l most strict cutoffs: one row per
     # cutoff with what it rejects, at most len(grid) + 1 per stratum and rule
     per_rule = counts.groupBy("stratum", "rule").agg(
@@ -147,10 +148,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", s
         F.filter("at", lambda x: x["level"] >= len(grid) - F.col("step")), F.lit(0).cast("long"),
         lambda a, x: a + x[what])
     tests = tests.withColumns({"k": reached("good"), "hit": reached("bad")})
-    strata = tests.agg(F.count_distinct("stratum").alias("strata"))
-    tests = tests.join(F.broadcast(strata), F.lit(True))        # one row
     passed = (F.col("k") <= F.col("n_good") * risk) & (F.col("n_good") > 0) & \
-        (binomial_cdf(F.col("k"), F.col("n_good"), risk) <= delta / (F.col("strata") * len(RULES)))
+        (binomial_cdf(F.col("k"), F.col("n_good"), risk) <= delta / max(tested, 1))
     in_order = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     certified = tests.withColumn("ok", F.min(passed.cast("int")).over(in_order)).where("ok = 1")
     gain = F.col("hit") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("k") / F.col("n_good")
