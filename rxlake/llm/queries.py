@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import dartminhash, packing, pii, quality, wumanber
+from rxlake.llm import dartminhash, huffman, packing, pii, quality, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,17 @@ def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_ordered_packing": op2_ordered_packing,
     "op5_dart_minhash": op5_dart_minhash,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op8_wu_manber": op8_wu_manber,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
+    "op10_huffman_ids": op10_huffman_ids,
 }
 
 ORACLE = {
