@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import dartminhash, huffman, packing, pii, quality, wumanber
+from rxlake.llm import dartminhash, huffman, packing, pii, quality, warc, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ordered_packing": op2_ordered_packing,
+    "op4_sharded_warc": op4_sharded_warc,
     "op5_dart_minhash": op5_dart_minhash,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op8_wu_manber": op8_wu_manber,
@@ -46,5 +51,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_sharded_warc": warc.ORACLE,
     "op8_wu_manber": wumanber.ORACLE,
 }
