@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import dartminhash, huffman, langid, packing, pii, quality, warc, wumanber
+from rxlake.llm import dartminhash, huffman, langid, packing, pii, quality, toxicity, warc, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wumanber.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_sharded_warc": op4_sharded_warc,
     "op5_dart_minhash": op5_dart_minhash,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
+    "op7_clause_grammar": op7_clause_grammar,
     "op8_wu_manber": op8_wu_manber,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
     "op10_huffman_ids": op10_huffman_ids,
