@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import dartminhash, huffman, langid, packing, pii, quality, toxicity, warc, wumanber
+from rxlake.llm import dartminhash, huffman, langid, packing, pii, quality, quotes, toxicity, warc, wumanber
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ecoc_language": op1_ecoc_language,
     "op2_ordered_packing": op2_ordered_packing,
+    "op3_quote_threads": op3_quote_threads,
     "op4_sharded_warc": op4_sharded_warc,
     "op5_dart_minhash": op5_dart_minhash,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
