@@ -13,13 +13,20 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: a blank between two visible characters of U+0021-U+007E, U+00A1-U+024F
 _CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
 #: pieces remembered per worker process (about 200 bytes each)
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: a plain word, perhaps with one mark: pre-tokens of Latin-1 letters and of the mark
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: letters beyond ASCII as the byte-level alphabet writes their two UTF-8 bytes
+#: (bytes 0xA1-0xAC and 0xAE-0xFF stand for themselves, 0x80-0xA0 and 0xAD for U+0122-U+0143)
+_BYTES = {c: "".join(chr(b if b >= 0xA1 and b != 0xAD else 0x143 if b == 0xAD else 0x122 + b - 0x80) for b in chr(c).encode())
+          for c in range(0xC0, 0x100)}
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -57,8 +64,26 @@ class Encoder:
         return None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces; plain words go to the library's model without its normalizer and splitter."""
+        out, rest, model = {}, [], self.tokenizer.model.tokenize
+        skip = len(self.lead)
+        for p in pieces:
+            first = skip if p.startswith(" ") else 0
+            m = _WORD.fullmatch(p, first)
+            if not m:
+                rest.append(p)
+                continue
+            word = m[1] if skip else m[1].lower()       # the other kind's normalizer lower-cases
+            word = word if word.isascii() else word.translate(_BYTES)
+            ids = [t.id for t in model("Ġ" + word if first else word)]
+            if m[2]:
+                ids += [t.id for t in model(m[2])]
+            out[p] = array("I", ids).tobytes()
+        out.update(zip(rest, self._encode(rest)))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null texts are empty."""
@@ -71,7 +96,7 @@ class Encoder:
             cut.append(pieces[:1] + [lead + p for p in pieces[1:]] if lead else pieces)
         new = list({p for pieces in cut for p in pieces if p not in known})
         if new:
-            fresh = dict(zip(new, self._encode(new)))
+            fresh = self._pieces(new)
             if len(known) + len(fresh) <= REMEMBERED:
                 known.update(fresh)
             else:                       # full: the frequent pieces are in; the rest is for this call only
