@@ -1,10 +1,12 @@
 """JSON, array and struct helpers (N1-N9), JVM-side.
 
 Strictness follows Python's ``json.loads`` where it matters (SURVEY D6):
-single quotes are rejected (the variant parser is strict), and text holding
-more than one JSON value is rejected by parsing it wrapped in ``[...]`` and
-requiring exactly one element (the parser alone stops after the first
-value).
+single quotes are rejected (the variant parser is strict), and any text after
+the first complete value is rejected by parsing it both as the only element of
+``[...]`` and as the only field of ``{"v": ...}``: what could follow the value in
+one of them is an error in the other (the parser alone stops after the first
+value).  Two deviations remain: a repeated key and the words NaN and Infinity
+make the status ``error``, where Python's parser takes the last key and a float.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ def single_json(c) -> Column:
     """Variant of the text when it is exactly one JSON value, else null."""
     c = col_(c)
     as_list = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    n = F.size(F.try_variant_get(as_list, "$", "array<variant>"))
-    return F.when(n == 1, F.try_parse_json(c))
+    as_field = F.try_parse_json(F.concat(F.lit('{"v": '), c, F.lit("}")))
+    return F.when(as_list.isNotNull() & as_field.isNotNull(), F.try_parse_json(c))
 
 
 def string_list_field(obj: Column, field: str):

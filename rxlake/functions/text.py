@@ -84,12 +84,6 @@ def to_number(c) -> Column:
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
 
 
-def num_or_zero(c) -> Column:
-    """F4 on an already numeric column."""
-    v = col_(c).cast("double")
-    return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
-
-
 def to_text(c) -> Column:
     """any column -> trimmed text, null -> ""."""
     return ustrip(F.coalesce(col_(c).cast("string"), F.lit("")))

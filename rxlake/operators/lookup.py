@@ -27,9 +27,8 @@ bounded size checks: a few distinct names are broadcast whatever the number
 of terms; otherwise the terms are broadcast when few and the nested loop
 stays within a comparison budget; otherwise the n-gram index.  The streamed
 side of a nested loop is repartitioned explicitly so AQE cannot coalesce a
-small, CPU-heavy input into one task.  Blank terms are rejected up front (in
-the original an empty term matches every row; in batch form one blank row
-would multiply the join).
+small, CPU-heavy input into one task.  An empty term matches every named row,
+as in the original; it never enters the join (``substring_matches``).
 """
 
 from __future__ import annotations
@@ -81,9 +80,8 @@ def ngrams(c: Column, n: int | Column) -> Column:
 
 
 def prepare_terms(requests: DataFrame, term_col: str) -> DataFrame:
-    """Distinct non-blank terms with their folded form, wildcard flag, regex."""
-    terms = (requests.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull())
-             .where(T.ustrip("term") != "").distinct())
+    """Distinct non-empty terms with their folded form, wildcard flag, regex."""
+    terms = requests.select(F.col(term_col).alias("term")).where(F.col("term") != "").distinct()
     fold = T.fold_ascii("term")
     return (terms.withColumn("term_fold", fold)
                  .withColumn("is_wild", F.col("term_fold").rlike(WILD))
@@ -176,10 +174,9 @@ def _names_broadcast(terms: DataFrame, names: DataFrame, name_fold: str, small:
     return _streamed(terms).join(F.broadcast(names), cond, "inner").select("term", name_fold)
 
 
-def _size_upto(df: DataFrame, col: str, cap: int) -> tuple:
-    """(rows, characters) of ``df``, reading at most ``cap + 1`` rows: one
-    bounded job, so the check costs little even when the side is huge."""
-    r = df.limit(cap + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(col)), F.lit(0))).first()
+def _size(df: DataFrame, col: str) -> tuple:
+    """(rows, characters) of ``df``: one aggregate, combined map-side."""
+    r = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(col)), F.lit(0))).first()
     return int(r[0]), int(r[1])
 
 
@@ -190,34 +187,27 @@ def pair_budget_for(spark) -> int:
 def choose_strategy(terms: DataFrame, names: DataFrame, name_fold: str,
                     broadcast_limit: int = BROADCAST_TERMS_LIMIT,
                     pair_budget: int | None = None):
-    """Pick the plan from bounded size checks.  Returns ``(strategy, terms)``
+    """Pick the plan from the two sides' sizes.  Returns ``(strategy, terms)``
     (terms materialised when they had to be counted).
 
     * few distinct names (a small catalogue, or many copies of few names):
       broadcast the names and stream the terms, whatever their number;
     * else, when one side fits a broadcast and terms x names stays within
       ``pair_budget`` comparisons: a nested loop with the smaller side
-      broadcast.  The other side is counted only up to what the budget
-      allows, so the check stays bounded on a huge side;
+      broadcast;
     * else the n-gram index.
     """
     if pair_budget is None:
         pair_budget = pair_budget_for(names.sparkSession)
-    nn, cn = _size_upto(names, name_fold, broadcast_limit)
+    nn, cn = _size(names, name_fold)
     if nn <= min(SMALL_SIDE_ROWS, broadcast_limit) and cn <= BROADCAST_CHARS_LIMIT:
         return "broadcast_names", terms
     terms = terms.checkpoint(eager=True)          # counted, then matched: materialise once
-    nt, ct = _size_upto(terms, "term_fold", broadcast_limit)
+    nt, ct = _size(terms, "term_fold")
     terms_fit = nt <= broadcast_limit and ct <= BROADCAST_CHARS_LIMIT
     names_fit = nn <= broadcast_limit and cn <= BROADCAST_CHARS_LIMIT
     if not (terms_fit or names_fit):
         return "ngram", terms
-    # a side above the broadcast limit was counted only up to it: count it
-    # again up to the most the budget allows next to the other side
-    if not names_fit:
-        nn, _ = _size_upto(names, name_fold, pair_budget // max(nt, 1))
-    if not terms_fit:
-        nt, _ = _size_upto(terms, "term_fold", pair_budget // max(nn, 1))
     if nt * nn > pair_budget:
         return "ngram", terms
     if terms_fit and (not names_fit or ct < cn):
@@ -267,7 +257,13 @@ def substring_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
     if per_name is not None:
         order, k = per_name
         rows = R.first_k(rows, [name_fold], order, k)
-    return pairs.join(rows, name_fold, "inner").select("term", *cols)
+    hits = pairs.join(rows, name_fold, "inner").select("term", *cols)
+    # the empty term: every named row (or the first k of all), at most once
+    every = catalogue.where(F.col(name_fold).isNotNull()).select(*cols)
+    if per_name is not None:
+        every = every.orderBy(*per_name[0]).limit(per_name[1])
+    empty = requests.select(F.col(term_col).alias("term")).where(F.col("term") == "").distinct()
+    return hits.unionByName(every.withColumn("term", F.lit("")).join(empty, "term", "left_semi").select("term", *cols))
 
 
 def first_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carry: list,

@@ -39,11 +39,9 @@ def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
 
 
 def keep_first_by_ord(df: DataFrame, keys: list, ord_col: str) -> DataFrame:
-    """T2 with a unique order column: ``min(ord)`` per key (a grouped
-    aggregate that combines map-side), then a semi join on ``ord``.  Only
-    (key, ord) pairs are shuffled for the aggregate, not whole rows."""
-    firsts = df.groupBy(*keys).agg(F.min(ord_col).alias(ord_col)).select(ord_col)
-    return df.join(firsts, on=ord_col, how="left_semi")
+    """T2 with an order column: the first row per key, in one pass over ``df``
+    (the partial group limit keeps one row per key and input partition)."""
+    return keep_first(df, keys, [F.col(ord_col).asc()])
 
 
 def last_n_oldest_first(df: DataFrame, keys: list, time_order: list, n: int,
@@ -98,14 +96,17 @@ MAX_GROUP_ROWS = 2_000_000   # a per-key window above this is split instead
 
 def rolling_frames(df: DataFrame, keys: list, order: list, n: int, value: Column, out_col: str,
                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """T5, choosing the plan by the data: one grouped count (combined
-    map-side) finds the largest key; up to ``max_group_rows`` the plain
-    bounded-frame window is cheapest, above it ``rolling_list_split`` keeps
-    the hot key from landing in one task."""
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_group_rows:
+    """T5, choosing the plan per key: one grouped count (combined map-side)
+    finds the keys above ``max_group_rows``; their rows go through
+    ``rolling_list_split``, all others through the bounded-frame window."""
+    hot = df.groupBy(*keys).count().where(F.col("count") > max_group_rows).select(*keys)
+    if hot.isEmpty():
         return rolling_list(df, keys, order, n, value, out_col)
-    return rolling_list_split(df, keys, order, n, value, out_col)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    cold = df.alias("a").join(hot.alias("h"), same, "left_anti")
+    warm = df.alias("a").join(hot.alias("h"), same, "left_semi")
+    return rolling_list(cold, keys, order, n, value, out_col).unionByName(
+        rolling_list_split(warm, keys, order, n, value, out_col))
 
 
 def keep_valid_or_all(df: DataFrame, keys: list, ok_col: str, out_flag: str = "validated") -> DataFrame:

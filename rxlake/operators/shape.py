@@ -85,18 +85,6 @@ def drop_blank_text(df: DataFrame, col: str) -> DataFrame:
     return df.where(T.ustrip(F.coalesce(F.col(f"`{col}`"), F.lit(""))) != "")
 
 
-def optional_predicates(shape_col: Column, color_cols: list, shape_arg: Column,
-                        color_arg: Column, match) -> Column:
-    """P11 in batch form: absent argument adds no condition.
-
-    ``match(value, term)`` is the per-column substring test.
-    """
-    shape_ok = shape_arg.isNull() | (shape_arg == "") | match(shape_col, shape_arg)
-    color_any = reduce(lambda a, b: a | b, [match(c, color_arg) for c in color_cols])
-    color_ok = color_arg.isNull() | (color_arg == "") | color_any
-    return F.coalesce(shape_ok & color_ok, F.lit(False))
-
-
 def has_any_argument(*args) -> Column:
     """At least one non-empty argument."""
     return reduce(lambda a, b: a | b,

@@ -2,9 +2,8 @@
 
 * V1/V2 encoder plug-in: an iterator-style pandas UDF; the model object is
   created once per Python worker and fed Arrow batches, in inner batches of
-  64 texts.  No model ships offline, so the default encoder is a
-  deterministic feature-hashing encoder (tokens -> signed buckets -> L2
-  normalised).  A real sentence encoder plugs in through ``make_encoder``.
+  64 texts (``make_encoder``).  No model ships offline, so the default is a
+  deterministic feature-hashing encoder in DataFrame functions (``hash_vectors``).
 * V3 exact top-k (squared L2, the vector store's default; cosine optional):
   the query set, after a size check, is broadcast; each partition of the
   collection computes distances with numpy and keeps its local top-k per
@@ -17,7 +16,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,35 +26,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from rxlake import fixed_values as FV
+from rxlake.functions import text as T
 from rxlake.operators import rank as R
 
 QUERY_BROADCAST_BYTES = 64 << 20   # max bytes of query vectors shipped per pass
+TILE_BYTES = 64 << 20              # max bytes of distances held by a worker
 
 
 # ------------------------------------------------------------------ encoders ---
-class HashingEncoder:
-    """Deterministic text -> vector encoder (feature hashing over tokens).
-
-    Stands in for a sentence-embedding model: same interface, same output
-    shape, no download.  Whole texts are encoded.
+def hash_vectors(df: DataFrame, keys: list, text: str, dim: int = 64, out: str = "embedding",
+                 unit: bool = True) -> DataFrame:
+    """Rows of ``df`` with a feature-hashing vector of the text (stand-in for a
+    sentence model, which does not ship offline), in DataFrame functions.
+
+    The first two hex digits of a token's MD5 pick the coordinate, the third the
+    sign.  Tokens are counted per (key, coordinate), combined map-side, and at
+    most ``dim`` counts per key are collected.  ``keys`` must be unique.
+    ``unit`` scales the vector to length 1; a text without tokens gets zeros.
     """
-
-    def __init__(self, dim: int = 64):
-        self.dim = dim
-
-    def encode(self, texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        for r, t in enumerate(texts):
-            for tok in (t or "").split():
-                h = int.from_bytes(hashlib.blake2b(tok.encode("utf-8"), digest_size=8).digest(), "little")
-                out[r, h % self.dim] += 1.0 if (h >> 63) & 1 else -1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        norms[norms == 0] = 1.0
-        return out / norms
-
-
-def make_encoder(factory: Callable[[], object] = HashingEncoder, batch: int = FV.EMBED_BATCH):
-    """V1/V2: pandas UDF ``string -> array<float>`` around ``factory().encode``.
+    h = F.md5(F.col("_t").cast("binary"))
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substr(h, F.lit(i), F.lit(1))) - 1
+    tokens = df.select(*keys, F.explode_outer(F.split(T.collapse_ws(F.coalesce(F.col(text), F.lit(""))), " ")).alias("_t"))
+    counts = tokens.where(F.col("_t") != "").groupBy(*keys, ((digit(1) * 16 + digit(2)) % dim).alias("_i")) \
+        .agg(F.sum(F.when(digit(3) >= 8, 1).otherwise(-1)).cast("double").alias("_v"))
+    vec = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"),
+                                    F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"))
+    scale = F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.lit(1.0)) if unit else F.lit(1.0)
+    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                       lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.coalesce(scale, F.lit(1.0)))
+    return df.join(vec, keys, "left").withColumn(out, full).drop("_m", "_n")
+
+
+def make_encoder(factory: Callable[[], object], batch: int = FV.EMBED_BATCH):
+    """V1/V2: pandas UDF ``string -> array<float>`` around ``factory().encode``
+    (a real sentence model).
 
     The model is built once per Python worker (iterator UDF), then fed in
     inner batches of ``batch`` texts (the original encodes 64 at a time).
@@ -76,13 +79,14 @@ def make_encoder(factory: Callable[[], object] = HashingEncoder, batch: int = FV
 def centroids(vectors: DataFrame, group: str, vec: str = "embedding", id_col: str = "qid") -> DataFrame:
     """Mean vector per group (used to derive query vectors from a table).
 
-    Element-wise mean through ``posexplode`` + a grouped average (combines
-    map-side); the per-group list is ``dim`` long, so collecting it is bounded.
+    Element-wise mean by ``Summarizer``, one vector buffer per group, combined
+    map-side.
     """
-    ex = vectors.select(F.col(group).alias(id_col), F.posexplode(vec).alias("_i", "_x"))
-    means = ex.groupBy(id_col, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return means.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("qvec"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = array_to_vector(F.transform(vec, lambda x: x.cast("double")))
+    means = vectors.select(F.col(group).alias(id_col), v.alias("_v")).groupBy(id_col).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return means.select(id_col, vector_to_array("_m").alias("qvec"))
 
 
 def _ids(s: pd.Series, id_type: str) -> np.ndarray:
@@ -91,12 +95,19 @@ def _ids(s: pd.Series, id_type: str) -> np.ndarray:
 
 def _topk_partition(bc, k: int, id_col: str, vec_col: str, metric: str, id_type: str = "bigint"):
     def run(it):
-        qids, qmat = bc.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
             X = np.vstack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
             ids = _ids(pdf[id_col], id_type)
+            yield from tiles(X, ids)
+
+    def tiles(X, ids):
+        # distances of a tile of queries at a time: rows x tile x 8 bytes <= TILE_BYTES
+        all_ids, all_mat = bc.value
+        size = max(1, TILE_BYTES // (8 * max(X.shape[0], 1)))
+        for at in range(0, len(all_mat), size):
+            qids, qmat = all_ids[at:at + size], all_mat[at:at + size]
             if metric == "cosine":
                 Xn = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
                 Qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
@@ -186,7 +197,7 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
     qn, dn = q.count(), d.count()
     if qn == 0 or dn == 0:
         return spark.createDataFrame([], f"qid long, rank int, doc_id {id_type}, dist double")
-    dim = d.select(F.size("_v").alias("n")).agg(F.max("n")).first()[0] or 1
+    dim = max(1, len(d.select("_v").first()[0] or []))      # all vectors of a collection have one length
     per_pass = max(1, max_bytes // (8 * dim))
     if dn <= per_pass and dn <= qn:
         pdf = d.toPandas()  # bounded: dn * dim * 8 <= max_bytes
@@ -195,9 +206,12 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
     schema = f"qid long, doc_id {id_type}, dist double"
     order = [F.col("dist").asc(), F.col("doc_id").asc()]
 
+    sent: list = []
+
     def pass_over(chunk: DataFrame) -> DataFrame:
         pdf = chunk.toPandas()  # bounded by max_bytes, checked above
         bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), _rows_to_matrix(pdf, "qvec")))
+        sent.append(bc)
         local = d.mapInPandas(_topk_partition(bc, k, "_id", "_v", metric, id_type), schema)
         return R.first_k(local, ["qid"], order, k, rank_col="rank").select("qid", "rank", "doc_id", "dist")
 
@@ -211,6 +225,7 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
     for i in range((qn + per_pass - 1) // per_pass):
         ch = qs.where((F.col("_qseq") > i * per_pass) & (F.col("_qseq") <= (i + 1) * per_pass)).drop("_qseq")
         pass_over(ch).write.mode("overwrite").parquet(f"{base}/chunk={i}")
+        sent.pop().destroy()
     return spark.read.parquet(base).select("qid", "rank", "doc_id", "dist")
 
 

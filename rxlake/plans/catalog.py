@@ -118,6 +118,12 @@ def order_year_slices(orders: DataFrame) -> list:
             header = c.upper() if i % 2 else f" {c} "
             cols.append(v.alias(header))
         out.append((y, sl.select(*cols)))
+    # orders without a date or outside these years are a slice of their own
+    date = F.col("o_orderdate")
+    rest = orders.where(date.isNull() | (date < F.lit(f"{ORDER_YEARS[0]}-01-01").cast("timestamp_ntz")) |
+                        (date >= F.lit(f"{ORDER_YEARS[-1] + 1}-01-01").cast("timestamp_ntz")))
+    out.append((0, rest.select(*[(F.date_format(c, "yyyy-MM-dd") if c == "o_orderdate" else F.col(c).cast("string")).alias(c)
+                                 for c in ORDER_COLS])))
     return out
 
 
@@ -199,16 +205,14 @@ def q_dedup_newest(spark, sf_dir):
 @register("dedup_first_seen")
 def q_dedup_first_seen(spark, sf_dir):
     """One document per distinct text, the first by doc_id, with the
-    number of copies.  The texts are hashed in one pass: one grouped
-    aggregate per hash gives both the first doc_id (min) and the copy count,
-    combined map-side, so a text copied across a third of the table is
-    reduced in every partition.  The short columns are joined back by id
-    from a scan that does not read the text."""
+    number of copies.  One scan and one grouped aggregate per text hash give
+    the first document's short columns (``min`` of a struct led by the id) and
+    the copy count, combined map-side, so a text copied across a third of the
+    table is reduced in every partition."""
     docs = table(spark, sf_dir, "documents")
-    per_text = docs.select("doc_id", F.md5("text").alias("text_md5")).groupBy("text_md5").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    meta = table(spark, sf_dir, "documents", spread=False).select("doc_id", "lang", "source", "n_chars")
-    return per_text.join(meta, "doc_id").select("doc_id", "text_md5", "copies", "lang", "source", "n_chars")
+    per_text = docs.select(F.md5("text").alias("text_md5"), F.struct("doc_id", "lang", "source", "n_chars").alias("d")) \
+        .groupBy("text_md5").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("copies"))
+    return per_text.select("d.doc_id", "text_md5", "copies", "d.lang", "d.source", "d.n_chars")
 
 
 def _part_words(part: DataFrame) -> DataFrame:
@@ -263,8 +267,8 @@ TABLE_KEYS = {
 
 @register("table_refresh_report")
 def q_table_refresh_report(spark, sf_dir):
-    """Per table rows in, rows out after blank-key drop and key
-    dedup, and the half-built gate."""
+    """Per table rows in, rows out after blank-key drop and key
+    dedup, and whether all of them are left."""
     parts = []
     for name, keys in TABLE_KEYS.items():
         t = table(spark, sf_dir, name, spread=False)     # keys only: no text work
@@ -273,8 +277,7 @@ def q_table_refresh_report(spark, sf_dir):
                            F.count_distinct(*[F.col(k) for k in keys]).alias("rows_out"))
                       .select(F.lit(name).alias("table_name"), "rows_in", "rows_out"))
     rep = S.union_by_name(parts)
-    return rep.withColumn("half_built", (F.col("rows_out") > 0) &
-                          (F.col("rows_out") < FV.HALF_BUILT_THRESHOLD))
+    return rep.withColumn("complete", F.col("rows_out") == F.col("rows_in"))
 
 
 SAFETY_STANDIN_COLS = [("host", "HOST"), ("page", "ID"), ("text", "NAME"), ("text_or_url", ("NAME", "SITE"))]
@@ -287,10 +290,10 @@ def q_safety_refresh(spark, sf_dir):
     the numeric id through F5), rows with a blank name or key dropped, the
     first row per key (the site) in file order, mapped to the output columns
     with a first-non-empty pair."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     raw = pages.select(F.col("page_id").alias("ID"), F.split_part("url", F.lit("/"), F.lit(3)).alias("HOST"),
-                       F.col("url").alias("SITE"), F.col("html").alias("NAME"), F.col("page_id").alias("ORD"))
-    return IO.refresh_table(raw, "HOST", SAFETY_STANDIN_COLS, name_col="NAME", ord_col="ORD")
+                       F.col("url").alias("SITE"), F.col("html").alias("NAME"), IO.file_order(pages).alias("ORD"))
+    return IO.refresh_table(IO.spread(raw), "HOST", SAFETY_STANDIN_COLS, name_col="NAME", ord_col="ORD")
 
 
 # ------------------------------------------------------------ lookups (Q*) ---
@@ -312,20 +315,20 @@ def medicines_from_part(part: DataFrame) -> DataFrame:
         T.fold_ascii("p_name").alias("name_fold"))
 
 
-def user_keywords(spark, sf_dir, role: str = "user") -> DataFrame:
-    """Search keywords: the long tokens of the conversation turns of ``role``."""
-    conv = table(spark, sf_dir, "conversations").where(F.col("role") == role)
+def keywords(spark, sf_dir) -> DataFrame:
+    """Search keywords: the long tokens of all conversation turns."""
+    conv = table(spark, sf_dir, "conversations")
     # explode_outer + null filter: keeps the optimizer from inferring a
     # size(tokens) > 0 filter and pushing the tokenising into the scan task
     return conv.select(F.explode_outer(T.long_tokens("text")).alias("keyword")) \
         .where(F.col("keyword").isNotNull()).distinct()
 
 
-def _name_search(spark, sf_dir, role, strategy, index=None):
+def _name_search(spark, sf_dir, strategy, index=None):
     med = medicines_from_part(table(spark, sf_dir, "part"))
     # the keywords come from tokenising every turn and feed the match and
     # both sides of the envelope: tokenise once
-    kws = user_keywords(spark, sf_dir, role).checkpoint(eager=True)
+    kws = keywords(spark, sf_dir).checkpoint(eager=True)
     hits = L.first_matches(kws, med, "keyword", CAT_COLS, CAT_ORDER, FV.NAME_SEARCH_LIMIT,
                            strategy=strategy, index=index)
     out = L.envelope(kws, hits, "keyword")
@@ -337,7 +340,7 @@ def _name_search(spark, sf_dir, role, strategy, index=None):
 def q_name_search_top5(spark, sf_dir):
     """Every keyword against the catalogue, first 5 by name.
     ``auto``: broadcast the terms when few, else the n-gram index."""
-    return _name_search(spark, sf_dir, "user", "auto")
+    return _name_search(spark, sf_dir, "auto")
 
 
 @register("name_search_indexed")
@@ -346,7 +349,7 @@ def q_name_search_indexed(spark, sf_dir):
     theta join by construction)."""
     med = medicines_from_part(table(spark, sf_dir, "part"))
     index = L.names_index(med).checkpoint()
-    return _name_search(spark, sf_dir, "assistant", "ngram", index=index)
+    return _name_search(spark, sf_dir, "ngram", index=index)
 
 
 def attribute_requests(part: DataFrame) -> DataFrame:
@@ -357,7 +360,11 @@ def attribute_requests(part: DataFrame) -> DataFrame:
     both = p.select(F.lower("p_type").alias("shape"), F.col("w1").alias("color"))
     shape_only = p.select(F.lower("p_type").alias("shape"), F.lit(None).cast("string").alias("color"))
     color_only = p.select(F.lit("").alias("shape"), F.col("w2").alias("color"))
-    req = both.unionByName(shape_only).unionByName(color_only).distinct()
+    none = F.lit(None).cast("string")
+    rejected = p.select(F.lit("").alias("shape"), none.alias("color")).unionByName(
+        p.select(none.alias("shape"), F.lit("").alias("color")))
+    unknown = p.select(F.concat(F.lit("no "), F.lower("p_type")).alias("shape"), none.alias("color"))
+    req = both.unionByName(shape_only).unionByName(color_only).unionByName(rejected).unionByName(unknown).distinct()
     return req.withColumn("request_id", F.concat_ws("|", F.coalesce("shape", F.lit("∅")),
                                                     F.coalesce("color", F.lit("∅"))))
 
@@ -522,7 +529,7 @@ def q_fuzzy_prefix_match(spark, sf_dir):
     """Q9: first 4 characters of each name -> first catalogue hit, or the
     name itself with empty fields and ``db_matched = false``."""
     med = medicines_from_part(table(spark, sf_dir, "part"))
-    names = user_keywords(spark, sf_dir).withColumnRenamed("keyword", "original") \
+    names = keywords(spark, sf_dir).withColumnRenamed("keyword", "original") \
         .withColumn("short", T.prefix("original"))
     return prefix_match(names, med)
 
@@ -547,6 +554,9 @@ def model_replies(events: DataFrame) -> Column:
     return (F.when((et == "purchase") & (F.col("value") > 50),
                    F.concat(F.lit('{"medicines": ["a"]} and {"x": '), uid, F.lit("}")))
              .when((et == "purchase") & (F.col("value") < 2), F.lit('{"medicines": [1, "b"]}'))
+             .when((et == "purchase") & (F.col("value") < 4), F.lit('{"medicines": ["a"]}] trailing {x}'))
+             .when((et == "purchase") & (F.col("value") < 6), F.lit('{"medicines": ["a"]}], [{"b":1}'))
+             .when((et == "purchase") & (F.col("value") < 8), F.lit('{"medicines": ["a"]}, "w": {"b":1}'))
              .when(et == "purchase", good)
              .when(et == "signup", F.concat(F.lit('{"other": '), F.col("props"), F.lit("}")))
              .when(et == "view", F.concat(F.lit("no json here ("), uid, F.lit(")")))
@@ -640,42 +650,43 @@ def q_rolling_context(spark, sf_dir):
                     F.size(prompt).alias("n_prompt"))
 
 
-def chat_context(spark, sf_dir, gate_terms: list, rag_available: bool = False) -> DataFrame:
-    """C6 over the user turns: gate -> (vector search when available, else
-    first-token lookup) -> context text; "" when gated out or no hit."""
+def vector_collections(spark, sf_dir) -> tuple:
+    """Two collections with whole-number hashing vectors (exact distances on
+    both engines): the catalogue's documents and the suppliers as leaflets."""
     med = medicines_from_part(table(spark, sf_dir, "part"))
-    msgs = table(spark, sf_dir, "conversations").where(F.col("role") == "user") \
-        .withColumn("gated", T.contains_any("text", gate_terms))
-    ctx = token_context(msgs.where("gated"), med, ["conv_id", "turn"], "text")
-    out = msgs.join(ctx, ["conv_id", "turn"], "left")
-    has = F.col("context").isNotNull()
-    return out.select("conv_id", "turn", "text", "gated",
-                      F.when(has, F.lit("token")).otherwise(F.lit("none")).alias("context_source"),
-                      F.coalesce("context", F.lit("")).alias("context"))
+    meta = ["name", "company", "shape", "color1", "description"]
+    first = med.select(F.col("item_seq").alias("id"), F.concat_ws(" ", "item_name", "drug_shape").alias("document"),
+                       F.struct(*[F.col(c).alias(m) for c, m in zip(
+                           ["item_name", "entp_name", "drug_shape", "color_class1", "chartn"], meta)]).alias("metadata"))
+    sup = table(spark, sf_dir, "supplier")
+    second = sup.select(F.col("s_suppkey").cast("string").alias("id"), F.translate("s_name", "#0", "  ").alias("document"),
+                        F.struct(F.col("s_name").alias("name"), *[F.lit(None).cast("string").alias(m) for m in meta[1:]]).alias("metadata"))
+    return tuple(V.hash_vectors(c, ["id"], "document", unit=False) for c in (first, second))
+
+
+def chat_context(spark, sf_dir, gate_terms: list) -> DataFrame:
+    """C6 over all turns: those of users with the vector collections at hand,
+    the others without (the token path)."""
+    med = medicines_from_part(table(spark, sf_dir, "part"))
+    conv = table(spark, sf_dir, "conversations")
+    keys = ["conv_id", "turn"]
+    is_user = F.col("role") == "user"
+    return J.message_context(conv.where(is_user), med, keys, gate_terms=gate_terms,
+                             collections=vector_collections(spark, sf_dir), unit=False) \
+        .unionByName(J.message_context(conv.where(~is_user), med, keys, gate_terms=gate_terms))
 
 
 @register("message_context")
 def q_message_context(spark, sf_dir):
-    """Per user message the context block (token path)."""
-    return chat_context(spark, sf_dir, GATE_TERMS).drop("text")
+    """Per message the context block and where it comes from."""
+    return chat_context(spark, sf_dir, GATE_TERMS)
 
 
 @register("prompt_usage_flags")
 def q_prompt_usage_flags(spark, sf_dir):
-    """Prompt size and usage flags per user message.  The history is
-    read after the message is saved, so the message is in it (and then added
-    once more as the user turn, as the original does)."""
-    conv = table(spark, sf_dir, "conversations")
-    msg = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
-    hist = R.rolling_frames(conv, ["conv_id"], [F.col("turn")], FV.PROMPT_HISTORY, msg, "history") \
-        .select("conv_id", "turn", "history")
-    ctx = chat_context(spark, sf_dir, GATE_TERMS)
-    d = ctx.join(hist, ["conv_id", "turn"])
-    prompt = N.prompt_messages(F.col("context"), F.col("history"), F.col("text"))
-    chars = F.aggregate(prompt, F.lit(0).cast("long"), lambda acc, m: acc + F.length(m["content"]))
-    used = F.col("context") != ""
-    return d.select("conv_id", "turn", F.size(prompt).alias("n_prompt"), chars.alias("prompt_chars"),
-                    used.alias("med_context_used"), (F.lit(False) & used).alias("rag_used"))
+    """Prompt size and usage flags per message."""
+    conv = table(spark, sf_dir, "conversations", spread=False)
+    return J.prompt_usage(conv, chat_context(spark, sf_dir, GATE_TERMS), ["conv_id"], ["turn"])
 
 
 def alarm_log(events: DataFrame) -> DataFrame:
@@ -747,13 +758,13 @@ def q_two_collection_search(spark, sf_dir):
 
 @register("embed_documents")
 def q_embed_documents(spark, sf_dir):
-    """Documents -> (id, document, embedding, metadata) with
-    the hashing encoder; rows-only check (no SQL oracle)."""
+    """C5 V1 V2 V4 V5 N9 (F1 F6 F9 F10 P2 P7 P8 T2): raw leaflets, played by
+    ``documents`` (key: the length, so keys repeat), to the vector index."""
     docs = table(spark, sf_dir, "documents")
-    idx = J.document_index(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"),
-                                       F.struct(F.col("lang").alias("name"), F.col("source").alias("company"))
-                                       .alias("metadata")))
-    return idx.select("id", F.size("embedding").alias("dim"),
-                      F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0),
-                                                 lambda a, x: a + x * x)), 4).alias("norm"),
+    empty = [F.lit("").alias(f"c{i}") for i in range(4, 14)]
+    raw = docs.select(F.col("n_chars").cast("string").alias("c0"), F.concat_ws(" ", "source", "lang").alias("c1"),
+                      F.col("source").alias("c2"), F.col("text").alias("c3"), *empty, F.col("doc_id").alias("ord"))
+    idx = J.document_index(J.leaflet_documents(raw, ord_col="ord"))
+    whole = F.transform("embedding", lambda x: F.round(x * 10000).cast("long").cast("string"))
+    return idx.select("id", F.length("document").cast("long").alias("doc_chars"), F.array_join(whole, ",").alias("vector"),
                       F.col("metadata.name").alias("name"))

@@ -8,12 +8,17 @@ left to ``rxlake.sources``.  Parameters carry the application's defaults
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rxlake import fixed_values as FV
+from rxlake.functions import nested as N
 from rxlake.functions import text as T
+from rxlake.operators import lookup as L
 from rxlake.operators import rank as R
 from rxlake.operators import shape as S
+from rxlake.operators import vectors as V
+from rxlake.sources import io as IO
 
 
 # --------------------------------------------------------------------- C1 ---
@@ -25,15 +30,14 @@ def catalogue_pipeline(sources: list, ord_col: str | None = None,
     S5 tag -> P1 headers -> U1 union by name -> P3 keep list -> F2/F4 clean ->
     P7 drop nameless -> T1 newest per ITEM_SEQ (ties: lower ``ord``) -> F8.
 
-    ``ord_col`` names a per-source file-order column; without one the scan
-    order id is used (exact for one file or ordered splits, SURVEY D2).
+    ``ord_col`` names a per-source order column; without one every source must
+    be a file scan, whose order is used (``io.file_order``).
     """
     tagged = []
     for year, df in sources:
-        df = S.normalize_headers(df)
-        ordc = F.col(ord_col.upper()) if ord_col else F.monotonically_increasing_id()
-        tagged.append(df.withColumn("SOURCE_YEAR", F.lit(int(year)))
-                        .withColumn("_ord", ordc.cast("long")))
+        ordc = F.col(f"`{ord_col}`") if ord_col else IO.file_order(df)
+        df = S.normalize_headers(df.withColumn("_ORD", ordc))
+        tagged.append(df.withColumn("SOURCE_YEAR", F.lit(int(year))).withColumnRenamed("_ORD", "_ord"))
     combined = S.union_by_name(tagged)
     kept = S.keep_columns(combined, FV.KEEP_COLS, extra=["SOURCE_YEAR", "_ord"])
     cleaned = kept.select(
@@ -74,11 +78,14 @@ def with_name_fold(medicines: DataFrame, name_col: str = "item_name") -> DataFra
 # ----------------------------------------------------------------- V4/V5 ---
 def document_index(docs: DataFrame, encoder=None) -> DataFrame:
     """V4: ``(id, document, metadata)`` -> + ``embedding``; blank documents
-    are skipped (P9).  ``encoder`` is a pandas UDF from ``make_encoder``."""
-    from rxlake.operators.vectors import make_encoder
-    enc = encoder or make_encoder()
+    are skipped (P9).  ``encoder`` is a pandas UDF from ``make_encoder``;
+    without one the hashing vectors are used (ids must be unique)."""
     kept = docs.where(T.ustrip(F.coalesce(F.col("document"), F.lit(""))) != "")
-    return kept.select("id", "document", enc(F.col("document")).alias("embedding"), "metadata")
+    if encoder is None:
+        kept = V.hash_vectors(kept, ["id"], "document")
+    else:
+        kept = kept.withColumn("embedding", encoder(F.col("document")))
+    return kept.select("id", "document", "embedding", "metadata")
 
 
 def catalogue_documents(catalogue: DataFrame) -> DataFrame:
@@ -97,14 +104,11 @@ def leaflet_documents(raw: DataFrame, ord_col: str | None = None) -> DataFrame:
     columns (F1) -> key to text (F6) -> drop nameless (P7) -> first row per
     key in file order (T2) -> document (F9) -> keep > 20 chars (P8) ->
     id ``easy_<key>`` (F10) + metadata (N9)."""
-    if ord_col:
-        body = [c for c in raw.columns if c != ord_col]
-        if len(body) != len(FV.LEAFLET_COLUMNS):
-            raise ValueError(f"expected {len(FV.LEAFLET_COLUMNS)} columns, found {len(body)}")
-        df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(body, FV.LEAFLET_COLUMNS)],
-                        F.col(ord_col).alias("_ord"))
-    else:
-        df = S.rename_positional(raw, FV.LEAFLET_COLUMNS).withColumn("_ord", F.monotonically_increasing_id())
+    body = [c for c in raw.columns if c != ord_col]
+    if len(body) != len(FV.LEAFLET_COLUMNS):
+        raise ValueError(f"expected {len(FV.LEAFLET_COLUMNS)} columns, found {len(body)}")
+    ordc = F.col(f"`{ord_col}`") if ord_col else IO.file_order(raw)
+    df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(body, FV.LEAFLET_COLUMNS)], ordc.alias("_ord"))
     key = FV.LEAFLET_COLUMNS[0]
     df = df.select(*[T.clean_text(c).alias(c) if c in FV.LEAFLET_CLEAN_COLS else F.col(c)
                      for c in FV.LEAFLET_COLUMNS], "_ord")
@@ -124,25 +128,24 @@ def leaflet_documents(raw: DataFrame, ord_col: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------ C3/C4 tables ---
-def safety_tables(sources: dict) -> dict:
+def safety_tables(sources: dict, ord_col: str | None = None) -> dict:
     """Table name -> raw DataFrame, refreshed per the fixed table list.
 
     Returns table name -> cleaned DataFrame (write each with overwrite)."""
-    from rxlake.sources import io as IO
     out = {}
     for name, (key, cols, strict) in FV.SAFETY_TABLES.items():
         if name in sources:
-            out[name] = IO.refresh_table(sources[name], key, cols, strict=strict)
+            out[name] = IO.refresh_table(sources[name], key, cols, strict=strict, ord_col=ord_col)
     pname, pkey, pcols = FV.PILL_TABLE
     if pname in sources:
-        out[pname] = IO.refresh_table(sources[pname], pkey, pcols, name_col=FV.PILL_NAME_COL)
+        out[pname] = IO.refresh_table(sources[pname], pkey, pcols, name_col=FV.PILL_NAME_COL, ord_col=ord_col)
     return out
 
 
 # ------------------------------------------------------ C6 message context ---
 def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col: str = "text",
                     gate_terms: list = FV.DRUG_KEYWORDS, collections: tuple | None = None,
-                    encoder=None, k: int = FV.VECTOR_TOP_K) -> DataFrame:
+                    encoder=None, k: int = FV.VECTOR_TOP_K, unit: bool = True) -> DataFrame:
     """C6 for a table of messages: gate (P13) -> vector search over two
     collections when they are given (V6, search layout) -> else, or when the
     search finds nothing, first-token catalogue lookup (Q8, table layout).
@@ -151,22 +154,20 @@ def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col:
     ``(id, document, embedding, metadata)`` tables.  Returns ``keys`` +
     ``gated``, ``context_source`` in {vector, token, none} and ``context``.
     """
-    from rxlake.functions import nested as N
-    from rxlake.operators import lookup as L
-    from rxlake.operators import vectors as V
     m = msgs.select(*keys, text_col).withColumn("gated", T.contains_any(text_col, gate_terms))
     gated = m.where("gated")
     parts = []
     remaining = gated
     if collections is not None:
-        enc = encoder or V.make_encoder()
         q = R.sequential_ids(gated.select(*keys, text_col), [F.col(c) for c in keys], id_col="qid")
-        qv = q.select("qid", *keys, enc(F.col(text_col)).alias("qvec"))
+        qv = V.hash_vectors(q, ["qid"], text_col, out="qvec", unit=unit) if encoder is None else \
+            q.withColumn("qvec", encoder(F.col(text_col)))
+        qv = qv.select("qid", "qvec").checkpoint(eager=True)      # read by both searches
         hits = []
-        for coll, rank_base in zip(collections, (0, 100)):   # first collection's hits come first
+        for number, coll in enumerate(collections):          # first collection's hits come first
             h = V.knn_topk(qv.select("qid", "qvec"), coll.select("id", "embedding"), k, doc_id="id")
             h = h.join(coll.select(F.col("id").alias("doc_id"), "metadata"), "doc_id") \
-                 .withColumn("ord", F.col("rank") + rank_base)
+                 .withColumn("ord", F.struct(F.lit(number).alias("collection"), "rank"))
             hits.append(h)
         allh = hits[0].unionByName(hits[1])
         md = F.col("metadata")
@@ -187,13 +188,32 @@ def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col:
                       F.coalesce("context", F.lit("")).alias("context"))
 
 
+def prompt_usage(messages: DataFrame, context: DataFrame, keys: list, time_order: list, text_col: str = "text",
+                 n: int = FV.PROMPT_HISTORY) -> DataFrame:
+    """Size of each message's prompt and its usage flags.
+
+    ``messages`` are all turns; ``context`` is the result of ``message_context``
+    for those to be answered, with ``keys + time_order`` as its key.  The history
+    is read after the message is saved, so the message is in it and once more
+    the user turn.  Only lengths enter the window and the join, no text.
+    """
+    frame = W.partitionBy(*keys).orderBy(*time_order).rowsBetween(-(n - 1), 0)
+    size = F.coalesce(F.length(text_col), F.lit(0))
+    hist = messages.select(*keys, *time_order, size.alias("_own")).withColumns({
+        "_n": F.count(F.lit(1)).over(frame), "_chars": F.sum("_own").over(frame)})
+    ctx = context.select(*keys, *time_order, "context_source", F.length("context").alias("_ctx"))
+    used = F.col("_ctx") > 0
+    return ctx.join(hist, [*keys, *time_order]).select(
+        *keys, *time_order, (F.col("_n") + 2).cast("int").alias("n_prompt"),
+        (F.col("_ctx") + F.col("_chars") + F.col("_own")).cast("long").alias("prompt_chars"),
+        used.alias("med_context_used"), (used & (F.col("context_source") == "vector")).alias("rag_used"))
+
+
 def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str,
                   k: int = FV.TOKEN_CONTEXT_HITS) -> DataFrame:
     """Q8 + F15: per message, the first token (in order, length >= 2) with any
     catalogue hit; its first ``k`` hits formatted as the context block.
     Messages without a hit are absent (callers left-join)."""
-    from rxlake.functions import nested as N
-    from rxlake.operators import lookup as L
     cat_cols = ["item_seq", "item_name", "entp_name", "chartn", "drug_shape", "color_class1",
                 "color_class2", "etc_otc_code"]
     # posexplode_outer + null filter: no inferred size() > 0 filter pushed
@@ -223,10 +243,9 @@ def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str
 def build_catalogue(spark, files: list, out_path: str, csv_export: str | None = None) -> DataFrame:
     """The catalogue build: S4 load -> C1 -> S6 write (Parquet; CSV optional).
     Returns the load report."""
-    from rxlake.sources import io as IO
     sources, report = IO.load_sources(spark, files)
     cat = catalogue_pipeline(sources, ord_col="ORD")
-    IO.write_table(cat, out_path)
+    IO.write_staged(cat, out_path)
     if csv_export:
         IO.write_table(spark.read.parquet(out_path).orderBy("ITEM_NAME", "ITEM_SEQ"), csv_export, fmt="csv")
     return report
@@ -234,46 +253,40 @@ def build_catalogue(spark, files: list, out_path: str, csv_export: str | None =
 
 def load_serving_table(spark, catalogue_path: str, out_path: str) -> bool:
     """C2 with the build-once guard (S8): returns False when already loaded."""
-    from rxlake.sources import io as IO
     if IO.is_built(spark, out_path):
         return False
-    med = with_name_fold(serving_table(spark.read.parquet(catalogue_path)))
-    IO.write_table(med, out_path)
+    IO.write_staged(with_name_fold(serving_table(spark.read.parquet(catalogue_path))), out_path)
     return True
 
 
-def import_drug_data(spark, inputs: dict, out_dir: str, encoder=None,
-                     half_built_threshold: int = FV.HALF_BUILT_THRESHOLD) -> dict:
-    """The leaflet/safety import: S13 inputs present -> S9 reset a half-built
-    index -> C5 index (skipped when built, S8) -> C3/C4 tables (overwrite).
+#: the leaflet index among the tables that ``import_drug_data`` writes
+LEAFLET_INDEX = "drug_info"
 
-    ``inputs`` maps the six input names (``easyDrug``, ``elderlyWarn``,
-    ``ageTaboo``, ``durationWarn``, ``additiveWarn``, ``pillId``) to landed
-    CSV/Parquet paths.  Returns table name -> row count written.
+
+def import_drug_data(spark, inputs: dict, out_dir: str, encoder=None,
+                     half_built_threshold: int | None = None) -> dict:
+    """The leaflet/safety import: S13 inputs present -> S9 rebuild a half-built
+    index -> C5 index (skipped when built, S8) -> C3/C4 tables (staged overwrite).
+
+    ``inputs`` maps the names of the tables to be written (``drug_info`` and
+    those of ``safety_tables``) to landed CSV/Parquet paths.  A table is half
+    built if its completeness marker is missing; ``half_built_threshold`` is the
+    original's row-count rule (``io.half_built``).  Returns table name -> rows
+    written.
     """
-    from rxlake.sources import io as IO
     IO.require_inputs(spark, inputs)
-    index_path = f"{out_dir}/drug_info"
+    index_path = f"{out_dir}/{LEAFLET_INDEX}"
     written = {}
-    if IO.half_built(spark, index_path, half_built_threshold):
-        IO.write_table(spark.createDataFrame([], "id string"), index_path)   # reset
-    if not IO.is_built(spark, index_path):
-        raw = _read_landed(spark, inputs["easyDrug"])
-        idx = document_index(leaflet_documents(raw), encoder)
-        IO.write_table(idx, index_path)
-        written["drug_info"] = spark.read.parquet(index_path).count()
-    names = {"elderlyWarn": "dur_elderly_warning", "ageTaboo": "dur_age_taboo",
-             "durationWarn": "dur_duration_warning", "additiveWarn": "dur_additive_warning",
-             "pillId": "pill_identification"}
-    tables = safety_tables({t: _read_landed(spark, inputs[k]) for k, t in names.items()})
-    for t, df in tables.items():
-        IO.write_table(df, f"{out_dir}/{t}")
-        written[t] = spark.read.parquet(f"{out_dir}/{t}").count()
+    if IO.half_built(spark, index_path, half_built_threshold) or not IO.is_built(spark, index_path):
+        raw = _read_landed(spark, inputs[LEAFLET_INDEX])
+        written[LEAFLET_INDEX] = IO.write_staged(document_index(leaflet_documents(raw), encoder), index_path)
+    landed = {t: _read_landed(spark, p) for t, p in inputs.items() if t != LEAFLET_INDEX}
+    for t, df in safety_tables(landed).items():
+        written[t] = IO.write_staged(df, f"{out_dir}/{t}")
     return written
 
 
 def _read_landed(spark, path: str) -> DataFrame:
-    from rxlake.sources import io as IO
     if path.endswith(".csv"):
         return IO.read_csv_text(spark, path)
     return spark.read.parquet(path)

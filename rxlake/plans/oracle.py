@@ -78,6 +78,10 @@ def _order_slices() -> str:
             cols.append(f"{v} AS {c.upper()}")
         sels.append(f"SELECT {', '.join(cols)}, {y} AS SOURCE_YEAR FROM orders "
                     f"WHERE o_orderdate >= TIMESTAMP '{y}-01-01' AND o_orderdate < TIMESTAMP '{y + 1}-01-01'")
+    every = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c.upper()}" if c == "o_orderdate" else f"CAST({c} AS VARCHAR) AS {c.upper()}"
+                      for c in ORDER_COLS)
+    sels.append(f"SELECT {every}, 0 AS SOURCE_YEAR FROM orders WHERE o_orderdate IS NULL "
+                "OR o_orderdate < TIMESTAMP '1995-01-01' OR o_orderdate >= TIMESTAMP '2002-01-01'")
     return "\nUNION ALL BY NAME\n".join(sels)
 
 
@@ -168,8 +172,8 @@ def _table_refresh_report() -> str:
         sels.append(f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {name}) AS rows_in, "
                     f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(keys)} FROM {name} WHERE {nn})) AS rows_out")
     body = "\nUNION ALL\n".join(sels)
-    return (f"SELECT table_name, rows_in, rows_out, rows_out > 0 AND rows_out < {FV.HALF_BUILT_THRESHOLD} "
-            f"AS half_built FROM ({body})")
+    return (f"SELECT table_name, rows_in, rows_out, rows_out = rows_in "
+            f"AS complete FROM ({body})")
 
 
 register("table_refresh_report", _table_refresh_report())
@@ -195,12 +199,12 @@ def kw_cte(name: str, source: str, col: str, col_alias: str, where: str = "") ->
 
 
 def like_join(term: str, name_fold: str) -> str:
-    return f"{X.ustrip(term)} <> '' AND {X.like_contains(name_fold, X.fold(term))}"
+    return X.like_contains(name_fold, X.fold(term))
 
 
-def _name_search(role: str) -> str:
+def _name_search() -> str:
     return f"""
-WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'keyword', f"role = '{role}'")},
+WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'keyword')},
 top AS (SELECT k.keyword AS term, {CAT_M},
                CAST(row_number() OVER (PARTITION BY k.keyword ORDER BY m.item_name, m.item_seq) AS INTEGER) AS rank
         FROM kw k JOIN med m ON {like_join('k.keyword', 'm.name_fold')}
@@ -211,8 +215,8 @@ SELECT kw.keyword, coalesce(cnt.n_found, 0) > 0 AS found, coalesce(cnt.n_found,
 FROM kw LEFT JOIN top ON kw.keyword = top.term LEFT JOIN cnt ON kw.keyword = cnt.term"""
 
 
-register("name_search_top5", _name_search("user"))
-register("name_search_indexed", _name_search("assistant"))
+register("name_search_top5", _name_search())
+register("name_search_indexed", _name_search())
 
 _has_s = "coalesce(r.shape <> '', false)"
 _has_c = "coalesce(r.color <> '', false)"
@@ -221,7 +225,10 @@ WITH {MED},
 req0 AS (SELECT DISTINCT shape, color FROM (
    SELECT lower(p_type) AS shape, split_part(p_name, ' ', 1) AS color FROM part
    UNION ALL SELECT lower(p_type), NULL FROM part
-   UNION ALL SELECT '', split_part(p_name, ' ', 2) FROM part)),
+   UNION ALL SELECT '', split_part(p_name, ' ', 2) FROM part
+   UNION ALL SELECT '', NULL FROM part
+   UNION ALL SELECT NULL, '' FROM part
+   UNION ALL SELECT 'no ' || lower(p_type), NULL FROM part)),
 req AS (SELECT *, coalesce(shape, '∅') || '|' || coalesce(color, '∅') AS request_id FROM req0),
 top AS (SELECT r.request_id, {CAT_M},
                CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY m.item_name, m.item_seq) AS INTEGER) AS rank
@@ -347,13 +354,16 @@ FROM {src} s LEFT JOIN ph USING (short)"""
 
 
 register("fuzzy_prefix_match", f"""
-WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'original', "role = 'user'")},
+WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'original')},
 names AS (SELECT original, substr(original, 1, {FV.PREFIX_LEN}) AS short FROM kw),
 {prefix_match_sql('names', 's.original')}""")
 
 _REPLY = """CASE
   WHEN event_type = 'purchase' AND value > 50 THEN '{"medicines": ["a"]} and {"x": ' || CAST(user_id AS VARCHAR) || '}'
   WHEN event_type = 'purchase' AND value < 2 THEN '{"medicines": [1, "b"]}'
+  WHEN event_type = 'purchase' AND value < 4 THEN '{"medicines": ["a"]}] trailing {x}'
+  WHEN event_type = 'purchase' AND value < 6 THEN '{"medicines": ["a"]}], [{"b":1}'
+  WHEN event_type = 'purchase' AND value < 8 THEN '{"medicines": ["a"]}, "w": {"b":1}'
   WHEN event_type = 'purchase' THEN 'Result: {"medicines": ["' || event_type || '", "u' || CAST(user_id AS VARCHAR) || '"]} done'
   WHEN event_type = 'signup' THEN '{"other": ' || props || '}'
   WHEN event_type = 'view' THEN 'no json here (' || CAST(user_id AS VARCHAR) || ')'
@@ -361,12 +371,6 @@ _REPLY = """CASE
   ELSE '{''medicines'': [''' || event_type || ''']}' END"""
 
 
-def parse_names_sql(reply: str) -> str:
-    """(status, names) columns for a reply expression."""
-    cut = f"regexp_extract({reply}, '\\{{.*\\}}', 0, 's')"
-    return cut
-
-
 register("json_extract_list", f"""
 WITH r AS (SELECT event_id, regexp_extract({_REPLY}, '\\{{.*\\}}', 0, 's') AS cut FROM events),
 p AS (SELECT event_id, cut, CASE WHEN cut = '' THEN false ELSE json_valid(cut) END AS valid FROM r),
@@ -426,15 +430,53 @@ SELECT conv_id, turn, CAST(len(history) AS INTEGER) AS n_history,
        CAST(len(history) + 2 AS INTEGER) AS n_prompt
 FROM h""")
 
+_HEX = "'0123456789abcdef'"
+
+
+def hash_counts_sql(src: str, key: str, text: str) -> str:
+    """SELECT (key, i, v): feature-hashing counts of the tokens of ``text``."""
+    d = lambda n: f"(strpos({_HEX}, substr(md5(t), {n}, 1)) - 1)"
+    return (f"SELECT {key}, ({d(1)} * 16 + {d(2)}) % 64 AS i, sum(CASE WHEN {d(3)} >= 8 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v "
+            f"FROM (SELECT {key}, unnest(string_split({X.collapse_ws(text)}, ' ')) AS t FROM {src}) WHERE t <> '' GROUP BY ALL")
+
+
+def _hits_sql(name: str, coll: str) -> str:
+    """Top 3 of a collection per gated user message: squared distances of sparse whole-number vectors."""
+    return f"""
+{name}_v AS ({hash_counts_sql(coll, 'id', 'document')}),
+{name}_n AS (SELECT c.id, coalesce(sum(v * v), 0) AS n FROM {coll} c LEFT JOIN {name}_v USING (id) GROUP BY c.id),
+{name}_dot AS (SELECT q.conv_id, q.turn, d.id, sum(q.v * d.v) AS dot FROM q_v q JOIN {name}_v d USING (i) GROUP BY ALL),
+{name} AS (SELECT q.conv_id, q.turn, n.id, row_number() OVER (PARTITION BY q.conv_id, q.turn
+              ORDER BY q.n + n.n - 2 * coalesce(dot, 0), n.id) AS rank
+           FROM q_n q, {name}_n n LEFT JOIN {name}_dot d ON d.conv_id = q.conv_id AND d.turn = q.turn AND d.id = n.id
+           QUALIFY rank <= {FV.VECTOR_TOP_K})"""
+
+
+def _search_line(name, company, shape, c1, desc) -> str:
+    e = lambda x: f"coalesce({x}, '')"
+    return (f"('- ' || {e(name)} || ' (' || {e(company)} || ') | ' || {e(shape)} || ' | ' || "
+            f"{e(c1)} || {X.q(chr(10) + FV.CONTEXT_DESC_LABEL)} || {e(desc)} || {X.q(chr(10))})")
+
+
 _CHAT_CTX = f"""
-msgs0 AS (SELECT conv_id, turn, text, coalesce({X.contains_any('text', _gate_terms())}, false) AS gated
-          FROM conversations WHERE role = 'user'),
-msgs AS (SELECT * FROM msgs0 WHERE gated),
+m0 AS (SELECT conv_id, turn, role, text, coalesce({X.contains_any('text', _gate_terms())}, false) AS gated FROM conversations),
+msgs AS (SELECT * FROM m0 WHERE gated AND coalesce(role <> 'user', false)),
 {token_context_sql('msgs')},
+asked AS (SELECT conv_id, turn, text FROM m0 WHERE gated AND role = 'user'),
+q_v AS ({hash_counts_sql('asked', 'conv_id, turn', 'text')}),
+q_n AS (SELECT a.conv_id, a.turn, coalesce(sum(v * v), 0) AS n FROM asked a LEFT JOIN q_v USING (conv_id, turn) GROUP BY ALL),
+c1 AS (SELECT item_seq AS id, item_name || ' ' || drug_shape AS document FROM med),
+c2 AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, translate(s_name, '#0', '  ') AS document FROM supplier),
+{_hits_sql('h1', 'c1')}, {_hits_sql('h2', 'c2')},
+lines AS (SELECT conv_id, turn, 0 AS c, rank, {_search_line('item_name', 'entp_name', 'drug_shape', 'color_class1', 'chartn')} AS line
+          FROM h1 JOIN med ON id = item_seq
+          UNION ALL SELECT conv_id, turn, 1, rank, {_search_line('s_name', 'NULL', 'NULL', 'NULL', 'NULL')}
+          FROM h2 JOIN supplier ON id = CAST(s_suppkey AS VARCHAR)),
+vec AS (SELECT conv_id, turn, {X.q(FV.CONTEXT_HEADER)} || string_agg(line, '' ORDER BY c, rank) AS context FROM lines GROUP BY ALL),
 chat AS (SELECT m.conv_id, m.turn, m.text, m.gated,
-                CASE WHEN ctx.context IS NOT NULL THEN 'token' ELSE 'none' END AS context_source,
-                coalesce(ctx.context, '') AS context
-         FROM msgs0 m LEFT JOIN ctx USING (conv_id, turn))"""
+                CASE WHEN vec.context IS NOT NULL THEN 'vector' WHEN ctx.context IS NOT NULL THEN 'token' ELSE 'none' END AS context_source,
+                coalesce(vec.context, ctx.context, '') AS context
+         FROM m0 m LEFT JOIN ctx USING (conv_id, turn) LEFT JOIN vec USING (conv_id, turn))"""
 
 register("message_context", f"""
 WITH {MED}, {_CHAT_CTX}
@@ -446,9 +488,23 @@ h AS (SELECT conv_id, turn, {_HIST} AS history FROM conversations)
 SELECT c.conv_id, c.turn, CAST(len(h.history) + 2 AS INTEGER) AS n_prompt,
        CAST(length(c.context) + list_sum(list_transform(h.history, lambda m: length(m.content))) + length(c.text) AS BIGINT)
          AS prompt_chars,
-       c.context <> '' AS med_context_used, false AS rag_used
+       c.context <> '' AS med_context_used, c.context <> '' AND c.context_source = 'vector' AS rag_used
 FROM chat c JOIN h USING (conv_id, turn)""")
 
+register("embed_documents", f"""
+WITH raw AS (SELECT doc_id AS ord, {X.ustrip("CAST(n_chars AS VARCHAR)")} AS k, {X.clean_text("concat_ws(' ', source, lang)")} AS name,
+                    {X.clean_text('text')} AS effect FROM documents),
+one AS (SELECT * FROM raw WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1),
+docs AS (SELECT '{FV.LEAFLET_ID_PREFIX}' || k AS id, name, {X.leaflet_document('name', ['effect', "''", "''", "''", "''", "''", "''"])} AS document
+         FROM one),
+kept AS (SELECT * FROM docs WHERE length(document) > {FV.LEAFLET_MIN_CHARS}),
+v AS ({hash_counts_sql('kept', 'id', 'document')}),
+n AS (SELECT id, sqrt(sum(v * v)) AS n FROM v GROUP BY id),
+full_v AS (SELECT k.id, g.i, coalesce(v.v, 0) / CASE WHEN coalesce(n.n, 0) > 0 THEN n.n ELSE 1 END AS x
+           FROM kept k CROSS JOIN (SELECT unnest(range(64)) AS i) g LEFT JOIN v ON v.id = k.id AND v.i = g.i LEFT JOIN n ON n.id = k.id),
+txt AS (SELECT id, string_agg(CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS vector FROM full_v GROUP BY id)
+SELECT id, length(document) AS doc_chars, vector, name FROM kept JOIN txt USING (id)""")
+
 register("alarm_state", """
 WITH log AS (
   SELECT event_id AS alarm_id, ts, event_id, 'register' AS action, CAST(user_id AS VARCHAR) AS user_id,

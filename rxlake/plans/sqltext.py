@@ -99,9 +99,3 @@ def context_line_table(name, company, shape, c1, otc, desc) -> str:
     return (f"('- ' || {e(name)} || ' (' || {e(company)} || ') | ' || {e(shape)} || ' | ' || "
             f"{e(c1)} || ' | ' || {e(otc)} || {q(chr(10) + FV.CONTEXT_DESC_LABEL)} || {e(desc)} || "
             f"{q(chr(10))})")
-
-
-def context_line_search(name, company, shape, c1, desc) -> str:
-    e = lambda x: f"coalesce({x}, '')"
-    return (f"('- ' || {e(name)} || ' (' || {e(company)} || ') | ' || {e(shape)} || ' | ' || "
-            f"{e(c1)} || {q(chr(10) + FV.CONTEXT_DESC_LABEL)} || {e(desc)} || {q(chr(10))})")

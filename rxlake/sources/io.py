@@ -48,32 +48,56 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", encoding: s
     return spark.read.format(fmt).load(path)
 
 
-def load_sources(spark: SparkSession, files: list, ord_from_scan: bool = True):
-    """Load every source that exists and can be read, tag its year.
+def file_order(df: DataFrame) -> Column:
+    """Position of a row of a file scan: (file path, start of its block, row in
+    the block), whatever order Spark packs the blocks into partitions.
 
-    ``files`` is a list of ``(year, path, fmt)``.  Missing or unreadable
-    sources are skipped and reported.  Returns ``(sources, report)`` where
-    ``sources`` is a list of ``(year, DataFrame)`` for C1 and ``report`` a
-    DataFrame ``(year, path, status, detail)``.  Raises when nothing loads
-    (as concatenating nothing does in the original).
+    Only a DataFrame that still carries the scan's hidden metadata has a file
+    order; for any other an order column must be given.
+    """
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        raise ValueError("no file order: read the rows from files or give an order column") from None
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
+def load_sources(spark: SparkSession, files: list, ord_from_scan: bool = True):
+    """Load every source that exists and can be read, tag its year.
+
+    ``files`` is a list of ``(year, path, fmt)``.  Missing, unreadable and
+    undecodable sources are skipped and reported (a text source is undecodable
+    if a cell holds U+FFFD, which the decoder puts for bytes outside the
+    encoding).  Returns ``(sources, report)`` where ``sources`` is a list of
+    ``(year, DataFrame)`` for C1 and ``report`` a DataFrame ``(year, path,
+    status, detail, rows_in)``.  Raises when nothing loads (as concatenating
+    nothing does in the original).
     """
     loaded, report = [], []
     for year, path, fmt in files:
         if not _exists(spark, path):
-            report.append((int(year), path, "missing", ""))
+            report.append((int(year), path, "missing", "", 0))
             continue
         try:
-            df = read_table(spark, path, fmt)
-            df = S.normalize_headers(df)                                   # P1
-            if ord_from_scan:
-                df = df.withColumn("ORD", F.monotonically_increasing_id())  # file order
-            loaded.append((int(year), df))
-            report.append((int(year), path, "loaded", ""))
-        except (AnalysisException, Exception) as e:  # noqa: BLE001 - a bad file is skipped
-            report.append((int(year), path, "failed", str(e)[:500]))
+            raw = read_table(spark, path, fmt)
+            bad = F.lit(False)
+            for name, kind in raw.dtypes:
+                if kind == "string":
+                    bad = bad | F.coalesce(F.col(f"`{name}`").contains("\ufffd"), F.lit(False))
+            rows, undecoded = raw.agg(F.count(F.lit(1)), F.coalesce(F.sum(bad.cast("long")), F.lit(0))).first()
+        except Exception as e:  # noqa: BLE001 - a bad file is skipped, whatever its reader raises
+            report.append((int(year), path, "failed", str(e)[:500], 0))
+            continue
+        if undecoded and fmt in ("csv", "cp949"):
+            report.append((int(year), path, "failed", f"{undecoded} rows do not decode", rows))
+            continue
+        df = raw.withColumn("ORD", file_order(raw)) if ord_from_scan else raw
+        loaded.append((int(year), S.normalize_headers(df)))                # P1
+        report.append((int(year), path, "loaded", "", rows))
     if not loaded:
-        raise ValueError("no source could be loaded: " + "; ".join(f"{p} {s}" for _, p, s, _ in report))
-    rep = spark.createDataFrame(report, "year int, path string, status string, detail string")
+        raise ValueError("no source could be loaded: " + "; ".join(f"{p} {s}" for _, p, s, _, _ in report))
+    rep = spark.createDataFrame(report, "year int, path string, status string, detail string, rows_in long")
     return loaded, rep
 
 
@@ -96,54 +120,73 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     w.save(path)
 
 
-def write_staged(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite ``path`` even when ``df`` reads from it: write a staging copy
-    next to it, then swap directories (plain Parquet has no transactions)."""
+def write_staged(df: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """Overwrite ``path`` even when ``df`` reads from it; returns the rows written.
+
+    A staging copy is written and counted next to it and marked complete; then
+    the old table is renamed aside, the copy renamed in, and the old one
+    deleted.  Every rename is checked, and a failed one is undone, so a crash
+    leaves the old or the new table under one of the two names.
+    """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex
+    staging, aside = (f"{path.rstrip('/')}.{what}-{tag}" for what in ("staging", "old"))
     write_table(df, staging, fmt=fmt)
+    rows = _read(spark, staging, fmt).count()
     fs, jpath = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    if fs.exists(jpath):
-        fs.delete(jpath, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), jpath)
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.create(new_path(f"{staging}/{COMPLETE}"), True).close()
+    had = fs.exists(jpath)
+    if had and not fs.rename(jpath, new_path(aside)):
+        raise OSError(f"could not rename {path}")
+    if not fs.rename(new_path(staging), jpath):
+        if had:
+            fs.rename(new_path(aside), jpath)
+        raise OSError(f"could not rename {staging}")
+    if had:
+        fs.delete(new_path(aside), True)
+    return rows
+
+
+#: written into a table's folder last; Spark's readers skip names that begin with "_"
+COMPLETE = "_COMPLETE"
+
+
+def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    r = spark.read.format(fmt)
+    return (r.option("header", True).option("multiLine", True).option("escape", '"') if fmt == "csv" else r).load(path)
 
 
 def is_built(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
     """The target exists and holds at least one row."""
-    if not _exists(spark, path):
-        return False
-    return not spark.read.format(fmt).load(path).isEmpty()
+    return _exists(spark, path) and not _read(spark, path, fmt).isEmpty()
+
 
+def half_built(spark: SparkSession, path: str, threshold: int | None = None, fmt: str = "parquet") -> bool:
+    """The target exists but its build did not finish (no completeness marker).
 
-def half_built(spark: SparkSession, path: str, threshold: int = FV.HALF_BUILT_THRESHOLD,
-               fmt: str = "parquet") -> bool:
-    """``0 < rows < threshold`` means an interrupted build."""
+    ``threshold`` adds the original's rule, ``0 < rows < threshold``, for
+    tables that were written by other means; off by default, since it takes a
+    small finished table for an interrupted one.
+    """
     if not _exists(spark, path):
         return False
-    n = spark.read.format(fmt).load(path).count()
-    return 0 < n < threshold
+    if threshold is not None:
+        return 0 < _read(spark, path, fmt).count() < threshold
+    return not _exists(spark, f"{path}/{COMPLETE}")
 
 
 # ---------------------------------------------------------- refresh/upsert ---
-def clean_all_columns(df: DataFrame) -> DataFrame:
-    """text columns through clean_text, others to trimmed text."""
-    out = []
-    for name, dtype in df.dtypes:
-        c = F.col(f"`{name}`")
-        out.append((T.clean_text(c) if dtype == "string" else T.to_text(c)).alias(name))
-    return df.select(*out)
-
-
 def refresh_table(raw: DataFrame, key: str, columns: list, strict: bool = False,
                   name_col: str | None = None, ord_col: str | None = None) -> DataFrame:
     """One safety or pill table, table-driven.
 
     clean every column (F1/F5) -> drop blank key / blank name (P7) -> first
     row per key in file order (T2) -> map to the output columns (P4/P4b/P5).
-    ``ord_col`` is the file-order column (added at the scan when absent).
+    ``ord_col`` is the order column; without one ``raw`` must be a file scan,
+    whose order is used (``file_order``).
     """
-    ordc = F.col(ord_col) if ord_col else F.monotonically_increasing_id()
+    ordc = F.col(ord_col) if ord_col else file_order(raw)
     cleaned = _clean_keep_ord(raw.withColumn("_ord", ordc))
     if name_col and name_col in cleaned.columns:
         cleaned = S.drop_blank(cleaned, name_col)
@@ -213,11 +256,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def year_from_file(df: DataFrame, col: str = "SOURCE_YEAR") -> DataFrame:
-    """S5 for a directory scan: the year in the source file's name."""
-    return df.withColumn(col, F.regexp_extract(F.col("_metadata.file_name"), r"(20\d\d)", 1).try_cast("int"))
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan over the cluster before CPU-heavy row work (regexes over
     whole texts, the encoder).

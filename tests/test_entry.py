@@ -8,7 +8,6 @@ import __spark_entry__ as E
 from conftest import SF001
 from tools.compare import TABLES, fingerprint
 
-RowsOnly = {"embed_documents"}   # encoder output: no SQL oracle
 QUERIES, ORACLES = E.QUERIES, E.ORACLE   # the training-data queries have tests of their own
 
 
@@ -19,8 +18,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(QUERIES) - set(ORACLES) == RowsOnly
-    assert set(ORACLES) <= set(QUERIES) <= set(E.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(E.queries())
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
@@ -43,11 +41,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert h1 == h2, (sorted(set(r1) - set(r2))[:3], sorted(set(r2) - set(r1))[:3])
 
 
-def test_rows_only_queries_run(spark):
-    for name in RowsOnly:
-        assert E.queries()[name](spark, SF001).count() > 0
-
-
 @pytest.mark.parametrize("name", ["catalogue_pipeline", "name_search_top5", "validate_extractions",
                                   "alarm_state", "append_with_ids", "rolling_context"])
 def test_result_independent_of_partitioning(spark, name):

@@ -1,6 +1,8 @@
 """Composite jobs on literal fixtures (FIXTURES §3)."""
 
 from conftest import rows
+from pyspark.sql import functions as F
+
 from rxlake.plans import jobs as J
 
 
@@ -32,7 +34,7 @@ def test_leaflet_documents_length_gate(spark):
     raw = spark.createDataFrame([row("1", "가", "짧음"), row("2", "나나나나나", "효능이 긴 설명입니다"),
                                  row("2", "중복", "x" * 30), row(" 3 ", "<b>다</b>", "해당없음")],
                                 ", ".join(f"c{i} string" for i in range(14)))
-    out = J.leaflet_documents(raw)
+    out = J.leaflet_documents(raw.withColumn("ord", F.monotonically_increasing_id()), ord_col="ord")
     got = {r[0]: r[1] for r in rows(out, "id", "document")}
     # "약품명: 가 | 효능: 짧음" is 15 characters: dropped; key 2 keeps its first row
     assert set(got) == {"easy_2"}
@@ -98,8 +100,9 @@ def test_import_drug_data_end_to_end(spark, tmp_path):
     add = ["DUR일련번호", "DUR성분코드", "DUR성분명", "금기내용", "비고"]
     pd.DataFrame([["x1", "c", "첨가제", "주의", ""]], columns=add).to_csv(d / "add.csv", index=False)
     pd.DataFrame({"품목일련번호": ["1"], "품목명": ["타이레놀정"], "큰제품이미지": ["img"]}).to_csv(d / "pill.csv", index=False)
-    inputs = {"easyDrug": str(d / "easy.csv"), "elderlyWarn": str(d / "eld.csv"), "ageTaboo": str(d / "age.csv"),
-              "durationWarn": str(d / "dur.csv"), "additiveWarn": str(d / "add.csv"), "pillId": str(d / "pill.csv")}
+    inputs = {"drug_info": "easy", "dur_elderly_warning": "eld", "dur_age_taboo": "age", "dur_duration_warning": "dur",
+              "dur_additive_warning": "add", "pill_identification": "pill"}
+    inputs = {t: str(d / f"{f}.csv") for t, f in inputs.items()}
     out = str(d / "out")
     written = J.import_drug_data(spark, inputs, out)
     assert written["drug_info"] == 1 and written["dur_duration_warning"] == 2
@@ -110,7 +113,24 @@ def test_import_drug_data_end_to_end(spark, tmp_path):
     terms = spark.createDataFrame([("졸피뎀",), ("케토롤락",)], "term string")
     hits = rows(L.substring_matches(terms, dur_t, "term", ["최대투여기간"]), "term", "최대투여기간")
     assert sorted(hits) == [("졸피뎀", "28일"), ("케토롤락", "7일")]
-    again = J.import_drug_data(spark, inputs, out)          # 0 < 1 < 4000: half-built, rebuilt
+    assert "drug_info" not in J.import_drug_data(spark, inputs, out)         # complete: skipped
+    again = J.import_drug_data(spark, inputs, out, half_built_threshold=4000)  # the original's rule: 0 < 1 < 4000
     assert again["drug_info"] == 1
-    third = J.import_drug_data(spark, inputs, out, half_built_threshold=1)   # complete: skipped
-    assert "drug_info" not in third
+
+
+def test_message_context_order_with_many_hits(spark):
+    """All hits of the first collection come before the second's, for any k."""
+    from pyspark.sql import functions as F
+    n = 150
+    md = "struct<name:string,company:string,shape:string,color1:string,description:string>"
+    coll = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("").alias("document"),
+                                 F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"),
+                                 F.lit(None).cast(md).alias("metadata"))
+    first, second = (coll.withColumn("metadata", F.struct(F.concat(F.lit(t), F.lpad("id", 3, "0")).alias("name"), *[
+        F.lit("").alias(c) for c in ("company", "shape", "color1", "description")])) for t in ("A", "B"))
+    msgs = spark.createDataFrame([(1, "약")], "mid long, text string")
+    enc = F.pandas_udf(lambda s: s.map(lambda _: [0.0, 1.0]), "array<float>")
+    text = rows(J.message_context(msgs, _med(spark), ["mid"], gate_terms=["약"], collections=(first, second), encoder=enc, k=n),
+                "context")[0][0]
+    import re
+    assert re.findall(r"([AB]\d{3})", text) == [f"{t}{i:03d}" for t in "AB" for i in range(n)]

@@ -51,10 +51,15 @@ def test_golden_name_search(spark):
     assert all(n is not None for _, n in got)        # null name never matches
 
 
-def test_blank_terms_rejected(spark):
-    cat = catalogue(spark, ["abc"])
-    req = spark.createDataFrame([("",), ("  ",), (None,)], "term string")
-    assert L.substring_matches(req, cat, "term", ["item_seq"]).count() == 0
+@pytest.mark.parametrize("strategy", ["auto", "broadcast", "ngram"])
+def test_blank_terms(spark, strategy):
+    """The empty term matches every named row, blanks match names that hold them; null matches nothing."""
+    cat = catalogue(spark, ["abc", "a  c", None, "b"])
+    req = spark.createDataFrame([("",), ("",), ("  ",), (None,)], "term string")
+    got = L.substring_matches(req, cat, "term", ["item_name"], strategy=strategy)
+    assert sorted(rows(got, "term", "item_name")) == [("", "a  c"), ("", "abc"), ("", "b"), ("  ", "a  c")]
+    first = L.first_matches(req, cat, "term", ["item_name", "item_seq"], ["item_name", "item_seq"], 2, strategy=strategy)
+    assert sorted(rows(first, "term", "rank", "item_name")) == [("", 1, "a  c"), ("", 2, "abc"), ("  ", 1, "a  c")]
 
 
 def test_first_matches_top_k_order(spark):
@@ -66,7 +71,7 @@ def test_first_matches_top_k_order(spark):
 
 def test_ngram_equals_broadcast_on_data(spark):
     med = C.medicines_from_part(C.table(spark, SF001, "part"))
-    kws = C.user_keywords(spark, SF001)
+    kws = C.keywords(spark, SF001)
     a = L.first_matches(kws, med, "keyword", C.CAT_COLS, C.CAT_ORDER, 5, strategy="broadcast")
     b = L.first_matches(kws, med, "keyword", C.CAT_COLS, C.CAT_ORDER, 5, strategy="ngram")
     cols = ["term", "rank", "item_seq"]
@@ -135,7 +140,7 @@ def test_ngram_index_matches_brute_force_property(spark, names, terms):
     cat = catalogue(spark, names)
     req = spark.createDataFrame([(t,) for t in terms], "term string")
     got = set(rows(L.substring_matches(req, cat, "term", ["item_seq"], strategy="ngram"), "term", "item_seq"))
-    want = {(t, str(i)) for t in set(terms) if t.strip() for i, n in enumerate(names) if sqlite_like(n, t)}
+    want = {(t, str(i)) for t in set(terms) for i, n in enumerate(names) if sqlite_like(n, t)}
     assert got == want
 
 

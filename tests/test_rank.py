@@ -19,7 +19,7 @@ def test_keep_first_newest_with_ties(spark):
 
 def test_keep_first_by_ord(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 7)], "k string, ord long")
-    assert sorted(rows(R.keep_first_by_ord(df, ["k"], "ord"))) == [(1, "a"), (7, "b")]
+    assert sorted(rows(R.keep_first_by_ord(df, ["k"], "ord"), "ord", "k")) == [(1, "a"), (7, "b")]
 
 
 def test_sequential_ids_dense_and_ordered(spark):

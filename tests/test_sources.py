@@ -84,14 +84,14 @@ def test_refresh_strict_missing_column_errors(spark):
     raw = spark.createDataFrame([("1", "x")], "`DUR일련번호` string, `DUR성분명` string")
     key, cols, strict = FV.SAFETY_TABLES["dur_age_taboo"]
     with pytest.raises(Exception):
-        IO.refresh_table(raw, key, cols, strict=strict).collect()
+        IO.refresh_table(raw, key, cols, strict=strict, ord_col=key).collect()
 
 
 def test_pill_table_mapping(spark):
     t, key, cols = FV.PILL_TABLE
     raw = spark.createDataFrame([("7", "알약", "http://img", "정제")],
                                 "`품목일련번호` string, `품목명` string, `큰제품이미지` string, `의약품제형` string")
-    out = IO.refresh_table(raw, key, cols, name_col=FV.PILL_NAME_COL)
+    out = IO.refresh_table(raw, key, cols, name_col=FV.PILL_NAME_COL, ord_col=key)
     r = rows(out, "품목일련번호", "이미지URL", "제형", "전문일반")[0]
     assert r == ("7", "http://img", "정제", "")
 
@@ -116,5 +116,53 @@ def test_build_gates(spark, tmp):
     assert not IO.is_built(spark, p)
     IO.write_table(spark.range(10), p)
     assert IO.is_built(spark, p)
-    assert IO.half_built(spark, p)                 # 0 < 10 < 4000
+    assert IO.half_built(spark, p)                 # no completeness marker
+    assert IO.half_built(spark, p, threshold=FV.HALF_BUILT_THRESHOLD)      # the original's rule: 0 < 10 < 4000
     assert not IO.half_built(spark, p, threshold=5)
+    assert IO.write_staged(spark.range(10), p) == 10
+    assert not IO.half_built(spark, p) and spark.read.parquet(p).count() == 10
+    assert not [n for n in os.listdir(tmp) if "staging" in n or "old" in n]
+
+
+def test_undecodable_source_is_skipped(spark, tmp):
+    a, b = os.path.join(tmp, "a.csv"), os.path.join(tmp, "b.csv")
+    write(a, "ITEM_SEQ,ITEM_NAME\n1,가\n2,나\n", "cp949")
+    with open(b, "wb") as f:
+        f.write("ITEM_SEQ,ITEM_NAME\n1,".encode() + b"\xff\xfe\x81\n")
+    sources, report = IO.load_sources(spark, [(2021, a, "cp949"), (2022, b, "cp949")])
+    assert [y for y, _ in sources] == [2021]
+    assert {r[0]: r[1:] for r in rows(report, "year", "status", "rows_in")} == {2021: ("loaded", 2), 2022: ("failed", 1)}
+
+
+def test_file_order_over_unequal_files(spark, tmp):
+    """The first row is that of the first file, however Spark packs the files."""
+    p = os.path.join(tmp, "t")
+    small = [("k", "first", 0)] + [(f"s{i}", "x", i) for i in range(5)]
+    large = [("k", "second", 0)] + [(f"l{i}", "y" * 200, i) for i in range(20_000)]
+    schema = "key string, v string, n int"
+    for name, part in (("a", small), ("b", large)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(tmp, name))
+        os.makedirs(p, exist_ok=True)
+        src = next(f for f in os.listdir(os.path.join(tmp, name)) if f.endswith(".parquet"))
+        os.rename(os.path.join(tmp, name, src), os.path.join(p, f"{name}.parquet"))
+    raw = spark.read.parquet(p)
+    out = IO.refresh_table(raw, "key", [("key", "key"), ("v", "v")])
+    assert dict(rows(out.where("key = 'k'"), "key", "v")) == {"k": "first"}
+    with pytest.raises(ValueError, match="no file order"):
+        IO.refresh_table(spark.createDataFrame(small, schema), "key", [("key", "key")])
+
+
+def test_file_order_within_a_split_file(spark, tmp):
+    p = os.path.join(tmp, "t")
+    n = 30_000
+    spark.range(n).selectExpr("cast(id % 10 as string) as key", "concat(id, repeat('z', 40)) as v").coalesce(1) \
+        .write.option("parquet.block.size", 64 * 1024).parquet(p)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        raw = spark.read.parquet(p)
+        assert raw.rdd.getNumPartitions() > 1
+        out = rows(IO.refresh_table(raw, "key", [("key", "key"), ("v", "v")]), "key", "v")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(out) == [(str(i), f"{i}" + "z" * 40) for i in range(10)]

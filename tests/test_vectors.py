@@ -50,12 +50,47 @@ def test_tie_breaks_by_id(spark):
     assert rows(V.knn_topk(q, docs, 2).orderBy("rank"), "doc_id") == [(1,), (3,)]
 
 
-def test_encoder_shape_and_determinism(spark):
-    df = spark.createDataFrame([("a b c",), ("",), ("a b c",)], "t string")
-    enc = V.make_encoder()
-    out = rows(df.select(enc("t").alias("e")))
-    assert len(out[0][0]) == 64 and out[0][0] == out[2][0]
-    assert np.allclose(np.linalg.norm(out[0][0]), 1.0, atol=1e-5)
+def test_encoder_plug_in(spark):
+    class Lengths:
+        """A model that encodes a text as its length and its batch's size."""
+
+        def encode(self, texts):
+            return np.array([[len(t), len(texts)] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([("a b c",), ("",), (None,), ("abcd",)], "t string").coalesce(1)
+    out = [r[0] for r in rows(df.select(V.make_encoder(Lengths, batch=3)("t").alias("e")))]
+    assert out == [[5.0, 3.0], [0.0, 3.0], [0.0, 3.0], [4.0, 1.0]]
+
+
+def test_hash_vectors(spark):
+    import hashlib
+    texts = ["a b  c", "", None, "a b c", "x x x y", "é \u3000 9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r[0]: r[1] for r in rows(V.hash_vectors(df, ["id"], "t"), "id", "embedding")}
+    for i, t in enumerate(texts):
+        want = np.zeros(64)
+        for w in (t or "").split():
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:2], 16) % 64] += 1 if int(h[2], 16) >= 8 else -1
+        n = np.linalg.norm(want)
+        assert np.allclose(got[i], want / n if n else want)
+    assert got[0] == got[3]
+
+
+def test_more_queries_than_a_tile(spark, monkeypatch):
+    emb = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    q = emb.where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    want = sorted(rows(V.knn_topk(q, emb, 2), "qid", "rank", "doc_id"))
+    bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows(q, "qid")]), np.array([r[0] for r in rows(q, "qvec")], float)))
+    monkeypatch.setattr(V, "TILE_BYTES", 8 * 300 * 7)
+    pdf = emb.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_v")).toPandas()
+    run = V._topk_partition(bc, 2, "_id", "_v", "l2")
+    got = []
+    for out in run(iter([pdf])):
+        for qid, part in out.groupby("qid"):
+            part = part.sort_values(["dist", "doc_id"])
+            got += [(int(qid), r + 1, int(d)) for r, d in enumerate(part["doc_id"])]
+    assert sorted(got) == want
 
 
 def test_broadcast_collection_path_equals_query_path(spark):
