@@ -1,7 +1,7 @@
 """DuckDB oracle SQL for every catalogue query that SQL can express.
 
-Same names, same columns, same values as ``rxlake.plans.catalog``.  Text
-functions come from ``rxlake.plans.sqltext`` so both sides share one regex.
+Same names, same columns, same values as ``rxlake.plans.catalog``.  Lists and
+patterns are written out here and in ``rxlake.plans.sqltext``, not imported.
 """
 
 from __future__ import annotations
@@ -65,8 +65,12 @@ FROM d ORDER BY ITEM_NAME, ITEM_SEQ LIMIT 3""")
 
 
 # ------------------------------------------------------ union_by_name_years ---
+ORDER_YEARS = range(1995, 2002)
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
+ORDER_KEEP = ["O_ORDERKEY", "O_CUSTKEY", "O_ORDERSTATUS", "O_TOTALPRICE", "O_ORDERPRIORITY", "O_ORDERDATE", "O_CLERK"]
+
+
 def _order_slices() -> str:
-    from rxlake.plans.catalog import ORDER_COLS, ORDER_YEARS
     sels = []
     for i, y in enumerate(ORDER_YEARS):
         dropped = ORDER_COLS[1 + i % (len(ORDER_COLS) - 1)]
@@ -86,7 +90,6 @@ def _order_slices() -> str:
 
 
 def _union_by_name_years() -> str:
-    from rxlake.plans.catalog import ORDER_KEEP
     return f"""
 WITH u AS ({_order_slices()}),
 u2 AS (SELECT *, NULL::VARCHAR AS O_CLERK FROM u)
@@ -164,8 +167,15 @@ SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, batch FROM a
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY batch DESC, ord DESC) = 1""")
 
 
+TABLE_KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+    "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"],
+    "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
 def _table_refresh_report() -> str:
-    from rxlake.plans.catalog import TABLE_KEYS
     sels = []
     for name, keys in TABLE_KEYS.items():
         nn = " AND ".join(f"{k} IS NOT NULL" for k in keys)
@@ -309,8 +319,7 @@ FROM msgs LEFT JOIN ctx USING (conv_id, turn)""")
 
 
 def _gate_terms():
-    from rxlake.plans.catalog import GATE_TERMS
-    return GATE_TERMS
+    return ["the", "que", "und", "les"]
 
 
 register("keyword_gate", f"""

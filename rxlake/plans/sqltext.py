@@ -7,7 +7,17 @@ function of the same name in ``rxlake.functions.text`` computes.
 from __future__ import annotations
 
 from rxlake import fixed_values as FV
-from rxlake.functions.text import NUMBER_RE, SPEECH_DROP_RE, WS, WS_CHARS, WS_SET
+
+# Written out here, not imported from the engine, so that a wrong pattern there
+# differs from the oracle's.  White space is the set of Python's str.isspace().
+_SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+           0x205F, 0x3000]
+WS_SET = "".join(map(chr, _SPACES))
+WS_CHARS = "".join(f"\\x{{{c:X}}}" for c in _SPACES)
+WS = f"[{WS_CHARS}]"
+# digits with an optional point and exponent, blanks around; kept in speech: letters, numbers, "_", blanks, ?!.,~
+NUMBER_RE = f"^{WS}*[-+]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][-+]?\\d+)?{WS}*$"
+SPEECH_DROP_RE = f"[^_?!.,~\\p{{L}}\\p{{N}}{WS_CHARS}]"
 
 UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LO = "abcdefghijklmnopqrstuvwxyz"
