@@ -316,12 +316,17 @@ def medicines_from_part(part: DataFrame) -> DataFrame:
 
 
 def keywords(spark, sf_dir) -> DataFrame:
-    """Search keywords: the long tokens of all conversation turns."""
+    """Search keywords: the long tokens of all conversation turns, and terms
+    with LIKE wildcards made from the catalogue's names."""
     conv = table(spark, sf_dir, "conversations")
+    name = table(spark, sf_dir, "part").select("p_name").distinct()
+    wild = name.select(F.explode(F.array(
+        F.concat(F.substring("p_name", 1, 2), F.lit("%"), F.substring("p_name", -2, 2)),
+        F.concat(F.lit("_"), F.substring("p_name", 2, 3), F.lit("_")))).alias("keyword"))
     # explode_outer + null filter: keeps the optimizer from inferring a
     # size(tokens) > 0 filter and pushing the tokenising into the scan task
     return conv.select(F.explode_outer(T.long_tokens("text")).alias("keyword")) \
-        .where(F.col("keyword").isNotNull()).distinct()
+        .where(F.col("keyword").isNotNull()).unionByName(wild).distinct()
 
 
 def _name_search(spark, sf_dir, strategy, index=None):
@@ -711,6 +716,16 @@ def q_alarm_state(spark, sf_dir):
     return st.select("alarm_id", "user_id", "medication_name", "time_hhmm", "days_of_week", "is_enabled")
 
 
+@register("active_alarms")
+def q_active_alarms(spark, sf_dir):
+    """The enabled alarms of a given table of users (those who
+    bought something), folded from the log."""
+    ev = table(spark, sf_dir, "events")
+    users = ev.where(F.col("event_type") == "purchase").select(F.col("user_id").cast("string").alias("user_id")).distinct()
+    st = A.active_alarms(A.fold_alarms(alarm_log(ev)), users)
+    return st.select("alarm_id", "user_id", "medication_name", "time_hhmm", "days_of_week")
+
+
 @register("append_with_ids")
 def q_append_with_ids(spark, sf_dir):
     """New registrations get ids above the current maximum, in

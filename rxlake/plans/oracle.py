@@ -212,9 +212,16 @@ def like_join(term: str, name_fold: str) -> str:
     return X.like_contains(name_fold, X.fold(term))
 
 
+def kw_wild_cte(name: str, col: str) -> str:
+    """All turns' long tokens and the wildcard terms made from names."""
+    return (f"{kw_cte('kw0', 'conversations', 'text', 'k')}, {name} AS (SELECT DISTINCT k AS {col} FROM (SELECT k FROM kw0 "
+            "UNION ALL SELECT substr(p_name, 1, 2) || '%' || right(p_name, 2) FROM part "
+            "UNION ALL SELECT '_' || substr(p_name, 2, 3) || '_' FROM part))")
+
+
 def _name_search() -> str:
     return f"""
-WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'keyword')},
+WITH {MED}, {kw_wild_cte('kw', 'keyword')},
 top AS (SELECT k.keyword AS term, {CAT_M},
                CAST(row_number() OVER (PARTITION BY k.keyword ORDER BY m.item_name, m.item_seq) AS INTEGER) AS rank
         FROM kw k JOIN med m ON {like_join('k.keyword', 'm.name_fold')}
@@ -363,7 +370,7 @@ FROM {src} s LEFT JOIN ph USING (short)"""
 
 
 register("fuzzy_prefix_match", f"""
-WITH {MED}, {kw_cte('kw', 'conversations', 'text', 'original')},
+WITH {MED}, {kw_wild_cte('kw', 'original')},
 names AS (SELECT original, substr(original, 1, {FV.PREFIX_LEN}) AS short FROM kw),
 {prefix_match_sql('names', 's.original')}""")
 
@@ -527,6 +534,11 @@ last AS (SELECT alarm_id, action AS last_action FROM log WHERE alarm_id IS NOT N
 SELECT r.alarm_id, r.user_id, r.medication_name, r.time_hhmm, r.days_of_week, l.last_action = 'register' AS is_enabled
 FROM log r JOIN last l USING (alarm_id) WHERE r.action = 'register'""")
 
+_FOLD = ORACLE["alarm_state"]
+register("active_alarms", f"""
+SELECT alarm_id, user_id, medication_name, time_hhmm, days_of_week FROM ({_FOLD})
+WHERE is_enabled AND user_id IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'purchase')""")
+
 register("append_with_ids", f"""
 WITH n AS (SELECT ts, event_id, CAST(user_id AS VARCHAR) AS user_id,
                   'med-' || json_extract_string(props, '$.k') AS medication_name,
