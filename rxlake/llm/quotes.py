@@ -152,9 +152,10 @@ def link(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
     parsed = written(parse(src, ["conv", "turn", "role"], "_text"), "quotes-parsed")
     placed = parsed.where("conv is not null and turn is not null")
     ids = written(placed.select("conv", "turn").distinct(), "quotes-ids")
-    inside = W.partitionBy("conv").orderBy("turn")
-    before = F.lag("turn").over(inside)
-    by_turn = ids.withColumn("before", before)
+    # the turn before, joined by place: a conversation of any size stays spread
+    numbered = positions(ids, "conv", ["turn"])
+    above = numbered.select("conv", (F.col("position") + 1).alias("position"), F.col("turn").alias("before"))
+    by_turn = numbered.join(above, ["conv", "position"], "left").drop("position")
     tree = by_turn.join(parents(placed), ["conv", "turn"], "left").withColumn("parent", F.when(
         F.col("p_conv").isNotNull(), F.struct(F.col("p_conv").alias("conv"), F.col("p_turn").alias("turn"))).when(
         F.col("before").isNotNull(), F.struct("conv", F.col("before").alias("turn"))))
