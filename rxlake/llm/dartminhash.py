@@ -22,7 +22,8 @@ Classes.
 3. A pair is a link if its weighted Jaccard index, computed from the shingles
    themselves, is ``threshold`` or more.
 4. Members of larger buckets that no leader links are put in finer buckets by
-   further coordinates and meet new leaders, until none is left.
+   further coordinates and meet new leaders (``LATER_LEADERS``), until none is
+   left.
 5. Connected components of the links (star contraction) are the classes; a
    class is named by its smallest document id.
 
@@ -49,7 +50,7 @@ from rxlake.llm.words import mix, small_batches, text_buffer, word_bounds, word_
 
 SHINGLE = 5
 K, BANDS, ROWS = 128, 20, 5             # coordinates BANDS * ROWS .. K - 1 refine buckets
-LEADERS = 3
+LEADERS, LATER_LEADERS = 3, 8          # in the first round and in those of the leftovers
 FINER = 2                               # further coordinates for each round of leftovers
 
 _U32 = np.uint64(32)
@@ -196,31 +197,32 @@ def _similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
 
 
 def links(sig: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Verified pairs (a, b) of different nodes, a < b."""
+    """Verified pairs (a, b) of different nodes, a < b, of signatures with a row id ``rid``."""
+    # one row stands for a node, however many copies it has
+    first = written(sig.groupBy("node").agg(F.min("rid").alias("rid")), "dart-first")
     rows = sig.select("node", "buckets").distinct().select("node", F.explode("buckets").alias("bucket"))
     company = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(rows.join(company, "bucket"), "dart-buckets")
     weight = shared.groupBy("node").agg(F.sum("size").alias("company"))
     members = written(shared.join(weight, "node"), "dart-members")
-    # shingles only of nodes that share a bucket, one row each (combined before the shuffle)
-    shingles = written(sig.select("node", "shingles").join(weight.select("node"), "node", "left_semi")
-                       .groupBy("node").agg(F.first("shingles").alias("shingles")), "dart-shingles")
+    # shingles only of nodes that share a bucket; the join's key is the row, so no key is hot
+    shingles = written(sig.select("rid", "node", "shingles").join(
+        first.join(weight.select("node"), "node").select("rid"), "rid", "left_semi").drop("rid"), "dart-shingles")
     finer = None
     out, level = [], 0
     while True:
-        pairs = written(_candidates(members, LEADERS), f"dart-pairs-{level}")
+        leaders = LEADERS if level == 0 else LATER_LEADERS
+        pairs = written(_candidates(members, leaders), f"dart-pairs-{level}")
         found = written(_similar(pairs, shingles, threshold), f"dart-links-{level}")
         out.append(found)
         # members of buckets too large to have met in full, linked to none of the leaders there
         linked = pairs.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}) \
             .join(found, ["a", "b"], "left_semi").select("bucket", "node")
-        leaders = pairs.select("bucket", F.col("leader").alias("node"))
-        rest = members.where(F.col("size") > LEADERS + 1) \
-            .join(linked.union(leaders).distinct(), ["bucket", "node"], "left_anti")
+        met = linked.union(pairs.select("bucket", F.col("leader").alias("node"))).distinct()
+        rest = members.where(F.col("size") > leaders + 1).join(met, ["bucket", "node"], "left_anti")
         if finer is None:
-            finer = sig.select("node", "finer").join(rest.select("node").distinct(), "node", "left_semi") \
-                .groupBy("node").agg(F.first("finer").alias("finer"))
-            finer = written(finer, "dart-finer")
+            finer = written(sig.select("rid", "node", "finer").join(
+                first.join(rest.select("node").distinct(), "node").select("rid"), "rid", "left_semi").drop("rid"), "dart-finer")
         used = [F.get("finer", F.lit(level * FINER + j)) for j in range(FINER)]
         parts = rest.join(finer, "node").select(F.xxhash64("bucket", *used).alias("bucket"), "node", "company")
         parts = written(parts, f"dart-rest-{level}")
@@ -264,7 +266,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     n_links counts the node's verified links to other texts.
     """
     keys = [doc_id] if keys is None else keys
-    sig = written(signatures(docs, keys, text), "dart-signatures")
+    sig = written(signatures(docs, keys, text).withColumn("rid", F.monotonically_increasing_id()), "dart-signatures")
     pairs = written(links(sig, threshold), "dart-links")
     roots = written(components(pairs), "dart-roots")
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
