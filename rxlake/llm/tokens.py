@@ -19,10 +19,14 @@ import numpy as np
 
 #: a blank between two visible characters of U+0021-U+007E, U+00A1-U+024F
 _CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
+#: texts within that range, line ends and blanks
+_PLAIN = re.compile("[\n -~¡-ɏ]*")
 #: pieces remembered per worker process (about 200 bytes each)
 REMEMBERED = 1_000_000
-#: a plain word, perhaps with one mark: pre-tokens of Latin-1 letters and of the mark
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: pre-tokens of a piece of Latin-1 letters, marks but the apostrophe, and single line ends inside
+_MARKS = "[!-&(-/:-@\\[-`{-~]+"
+_SIMPLE = re.compile(f"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|{_MARKS}|(?<=[!-ÿ])\n(?=[!-ÿ]))+")
+_PARTS = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+|{_MARKS}|\n")
 #: letters beyond ASCII as the byte-level alphabet writes their two UTF-8 bytes
 #: (bytes 0xA1-0xAC and 0xAE-0xFF stand for themselves, 0x80-0xA0 and 0xAD for U+0122-U+0143)
 _BYTES = {c: "".join(chr(b if b >= 0xA1 and b != 0xAD else 0x143 if b == 0xAD else 0x122 + b - 0x80) for b in chr(c).encode())
@@ -48,7 +52,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         shape = json.loads(self.tokenizer.to_str())
         self.lead = self._lead(shape.get("normalizer"), shape.get("pre_tokenizer") or {})
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}        # ids of pieces after a blank
+        self.parts: dict[str, bytes] = {}        # ids of pre-tokens
 
     @staticmethod
     def _lead(normalizer: dict | None, pre: dict) -> str | None:
@@ -66,53 +71,73 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, part: str, after_blank: bool) -> bytes:
+        """Ids of one pre-token by the library's model alone, remembered."""
+        key = " " + part if after_blank and self.lead else part
+        ids = self.parts.get(key)
+        if ids is None:
+            word = part if part.isascii() else part.translate(_BYTES)
+            word = "Ċ" if part == "\n" else "Ġ" + word if key != part else word
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+            if len(self.parts) < REMEMBERED:
+                self.parts[key] = ids
+        return ids
+
     def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces; plain words go to the library's model without its normalizer and splitter."""
-        out, rest, model = {}, [], self.tokenizer.model.tokenize
-        skip = len(self.lead)
+        """Ids of distinct pieces that stand after a blank.
+
+        Most consist of letters, marks and single line ends, whose pre-tokens
+        are plain to see; they go to the model without the normalizer and the
+        splitter.  The rest goes the whole way.
+        """
+        out, rest = {}, []
         for p in pieces:
-            first = skip if p.startswith(" ") else 0
-            m = _WORD.fullmatch(p, first)
-            if not m:
+            if not _SIMPLE.fullmatch(p):
                 rest.append(p)
                 continue
-            word = m[1] if skip else m[1].lower()       # the other kind's normalizer lower-cases
-            word = word if word.isascii() else word.translate(_BYTES)
-            ids = [t.id for t in model("Ġ" + word if first else word)]
-            if m[2]:
-                ids += [t.id for t in model(m[2])]
-            out[p] = array("I", ids).tobytes()
-        out.update(zip(rest, self._encode(rest)))
+            parts = _PARTS.findall(p if self.lead else p.lower())       # the other kind's normalizer lower-cases
+            if not self.lead:
+                parts = [x for x in parts if x != "\n"]                # and its splitter drops line ends
+            ids = self._part(parts[0], True)
+            for x in parts[1:]:
+                ids += self._part(x, False)
+            out[p] = ids
+        out.update(zip(rest, self._encode([self.lead + p for p in rest])))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; null texts are empty."""
         if self.lead is None:
             return self._encode([t or "" for t in texts])
-        lead, known = self.lead, self.known
-        cut = []
-        for t in texts:
-            pieces = _CUT.split(t or "")
-            cut.append(pieces[:1] + [lead + p for p in pieces[1:]] if lead else pieces)
-        new = list({p for pieces in cut for p in pieces if p not in known})
+        out: list = [None] * len(texts)
+        get, todo, new = self.known.get, [], set()
+        first: dict[str, list[int]] = {}
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = b""
+                continue
+            even = not ("  " in t or " \n" in t or "\n " in t or t[0] == " " or t[-1] == " ")
+            pieces = t.split(" ") if even and _PLAIN.fullmatch(t) else _CUT.split(t)
+            if self.lead:                        # the first piece has no blank before it
+                first.setdefault(pieces[0], []).append(i)
+                pieces = pieces[1:]
+            ids = list(map(get, pieces))
+            if None in ids:
+                todo.append((i, pieces, ids))
+                new.update([p for p, v in zip(pieces, ids) if v is None])
+            else:
+                out[i] = b"".join(ids)
         if new:
-            fresh = self._pieces(new)
-            if len(known) + len(fresh) <= REMEMBERED:
-                known.update(fresh)
-            else:                       # full: the frequent pieces are in; the rest is for this call only
-                known = _Both(known, fresh)
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
-
-
-class _Both(dict):
-    """Looks up ``first``, then ``second``."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
+            fresh = self._pieces(list(new))
+            if len(self.known) + len(fresh) <= REMEMBERED:      # else the frequent pieces are in
+                self.known.update(fresh)
+            for i, pieces, ids in todo:
+                out[i] = b"".join([fresh[p] if v is None else v for p, v in zip(pieces, ids)])
+        if first:
+            for (_, where), head in zip(first.items(), self._encode(list(first))):
+                for i in where:
+                    out[i] = head + out[i]
+        return out
 
 
 def ends_sentence(path: str) -> np.ndarray:

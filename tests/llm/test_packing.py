@@ -20,6 +20,7 @@ def test_ids_equal_the_library(path, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 40)
     rnd = random.Random(2)
     texts = ODD + ["".join(map(chr, range(0xC0, 0x100))), " ".join(f"x{chr(c)}y. {chr(c)}, {chr(c)}" for c in range(0xA1, 0x250))] + ["".join(rnd.choice("ab é.,'\n\t 0中́!sS") for _ in range(60)) for _ in range(300)]
+    texts += ["".join(rnd.choice(["ab", "Él", ".", "***", "\n", "'s", "-", "7", "×", "ÿ", " ", "`{", "_"]) for _ in range(40)) for _ in range(400)]
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     enc = tokens.Encoder(path)
