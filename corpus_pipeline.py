@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rxlake.llm import dartminhash, packing, pii, quality, wumanber
-from rxlake.llm.store import written
+from rxlake.llm.store import drop, recorded, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,8 +46,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination),
-          ("personal_data", personal_data), ("packing", pack)]
+_tables: list[str] = []         # what the stage before has written for itself
+
+
+def _clean(stage):
+    """The stage, after the earlier stage's own tables are dropped: its result has been written by now."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _tables)
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _tables.extend(made)
+        return out
+    return run_stage
+
+
+STAGES = [("quality_rules", _clean(quality_rules)), ("near_dedup", _clean(near_dedup)),
+          ("decontamination", _clean(decontamination)), ("personal_data", _clean(personal_data)), ("packing", _clean(pack))]
 #: learned cutoffs, signatures and token ids are beyond SQL; tests/llm/test_pipeline.py has the plain version
 ORACLE_SQL = None
 

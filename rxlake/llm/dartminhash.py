@@ -45,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from rxlake.llm.store import written
+from rxlake.llm.store import drop, recorded, written
 from rxlake.llm.words import mix, small_batches, text_buffer, word_bounds, word_spans
 
 SHINGLE = 5
@@ -267,8 +267,14 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     """
     keys = [doc_id] if keys is None else keys
     sig = written(signatures(docs, keys, text).withColumn("rid", F.monotonically_increasing_id()), "dart-signatures")
-    pairs = written(links(sig, threshold), "dart-links")
-    roots = written(components(pairs), "dart-roots")
+    with recorded() as temporary:
+        found = links(sig, threshold)
+    pairs = written(found, "dart-links")
+    drop(docs.sparkSession, temporary)
+    with recorded() as temporary:
+        stars = components(pairs)
+    roots = written(stars, "dart-roots")
+    drop(docs.sparkSession, temporary)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = sig.groupBy("node").agg(F.min(doc_id).alias("first"))
     nodes = nodes.join(roots, "node", "left").join(degree, "node", "left") \
@@ -287,13 +293,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class: that with the smallest id (of identical rows, one)."""
     keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"),
                         F.xxhash64("text").alias("_text"), F.coalesce("text", F.lit("")).alias("_t"))
-    table = written(classes(keyed, doc_id="_id", text="_t", keys=["_id", "_text"]), "dart-classes")
+    with recorded() as temporary:
+        found = classes(keyed, doc_id="_id", text="_t", keys=["_id", "_text"])
+    table = written(found, "dart-classes")
+    drop(docs.sparkSession, temporary)
     # first of a class: smallest id, then smallest text hash; one key (id, text hash) each
     first = table.groupBy("class_id").agg(F.min(F.struct("_id", "_text")).alias("k"))
     lost = table.select("_id", "_text", "class_id").distinct().join(first, "class_id") \
         .where((F.col("k._id") != F.col("_id")) | (F.col("k._text") != F.col("_text"))).select("_id", "_text")
     twice = written(table.groupBy("_id", "_text").count().where("count > 1").select("_id", "_text"), "dart-twice")
-    kept = keyed.drop("_t").join(lost, ["_id", "_text"], "left_anti")
+    # both sides grow with the data: no broadcast, whatever the size now
+    kept = keyed.drop("_t").join(lost.hint("merge"), ["_id", "_text"], "left_anti")
     if not twice.isEmpty():
         kept = kept.join(twice, ["_id", "_text"], "left_anti").unionByName(
             kept.join(twice, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]))

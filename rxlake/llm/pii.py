@@ -34,7 +34,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rxlake.llm.store import written
+from rxlake.llm.store import drop, recorded, written
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -215,14 +215,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 def _replaced(keyed: DataFrame, marks: Column, bootstrapping: bool) -> tuple[DataFrame, DataFrame]:
     """(rows with spans, spans replaced; rows without) of (row, _t, _id, _h)."""
-    spans = find(keyed, ["_id", "_h"], text="_t", bootstrapping=bootstrapping).where(F.size("spans") > 0) \
-        .groupBy("_id", "_h").agg(F.first("spans").alias("spans"))
+    with recorded() as temporary:
+        found = find(keyed, ["_id", "_h"], text="_t", bootstrapping=bootstrapping)
+    spans = found.where(F.size("spans") > 0).groupBy("_id", "_h").agg(F.first("spans").alias("spans"))
     one = spans.select("_id", "_h", F.explode("spans").alias("s")).select("_id", "_h", "s.*")
     # what lies before a span from the furthest end so far; a span inside another adds nothing
     so_far = W.partitionBy("_id", "_h").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
     one = one.withColumn("from", F.coalesce(F.max("end").over(so_far), F.lit(0).cast("long")))
     cuts = written(one.groupBy("_id", "_h").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "from", "kind"))).alias("cuts"), F.max("end").alias("last")), "pii-cuts")
+    drop(keyed.sparkSession, temporary)
+    # both sides grow with the data: no broadcast, whatever the size now
+    cuts = cuts.hint("merge")
     same = keyed["_id"].eqNullSafe(cuts["_id"]) & keyed["_h"].eqNullSafe(cuts["_h"])
     full = keyed.join(cuts, same, "left").select("row", "_t", keyed["_id"], keyed["_h"], "cuts", "last")
     piece = F.transform("cuts", lambda s: F.when(s["start"] >= s["from"], F.concat(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,4 +29,29 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
+    for made in _recording:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_recording: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``written`` makes inside the block, to be dropped once
+    everything that reads them is itself written."""
+    made: list[str] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording[:] = [m for m in _recording if m is not made]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``written`` made and empty the list."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
