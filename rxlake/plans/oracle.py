@@ -306,9 +306,11 @@ toks0 AS (SELECT conv_id, turn, unnest({X.tokens('text')}) AS token,
                  generate_subscripts({X.tokens('text')}, 1) AS pos FROM {msgs}),
 toks AS (SELECT * FROM toks0 WHERE length(token) >= {FV.MIN_TOKEN_LEN}),
 th0 AS (SELECT DISTINCT token FROM toks),
+nf AS (SELECT DISTINCT name_fold FROM med),
+tn AS (SELECT t.token, nf.name_fold FROM th0 t JOIN nf ON {like_join('t.token', 'nf.name_fold')}),
 hits AS (SELECT t.token, {CAT_M},
                 row_number() OVER (PARTITION BY t.token ORDER BY m.item_name, m.item_seq) AS rank
-         FROM th0 t JOIN med m ON {like_join('t.token', 'm.name_fold')}
+         FROM tn t JOIN med m USING (name_fold)
          QUALIFY rank <= {FV.TOKEN_CONTEXT_HITS}),
 th AS (SELECT toks.conv_id, toks.turn, toks.pos, hits.* FROM toks JOIN hits USING (token)),
 chosen AS (SELECT * FROM th QUALIFY pos = min(pos) OVER (PARTITION BY conv_id, turn)),
