@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     limit = lambda k, most: math.ceil(1e6 * min(1.0, most / max(n.get(k, 0), 1)))
     chosen = ids.where(place < F.when(F.col("toxic") == 1, limit(1, TRAIN_TOXIC)).otherwise(limit(0, TRAIN_CLEAN))).distinct()
     sample = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text")) \
-        .join(chosen, "_id").select("text", "toxic")
+        .join(F.broadcast(chosen), "_id").select("text", "toxic")       # ids: bounded by the sample's size
     sample = written(sample.repartition(16), "toxic-sample")
     model = lexicon(sample)
     if not model.words and not model.stems:
