@@ -118,14 +118,14 @@ def roots(tree: DataFrame) -> DataFrame:
     now = written(tree.select(F.struct("conv", "turn").alias("id"), F.coalesce("parent", F.struct("conv", "turn")).alias("up"),
                               F.col("parent").isNotNull().cast("long").alias("depth")), "threads")
     while True:
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        # only messages that have not reached their root travel
-        moving = now.join(above.where("up != up2"), "up").select("id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"))
-        moving = written(moving, "threads-moving")
-        if moving.isEmpty():
-            return now
-        rest = now.join(moving.select("id"), "id", "left_anti")
-        now = written(rest.unionByName(moving), "threads")
+        # who has not reached a root yet hands its own parent on; both sides grow with the data, so no broadcast
+        above = now.where("up != id").select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        now = written(now.join(above.hint("merge"), "up", "left").select(
+            "id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+            F.col("up2").isNotNull().alias("moved")), "threads")
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
+        now = now.drop("moved")
 
 
 def positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
