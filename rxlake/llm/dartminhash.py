@@ -16,16 +16,24 @@ to their similarity.
 Classes.
 
 1. Texts of equal word sequence (with no words: of equal bytes) share a node.
-2. Nodes that agree in all rows of a band share a bucket.  No bucket emits all
-   its pairs: each member meets the bucket's ``LEADERS`` most central nodes
-   (those with most company over all bands; a bucket of four meets in full).
+2. Nodes that agree in all rows of a band share a bucket.  Each member meets the
+   bucket's ``LEADERS`` most central nodes (those with most company over all
+   bands; a bucket of four meets in full).
 3. A pair is a link if its weighted Jaccard index, computed from the shingles
    themselves, is ``threshold`` or more.
 4. Members of larger buckets that no leader links are put in finer buckets by
    further coordinates and meet new leaders (``LATER_LEADERS``), until none is
    left.
-5. Connected components of the links (star contraction) are the classes; a
-   class is named by its smallest document id.
+5. Members of one bucket that these links leave in different components
+   (star contraction) meet in full: those outside the bucket's largest component
+   meet all members of other components, but for pairs whose sizes exclude a
+   link: all sets' sizes, and what is left of them without the shingles that no
+   other node has.  So only pairs that are in one class anyway or cannot be links
+   are left out.
+6. Connected components of all links are the classes, the same as if every
+   bucket had met in full; a class is named by its smallest document id.  A node's
+   number of links is a lower bound: pairs inside a component that the leaders
+   joined are not counted unless they met.  It is 0 only for nodes without a link.
 
 All joins are on hashed keys with inner semantics, which Spark splits when a
 key is hot; the leader choice is a limited window, cut on the map side.
@@ -196,8 +204,38 @@ def _similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
         .select("a", "b")
 
 
+def _apart(members: DataFrame, roots: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """(node, leader): pairs of a bucket's members (bucket, node) in different components that may be links.
+
+    Components are ``roots`` (node, root), nodes without a row their own.
+    """
+    placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(placed, "dart-placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("members"))
+    main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")) \
+        .where("parts > 1").drop("parts")
+    here = written(placed.join(main, "bucket"), "dart-apart")
+    sets = written(shingles.join(here.select("node").distinct(), "node").select("node", "n", "shingles"), "dart-apart-shingles")
+    # shingles of one node alone are in no intersection
+    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("have"), F.min("node").alias("node")) \
+        .where("have = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+    here = written(here.join(sizes, "node"), "dart-apart-sizes")
+    rest = here.where("root != main").select("bucket", F.col("node").alias("leader"), F.col("root").alias("root2"),
+                                             F.col("n").alias("n2"), F.col("c").alias("c2"))
+    common = F.least("c", "c2")         # at most
+    # of two members outside the main component each pair once
+    return here.join(rest, "bucket").where("root != root2 and (root = main or node < leader)") \
+        .where(common >= threshold * (F.col("n") + F.col("n2") - common)).select("node", "leader")
+
+
 def links(sig: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Verified pairs (a, b) of different nodes, a < b, of signatures with a row id ``rid``."""
+    return linked_components(sig, threshold)[0]
+
+
+def linked_components(sig: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``links`` and the (node, root) of their components."""
     # one row stands for a node, however many copies it has
     first = written(sig.groupBy("node").agg(F.min("rid").alias("rid")), "dart-first")
     rows = sig.select("node", "buckets").distinct().select("node", F.explode("buckets").alias("bucket"))
@@ -207,7 +245,9 @@ def links(sig: DataFrame, threshold: float = 0.8) -> DataFrame:
     members = written(shared.join(weight, "node"), "dart-members")
     # shingles only of nodes that share a bucket; the join's key is the row, so no key is hot
     shingles = written(sig.select("rid", "node", "shingles").join(
-        first.join(weight.select("node"), "node").select("rid"), "rid", "left_semi").drop("rid"), "dart-shingles")
+        first.join(weight.select("node"), "node").select("rid"), "rid", "left_semi").drop("rid")
+        .withColumn("n", F.size("shingles")), "dart-shingles")
+    large = members.where(F.col("size") > LEADERS + 1)
     finer = None
     out, level = [], 0
     while True:
@@ -231,7 +271,22 @@ def links(sig: DataFrame, threshold: float = 0.8) -> DataFrame:
         level += 1
         if members.isEmpty():
             break
-    return functools.reduce(DataFrame.union, out).distinct()
+    near = written(functools.reduce(DataFrame.union, out).distinct(), "dart-near")
+    roots = written(components(near), "dart-near-roots")
+    pairs = written(_apart(large, roots, shingles, threshold).distinct(), "dart-apart-pairs")
+    far = written(_similar(pairs, shingles, threshold), "dart-far")
+    if far.isEmpty():
+        return near, roots
+    # the links between components join these, not their nodes anew
+    over = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c)).alias(c)
+    ends = far
+    for c in "ab":
+        ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    joined = written(components(ends.select(over("a"), over("b"))), "dart-far-roots")
+    nodes = near.union(far).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    full = nodes.join(roots, "node", "left").withColumn("near", F.coalesce("root", "node")).drop("root") \
+        .join(joined.withColumnRenamed("node", "near"), "near", "left").select("node", F.coalesce("root", "near").alias("root"))
+    return near.union(far), full
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,17 +318,14 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
             keys: list[str] | None = None) -> DataFrame:
     """Every row's ``keys`` (default: its id) with node, class_id and n_links.
 
-    n_links counts the node's verified links to other texts.
+    n_links counts the node's verified links to other texts: at least one if it
+    has any, but a lower bound (see 6. above).
     """
     keys = [doc_id] if keys is None else keys
     sig = written(signatures(docs, keys, text).withColumn("rid", F.monotonically_increasing_id()), "dart-signatures")
     with recorded() as temporary:
-        found = links(sig, threshold)
-    pairs = written(found, "dart-links")
-    drop(docs.sparkSession, temporary)
-    with recorded() as temporary:
-        stars = components(pairs)
-    roots = written(stars, "dart-roots")
+        found, stars = linked_components(sig, threshold)
+    pairs, roots = written(found, "dart-links"), written(stars, "dart-roots")
     drop(docs.sparkSession, temporary)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = sig.groupBy("node").agg(F.min(doc_id).alias("first"))

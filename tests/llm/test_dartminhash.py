@@ -89,6 +89,29 @@ def test_large_group_of_near_copies(spark):
     assert sorted(got.items()) == brute(docs)
 
 
+def test_edited_versions_of_a_large_group(spark):
+    """Versions at 0.82 of a version at 0.95 of a large group, themselves below 0.8 of it."""
+    rnd = random.Random(4)
+    base = ["t%d" % i for i in range(400)]
+
+    def edited(words, places):
+        return ["r%d" % rnd.randrange(10**9) if i in places else w for i, w in enumerate(words)]
+
+    texts = [edited(base, {rnd.randrange(10, 390)}) for _ in range(12)]
+    for _ in range(60):
+        places = rnd.sample(range(10, 390, 10), 10)
+        once = edited(base, set(places[:2]))
+        texts += [once, edited(once, set(places[2:]))]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = D.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute(docs)
+    s = [shingles(t) for _, t in docs]
+    degree = [sum(similarity(a, b) >= 0.8 for b in s) - 1 for a in s]
+    # a lower bound, 0 only without a link; a version with one link has it
+    assert all(min(1, degree[r.doc_id]) <= r.n_links <= degree[r.doc_id] for r in got)
+    assert {degree[i] for i in range(13, len(docs), 2)} == {1}
+
+
 def test_components_of_a_path(spark):
     n = 60
     ids = random.Random(0).sample(range(-1000, 1000), n)
