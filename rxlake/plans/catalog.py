@@ -783,3 +783,20 @@ def q_embed_documents(spark, sf_dir):
     whole = F.transform("embedding", lambda x: F.round(x * 10000).cast("long").cast("string"))
     return idx.select("id", F.length("document").cast("long").alias("doc_chars"), F.array_join(whole, ",").alias("vector"),
                       F.col("metadata.name").alias("name"))
+
+
+@register("embed_every_document")
+def q_embed_every_document(spark, sf_dir):
+    """C5 V1 V2 V4 V5 N9 (F1 F6 F9 F10 P2 P7 P8 T2): as ``embed_documents``, but
+    keyed by the document, so every text is embedded; every hundredth comes again
+    later with another text, so keys repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    again = docs.where("doc_id % 100 = 0").withColumns({"text": F.concat(F.lit("again "), "text"), "ord": F.col("doc_id") * 2 + 1})
+    docs = docs.withColumn("ord", F.col("doc_id") * 2).unionByName(again)
+    empty = [F.lit("").alias(f"c{i}") for i in range(4, 14)]
+    raw = docs.select(F.col("doc_id").cast("string").alias("c0"), F.concat_ws(" ", "source", "lang").alias("c1"),
+                      F.col("source").alias("c2"), F.col("text").alias("c3"), *empty, "ord")
+    idx = J.document_index(J.leaflet_documents(raw, ord_col="ord"))
+    whole = F.transform("embedding", lambda x: F.round(x * 10000).cast("long").cast("string"))
+    return idx.select("id", F.length("document").cast("long").alias("doc_chars"), F.array_join(whole, ",").alias("vector"),
+                      F.col("metadata.name").alias("name"))

@@ -523,6 +523,20 @@ full_v AS (SELECT k.id, g.i, coalesce(v.v, 0) / CASE WHEN coalesce(n.n, 0) > 0 T
 txt AS (SELECT id, string_agg(CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS vector FROM full_v GROUP BY id)
 SELECT id, length(document) AS doc_chars, vector, name FROM kept JOIN txt USING (id)""")
 
+register("embed_every_document", f"""
+WITH raw AS (SELECT doc_id AS ord, {X.ustrip("CAST(doc_id AS VARCHAR)")} AS k, {X.clean_text("concat_ws(' ', source, lang)")} AS name,
+                    {X.clean_text('text')} AS effect FROM documents),
+one AS (SELECT * FROM raw WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1),
+docs AS (SELECT '{FV.LEAFLET_ID_PREFIX}' || k AS id, name, {X.leaflet_document('name', ['effect', "''", "''", "''", "''", "''", "''"])} AS document
+         FROM one),
+kept AS (SELECT * FROM docs WHERE length(document) > {FV.LEAFLET_MIN_CHARS}),
+v AS ({hash_counts_sql('kept', 'id', 'document')}),
+n AS (SELECT id, sqrt(sum(v * v)) AS n FROM v GROUP BY id),
+full_v AS (SELECT k.id, g.i, coalesce(v.v, 0) / CASE WHEN coalesce(n.n, 0) > 0 THEN n.n ELSE 1 END AS x
+           FROM kept k CROSS JOIN (SELECT unnest(range(64)) AS i) g LEFT JOIN v ON v.id = k.id AND v.i = g.i LEFT JOIN n ON n.id = k.id),
+txt AS (SELECT id, string_agg(CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS vector FROM full_v GROUP BY id)
+SELECT id, length(document) AS doc_chars, vector, name FROM kept JOIN txt USING (id)""")
+
 register("alarm_state", """
 WITH log AS (
   SELECT event_id AS alarm_id, ts, event_id, 'register' AS action, CAST(user_id AS VARCHAR) AS user_id,

@@ -54,3 +54,9 @@ def test_result_independent_of_partitioning(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_every_document_is_embedded(spark, duck):
+    n, lengths = duck.execute("SELECT count(*), count(DISTINCT n_chars) FROM documents").fetchone()
+    out = E.queries()["embed_every_document"](spark, SF001)
+    assert lengths < n == out.select("id").distinct().count() == out.count()
