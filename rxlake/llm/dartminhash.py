@@ -316,7 +316,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8,
             keys: list[str] | None = None) -> DataFrame:
-    """Every row's ``keys`` (default: its id) with node, class_id and n_links.
+    """Every row's ``keys`` (default: its id) with node, root (the same for all of a class), class_id and n_links.
 
     n_links counts the node's verified links to other texts: at least one if it
     has any, but a lower bound (see 6. above).
@@ -333,7 +333,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         .select("node", F.coalesce("root", "node").alias("root"), "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     nodes = written(nodes, "dart-nodes")
     named = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("class_id")), "root") \
-        .select("node", "class_id", "n_links")
+        .select("node", "root", "class_id", "n_links")
     return sig.select(*keys, "node").join(named, "node")
 
 
@@ -342,21 +342,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class: that with the smallest id (of identical rows, one)."""
+    """One document of each class: that with the smallest id, rows without an id last (of identical rows, one)."""
     keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"),
                         F.xxhash64("text").alias("_text"), F.coalesce("text", F.lit("")).alias("_t"))
     with recorded() as temporary:
         found = classes(keyed, doc_id="_id", text="_t", keys=["_id", "_text"])
     table = written(found, "dart-classes")
     drop(docs.sparkSession, temporary)
-    # first of a class: smallest id, then smallest text hash; one key (id, text hash) each
-    first = table.groupBy("class_id").agg(F.min(F.struct("_id", "_text")).alias("k"))
-    lost = table.select("_id", "_text", "class_id").distinct().join(first, "class_id") \
-        .where((F.col("k._id") != F.col("_id")) | (F.col("k._text") != F.col("_text"))).select("_id", "_text")
-    twice = written(table.groupBy("_id", "_text").count().where("count > 1").select("_id", "_text"), "dart-twice")
+    # first of a class: smallest id, null last, then smallest text hash; one key (id, text hash) each
+    first = table.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_text")).alias("k"))
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_text") == F.col("_text2"))
+    lost = table.select("_id", "_text", "root").distinct().join(first, "root") \
+        .where(~F.col("k._id").eqNullSafe(F.col("_id")) | (F.col("k._text") != F.col("_text"))) \
+        .select(F.col("_id").alias("_id2"), F.col("_text").alias("_text2"))
+    twice = table.groupBy("_id", "_text").count().where("count > 1")
+    twice = written(twice.select(F.col("_id").alias("_id2"), F.col("_text").alias("_text2")), "dart-twice")
     # both sides grow with the data: no broadcast, whatever the size now
-    kept = keyed.drop("_t").join(lost.hint("merge"), ["_id", "_text"], "left_anti")
+    kept = keyed.drop("_t").join(lost.hint("merge"), same, "left_anti")
     if not twice.isEmpty():
-        kept = kept.join(twice, ["_id", "_text"], "left_anti").unionByName(
-            kept.join(twice, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]))
+        kept = kept.join(twice, same, "left_anti").unionByName(
+            kept.join(twice, same, "left_semi").dropDuplicates(["_id", "_text"]))
     return kept.select("row.*")

@@ -112,6 +112,17 @@ def test_edited_versions_of_a_large_group(spark):
     assert {degree[i] for i in range(13, len(docs), 2)} == {1}
 
 
+def test_keep_first_without_ids(spark):
+    long = " ".join("a%d" % i for i in range(100))
+    near = long.replace("a50", "b")
+    docs = [(None, long), (7, long), (5, long), (None, near), (8, near),      # a class with ids: 5
+            (None, "x y z"), (None, "x y z"),                                  # without ids: one
+            (None, long[::-1]), (None, long[::-1] + " end"), (9, "else")]     # without ids, near copies: one
+    kept = D.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [5, 9]
+    assert sorted(r.text[:3] for r in kept if r.doc_id is None) == sorted(["x y", long[::-1][:3]])
+
+
 def test_components_of_a_path(spark):
     n = 60
     ids = random.Random(0).sample(range(-1000, 1000), n)
