@@ -12,11 +12,10 @@ Bootstrapping.  Seeds are the base spans.  Candidates are other number- or
 address-like strings that overlap no base span.
 
 1. A lexical pattern is the pair of words left of a seed or candidate.  It is
-   of use for a kind if at least ``MIN_SEEDS`` different seeds of the kind, and
-   ``MIN_SHARE`` of them, follow it (so there are at most 4 / ``MIN_SHARE``
-   patterns in any corpus), and if at least ``MIN_SELECTIVE`` of its occurrences
-   in the whole corpus are followed by a seed or candidate (common word pairs
-   are not).
+   of use for a kind if at least ``MIN_SEEDS`` different seeds of the kind follow
+   it, whatever the size of the corpus, and if at least ``MIN_SELECTIVE`` of its
+   occurrences in the whole corpus are followed by a seed or candidate (common
+   word pairs are not).
 2. On the graph of patterns and instances (distinct strings) scores alternate
    for ``ROUNDS``: a pattern's confidence in a kind is the mean score of its
    instances, with one doubtful instance added; a candidate's score is the
@@ -30,8 +29,6 @@ spans; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rxlake.llm.store import drop, recorded, written
@@ -48,7 +45,8 @@ CANDIDATE = (f"(?:(?<!{_LOCAL})|\\G)(?:{_LOCAL}++@[A-Za-z0-9._-]++"
              "|[+(]{0,2}[0-9](?:[\\x20().-]{0,2}[0-9]){4,}+(?![A-Za-z0-9_]))")
 #: a text without this matches none of the patterns
 NEEDS = ["@", ".", None, "+", None]
-MIN_SEEDS, MIN_SHARE = 3, 0.001
+MIN_SEEDS = 3
+BUCKETS = 1 << 20            # hashes by which word pairs are told from patterns before they are counted
 MIN_SELECTIVE = 0.5
 ROUNDS = 3
 ACCEPT, ACCEPT_INSTANCE = 0.7, 0.9
@@ -134,12 +132,8 @@ def placed(found: DataFrame) -> DataFrame:
 
 def selective_patterns(docs: DataFrame, text: str, spots: DataFrame) -> DataFrame:
     """(pattern): those with enough seeds of one kind that are mostly followed by an identifier."""
-    seeds = spots.where("pattern is not null and kind < 4")
-    total = seeds.groupBy("kind").agg(F.count_distinct("value").alias("n")).collect()        # a row per kind
-    least = F.create_map(*[F.lit(x) for r in total for x in (r.kind, max(MIN_SEEDS, math.ceil(MIN_SHARE * r.n)))]) \
-        if total else F.lit(None).cast("map<int,int>")
-    seeded = seeds.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("n")) \
-        .where(F.col("n") >= least[F.col("kind")]).select("pattern").distinct()
+    seeded = spots.where("pattern is not null and kind < 4").groupBy("pattern", "kind") \
+        .agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_SEEDS).select("pattern").distinct()
     # a spot counts once, though several kinds may match it
     here = spots.where("pattern is not null").select("rid", "start", "pattern").distinct() \
         .join(seeded, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("followed"))
@@ -148,9 +142,12 @@ def selective_patterns(docs: DataFrame, text: str, spots: DataFrame) -> DataFram
     pairs = docs.select(w.alias("w")).select(F.explode(F.zip_with(
         "w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))),
         lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    total = pairs.join(F.broadcast(here.select("pattern")), "pattern", "left_semi") \
+    # pairs whose hash no pattern has are left out before the shuffle; what is sent for that is at most BUCKETS numbers.
+    # The rest is counted on the map side first; the patterns grow with the corpus, so no broadcast of them
+    bucket = F.pmod(F.xxhash64("pattern"), F.lit(BUCKETS)).alias("bucket")
+    total = pairs.withColumn("bucket", bucket).join(F.broadcast(here.select(bucket).distinct()), "bucket", "left_semi") \
         .groupBy("pattern").agg(F.count("*").alias("total"))
-    return here.join(total, "pattern").where(F.col("followed") >= MIN_SELECTIVE * F.col("total")).select("pattern")
+    return total.join(here.hint("merge"), "pattern").where(F.col("followed") >= MIN_SELECTIVE * F.col("total")).select("pattern")
 
 
 def bootstrap(spots: DataFrame, patterns: DataFrame) -> DataFrame:

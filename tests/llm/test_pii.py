@@ -80,6 +80,15 @@ def test_patterns_find_unseen(spark):
     assert all(got[i] == ",".join(listed(text[i])) for i in range(200))
 
 
+def test_patterns_whatever_the_corpus(spark):
+    """A context of twelve seeds stays a pattern when unrelated documents bring thousands of seeds."""
+    docs = [(i, f"please call +49 (30) 555-{1000 + i}") for i in range(12)] + [(900, "now please call 555 010 7788 soon")]
+    more = [(1000 + i, f"w{i} v{i} +49 (40) {1000000 + i}") for i in range(15_000)]
+    for rows in (docs, docs + more):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert P.report(df).where("doc_id = 900").first().spans == "phone:16:28"
+
+
 def test_redact(spark):
     docs = texts()[:120] + [(500, None), (500, None), (501, "a 4111 1111 1111 1111 b x@1.2.3.4 +1 234 567 8901")]
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, row int")
