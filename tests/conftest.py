@@ -7,18 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from rxlake.session import get_session  # noqa: E402
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = get_session(master="local[4]", shuffle_partitions=4, app="rxlake-tests")
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collect as a list of tuples (in the DataFrame's column order, or ``cols``)."""
-    sel = df.select(*cols) if cols else df
-    return [tuple(r) for r in sel.collect()]

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from helpers import SF001
 from tools.compare import TABLES, fingerprint
 
 QUERIES, ORACLES = E.QUERIES, E.ORACLE   # the training-data queries have tests of their own

@@ -1,6 +1,6 @@
 """Composite jobs on literal fixtures (FIXTURES §3)."""
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from rxlake.plans import jobs as J

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF001, rows
+from helpers import SF001, rows
 from rxlake.functions import text as T
 from rxlake.operators import lookup as L
 from rxlake.plans import catalog as C

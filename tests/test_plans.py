@@ -4,7 +4,7 @@ import contextlib
 import io
 
 import __spark_entry__ as E
-from conftest import SF001, SF01
+from helpers import SF001, SF01
 from pyspark.sql import functions as F
 
 

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from rxlake import fixed_values as FV
 from rxlake.plans import jobs as J
 from rxlake.sources import io as IO

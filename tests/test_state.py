@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from rxlake.operators import rank as R
 from rxlake.operators import state as A
 from rxlake.sources import io as IO
