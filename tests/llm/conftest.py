@@ -5,9 +5,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+from llm_helpers import SF001  # noqa: E402
 from rxlake.session import get_session  # noqa: E402
 
-SF001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -19,6 +19,6 @@ def spark():
 def duck():
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages", "conversations"):
+    for t in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return con

@@ -7,7 +7,7 @@ import test_dartminhash as near
 import test_pii as private
 import test_quality as rules
 import test_wumanber as bench
-from conftest import SF001
+from llm_helpers import SF001
 from rxlake.llm import quality
 
 

@@ -4,7 +4,7 @@ import hashlib
 import os
 import random
 
-from conftest import SF001
+from llm_helpers import SF001
 from rxlake.llm import warc as X
 
 

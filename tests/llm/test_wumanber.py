@@ -56,7 +56,7 @@ def test_empty_tables(spark):
 
 
 def test_oracle(spark, duck):
-    from conftest import SF001
+    from llm_helpers import SF001
     r = W.report(spark.read.parquet(f"{SF001}/documents.parquet"), spark.read.parquet(f"{SF001}/benchmark.parquet"))
     got = sorted(map(tuple, r.collect()))
     assert got == sorted(duck.execute(W.ORACLE).fetchall())
