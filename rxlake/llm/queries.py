@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rxlake.llm import dartminhash, huffman, langid, packing, pii, quality, quotes, toxicity, warc, wumanber
+from rxlake.llm import (dartminhash, fim, hardnegatives, huffman, kdtrees, langid, packing, pii, quality, quotes, toxicity, warc,
+                         wumanber)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,18 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_kd_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtrees.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ecoc_language": op1_ecoc_language,
     "op2_ordered_packing": op2_ordered_packing,
@@ -63,9 +76,15 @@ QUERIES = {
     "op8_wu_manber": op8_wu_manber,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
     "op10_huffman_ids": op10_huffman_ids,
+    "op11_kd_trees": op11_kd_trees,
+    "op12_slot_negatives": op12_slot_negatives,
+    "op13_block_rotation": op13_block_rotation,
 }
 
 ORACLE = {
     "op4_sharded_warc": warc.ORACLE,
     "op8_wu_manber": wumanber.ORACLE,
+    "op11_kd_trees": kdtrees.ORACLE,
+    "op12_slot_negatives": hardnegatives.ORACLE,
+    "op13_block_rotation": fim.ORACLE,
 }
