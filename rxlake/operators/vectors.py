@@ -3,7 +3,7 @@
 * V1/V2 encoder plug-in: an iterator-style pandas UDF; the model object is
   created once per Python worker and fed Arrow batches, in inner batches of
   64 texts (``make_encoder``).  No model ships offline, so the default is a
-  deterministic feature-hashing encoder in DataFrame functions (``hash_vectors``).
+  deterministic feature-hashing encoder in DataFrame functions (``hash_vector``).
 * V3 exact top-k (squared L2, the vector store's default; cosine optional):
   the query set, after a size check, is broadcast; each partition of the
   collection computes distances with numpy and keeps its local top-k per
@@ -11,7 +11,9 @@
   query set above the limit is processed in chunks, each one a distributed
   pass whose (final) top-k is written to the shared checkpoint folder, so
   the plan stays small however many chunks there are and a finished chunk
-  survives a failure.  Results are exact in every case.
+  survives a failure.  Results are exact in every case.  A collection that
+  is derived rather than stored should be materialised by the caller: it is
+  counted, read, and joined with its metadata.
 """
 
 from __future__ import annotations
@@ -21,40 +23,56 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from rxlake import fixed_values as FV
 from rxlake.functions import text as T
 from rxlake.operators import rank as R
+from rxlake.session import shuffle_partitions
 
 QUERY_BROADCAST_BYTES = 64 << 20   # max bytes of query vectors shipped per pass
 TILE_BYTES = 64 << 20              # max bytes of distances held by a worker
 
 
 # ------------------------------------------------------------------ encoders ---
-def hash_vectors(df: DataFrame, keys: list, text: str, dim: int = 64, out: str = "embedding",
-                 unit: bool = True) -> DataFrame:
-    """Rows of ``df`` with a feature-hashing vector of the text (stand-in for a
-    sentence model, which does not ship offline), in DataFrame functions.
+def hash_vector(text: Column, dim: int = 64, unit: bool = True) -> Column:
+    """Feature-hashing vector of a text (stand-in for a sentence model, which
+    does not ship offline), from the row's own tokens: no shuffle.
 
     The first two hex digits of a token's MD5 pick the coordinate, the third the
-    sign.  Tokens are counted per (key, coordinate), combined map-side, and at
-    most ``dim`` counts per key are collected.  ``keys`` must be unique.
-    ``unit`` scales the vector to length 1; a text without tokens gets zeros.
+    sign.  A token becomes the number ``coordinate`` or ``dim + coordinate``; the
+    sorted numbers, with one of each added, hold every count as the distance
+    between two first positions.  ``unit`` scales the vector to length 1; a text
+    without tokens gets zeros.
     """
-    h = F.md5(F.col("_t").cast("binary"))
-    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substr(h, F.lit(i), F.lit(1))) - 1
-    tokens = df.select(*keys, F.explode_outer(F.split(T.collapse_ws(F.coalesce(F.col(text), F.lit(""))), " ")).alias("_t"))
-    counts = tokens.where(F.col("_t") != "").groupBy(*keys, ((digit(1) * 16 + digit(2)) % dim).alias("_i")) \
-        .agg(F.sum(F.when(digit(3) >= 8, 1).otherwise(-1)).cast("double").alias("_v"))
-    vec = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"),
-                                    F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_n"))
-    scale = F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.lit(1.0)) if unit else F.lit(1.0)
-    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.coalesce(scale, F.lit(1.0)))
-    return df.join(vec, keys, "left").withColumn(out, full).drop("_m", "_n")
+    tokens = F.filter(F.split(T.collapse_ws(F.coalesce(text, F.lit(""))), " "), lambda t: t != "")
+
+    def number(t: Column) -> Column:
+        v = F.conv(F.substr(F.md5(t.cast("binary")), F.lit(1), F.lit(3)), 16, 10).cast("int")
+        return F.shiftright(v, 4) % dim + F.when(v % 16 >= 8, 0).otherwise(dim)
+
+    every = F.sequence(F.lit(0), F.lit(2 * dim))
+    # staged with one-element transforms: each inner value is computed once a row
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    counts = once(
+        F.sort_array(F.concat(F.transform(tokens, number), every)),
+        lambda ordered: once(
+            F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))),
+            lambda first: F.transform(
+                F.sequence(F.lit(0), F.lit(dim - 1)),
+                lambda i: (F.get(first, i + 1) - F.get(first, i) - F.get(first, i + 1 + dim) + F.get(first, i + dim)).cast("double"))))
+    if not unit:
+        return counts
+    return once(counts, lambda v: once(
+        F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)),
+        lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(F.lit(1.0)))))
+
+
+def hash_vectors(df: DataFrame, text: str, dim: int = 64, out: str = "embedding", unit: bool = True) -> DataFrame:
+    """Rows of ``df`` with the hashing vector of a text column."""
+    return df.withColumn(out, hash_vector(F.col(text), dim, unit))
 
 
 def make_encoder(factory: Callable[[], object], batch: int = FV.EMBED_BATCH):
@@ -93,83 +111,97 @@ def _ids(s: pd.Series, id_type: str) -> np.ndarray:
     return s.to_numpy().astype(str) if id_type == "string" else s.to_numpy()
 
 
-def _topk_partition(bc, k: int, id_col: str, vec_col: str, metric: str, id_type: str = "bigint"):
+def _rows_to_matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
+    return np.vstack(pdf[col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+
+
+class Collection:
+    """Vectors in the order of their ids, ready for nearest-neighbour search of
+    whole tiles of queries.
+
+    Squared L2 distances come from one matrix product a tile, ``|x|^2 - 2xq +
+    |q|^2``.  For whole-number vectors below 2^53 that is exact.  Otherwise it only
+    preselects: rows within the rounding error of the k-th distance are computed
+    anew by differences, so no digit is lost to cancellation.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, metric: str = "l2"):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x, self.metric = ids[order], vectors[order], metric
+        if metric == "cosine":
+            self.x = self.x / np.maximum(np.linalg.norm(self.x, axis=1, keepdims=True), 1e-300)
+        self.norms = np.einsum("ij,ij->i", self.x, self.x)
+        self.whole = bool((self.x == np.rint(self.x)).all())
+
+    def _distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, how far each query's may be off)."""
+        if self.metric == "cosine":
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            return 1.0 - q @ self.x.T, np.zeros(len(q))
+        own = np.einsum("ij,ij->i", q, q)
+        most = own + self.norms.max()
+        exact = self.whole and bool((q == np.rint(q)).all()) and bool((4 * most < 2 ** 53).all())
+        off = np.zeros(len(q)) if exact else 8 * (self.x.shape[1] + 4) * np.finfo(float).eps * most
+        return own[:, None] - 2 * (q @ self.x.T) + self.norms[None], off
+
+    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, distances), both queries x min(k, rows); ties by id."""
+        n = len(self.ids)
+        kk = min(k, n)
+        rows, dists = np.zeros((len(queries), kk), np.int64), np.zeros((len(queries), kk))
+        size = max(1, TILE_BYTES // (8 * n))
+        for at in range(0, len(queries), size):
+            q = queries[at:at + size]
+            d, off = self._distances(q)
+            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            for j in range(len(q)):
+                if off[j]:
+                    near = np.flatnonzero(d[j] <= kth[j] + 2 * off[j])
+                    diff = self.x[near] - q[j]
+                    dist = np.einsum("ij,ij->i", diff, diff)
+                else:       # of the rows at the k-th distance only the first in id order can be needed
+                    near = np.concatenate([np.flatnonzero(d[j] < kth[j]), np.flatnonzero(d[j] == kth[j])[:kk]])
+                    dist = d[j, near]
+                best = np.lexsort((near, dist))[:kk]
+                rows[at + j], dists[at + j] = near[best], dist[best]
+        return rows, dists
+
+    def table(self, qids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+        """Rows (qid, rank, doc_id, dist)."""
+        rows, dists = self.nearest(queries, k)
+        kk = rows.shape[1]
+        return pd.DataFrame({"qid": np.repeat(qids, kk), "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(qids)),
+                             "doc_id": self.ids[rows.ravel()], "dist": dists.ravel()})
+
+
+def _topk_partition(bc, k: int, metric: str, id_type: str):
+    """mapInPandas over a collection: the local top-k of every broadcast query."""
     def run(it):
+        qids, queries = bc.value
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            ids = _ids(pdf[id_col], id_type)
-            yield from tiles(X, ids)
-
-    def tiles(X, ids):
-        # distances of a tile of queries at a time: rows x tile x 8 bytes <= TILE_BYTES
-        all_ids, all_mat = bc.value
-        size = max(1, TILE_BYTES // (8 * max(X.shape[0], 1)))
-        for at in range(0, len(all_mat), size):
-            qids, qmat = all_ids[at:at + size], all_mat[at:at + size]
-            if metric == "cosine":
-                Xn = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
-                Qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
-                D = 1.0 - Xn @ Qn.T
-            else:
-                # exact squared L2 by differences (no |x|^2 - 2xq + |q|^2 cancellation)
-                D = np.empty((X.shape[0], qmat.shape[0]))
-                for j in range(qmat.shape[0]):
-                    diff = X - qmat[j]
-                    D[:, j] = np.einsum("ij,ij->i", diff, diff)
-            kk = min(k, X.shape[0])
-            rows_q, rows_id, rows_d = [], [], []
-            for j in range(qmat.shape[0]):
-                col = D[:, j]
-                # local top-k with ties broken by id: sort candidates within the
-                # k-th distance, which keeps every id that could tie
-                part = np.argpartition(col, kk - 1)[:kk] if kk < len(col) else np.arange(len(col))
-                kth = col[part].max()
-                cand = np.nonzero(col <= kth)[0]
-                order = np.lexsort((ids[cand], col[cand]))[:kk]
-                sel = cand[order]
-                rows_q.append(np.full(len(sel), qids[j]))
-                rows_id.append(ids[sel])
-                rows_d.append(col[sel])
-            yield pd.DataFrame({"qid": np.concatenate(rows_q), "doc_id": np.concatenate(rows_id),
-                                "dist": np.concatenate(rows_d)})
+            if len(pdf):
+                part = Collection(_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v"), metric)
+                yield part.table(qids, queries, k)[["qid", "doc_id", "dist"]]
     return run
 
 
-def _rows_to_matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
-    return np.vstack(pdf[col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-
-
-def _scan_queries(bc, k: int, metric: str):
+def _scan_queries(bc, k: int):
     """mapInPandas over query batches against a broadcast collection: the
     whole collection is here, so the top-k is final per query."""
     def run(it):
-        ids, mat = bc.value
         for pdf in it:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            Q = _rows_to_matrix(pdf, "qvec")
-            qids = pdf["qid"].to_numpy()
-            kk = min(k, len(ids))
-            out_q, out_id, out_d, out_r = [], [], [], []
-            for j in range(Q.shape[0]):
-                if metric == "cosine":
-                    col = 1.0 - (mat @ Q[j]) / np.maximum(np.linalg.norm(mat, axis=1) * np.linalg.norm(Q[j]), 1e-300)
-                else:
-                    diff = mat - Q[j]
-                    col = np.einsum("ij,ij->i", diff, diff)
-                order = np.lexsort((ids, col))[:kk]
-                out_q.append(np.full(kk, qids[j]))
-                out_id.append(ids[order])
-                out_d.append(col[order])
-                out_r.append(np.arange(1, kk + 1, dtype=np.int32))
-            if out_q:
-                yield pd.DataFrame({"qid": np.concatenate(out_q), "rank": np.concatenate(out_r),
-                                    "doc_id": np.concatenate(out_id), "dist": np.concatenate(out_d)})
+            if len(pdf):
+                yield bc.value.table(pdf["qid"].to_numpy(), _rows_to_matrix(pdf, "qvec"), k)
     return run
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """An explicit repartition: the search is CPU work, and a few megabytes of
+    vectors would otherwise be coalesced into one task."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(max(sc.defaultParallelism, shuffle_partitions(df.sparkSession)))
+
+
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid: str = "qid",
              qvec: str = "qvec", doc_id: str = "vec_id", doc_vec: str = "embedding",
              metric: str = "l2", max_bytes: int = QUERY_BROADCAST_BYTES) -> DataFrame:
@@ -194,15 +226,16 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
     if id_type not in ("string", "bigint"):
         d = d.withColumn("_id", F.col("_id").cast("long"))
         id_type = "bigint"
-    qn, dn = q.count(), d.count()
+    qn = q.count()
+    dn, dim = d.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_v")), F.lit(1))).first()
     if qn == 0 or dn == 0:
         return spark.createDataFrame([], f"qid long, rank int, doc_id {id_type}, dist double")
-    dim = max(1, len(d.select("_v").first()[0] or []))      # all vectors of a collection have one length
+    dim = max(1, dim)
     per_pass = max(1, max_bytes // (8 * dim))
     if dn <= per_pass and dn <= qn:
         pdf = d.toPandas()  # bounded: dn * dim * 8 <= max_bytes
-        bc = spark.sparkContext.broadcast((_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v")))
-        return q.mapInPandas(_scan_queries(bc, k, metric), f"qid long, rank int, doc_id {id_type}, dist double")
+        bc = spark.sparkContext.broadcast(Collection(_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v"), metric))
+        return _spread(q).mapInPandas(_scan_queries(bc, k), f"qid long, rank int, doc_id {id_type}, dist double")
     schema = f"qid long, doc_id {id_type}, dist double"
     order = [F.col("dist").asc(), F.col("doc_id").asc()]
 
@@ -212,7 +245,7 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
         pdf = chunk.toPandas()  # bounded by max_bytes, checked above
         bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), _rows_to_matrix(pdf, "qvec")))
         sent.append(bc)
-        local = d.mapInPandas(_topk_partition(bc, k, "_id", "_v", metric, id_type), schema)
+        local = d.mapInPandas(_topk_partition(bc, k, metric, id_type), schema)
         return R.first_k(local, ["qid"], order, k, rank_col="rank").select("qid", "rank", "doc_id", "dist")
 
     if qn <= per_pass:

@@ -79,10 +79,10 @@ def with_name_fold(medicines: DataFrame, name_col: str = "item_name") -> DataFra
 def document_index(docs: DataFrame, encoder=None) -> DataFrame:
     """V4: ``(id, document, metadata)`` -> + ``embedding``; blank documents
     are skipped (P9).  ``encoder`` is a pandas UDF from ``make_encoder``;
-    without one the hashing vectors are used (ids must be unique)."""
+    without one the hashing vectors are used."""
     kept = docs.where(T.ustrip(F.coalesce(F.col("document"), F.lit(""))) != "")
     if encoder is None:
-        kept = V.hash_vectors(kept, ["id"], "document")
+        kept = V.hash_vectors(kept, "document")
     else:
         kept = kept.withColumn("embedding", encoder(F.col("document")))
     return kept.select("id", "document", "embedding", "metadata")
@@ -160,7 +160,7 @@ def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col:
     remaining = gated
     if collections is not None:
         q = R.sequential_ids(gated.select(*keys, text_col), [F.col(c) for c in keys], id_col="qid")
-        qv = V.hash_vectors(q, ["qid"], text_col, out="qvec", unit=unit) if encoder is None else \
+        qv = V.hash_vectors(q, text_col, out="qvec", unit=unit) if encoder is None else \
             q.withColumn("qvec", encoder(F.col(text_col)))
         qv = qv.select("qid", "qvec").checkpoint(eager=True)      # read by both searches
         hits = []

@@ -66,7 +66,7 @@ def test_hash_vectors(spark):
     import hashlib
     texts = ["a b  c", "", None, "a b c", "x x x y", "é \u3000 9"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    got = {r[0]: r[1] for r in rows(V.hash_vectors(df, ["id"], "t"), "id", "embedding")}
+    got = {r[0]: r[1] for r in rows(V.hash_vectors(df, "t"), "id", "embedding")}
     for i, t in enumerate(texts):
         want = np.zeros(64)
         for w in (t or "").split():
@@ -84,7 +84,7 @@ def test_more_queries_than_a_tile(spark, monkeypatch):
     bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows(q, "qid")]), np.array([r[0] for r in rows(q, "qvec")], float)))
     monkeypatch.setattr(V, "TILE_BYTES", 8 * 300 * 7)
     pdf = emb.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_v")).toPandas()
-    run = V._topk_partition(bc, 2, "_id", "_v", "l2")
+    run = V._topk_partition(bc, 2, "l2", "bigint")
     got = []
     for out in run(iter([pdf])):
         for qid, part in out.groupby("qid"):
@@ -101,3 +101,28 @@ def test_broadcast_collection_path_equals_query_path(spark):
     qs = [(r[0], np.asarray(r[1])) for r in rows(q, "qid", "qvec")]
     want = brute(qs, rows(small, "vec_id", "embedding"), 3)
     assert {qid: [d for _, r, d in sorted(x for x in a if x[0] == qid)] for qid in want} == want
+
+
+def test_distances_by_product_are_exact(monkeypatch):
+    """Whole numbers, large offsets (cancellation) and many ties against plain differences."""
+    monkeypatch.setattr(V, "TILE_BYTES", 8 * 200 * 3)
+    rng = np.random.default_rng(4)
+    for x, q in ((rng.integers(-3, 4, (200, 3)).astype(float), rng.integers(-3, 4, (20, 3)).astype(float)),
+                 (1e7 + rng.normal(0, 1e-3, (200, 5)), 1e7 + rng.normal(0, 1e-3, (20, 5))),
+                 (np.repeat(rng.normal(0, 1, (10, 4)), 20, axis=0), rng.normal(0, 1, (20, 4)))):
+        ids = rng.permutation(200)
+        rows_, dists = V.Collection(ids, x).nearest(q, 7)
+        order = np.argsort(ids)
+        for j in range(len(q)):
+            diff = x[order] - q[j]
+            d = np.einsum("ij,ij->i", diff, diff)
+            want = np.lexsort((np.arange(200), d))[:7]
+            assert list(rows_[j]) == list(want) and (dists[j] == d[want]).all()
+
+
+def test_search_runs_in_as_many_tasks_as_cores(spark):
+    """Neither a tiny collection nor a tiny query table puts the search into one task."""
+    docs = spark.range(50).selectExpr("id AS vec_id", "array(CAST(id AS double)) AS embedding").coalesce(1)
+    q = spark.range(100).selectExpr("id AS qid", "array(CAST(id AS double)) AS qvec").coalesce(1)
+    used = V.knn_topk(q, docs, 1).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= spark.sparkContext.defaultParallelism
