@@ -46,7 +46,6 @@ CANDIDATE = (f"(?:(?<!{_LOCAL})|\\G)(?:{_LOCAL}++@[A-Za-z0-9._-]++"
 #: a text without this matches none of the patterns
 NEEDS = ["@", ".", None, "+", None]
 MIN_SEEDS = 3
-BUCKETS = 1 << 20            # hashes by which word pairs are told from patterns before they are counted
 MIN_SELECTIVE = 0.5
 ROUNDS = 3
 ACCEPT, ACCEPT_INSTANCE = 0.7, 0.9
@@ -142,11 +141,9 @@ def selective_patterns(docs: DataFrame, text: str, spots: DataFrame) -> DataFram
     pairs = docs.select(w.alias("w")).select(F.explode(F.zip_with(
         "w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))),
         lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    # pairs whose hash no pattern has are left out before the shuffle; what is sent for that is at most BUCKETS numbers.
-    # The rest is counted on the map side first; the patterns grow with the corpus, so no broadcast of them
-    bucket = F.pmod(F.xxhash64("pattern"), F.lit(BUCKETS)).alias("bucket")
-    total = pairs.withColumn("bucket", bucket).join(F.broadcast(here.select(bucket).distinct()), "bucket", "left_semi") \
-        .groupBy("pattern").agg(F.count("*").alias("total"))
+    # occurrences are summed up before they meet the patterns, so the join makes at most one row a pattern;
+    # the patterns grow with the corpus, so no broadcast of them
+    total = pairs.groupBy("pattern").agg(F.count("*").alias("total"))
     return total.join(here.hint("merge"), "pattern").where(F.col("followed") >= MIN_SELECTIVE * F.col("total")).select("pattern")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -29,12 +30,13 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    for made in _recording:
+    for made in _recording.get():
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_recording: list[list[str]] = []
+#: the open blocks of ``recorded`` of this thread: callers elsewhere neither see nor fill them
+_recording: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recording", default=())
 
 
 @contextlib.contextmanager
@@ -42,11 +44,19 @@ def recorded() -> Iterator[list[str]]:
     """The paths that ``written`` makes inside the block, to be dropped once
     everything that reads them is itself written."""
     made: list[str] = []
-    _recording.append(made)
+    token = _recording.set((*_recording.get(), made))
     try:
         yield made
     finally:
-        _recording[:] = [m for m in _recording if m is not made]
+        _recording.reset(token)
+
+
+def drop_unread(df: DataFrame, paths: list[str]) -> None:
+    """Delete the tables among ``paths`` that ``df`` does not read; those that it reads stay listed."""
+    read = df.inputFiles()
+    kept = [p for p in paths if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in read)]
+    drop(df.sparkSession, [p for p in paths if p not in kept])
+    paths[:] = kept
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
