@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rxlake.llm import dartminhash, packing, pii, quality, wumanber
-from rxlake.llm.store import drop, recorded, written
+from rxlake.llm.store import drop, drop_unread, recorded, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,29 +46,31 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
-_tables: list[str] = []         # what the stage before has written for itself
-
-
-def _clean(stage):
-    """The stage, after the earlier stage's own tables are dropped: its result has been written by now."""
+def _own(stage):
+    """The stage; of the tables it writes for itself only those stay that its result reads, so a result
+    that is not yet written can be computed again, whatever runs beside or after it."""
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _tables)
         with recorded() as made:
             out = stage(spark, docs, sf_dir)
-        _tables.extend(made)
+        drop_unread(out, made)
         return out
     return run_stage
 
 
-STAGES = [("quality_rules", _clean(quality_rules)), ("near_dedup", _clean(near_dedup)),
-          ("decontamination", _clean(decontamination)), ("personal_data", _clean(personal_data)), ("packing", _clean(pack))]
+STAGES = [("quality_rules", _own(quality_rules)), ("near_dedup", _own(near_dedup)),
+          ("decontamination", _own(decontamination)), ("personal_data", _own(personal_data)), ("packing", _own(pack))]
 #: learned cutoffs, signatures and token ids are beyond SQL; tests/llm/test_pipeline.py has the plain version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.  A stage's tables go once the next result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with recorded() as left:
+            out = stage(spark, docs, sf_dir)
+        with recorded() as now:
+            docs = written(out, name)
+        drop(spark, before + left)
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
