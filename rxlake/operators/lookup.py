@@ -17,6 +17,8 @@ Two exact strategies:
   equi-joined with the index and re-checked with the real predicate.  A true
   match contains every n-gram of the term, so no match is lost; the rarest
   gram keeps candidate lists short and a hot gram away from most terms.
+  For first-k lookups a term that is itself a gram needs no list at all: a
+  table holds the first k rows of every gram (``build_gram_topk``).
   Wildcard terms use the longest literal run between wildcards; terms made
   only of wildcards match by name length through an equi-join on length.
 
@@ -266,12 +268,54 @@ def substring_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
     return hits.unionByName(every.withColumn("term", F.lit("")).join(empty, "term", "left_semi").select("term", *cols))
 
 
+def build_gram_topk(catalogue: DataFrame, carry: list, order: list, k: int, name_fold: str = "name_fold",
+                    max_n: int = NGRAM_MAX) -> DataFrame:
+    """Rows ``(gram, rank, name_fold, *carry)``: for every gram of up to ``max_n``
+    characters the first ``k`` catalogue rows in ``order`` whose name contains it.
+
+    A term without wildcards that is no longer than ``max_n`` *is* a gram, so its
+    first ``k`` matches are the gram's rows: ``k`` of them, where the n-gram index
+    holds every name with the gram.  Only a name's own first ``k`` rows are
+    exploded, and the group limit cuts each gram to ``k`` rows per input partition
+    before the shuffle.  Build once per catalogue version and keep it as a table.
+    """
+    cols = list(dict.fromkeys([name_fold, *carry]))
+    rows = R.first_k(catalogue.where(F.col(name_fold).isNotNull()).select(*cols), [name_fold], order, k)
+    grams = _streamed(rows).select(F.explode(all_ngrams(F.col(name_fold), max_n)).alias("_g"), *cols)
+    return R.first_k(grams.select(F.col("_g.gram").alias("gram"), *cols), ["gram"], order, k, rank_col="rank")
+
+
 def first_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carry: list,
-                  order: list, k: int, **kw) -> DataFrame:
+                  order: list, k: int, strategy: str = "auto", name_fold: str = "name_fold",
+                  grams: DataFrame | None = None, **kw) -> DataFrame:
     """Q1/Q2-style ``LIMIT k``: the first ``k`` matches per term in ``order``
-    (catalogue order; must end in a unique key).  Adds ``rank`` 1..k."""
-    pairs = substring_matches(requests, catalogue, term_col, carry, per_name=(order, k), **kw)
-    return R.first_k(pairs, ["term"], order, k, rank_col="rank")
+    (catalogue order; must end in a unique key).  Adds ``rank`` 1..k.
+
+    With the n-gram strategy short terms without wildcards are answered by the
+    top-k gram table (``grams``, from ``build_gram_topk`` with at least ``k`` rows
+    a gram; built here when it is not given); only the others go through the index.
+    """
+    asked = requests.select(F.col(term_col).alias("term"))
+    if strategy == "auto":
+        strategy, terms = choose_strategy(prepare_terms(asked, "term"), distinct_names(catalogue, name_fold), name_fold,
+                                          kw.get("broadcast_limit", BROADCAST_TERMS_LIMIT))
+        asked = terms.select("term").unionByName(asked.where(F.col("term") == "").distinct())
+    if strategy != "ngram":
+        pairs = substring_matches(asked, catalogue, "term", carry, name_fold=name_fold, strategy=strategy,
+                                  per_name=(order, k), **kw)
+        return R.first_k(pairs, ["term"], order, k, rank_col="rank")
+    asked = asked.distinct().checkpoint(eager=True)          # read by both ways
+    is_gram = (F.length("term") >= 1) & (F.length("term") <= NGRAM_MAX) & ~F.col("term").rlike(WILD)
+    if grams is None:
+        grams = build_gram_topk(catalogue, carry, order, k, name_fold)
+    cols = list(dict.fromkeys([name_fold, *carry]))
+    short = asked.where(is_gram).withColumn("gram", T.fold_ascii("term")).join(grams.where(F.col("rank") <= k), "gram") \
+        .select("term", *cols, "rank")
+    other = asked.where(~is_gram)
+    if other.isEmpty():
+        return short
+    pairs = substring_matches(other, catalogue, "term", carry, name_fold=name_fold, strategy="ngram", per_name=(order, k), **kw)
+    return short.unionByName(R.first_k(pairs, ["term"], order, k, rank_col="rank").select(*short.columns))
 
 
 def envelope(requests: DataFrame, hits: DataFrame, req_key, hit_key: str = "term") -> DataFrame:

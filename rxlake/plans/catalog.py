@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rxlake import fixed_values as FV
 from rxlake.functions import nested as N
 from rxlake.functions import text as T
+from rxlake.operators import bitmaps as B
 from rxlake.operators import lookup as L
 from rxlake.operators import state as A
 from rxlake.operators import vectors as V
@@ -329,13 +330,13 @@ def keywords(spark, sf_dir) -> DataFrame:
         .where(F.col("keyword").isNotNull()).unionByName(wild).distinct()
 
 
-def _name_search(spark, sf_dir, strategy, index=None):
+def _name_search(spark, sf_dir, strategy, **kw):
     med = medicines_from_part(table(spark, sf_dir, "part"))
     # the keywords come from tokenising every turn and feed the match and
     # both sides of the envelope: tokenise once
     kws = keywords(spark, sf_dir).checkpoint(eager=True)
     hits = L.first_matches(kws, med, "keyword", CAT_COLS, CAT_ORDER, FV.NAME_SEARCH_LIMIT,
-                           strategy=strategy, index=index)
+                           strategy=strategy, **kw)
     out = L.envelope(kws, hits, "keyword")
     # rank 0 = no hit (keeps the column a plain integer)
     return out.select("keyword", "found", "n_found", F.coalesce("rank", F.lit(0)).alias("rank"), *CAT_COLS)
@@ -350,11 +351,13 @@ def q_name_search_top5(spark, sf_dir):
 
 @register("name_search_indexed")
 def q_name_search_indexed(spark, sf_dir):
-    """Q1 through a stored n-gram index of the catalogue (same result as the
-    theta join by construction)."""
+    """Q1 T3 through stored tables: the top-k gram table for terms that are grams
+    themselves, the n-gram index for the others (same result as the theta join
+    by construction)."""
     med = medicines_from_part(table(spark, sf_dir, "part"))
     index = L.names_index(med).checkpoint()
-    return _name_search(spark, sf_dir, "ngram", index=index)
+    grams = L.build_gram_topk(med, CAT_COLS, CAT_ORDER, FV.NAME_SEARCH_LIMIT).checkpoint()
+    return _name_search(spark, sf_dir, "ngram", index=index, grams=grams)
 
 
 def attribute_requests(part: DataFrame) -> DataFrame:
@@ -376,41 +379,21 @@ def attribute_requests(part: DataFrame) -> DataFrame:
 
 def attribute_matches(requests: DataFrame, med: DataFrame, k: int) -> DataFrame:
     """Shape LIKE and (color1 LIKE or color2 LIKE), absent
-    arguments add no condition; first ``k`` per request.  Each argument is
-    matched through ``substring_matches`` (size-checked broadcast or n-gram
-    index), then the per-argument hit lists are intersected on the item."""
-    keep = ["item_seq", "item_name"]
+    arguments add no condition; first ``k`` per request in catalogue order, by
+    the bitmap index (``operators.bitmaps``)."""
+    items = B.number_items(med.select(*CAT_COLS), CAT_ORDER)
+    index = B.build_index(items, {"shape": ["drug_shape"], "color": ["color_class1", "color_class2"]}).checkpoint(eager=True)
     valid = requests.where(S.has_any_argument("shape", "color"))
-    has_s = F.coalesce(F.col("shape") != "", F.lit(False))
-    has_c = F.coalesce(F.col("color") != "", F.lit(False))
-    shape_cat = med.withColumn("shape_fold", T.fold_ascii("drug_shape"))
-    s_hits = L.substring_matches(valid.where(has_s), shape_cat, "shape", keep, name_fold="shape_fold") \
-              .select(F.col("term").alias("shape"), *keep)
-    # color1 OR color2: both colour columns as one catalogue of (item, colour)
-    # rows, matched in one pass; an item hit through both counts once
-    c_cat = S.union_by_name([med.select(*keep, T.fold_ascii(cc).alias("c_fold"))
-                             for cc in ("color_class1", "color_class2")])
-    c_hits = L.substring_matches(valid.where(has_c), c_cat, "color", keep, name_fold="c_fold") \
-        .select(F.col("term").alias("color"), *keep).distinct()
-    r_s = valid.where(has_s & ~has_c).join(s_hits, "shape")
-    r_c = valid.where(~has_s & has_c).join(c_hits, "color")
-    # both arguments: intersect per item first (an item matches few shape and
-    # colour terms), then keep the requested (shape, color) pairs.  Joining
-    # requests to all items of their shape first would copy a shape that
-    # covers a third of the catalogue once per colour asked with it.
-    sc = s_hits.join(c_hits, ["item_seq", "item_name"])
-    r_b = valid.where(has_s & has_c).join(sc, ["shape", "color"])
-    pairs = r_s.unionByName(r_c).unionByName(r_b)
-    top = R.first_k(pairs, ["request_id"], CAT_ORDER, k, rank_col="rank")
-    return top.join(med.select(*CAT_COLS), ["item_seq", "item_name"])
+    top = B.first_items(valid, index, ["shape", "color"], "request_id", k)
+    return top.join(items, "_no").drop("_no")
 
 
 @register("identify_by_attributes")
 def q_identify_by_attributes(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     med = medicines_from_part(part)
-    req = attribute_requests(part)
-    hits = attribute_matches(req, med, FV.SHAPE_SEARCH_LIMIT).drop("shape", "color")
+    req = attribute_requests(part).checkpoint(eager=True)      # read by both kinds and both sides of the envelope
+    hits = attribute_matches(req, med, FV.SHAPE_SEARCH_LIMIT)
     out = L.envelope(req, hits, "request_id", "request_id")
     return out.withColumn("rejected", ~S.has_any_argument("shape", "color")).select(
         "request_id", "shape", "color", "rejected", "found", "n_found",

@@ -174,7 +174,8 @@ def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col:
         line = T.context_line_search(md["name"], md["company"], md["shape"], md["color1"], md["description"])
         vec = allh.groupBy("qid").agg(F.concat(F.lit(FV.CONTEXT_HEADER), N.ordered_concat(
             F.collect_list(F.struct(F.col("ord").alias("pos"), line.alias("value"))), sep="")).alias("context"))
-        vec = vec.join(q.select("qid", *keys), "qid").drop("qid").withColumn("context_source", F.lit("vector"))
+        vec = vec.join(q.select("qid", *keys), "qid").drop("qid").withColumn("context_source", F.lit("vector")) \
+            .checkpoint(eager=True)                 # read by the result and by the choice of what remains
         parts.append(vec)
         remaining = gated.join(vec.select(*keys), keys, "left_anti")
     tok = token_context(remaining, medicines, keys, text_col, FV.TOKEN_CONTEXT_HITS) \
@@ -209,30 +210,63 @@ def prompt_usage(messages: DataFrame, context: DataFrame, keys: list, time_order
         used.alias("med_context_used"), (used & (F.col("context_source") == "vector")).alias("rag_used"))
 
 
+#: tokens of a message that the first wave searches; each later wave takes WAVE_GROWTH times as many
+FIRST_WAVE, WAVE_GROWTH = 32, 16
+
+
+def first_token_waves(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str, cols: list, k: int,
+                      report: list | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Q8 by waves over token positions: ``(chosen, hits)`` with ``chosen`` one row
+    ``(*msg_keys, pos, token)`` per message with a hit and ``hits`` the first ``k``
+    catalogue rows of every searched token; None if no message has a token.
+
+    A wave searches the tokens of its positions that no earlier wave has
+    searched; messages with a hit leave (anti join), so their later tokens are
+    never looked up.  Waves grow geometrically, so their number is the logarithm
+    of the longest message.  ``report``, if given, gets one
+    dict a wave: messages, tokens (rows), searched (distinct new tokens), matched.
+    """
+    tokens = T.long_tokens(text_col)
+    todo = msgs.select(*msg_keys, tokens.alias("_tokens")).where(F.size("_tokens") > 0) \
+        .withColumn("_m", F.monotonically_increasing_id()).checkpoint(eager=True)
+    searched, hits, chosen, at, width = None, None, None, 0, FIRST_WAVE
+    while not todo.isEmpty():
+        wave = todo.select("_m", *msg_keys, F.posexplode(F.slice("_tokens", at + 1, width)).alias("pos", "token")) \
+            .withColumn("pos", F.col("pos") + at)
+        new = wave.select("token").distinct()
+        if searched is not None:
+            new = new.join(searched, "token", "left_anti")
+        new = new.checkpoint(eager=True)
+        found = L.first_matches(new, med, "token", cols, ["item_name", "item_seq"], k) \
+            .withColumnRenamed("term", "token").checkpoint(eager=True)     # at most k rows a token
+        searched = new if searched is None else searched.unionByName(new)
+        hits = found if hits is None else hits.unionByName(found)
+        first = wave.join(hits.select("token").distinct(), "token", "left_semi").groupBy("_m") \
+            .agg(F.min_by(F.struct(*msg_keys, "pos", "token"), "pos").alias("_c")).checkpoint(eager=True)
+        if report is not None:
+            report.append({"messages": todo.count(), "tokens": wave.count(), "searched": new.count(), "matched": first.count()})
+        own = first.select("_c.*")
+        chosen = own if chosen is None else chosen.unionByName(own)
+        at, width = at + width, width * WAVE_GROWTH
+        todo = todo.where(F.size("_tokens") > at).join(first, "_m", "left_anti").checkpoint(eager=True)
+    return None if chosen is None else (chosen, hits)
+
+
 def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str,
-                  k: int = FV.TOKEN_CONTEXT_HITS) -> DataFrame:
+                  k: int = FV.TOKEN_CONTEXT_HITS, report: list | None = None) -> DataFrame:
     """Q8 + F15: per message, the first token (in order, length >= 2) with any
     catalogue hit; its first ``k`` hits formatted as the context block.
     Messages without a hit are absent (callers left-join)."""
     cat_cols = ["item_seq", "item_name", "entp_name", "chartn", "drug_shape", "color_class1",
                 "color_class2", "etc_otc_code"]
-    # posexplode_outer + null filter: no inferred size() > 0 filter pushed
-    # below a repartition of the messages
-    toks = msgs.select(*msg_keys, F.posexplode_outer(T.long_tokens(text_col)).alias("pos", "token")) \
-        .where(F.col("token").isNotNull())
-    hits = L.first_matches(toks.select("token").distinct(), med, "token", cat_cols,
-                           ["item_name", "item_seq"], k)
-    # at most k rows per distinct token, read twice below: materialise once
-    hits = hits.withColumnRenamed("term", "token").checkpoint(eager=True)
-    # the first token with a hit, found on narrow (message, pos, token) rows;
-    # only that token's k hits are joined to each message
-    cand = toks.join(hits.select("token").distinct(), "token", "left_semi")
-    firstpos = cand.groupBy(*msg_keys).agg(F.min("pos").alias("pos"))
-    first_tok = cand.join(firstpos, [*msg_keys, "pos"])
-    chosen = first_tok.join(hits, "token")
+    made = first_token_waves(msgs, med, msg_keys, text_col, cat_cols, k, report)
+    if made is None:
+        return msgs.where(F.lit(False)).select(*msg_keys, F.lit("").alias("matched_token"), F.lit(0).cast("long").alias("n_hits"),
+                                               F.lit("").alias("context"))
+    chosen, hits = made
     line = T.context_line_table("item_name", "entp_name", "drug_shape", "color_class1",
                                 "etc_otc_code", "chartn")
-    return chosen.groupBy(*msg_keys).agg(
+    return chosen.join(hits, "token").groupBy(*msg_keys).agg(
         F.min("token").alias("matched_token"), F.count(F.lit(1)).alias("n_hits"),
         F.concat(F.lit(FV.CONTEXT_HEADER),
                  N.ordered_concat(F.collect_list(F.struct(F.col("rank").alias("pos"), line.alias("value"))),
