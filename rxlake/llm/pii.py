@@ -46,6 +46,7 @@ CANDIDATE = (f"(?:(?<!{_LOCAL})|\\G)(?:{_LOCAL}++@[A-Za-z0-9._-]++"
 #: a text without this matches none of the patterns
 NEEDS = ["@", ".", None, "+", None]
 MIN_SEEDS = 3
+BITS = 1 << 18               # of the bitmap by which other word pairs are told from patterns before the shuffle
 MIN_SELECTIVE = 0.5
 ROUNDS = 3
 ACCEPT, ACCEPT_INSTANCE = 0.7, 0.9
@@ -141,9 +142,17 @@ def selective_patterns(docs: DataFrame, text: str, spots: DataFrame) -> DataFram
     pairs = docs.select(w.alias("w")).select(F.explode(F.zip_with(
         "w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))),
         lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    # occurrences are summed up before they meet the patterns, so the join makes at most one row a pattern;
-    # the patterns grow with the corpus, so no broadcast of them
-    total = pairs.groupBy("pattern").agg(F.count("*").alias("total"))
+    # a bitmap of the patterns' hashes (BITS numbers of a bit each, whatever the corpus) keeps most other pairs out of
+    # the shuffle; occurrences are summed up before they meet the patterns, so the join makes at most one row a
+    # pattern.  The patterns grow with the corpus, so no broadcast of them
+    bit = F.pmod(F.xxhash64("pattern"), F.lit(BITS))
+    words = here.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")) \
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).collect()
+    of = dict(words)
+    bitmap = F.split(F.lit(",".join(str(of.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")
+    likely = pairs.withColumn("bit", bit).where(
+        F.getbit(F.get(bitmap, F.floor(F.col("bit") / 64).cast("int")), (F.col("bit") % 64).cast("int")) == 1)
+    total = likely.groupBy("pattern").agg(F.count("*").alias("total"))
     return total.join(here.hint("merge"), "pattern").where(F.col("followed") >= MIN_SELECTIVE * F.col("total")).select("pattern")
 
 
