@@ -65,48 +65,63 @@ def rolling_list(df: DataFrame, keys: list, order: list, n: int, value: Column,
     return df.withColumn(out_col, F.collect_list(value).over(w))
 
 
+def halo_frames(df: DataFrame, keys: list, order: list, n: int, columns: dict, chunk_rows: int | None = None) -> DataFrame:
+    """Bounded frames without a per-key window: the last ``n`` rows of the key up
+    to and including each row, with a key that holds a third of all rows spread
+    over many tasks.  ``columns`` maps a new column to a function of the frame
+    (``lambda w: F.sum("x").over(w)``).
+
+    1. dense global numbers in (keys, order) order (range partitioned, see
+       ``sequential_ids``) cut the rows into chunks of ``chunk_rows``;
+    2. the last ``n - 1`` rows of a chunk are sent to the next chunk as well, its
+       halo: all that a frame there can need of earlier chunks;
+    3. the window runs per (key, chunk); halo rows are dropped afterwards.
+
+    Every row is shuffled once, and ``n - 1`` rows a chunk twice.
+    """
+    size = max(n, chunk_rows or CHUNK_ROWS)
+    numbered = sequential_ids(df, [*_cols(keys), *_cols(order)], id_col="_g")
+    own = F.floor((F.col("_g") - 1) / size)
+    last = F.pmod(F.col("_g") - 1, F.lit(size)) >= size - (n - 1)
+    sent = numbered.withColumn("_at", F.explode(
+        F.when(last, F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo")),
+                             F.struct((own + 1).alias("chunk"), F.lit(True).alias("halo"))))
+         .otherwise(F.array(F.struct(own.alias("chunk"), F.lit(False).alias("halo"))))))
+    frame = W.partitionBy(F.col("_at.chunk"), *_cols(keys)).orderBy("_g").rowsBetween(-(n - 1), 0)
+    return sent.withColumns({c: f(frame) for c, f in columns.items()}).where(~F.col("_at.halo")).drop("_g", "_at")
+
+
 def rolling_list_split(df: DataFrame, keys: list, order: list, n: int, value: Column,
                        out_col: str) -> DataFrame:
-    """T5 without a per-key window: the same result as ``rolling_list``, with
-    a key holding a third of all rows spread over many tasks.
-
-    1. dense global ids in (keys, order) order (range partitioned, see
-       ``sequential_ids``); index in the group = id - the group's first id
-       (a grouped min, combined map-side);
-    2. every row is sent to the ``n`` positions whose frame contains it
-       (``explode`` of 0..n-1) and grouped by (key, position): each group has
-       at most ``n`` rows;
-    3. joined back on (key, index), a unique key.
-    """
-    kc = _cols(keys)
-    g = sequential_ids(df, [*kc, *_cols(order)], id_col="_g")
-    first = g.groupBy(*keys).agg(F.min("_g").alias("_g0"))
-    g = g.join(first, keys).withColumn("_i", F.col("_g") - F.col("_g0")).drop("_g", "_g0")
-    sent = g.select(*keys, "_i", value.alias("_v")) \
-            .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) \
-            .withColumn("_t", F.col("_i") + F.col("_d"))
-    frames = sent.groupBy(*keys, "_t").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_d")).alias("k"), F.col("_v").alias("v")))),
-                    lambda s: s["v"]).alias(out_col))
-    return g.join(frames.withColumnRenamed("_t", "_i"), [*keys, "_i"]).drop("_i")
+    """T5 without a per-key window: the same result as ``rolling_list``, by ``halo_frames``."""
+    return halo_frames(df, keys, order, n, {out_col: lambda w: F.collect_list(value).over(w)})
 
 
+CHUNK_ROWS = 100_000         # of a halo frame's window partition
 MAX_GROUP_ROWS = 2_000_000   # a per-key window above this is split instead
 
 
-def rolling_frames(df: DataFrame, keys: list, order: list, n: int, value: Column, out_col: str,
-                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """T5, choosing the plan per key: one grouped count (combined map-side)
-    finds the keys above ``max_group_rows``; their rows go through
-    ``rolling_list_split``, all others through the bounded-frame window."""
+def frames(df: DataFrame, keys: list, order: list, n: int, columns: dict, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """The columns of ``halo_frames``, choosing the plan per key (equal results): one
+    grouped count (combined map-side) finds the keys above ``max_group_rows``;
+    only their rows take the halo plan, all others the bounded-frame window."""
+    def windowed(rows: DataFrame) -> DataFrame:
+        w = W.partitionBy(*_cols(keys)).orderBy(*_cols(order)).rowsBetween(-(n - 1), 0)
+        return rows.withColumns({c: f(w) for c, f in columns.items()})
+
     hot = df.groupBy(*keys).count().where(F.col("count") > max_group_rows).select(*keys)
     if hot.isEmpty():
-        return rolling_list(df, keys, order, n, value, out_col)
+        return windowed(df)
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     cold = df.alias("a").join(hot.alias("h"), same, "left_anti")
     warm = df.alias("a").join(hot.alias("h"), same, "left_semi")
-    return rolling_list(cold, keys, order, n, value, out_col).unionByName(
-        rolling_list_split(warm, keys, order, n, value, out_col))
+    return windowed(cold).unionByName(halo_frames(warm, keys, order, n, columns))
+
+
+def rolling_frames(df: DataFrame, keys: list, order: list, n: int, value: Column, out_col: str,
+                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """T5: ``rolling_list`` by ``frames``."""
+    return frames(df, keys, order, n, {out_col: lambda w: F.collect_list(value).over(w)}, max_group_rows)
 
 
 def keep_valid_or_all(df: DataFrame, keys: list, ok_col: str, out_flag: str = "validated") -> DataFrame:

@@ -522,17 +522,7 @@ def q_fuzzy_prefix_match(spark, sf_dir):
     return prefix_match(names, med)
 
 
-def prefix_match(names: DataFrame, med: DataFrame) -> DataFrame:
-    hits = L.first_matches(names.select("short"), med, "short", CAT_COLS, CAT_ORDER, 1)
-    out = names.join(hits.withColumnRenamed("term", "short").drop("rank", "name_fold"), "short", "left")
-    m = F.col("item_seq").isNotNull()
-    e = lambda c: F.when(m, F.col(c)).otherwise(F.lit(""))
-    return out.select(*[c for c in names.columns if c not in ("short",)], "short",
-                      m.alias("db_matched"),
-                      F.when(m, F.col("item_name")).otherwise(F.col("original")).alias("name"),
-                      e("entp_name").alias("company"), e("chartn").alias("description"),
-                      e("drug_shape").alias("shape"), e("color_class1").alias("color1"),
-                      e("color_class2").alias("color2"), e("etc_otc_code").alias("otc_type"))
+prefix_match = J.prefix_match
 
 
 def model_replies(events: DataFrame) -> Column:
@@ -585,18 +575,7 @@ def q_extraction_match(spark, sf_dir):
     withp = docs.join(part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id", "left")
     reply = F.to_json(F.struct(F.filter(F.array(F.col("p_name"), F.concat(F.lit("Zq"), F.col("lang"))),
                                         lambda x: x.isNotNull()).alias("medicines")))
-    parsed = N.with_name_list(withp.select("doc_id", "text", reply.alias("reply")), F.col("reply"),
-                              keep=["doc_id", "text"])
-    checked = F.transform("names", lambda n: F.struct(n.alias("name"),
-                                                      T.contains_text(F.col("text"), T.prefix(n)).alias("ok")))
-    d = parsed.select("doc_id", "status", checked.alias("c"))
-    d = d.withColumn("validated", F.exists("c", lambda s: s["ok"]))
-    ex = d.select("doc_id", "status", "validated", F.posexplode_outer("c").alias("pos", "x")) \
-        .where(F.col("x").isNotNull())
-    ex = ex.select("doc_id", "status", "validated", "pos", F.col("x.name").alias("original"),
-                   F.col("x.ok").alias("ok")).where(F.col("ok") | ~F.col("validated"))
-    ex = ex.withColumn("short", T.prefix("original"))
-    return prefix_match(ex.drop("ok"), med)
+    return J.extraction_match(withp.select("doc_id", "text", reply.alias("reply")), med, ["doc_id"])
 
 
 @register("recent_history")
@@ -613,15 +592,11 @@ def q_history_report(spark, sf_dir):
     oldest first, collected into one report row.  The group is at most 20
     rows after the top-k, so collecting it is bounded."""
     conv = table(spark, sf_dir, "conversations", spread=False)   # the top-k shuffles by key anyway
-    last = R.last_n_oldest_first(conv, ["conv_id"], [F.col("turn")], FV.REPORT_HISTORY)
-
-    def in_order(v: Column) -> Column:
-        return F.collect_list(F.struct(F.col("pos").alias("pos"), v.alias("value")))
-    return last.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        N.ordered_concat(in_order(F.col("role")), sep=",").alias("roles"),
-        F.md5(N.ordered_concat(in_order(F.col("text")))).alias("content_md5"),
-        F.sum(F.length("text")).cast("long").alias("chars"))
+    rep = J.history_report(conv, None, "conv_id", [F.col("turn")], content_col="text")
+    joined = lambda field, sep: F.concat_ws(sep, F.transform("turns", lambda t: t[field]))
+    return rep.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), joined("role", ",").alias("roles"),
+                      F.md5(joined("content", "␞")).alias("content_md5"),
+                      F.aggregate("turns", F.lit(0).cast("long"), lambda acc, t: acc + F.coalesce(F.length(t["content"]), F.lit(0))).alias("chars"))
 
 
 @register("rolling_context")
@@ -728,9 +703,8 @@ def q_append_with_ids(spark, sf_dir):
 @register("speech_text")
 def q_speech_text(spark, sf_dir):
     """Strip, reject blank, drop characters speech cannot say."""
-    docs = table(spark, sf_dir, "documents").withColumn("t", T.ustrip("text"))
-    kept = docs.where(F.col("t") != "").withColumn("clean", T.speech_text("t"))
-    return kept.select("doc_id", F.length("clean").cast("long").alias("clean_len"), F.md5("clean").alias("clean_md5"))
+    docs = J.speech_preparation(table(spark, sf_dir, "documents")).where(~F.col("rejected"))
+    return docs.select("doc_id", F.length("speech").cast("long").alias("clean_len"), F.md5("speech").alias("clean_md5"))
 
 
 # --------------------------------------------------------------- vectors (V*) ---

@@ -8,7 +8,6 @@ left to ``rxlake.sources``.  Parameters carry the application's defaults
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rxlake import fixed_values as FV
@@ -190,18 +189,18 @@ def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col:
 
 
 def prompt_usage(messages: DataFrame, context: DataFrame, keys: list, time_order: list, text_col: str = "text",
-                 n: int = FV.PROMPT_HISTORY) -> DataFrame:
+                 n: int = FV.PROMPT_HISTORY, max_group_rows: int = R.MAX_GROUP_ROWS) -> DataFrame:
     """Size of each message's prompt and its usage flags.
 
     ``messages`` are all turns; ``context`` is the result of ``message_context``
     for those to be answered, with ``keys + time_order`` as its key.  The history
     is read after the message is saved, so the message is in it and once more
-    the user turn.  Only lengths enter the window and the join, no text.
+    the user turn.  Only lengths enter the frames and the join, no text; a
+    conversation above ``max_group_rows`` turns takes halo frames.
     """
-    frame = W.partitionBy(*keys).orderBy(*time_order).rowsBetween(-(n - 1), 0)
     size = F.coalesce(F.length(text_col), F.lit(0))
-    hist = messages.select(*keys, *time_order, size.alias("_own")).withColumns({
-        "_n": F.count(F.lit(1)).over(frame), "_chars": F.sum("_own").over(frame)})
+    hist = R.frames(messages.select(*keys, *time_order, size.alias("_own")), keys, time_order, n,
+                    {"_n": lambda w: F.count(F.lit(1)).over(w), "_chars": lambda w: F.sum("_own").over(w)}, max_group_rows)
     ctx = context.select(*keys, *time_order, "context_source", F.length("context").alias("_ctx"))
     used = F.col("_ctx") > 0
     return ctx.join(hist, [*keys, *time_order]).select(
@@ -273,6 +272,80 @@ def token_context(msgs: DataFrame, med: DataFrame, msg_keys: list, text_col: str
                                   sep="")).alias("context"))
 
 
+# ------------------------------------------------------------ S14, C8, C10, C11 ---
+def save_turns(turns: DataFrame, path: str, batch: str, order: list) -> dict:
+    """S14 as a batch job: chat turns ``(user_id, role, content, timestamp)`` appended
+    under one batch name; a retry leaves equal rows and ids (``io.append_batch``)."""
+    text = turns.withColumn("content", F.coalesce("content", F.lit("")))
+    return IO.append_batch(text, path, batch, order)
+
+
+def extraction_match(requests: DataFrame, medicines: DataFrame, keys: list, text_col: str = "text",
+                     reply_col: str = "reply") -> DataFrame:
+    """Model replies validated against the recognised text and matched with the catalogue.
+
+    Per request: the reply's name list (N1-N3), names whose 4-character prefix
+    occurs in the text or else all (T6), each with its first catalogue hit by that
+    prefix (Q9).  One row per kept name: ``keys``, ``status``, ``validated``, ``pos``
+    and the fields of ``prefix_match``; a request without names has no row.
+    """
+    parsed = N.with_name_list(requests.select(*keys, text_col, F.col(reply_col).alias("_reply")), F.col("_reply"),
+                              keep=[*keys, text_col])
+    checked = F.transform("names", lambda n: F.struct(n.alias("name"), T.contains_text(F.col(text_col), T.prefix(n)).alias("ok")))
+    d = parsed.select(*keys, "status", checked.alias("c")).withColumn("validated", F.exists("c", lambda s: s["ok"]))
+    # posexplode_outer + a null filter: no inferred size() > 0 filter pushed below a repartition of the texts
+    ex = d.select(*keys, "status", "validated", F.posexplode_outer("c").alias("pos", "x")).where(F.col("x").isNotNull())
+    ex = ex.select(*keys, "status", "validated", "pos", F.col("x.name").alias("original"), F.col("x.ok").alias("ok")) \
+        .where(F.col("ok") | ~F.col("validated"))
+    return prefix_match(ex.drop("ok").withColumn("short", T.prefix("original")), medicines)
+
+
+#: catalogue columns that a match carries, and the order that "first" means
+MATCH_COLS = ["item_seq", "item_name", "entp_name", "chartn", "drug_shape", "color_class1", "color_class2", "etc_otc_code"]
+MATCH_ORDER = ["item_name", "item_seq"]
+
+
+def prefix_match(names: DataFrame, med: DataFrame) -> DataFrame:
+    """Q9: rows with ``original`` and ``short`` and their first catalogue hit by ``short``, or the
+    name itself with empty fields and ``db_matched = false``."""
+    hits = L.first_matches(names.select("short"), med, "short", MATCH_COLS, MATCH_ORDER, 1)
+    out = names.join(hits.withColumnRenamed("term", "short").drop("rank", "name_fold"), "short", "left")
+    m = F.col("item_seq").isNotNull()
+    e = lambda c: F.when(m, F.col(c)).otherwise(F.lit(""))
+    return out.select(*[c for c in names.columns if c not in ("short",)], "short",
+                      m.alias("db_matched"),
+                      F.when(m, F.col("item_name")).otherwise(F.col("original")).alias("name"),
+                      e("entp_name").alias("company"), e("chartn").alias("description"),
+                      e("drug_shape").alias("shape"), e("color_class1").alias("color1"),
+                      e("color_class2").alias("color2"), e("etc_otc_code").alias("otc_type"))
+
+
+def history_report(turns: DataFrame, users: DataFrame | None, key: str, time_order: list, role_col: str = "role",
+                   content_col: str = "content", n: int = FV.REPORT_HISTORY) -> DataFrame:
+    """Per user the latest ``n`` turns, oldest first, as one row
+    ``(key, n_turns, turns array<struct<role, content>>)``.  With ``users``, exactly
+    these (P14), those without a turn with an empty list.  At most ``n`` turns
+    are collected per user, whatever the length of the history."""
+    mine = turns if users is None else turns.join(users.select(key).distinct(), key, "left_semi")
+    last = R.last_n_oldest_first(mine, [key], time_order, n)
+    item = F.struct(F.col("pos"), F.col(role_col).alias("role"), F.col(content_col).alias("content"))
+    rep = last.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_t")).select(
+        key, F.size("_t").alias("n_turns"), F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
+    if users is None:
+        return rep
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return users.select(key).distinct().join(rep, key, "left").select(
+        key, F.coalesce("n_turns", F.lit(0)).alias("n_turns"), F.coalesce("turns", none).alias("turns"))
+
+
+def speech_preparation(requests: DataFrame, text_col: str = "text") -> DataFrame:
+    """C11: every request with ``rejected`` (P16: blank text) and ``speech``, its text
+    stripped and without what speech cannot say (null if rejected)."""
+    t = T.ustrip(F.coalesce(F.col(text_col), F.lit("")))
+    return requests.withColumn("_t", t).withColumns({
+        "rejected": F.col("_t") == "", "speech": F.when(F.col("_t") != "", T.speech_text("_t"))}).drop("_t")
+
+
 # ------------------------------------------------- entry points (section 3) ---
 def build_catalogue(spark, files: list, out_path: str, csv_export: str | None = None) -> DataFrame:
     """The catalogue build: S4 load -> C1 -> S6 write (Parquet; CSV optional).

@@ -8,6 +8,7 @@ that are rewritten while being read go through a staging path and a swap.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -241,6 +242,78 @@ def append_with_ids(existing: DataFrame, new: DataFrame, order: list, id_col: st
     return out
 
 
+#: the ledger of a batch-appended table: which ids belong to which batch
+LEDGER = "_batches"
+
+
+def append_batch(df: DataFrame, path: str, batch: str, order: list, id_col: str = "id", defaults: dict | None = None) -> dict:
+    """S14/S15 as a job that can be retried: append ``df`` to the table at ``path`` as
+    batch ``batch``, with ids that continue after the batches before it.
+
+    * The batch's range of ids is reserved first, as one small file of the ledger
+      (written under a temporary name and renamed, so it is there whole or not at
+      all).  A batch that is in the ledger keeps its range.
+    * Its rows are one partition ``batch=...`` of the table, written with dynamic
+      partition overwrite: a retry replaces what a failed attempt left.
+
+    ``order`` ends in a unique key of the batch.  A retried batch therefore leaves
+    equal rows and ids; one that comes again with another number of rows is an
+    error, since other batches may have their ids after it.  One writer at a time.
+    Returns ``{"batch", "first_id", "rows", "retried"}``.
+    """
+    spark = df.sparkSession
+    rows = df.count()
+    known = {r["batch"]: r for r in _ledger(spark, path)}
+    if batch in known:
+        first = known[batch]["first_id"]
+        if known[batch]["rows"] != rows:
+            raise ValueError(f"batch {batch} was appended with {known[batch]['rows']} rows, now it has {rows}")
+    else:
+        first = 1 + max((r["first_id"] + r["rows"] - 1 for r in known.values()), default=0)
+        _reserve(spark, path, batch, first, rows)
+    out = R.sequential_ids(df, order, start=first - 1, id_col=id_col)
+    for k, v in (defaults or {}).items():
+        out = out.withColumn(k, v if isinstance(v, Column) else F.lit(v))
+    out.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("batch").parquet(f"{path.rstrip('/')}/rows")
+    return {"batch": batch, "first_id": first, "rows": rows, "retried": batch in known}
+
+
+def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The rows of all batches (``schema`` is needed only while there are none)."""
+    folder = f"{path.rstrip('/')}/rows"
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    # the batch's name is text, whatever it looks like
+    plain = spark.read.parquet(folder)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != 'batch' else 'string'}" for f in plain.schema)
+    return spark.read.schema(names).parquet(folder)
+
+
+def _ledger(spark: SparkSession, path: str) -> list:
+    """One row per batch: a few bytes each, read by the driver."""
+    folder = f"{path.rstrip('/')}/{LEDGER}"
+    if not _exists(spark, folder):
+        return []
+    fs, jpath = _fs(spark, folder)
+    entries = [f.getPath().toString() for f in fs.listStatus(jpath) if f.getPath().getName().startswith("entry-")]
+    if not entries:
+        return []
+    return spark.read.schema("batch string, first_id long, rows long").json(entries).collect()
+
+
+def _reserve(spark: SparkSession, path: str, batch: str, first: int, rows: int) -> None:
+    fs, folder = _fs(spark, f"{path.rstrip('/')}/{LEDGER}")
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    name = f"{folder.toString()}/entry-{first:019d}-{uuid.uuid4().hex}.json"
+    temporary = jpath(f"{folder.toString()}/.{uuid.uuid4().hex}")
+    out = fs.create(temporary, True)
+    out.write(bytearray((json.dumps({"batch": batch, "first_id": first, "rows": rows}) + "\n").encode()))
+    out.close()
+    if not fs.rename(temporary, jpath(name)):
+        raise OSError(f"could not reserve ids for batch {batch}")
+
+
 # ------------------------------------------------------------------ helpers ---
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
