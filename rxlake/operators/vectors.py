@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -75,24 +76,53 @@ def hash_vectors(df: DataFrame, text: str, dim: int = 64, out: str = "embedding"
     return df.withColumn(out, hash_vector(F.col(text), dim, unit))
 
 
-def make_encoder(factory: Callable[[], object], batch: int = FV.EMBED_BATCH):
+def make_encoder(factory: Callable[[], object], batch: int = FV.EMBED_BATCH, max_chars: int = 1 << 20):
     """V1/V2: pandas UDF ``string -> array<float>`` around ``factory().encode``
     (a real sentence model).
 
-    The model is built once per Python worker (iterator UDF), then fed in
-    inner batches of ``batch`` texts (the original encodes 64 at a time).
+    The model is built once per Python worker (iterator UDF).  The texts of an
+    Arrow batch are encoded in order of their length, in micro-batches of up to
+    ``batch`` texts (the original encodes 64 at a time) and ``max_chars`` characters
+    (one text at least), so a model that pads to the longest text of a batch
+    pads little; vectors go back to their rows.  A model whose vectors do not depend
+    on the other texts gives the same result for any partitioning.
     """
     @F.pandas_udf(Ty.ArrayType(Ty.FloatType()))
     def encode(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for texts in it:
             vals = texts.fillna("").tolist()
-            chunks = [model.encode(vals[i:i + batch]) for i in range(0, len(vals), batch)]
-            mat = np.vstack(chunks) if chunks else np.zeros((0, 1), dtype=np.float32)
-            yield pd.Series([row.astype(np.float32) for row in mat])
+            order = sorted(range(len(vals)), key=lambda i: len(vals[i]))
+            out: list = [None] * len(vals)
+            at = 0
+            while at < len(order):
+                end, chars = at, 0
+                while end < len(order) and end - at < batch and (end == at or chars + len(vals[order[end]]) <= max_chars):
+                    chars += len(vals[order[end]])
+                    end += 1
+                for i, row in zip(order[at:end], model.encode([vals[i] for i in order[at:end]])):
+                    out[i] = np.asarray(row, dtype=np.float32)
+                at = end
+            yield pd.Series(out)
     return encode
 
 
+class HashingModel:
+    """A deterministic stand-in for a sentence model, with its ``encode``: the
+    whole-number vectors of ``hash_vector``, computed in Python."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode(self, texts: list) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for row, text in zip(out, texts):
+            for token in text.split():
+                digest = hashlib.md5(token.encode()).hexdigest()
+                row[int(digest[:2], 16) % self.dim] += 1 if int(digest[2], 16) >= 8 else -1
+        return out
+
+
 # ------------------------------------------------------------------- queries ---
 def centroids(vectors: DataFrame, group: str, vec: str = "embedding", id_col: str = "qid") -> DataFrame:
     """Mean vector per group (used to derive query vectors from a table).
