@@ -8,6 +8,7 @@ are rendered as ordered strings so results hash the same as the oracle's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,14 @@ from rxlake.functions import nested as N
 from rxlake.functions import text as T
 from rxlake.operators import bitmaps as B
 from rxlake.operators import lookup as L
+from rxlake.operators import pivots as P
 from rxlake.operators import state as A
 from rxlake.operators import vectors as V
 from rxlake.operators import rank as R
 from rxlake.operators import shape as S
+from rxlake.plans import incremental as I
 from rxlake.plans import jobs as J
+from rxlake.session import ensure_checkpoint_dir
 from rxlake.sources import io as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -718,6 +722,16 @@ def q_vector_topk(spark, sf_dir):
                       F.round("dist", 6).alias("dist"))
 
 
+@register("vector_topk_indexed")
+def q_vector_topk_indexed(spark, sf_dir):
+    """V3 O7 through the pivot index: the 3 nearest vectors to the centroid of every
+    (label, last digit of the id), equal to the full scan."""
+    emb = table(spark, sf_dir, "embeddings")
+    q = V.centroids(emb.withColumn("group", F.col("label") * 10 + F.col("vec_id") % 10), "group")
+    out = P.search(P.build_index(emb), q, FV.VECTOR_TOP_K)
+    return out.select("qid", "rank", F.col("doc_id").alias("vec_id"), F.round("dist", 6).alias("dist"))
+
+
 @register("two_collection_search")
 def q_two_collection_search(spark, sf_dir):
     """The same queries against two collections (even / odd labels)."""
@@ -729,20 +743,83 @@ def q_two_collection_search(spark, sf_dir):
                       F.col("doc_id").alias("vec_id"), F.round("dist", 6).alias("dist"))
 
 
+def leaflet_rows(docs: DataFrame, key: Column, order: Column) -> DataFrame:
+    """Raw leaflets, 14 columns and their order, played by ``documents``."""
+    empty = [F.lit("").alias(f"c{i}") for i in range(4, 14)]
+    return docs.select(key.cast("string").alias("c0"), F.concat_ws(" ", "source", "lang").alias("c1"),
+                       F.col("source").alias("c2"), F.col("text").alias("c3"), *empty, order.alias("ord"))
+
+
+@register("leaflet_first_per_key")
+def q_leaflet_first_per_key(spark, sf_dir):
+    """C5 before encoding (F1 F6 F9 F10 P2 P7 P8 T2): leaflets whose key repeats (the
+    text's length), the first per key in file order; nothing is embedded."""
+    docs = J.leaflet_documents(leaflet_rows(table(spark, sf_dir, "documents"), F.col("n_chars"), F.col("doc_id")), ord_col="ord")
+    return docs.select("id", F.length("document").cast("long").alias("doc_chars"), F.md5("document").alias("document_md5"),
+                       F.col("metadata.name").alias("name"))
+
+
 @register("embed_documents")
 def q_embed_documents(spark, sf_dir):
-    """C5 V1 V2 V4 V5 N9 (F1 F6 F9 F10 P2 P7 P8 T2): raw leaflets, played by
-    ``documents`` (key: the length, so keys repeat), to the vector index."""
+    """C5 V4 V5 N9 (F1 F6 F9 F10 P2 P7 P8 T2): raw leaflets, played by ``documents``
+    (key: the document), to the vector index; every text is embedded."""
     docs = table(spark, sf_dir, "documents")
-    empty = [F.lit("").alias(f"c{i}") for i in range(4, 14)]
-    raw = docs.select(F.col("n_chars").cast("string").alias("c0"), F.concat_ws(" ", "source", "lang").alias("c1"),
-                      F.col("source").alias("c2"), F.col("text").alias("c3"), *empty, F.col("doc_id").alias("ord"))
-    idx = J.document_index(J.leaflet_documents(raw, ord_col="ord"))
+    idx = J.document_index(J.leaflet_documents(leaflet_rows(docs, F.col("doc_id"), F.col("doc_id")), ord_col="ord"))
     whole = F.transform("embedding", lambda x: F.round(x * 10000).cast("long").cast("string"))
     return idx.select("id", F.length("document").cast("long").alias("doc_chars"), F.array_join(whole, ",").alias("vector"),
                       F.col("metadata.name").alias("name"))
 
 
+def whole_vector(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
+
+
+@register("encode_documents")
+def q_encode_documents(spark, sf_dir):
+    """V1 V2: every leaflet through the encoder plug-in (length-bucketed
+    micro-batches) with the deterministic hashing model."""
+    docs = J.leaflet_documents(leaflet_rows(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("doc_id")), ord_col="ord")
+    idx = J.document_index(docs, V.make_encoder(V.HashingModel))
+    return idx.select("id", F.length("document").cast("long").alias("doc_chars"), whole_vector("embedding").alias("vector"))
+
+
+def work_folder(spark, name: str) -> str:
+    """A new folder for a table that a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("incremental_index")
+def q_incremental_index(spark, sf_dir):
+    """An index built over an earlier state of the documents (a tenth is
+    missing, a tenth has another text, and some were removed since), then brought
+    up to date: unchanged rows keep their vectors."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"), F.struct(F.col("source").alias("name")).alias("metadata"),
+        (F.col("doc_id") % 10).alias("_d"))
+    gone = docs.where("_d = 2").withColumn("id", F.concat(F.lit("old-"), "id"))
+    earlier = docs.where("_d <> 0").withColumn("document", F.when(F.col("_d") == 1, F.concat(F.lit("old "), "document"))
+                                               .otherwise(F.col("document"))).unionByName(gone)
+    path = work_folder(spark, "incremental-index")
+    encode = lambda df: V.hash_vectors(df, "document", unit=False)
+    I.build(earlier.drop("_d"), path, encode, parts=2)
+    I.build(docs.drop("_d"), path, encode, parts=2)
+    return spark.read.parquet(path).select("id", F.length("document").cast("long").alias("doc_chars"),
+                                           whole_vector("embedding").alias("vector"), F.col("metadata.name").alias("name"))
+
+
+@register("append_batches")
+def q_append_batches(spark, sf_dir):
+    """All chat turns appended in three batches, the second one twice (a
+    retry); ids continue from batch to batch."""
+    conv = table(spark, sf_dir, "conversations", spread=False)
+    turns = conv.select("conv_id", "turn", F.col("conv_id").cast("string").alias("user_id"), "role", F.col("text").alias("content"),
+                        F.pmod("conv_id", F.lit(3)).alias("_b"))
+    path = work_folder(spark, "chat-turns")
+    for b in (0, 1, 1, 2):
+        J.save_turns(turns.where(F.col("_b") == b).drop("_b"), path, f"batch-{b}", ["conv_id", "turn"])
+    return IO.read_batches(spark, path).select("id", "batch", "conv_id", "turn", "user_id", "role", F.md5("content").alias("content_md5"))
+
+
 @register("embed_every_document")
 def q_embed_every_document(spark, sf_dir):
     """C5 V1 V2 V4 V5 N9 (F1 F6 F9 F10 P2 P7 P8 T2): as ``embed_documents``, but

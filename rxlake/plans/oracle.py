@@ -509,20 +509,52 @@ SELECT c.conv_id, c.turn, CAST(len(h.history) + 2 AS INTEGER) AS n_prompt,
        c.context <> '' AS med_context_used, c.context <> '' AND c.context_source = 'vector' AS rag_used
 FROM chat c JOIN h USING (conv_id, turn)""")
 
-register("embed_documents", f"""
-WITH raw AS (SELECT doc_id AS ord, {X.ustrip("CAST(n_chars AS VARCHAR)")} AS k, {X.clean_text("concat_ws(' ', source, lang)")} AS name,
-                    {X.clean_text('text')} AS effect FROM documents),
+def leaflet_ctes(key: str) -> str:
+    return f"""
+raw AS (SELECT doc_id AS ord, {X.ustrip(f"CAST({key} AS VARCHAR)")} AS k, {X.clean_text("concat_ws(' ', source, lang)")} AS name,
+               {X.clean_text('text')} AS effect FROM documents),
 one AS (SELECT * FROM raw WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1),
-docs AS (SELECT '{FV.LEAFLET_ID_PREFIX}' || k AS id, name, {X.leaflet_document('name', ['effect', "''", "''", "''", "''", "''", "''"])} AS document
+docs AS (SELECT 'easy_' || k AS id, name, {X.leaflet_document('name', ['effect', "''", "''", "''", "''", "''", "''"])} AS document
          FROM one),
-kept AS (SELECT * FROM docs WHERE length(document) > {FV.LEAFLET_MIN_CHARS}),
-v AS ({hash_counts_sql('kept', 'id', 'document')}),
-n AS (SELECT id, sqrt(sum(v * v)) AS n FROM v GROUP BY id),
-full_v AS (SELECT k.id, g.i, coalesce(v.v, 0) / CASE WHEN coalesce(n.n, 0) > 0 THEN n.n ELSE 1 END AS x
-           FROM kept k CROSS JOIN (SELECT unnest(range(64)) AS i) g LEFT JOIN v ON v.id = k.id AND v.i = g.i LEFT JOIN n ON n.id = k.id),
-txt AS (SELECT id, string_agg(CAST(CAST(round(x * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS vector FROM full_v GROUP BY id)
+kept AS (SELECT * FROM docs WHERE length(document) > 20)"""
+
+
+register("leaflet_first_per_key", f"""
+WITH {leaflet_ctes('n_chars')}
+SELECT id, length(document) AS doc_chars, md5(document) AS document_md5, name FROM kept""")
+
+
+def whole_vectors(src: str) -> str:
+    """Vectors of whole numbers as text, from the rows (id, document) of ``src``."""
+    return f"""
+v AS ({hash_counts_sql(src, 'id', 'document')}),
+txt AS (SELECT k.id, string_agg(CAST(CAST(coalesce(v.v, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY g.i) AS vector
+        FROM {src} k CROSS JOIN (SELECT unnest(range(64)) AS i) g LEFT JOIN v ON v.id = k.id AND v.i = g.i GROUP BY k.id)"""
+
+
+register("encode_documents", f"""
+WITH {leaflet_ctes('doc_id')}, {whole_vectors('kept')}
+SELECT id, length(document) AS doc_chars, vector FROM kept JOIN txt USING (id)""")
+
+register("incremental_index", f"""
+WITH kept AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS document, source AS name FROM documents
+              WHERE {X.ustrip("coalesce(text, '')")} <> ''), {whole_vectors('kept')}
 SELECT id, length(document) AS doc_chars, vector, name FROM kept JOIN txt USING (id)""")
 
+register("append_batches", """
+SELECT row_number() OVER (ORDER BY ((conv_id % 3) + 3) % 3, conv_id, turn) AS id,
+       'batch-' || CAST(((conv_id % 3) + 3) % 3 AS VARCHAR) AS batch, conv_id, turn, CAST(conv_id AS VARCHAR) AS user_id, role,
+       md5(coalesce(text, '')) AS content_md5
+FROM conversations""")
+
+register("vector_topk_indexed", """
+WITH e AS (SELECT vec_id, label * 10 + vec_id % 10 AS q, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT q, i, avg(CAST(x AS DOUBLE)) AS cx FROM e GROUP BY q, i),
+d AS (SELECT CAST(c.q AS BIGINT) AS qid, e.vec_id, sum((CAST(e.x AS DOUBLE) - c.cx) * (CAST(e.x AS DOUBLE) - c.cx)) AS dist
+      FROM e JOIN c ON e.i = c.i GROUP BY c.q, e.vec_id)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist
+FROM d QUALIFY rank <= 3""")
+
 register("embed_every_document", f"""
 WITH raw AS (SELECT doc_id AS ord, {X.ustrip("CAST(doc_id AS VARCHAR)")} AS k, {X.clean_text("concat_ws(' ', source, lang)")} AS name,
                     {X.clean_text('text')} AS effect FROM documents),
@@ -598,3 +630,6 @@ rb AS (SELECT label, 'drug_info' AS source, 2 AS source_rank,
               CAST(row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id,
               round(dist, 6) AS dist FROM b QUALIFY rank <= {FV.VECTOR_TOP_K})
 SELECT * FROM ra UNION ALL SELECT * FROM rb""")
+
+# every document once: the later repeats that ``embed_every_document`` adds never win
+register("embed_documents", ORACLE["embed_every_document"])
