@@ -3,23 +3,26 @@
 Every document gets four shares: symbols, upper-case letters, words in
 repeated three-word windows, and lines that repeat an earlier line.  A rule
 rejects a document whose share exceeds the rule's cutoff in the document's
-stratum (its language).  Cutoffs are learned from labelled rows:
-
-1. per stratum and rule, the labelled good rows above each cutoff of a fixed
-   grid are counted (rows that the base rule fails are left out: their fate
-   does not depend on a cutoff);
-2. a cutoff is certified if the exact binomial probability of so few or fewer
-   false rejections, were the true risk ``alpha / rules``, is at most
-   ``delta / (strata * rules)`` (Bonferroni over strata and rules).  Within a
-   stratum and rule the grid is tested from the most lenient cutoff on and
-   stops at the first failure, so the grid itself needs no correction
-   (fixed-sequence testing);
-3. of the certified cutoffs the one with the largest difference between the
+stratum (its language).  The cutoffs of the four rules move together along one
+ordered path, from lenient to strict (``joint_path``); labelled rows decide how
+far each stratum goes:
+
+1. per stratum the labelled good rows that each step of the path rejects are
+   counted (rows that the base rule fails are left out: their fate does not
+   depend on a cutoff);
+2. a step is certified if the exact binomial probability of so few or fewer
+   false rejections, were the true risk ``alpha``, is at most
+   ``delta / strata`` (Bonferroni over the strata).  Within a stratum the path
+   is tested from its most lenient step on and stops at the first failure, so
+   the steps themselves need no correction (fixed-sequence testing).  One joint
+   path spends the whole ``alpha`` and ``delta / strata`` on all four rules, so with
+   four strata 86 good rows without a false rejection certify a step;
+3. of the certified steps the one with the largest difference between the
    rejected shares of bad and good rows is used, the most lenient on ties.
 
 With probability ``1 - delta`` no stratum loses more than ``alpha`` of its good
 documents to the rules.  A stratum with too few labels certifies nothing and
-keeps all.
+keeps all that pass the base rule.
 
 Window equality is decided by 64-bit hashes of three words within one text.
 
@@ -32,6 +35,8 @@ empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -39,9 +44,12 @@ from rxlake.llm.store import written
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-GRID = [0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.175, 0.15, 0.125, 0.1, 0.08, 0.06, 0.05,
-        0.04, 0.03, 0.02, 0.015, 0.01, 0.005]
 RULES = ["symbol_share", "upper_share", "repeat_share", "dup_line_share"]
+#: the rules' cutoffs where the path's factor is 1
+UNITS = {"symbol_share": 0.25, "upper_share": 0.5, "repeat_share": 0.5, "dup_line_share": 0.75}
+#: the path's factors, from lenient to strict
+FACTORS = [1.3, 1.2, 1.1, 1.0, 0.9, 0.8, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.175, 0.15,
+           0.125, 0.1, 0.08, 0.06, 0.05]
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: strata above which the cutoff table is joined by shuffle, not broadcast
 BROADCAST_STRATA = 10_000
@@ -121,46 +129,53 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.exp(top) * down
 
 
+def joint_path(factors: list[float] = FACTORS, units: dict[str, float] = UNITS) -> list[dict[str, float]]:
+    """The rules' cutoffs step by step; no rule's cutoff rises from one step to the next."""
+    return [{r: f * units[r] for r in RULES} for f in sorted(factors, reverse=True)]
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", stratum: str = "lang",
-            label: str = "quality", alpha: float = 0.05, delta: float = 0.05, grid: list[float] = GRID) -> DataFrame:
-    """(stratum, cutoffs map<rule, cutoff>): what the labelled rows certify.
+            label: str = "quality", alpha: float = 0.05, delta: float = 0.05,
+            path: list[dict[str, float]] | None = None) -> DataFrame:
+    """(stratum, step, cutoffs map<rule, cutoff>, n_good, false_rejections): what the labelled rows certify.
 
     ``measured`` is the result of ``with_metrics``; label 1 is good, 0 bad.
     """
-    grid = sorted(grid, reverse=True)
-    risk = alpha / len(RULES)
+    path = joint_path() if path is None else path
+    steps = F.array(*[F.struct(*[F.lit(p[r]).alias(r) for r in RULES]) for p in path])
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")) \
         .where("lo = hi").select("_id", F.col("hi").alias("good"))
-    level = lambda r: F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: F.col(r) > c))
+    rejects = lambda p: reduce(or_, [F.col(r) > p[r] for r in RULES])
+    # a row that a step rejects is rejected by all later ones: the number of steps says which
     rows = measured.where(~F.col("base_failed")).select(
         F.col(doc_id).alias("_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("\0")).alias("stratum"),
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES])).alias("x"))
-    counts = written(rows.join(good, "_id").groupBy("stratum", "x.rule", "x.level").agg(
+        F.size(F.filter(steps, rejects)).alias("level"))
+    counts = written(rows.join(good, "_id").groupBy("stratum", "level").agg(
         F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") == 0).cast("long")).alias("bad")), "levels")
-    tested = counts.agg(F.count_distinct("stratum")).first()[0] * len(RULES)
-    # the share of a row at level l exceeds the l most strict cutoffs: one row per
-    # cutoff with what it rejects, at most len(grid) + 1 per stratum and rule
-    per_rule = counts.groupBy("stratum", "rule").agg(
-        F.collect_list(F.struct("level", "good", "bad")).alias("at"), F.sum("good").alias("n_good"),
-        F.sum("bad").alias("n_bad"))
-    tests = per_rule.select("*", F.posexplode(F.array(*map(F.lit, grid))).alias("step", "cutoff"))
+    strata = counts.agg(F.count_distinct("stratum")).first()[0]
+    # at most len(path) + 1 levels a stratum
+    held = counts.groupBy("stratum").agg(F.collect_list(F.struct("level", "good", "bad")).alias("at"),
+                                         F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+    tests = held.select("*", F.posexplode(steps).alias("step", "limits"))
     reached = lambda what: F.aggregate(
-        F.filter("at", lambda x: x["level"] >= len(grid) - F.col("step")), F.lit(0).cast("long"),
+        F.filter("at", lambda x: x["level"] >= len(path) - F.col("step")), F.lit(0).cast("long"),
         lambda a, x: a + x[what])
     tests = tests.withColumns({"k": reached("good"), "hit": reached("bad")})
-    passed = (F.col("k") <= F.col("n_good") * risk) & (F.col("n_good") > 0) & \
-        (binomial_cdf(F.col("k"), F.col("n_good"), risk) <= delta / max(tested, 1))
-    in_order = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    passed = (F.col("k") <= F.col("n_good") * alpha) & (F.col("n_good") > 0) & \
+        (binomial_cdf(F.col("k"), F.col("n_good"), alpha) <= delta / max(strata, 1))
+    in_order = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     certified = tests.withColumn("ok", F.min(passed.cast("int")).over(in_order)).where("ok = 1")
     gain = F.col("hit") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("k") / F.col("n_good")
-    best = certified.groupBy("stratum", "rule").agg(
-        F.max_by("cutoff", F.struct(gain, F.col("cutoff"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    best = certified.groupBy("stratum").agg(
+        F.max_by(F.struct("step", "limits", "n_good", "k"), F.struct(gain, -F.col("step"))).alias("x"))
+    return best.select("stratum", "x.step", F.create_map(*[c for r in RULES for c in (F.lit(r), F.col(f"x.limits.{r}"))])
+                       .alias("cutoffs"), "x.n_good", F.col("x.k").alias("false_rejections"))
 
 
 def judge(measured: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:
     """``measured`` with ``kept``: passes the base rule and every certified cutoff."""
     small = limits.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    limits = limits.select("stratum", "cutoffs")
     joined = measured.withColumn("_stratum", F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("\0"))).join(
         F.broadcast(limits) if small else limits, F.col("_stratum") == limits["stratum"], "left")
     over = None

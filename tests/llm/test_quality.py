@@ -63,6 +63,59 @@ def test_cutoffs_reject_bad_and_keep_good(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.values())
 
 
+def plain_verdicts(rows, good, alpha, delta, path):
+    """kept by id, and the step by stratum: exact binomial sums in plain Python."""
+    of = {}
+    for i, stratum, shares, base in rows:
+        if not base and i in good:
+            of.setdefault(stratum, []).append((shares, good[i]))
+    steps = {}
+    for stratum, members in of.items():
+        best = None
+        n, bad = sum(g for _, g in members), sum(not g for _, g in members)
+        for at, p in enumerate(path):
+            out = [g for shares, g in members if any(shares[r] > p[r] for r in Q.RULES)]
+            k = sum(out)
+            risk = sum(math.comb(n, j) * alpha**j * (1 - alpha)**(n - j) for j in range(k + 1))
+            if not n or k > n * alpha or risk > delta / len(of):
+                break
+            gain = (len(out) - k) / max(bad, 1) - k / n
+            if best is None or gain > best[0]:
+                best = (gain, at)
+        if best:
+            steps[stratum] = best[1]
+    kept = {i: not base and (stratum not in steps or not any(shares[r] > path[steps[stratum]][r] for r in Q.RULES))
+            for i, stratum, shares, base in rows}
+    return kept, steps
+
+
+def test_cutoffs_and_verdicts_equal_plain_python(spark):
+    rnd = random.Random(11)
+    rows, good, i = [], {}, 0
+    for stratum, n, noise in (("en", 700, .01), ("fr", 300, .03), ("de", 160, 0), ("es", 60, 0), (None, 200, .3)):
+        for _ in range(n):
+            bad = rnd.random() < .25
+            top = .9 if bad or rnd.random() < noise else .05
+            rows.append((i, stratum, {r: rnd.choice([0.0, rnd.random() * top]) for r in Q.RULES}, rnd.random() < .05))
+            if rnd.random() < .95:
+                good[i] = int(not bad)
+            i += 1
+    measured = spark.createDataFrame([(i, s, *(x[r] for r in Q.RULES), b) for i, s, x, b in rows],
+                                     "doc_id long, lang string, " + ", ".join(f"{r} double" for r in Q.RULES)
+                                     + ", base_failed boolean")
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    want, steps = plain_verdicts(rows, good, .05, .05, Q.joint_path())
+    limits = Q.cutoffs(measured, labels).cache()
+    assert {r.stratum: r.step for r in limits.collect()} == {s or "\0": k for s, k in steps.items()}
+    assert {"en", "de"} <= set(steps) and not {"es", None} & set(steps)
+    assert {r.doc_id: r.kept for r in Q.judge(measured, limits).collect()} == want
+
+
+def test_path_never_turns_lenient():
+    path = Q.joint_path()
+    assert all(a[r] > b[r] for a, b in zip(path, path[1:]) for r in Q.RULES)
+
+
 def test_no_labels_keeps_all_that_pass_the_base(spark):
     docs, labels = labelled(spark, 50)
     assert Q.report(docs, labels.limit(0)).where("kept").count() == 50
