@@ -7,6 +7,8 @@ left to ``rxlake.sources``.  Parameters carry the application's defaults
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -349,10 +351,14 @@ def speech_preparation(requests: DataFrame, text_col: str = "text") -> DataFrame
 # ------------------------------------------------- entry points (section 3) ---
 def build_catalogue(spark, files: list, out_path: str, csv_export: str | None = None) -> DataFrame:
     """The catalogue build: S4 load -> C1 -> S6 write (Parquet; CSV optional).
-    Returns the load report."""
-    sources, report = IO.load_sources(spark, files)
-    cat = catalogue_pipeline(sources, ord_col="ORD")
-    IO.write_staged(cat, out_path)
+    Returns the load report.  Every text source is parsed once, into a copy that
+    goes when the catalogue is written (``io.find_sources`` lists a folder's files)."""
+    landing = f"{out_path.rstrip('/')}.landing-{uuid.uuid4().hex}"
+    try:
+        sources, report = IO.load_sources(spark, files, landing=landing)
+        IO.write_staged(catalogue_pipeline(sources, ord_col="ORD"), out_path)
+    finally:
+        IO.delete(spark, landing)
     if csv_export:
         IO.write_table(spark.read.parquet(out_path).orderBy("ITEM_NAME", "ITEM_SEQ"), csv_export, fmt="csv")
     return report

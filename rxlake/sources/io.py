@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -64,16 +65,41 @@ def file_order(df: DataFrame) -> Column:
                     F.monotonically_increasing_id().alias("row"))
 
 
-def load_sources(spark: SparkSession, files: list, ord_from_scan: bool = True):
+#: formats that are text: parsed once, into a landed copy, by ``load_sources``
+TEXT_FORMATS = ("csv", "cp949")
+
+
+def find_sources(spark: SparkSession, folder: str) -> list:
+    """S5 for a folder: ``(year, path, fmt)`` of its files whose name holds one year, by (year, path).
+
+    The year is the only number of four digits from 1900 to 2099 in the name; a name with none
+    or with several different ones names no year and is left out.  ``.csv`` is read in the
+    original's code page, ``.parquet`` as it is.
+    """
+    fs, jpath = _fs(spark, folder)
+    found = []
+    for f in fs.listStatus(jpath):
+        name = f.getPath().getName()
+        years = set(re.findall(r"(?<!\d)(?:19|20)\d\d(?!\d)", name))
+        fmt = {".csv": "cp949", ".parquet": "parquet"}.get(os.path.splitext(name)[1].lower())
+        if fmt and len(years) == 1:
+            found.append((int(years.pop()), f.getPath().toString(), fmt))
+    return sorted(found)
+
+
+def load_sources(spark: SparkSession, files: list, ord_from_scan: bool = True, landing: str | None = None):
     """Load every source that exists and can be read, tag its year.
 
     ``files`` is a list of ``(year, path, fmt)``.  Missing, unreadable and
-    undecodable sources are skipped and reported (a text source is undecodable
-    if a cell holds U+FFFD, which the decoder puts for bytes outside the
-    encoding).  Returns ``(sources, report)`` where ``sources`` is a list of
-    ``(year, DataFrame)`` for C1 and ``report`` a DataFrame ``(year, path,
-    status, detail, rows_in)``.  Raises when nothing loads (as concatenating
-    nothing does in the original).
+    undecodable sources are skipped and reported.  Returns ``(sources, report)``
+    where ``sources`` is a list of ``(year, DataFrame)`` for C1 and ``report`` a
+    DataFrame ``(year, path, status, detail, rows_in)``.  Raises when nothing
+    loads (as concatenating nothing does in the original).
+
+    ``landing`` is a folder for Parquet copies of the text sources: each is
+    parsed once, its rows are counted and checked by the pass that writes the
+    copy, and what comes after reads the copy, by column and in splits.  Without
+    it a text source is parsed here for the report and again by its reader.
     """
     loaded, report = [], []
     for year, path, fmt in files:
@@ -82,18 +108,25 @@ def load_sources(spark: SparkSession, files: list, ord_from_scan: bool = True):
             continue
         try:
             raw = read_table(spark, path, fmt)
-            bad = F.lit(False)
-            for name, kind in raw.dtypes:
-                if kind == "string":
-                    bad = bad | F.coalesce(F.col(f"`{name}`").contains("\ufffd"), F.lit(False))
-            rows, undecoded = raw.agg(F.count(F.lit(1)), F.coalesce(F.sum(bad.cast("long")), F.lit(0))).first()
+            df = raw.withColumn("ORD", file_order(raw)) if ord_from_scan else raw
+            if fmt not in TEXT_FORMATS:
+                rows, undecoded = raw.count(), 0
+            else:
+                marks = _marked(raw)
+                if landing:
+                    copy = f"{landing.rstrip('/')}/{len(report)}"
+                    seen = observed_write(df, copy, {"marked": marks})
+                    df = spark.read.schema(df.schema).parquet(copy)
+                else:
+                    seen = raw.agg(F.count(F.lit(1)).alias("rows"), marks.alias("marked")).first().asDict()
+                rows = seen["rows"]
+                undecoded = _undecoded(spark, path, fmt, seen["marked"] or 0)
         except Exception as e:  # noqa: BLE001 - a bad file is skipped, whatever its reader raises
             report.append((int(year), path, "failed", str(e)[:500], 0))
             continue
-        if undecoded and fmt in ("csv", "cp949"):
+        if undecoded:
             report.append((int(year), path, "failed", f"{undecoded} rows do not decode", rows))
             continue
-        df = raw.withColumn("ORD", file_order(raw)) if ord_from_scan else raw
         loaded.append((int(year), S.normalize_headers(df)))                # P1
         report.append((int(year), path, "loaded", "", rows))
     if not loaded:
@@ -102,6 +135,26 @@ def load_sources(spark: SparkSession, files: list, ord_from_scan: bool = True):
     return loaded, rep
 
 
+def _marked(df: DataFrame) -> Column:
+    """Rows with U+FFFD, which the decoder puts for bytes outside the encoding."""
+    marked = F.lit(False)
+    for name, kind in df.dtypes:
+        if kind == "string":
+            marked = marked | F.coalesce(F.col(f"`{name}`").contains("\ufffd"), F.lit(False))
+    return F.coalesce(F.sum(marked.cast("long")), F.lit(0))
+
+
+def _undecoded(spark: SparkSession, path: str, fmt: str, marked: int) -> int:
+    """Rows or lines that do not decode, given how many rows show the decoder's mark.
+
+    The Korean code page has no U+FFFD, so there every marked row is a fault.  A UTF-8
+    file may truly hold one: only then are its bytes looked at, line by line.
+    """
+    if not marked or fmt == "cp949":
+        return marked
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).count()
+
+
 def require_inputs(spark: SparkSession, paths: dict) -> None:
     """All inputs present, or stop listing the missing ones."""
     missing = [k for k, p in paths.items() if not _exists(spark, p)]
@@ -121,10 +174,22 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     w.save(path)
 
 
+def observed_write(df: DataFrame, path: str, metrics: dict | None = None, fmt: str = "parquet") -> dict:
+    """A1: write a new table and return ``rows`` and ``metrics`` (name -> aggregate) of what was written.
+
+    The metrics come from the write's own pass (``DataFrame.observe``), right below the
+    write: that is the job's last stage, whose tasks count once however often they ran.
+    """
+    seen = Observation()
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (metrics or {}).items()]),
+                path, fmt=fmt)
+    return {"rows": 0} | dict.fromkeys(metrics or {}) | seen.get
+
+
 def write_staged(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     """Overwrite ``path`` even when ``df`` reads from it; returns the rows written.
 
-    A staging copy is written and counted next to it and marked complete; then
+    A staging copy is written next to it, counted by the same pass, and marked complete; then
     the old table is renamed aside, the copy renamed in, and the old one
     deleted.  Every rename is checked, and a failed one is undone, so a crash
     leaves the old or the new table under one of the two names.
@@ -132,8 +197,7 @@ def write_staged(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     spark = df.sparkSession
     tag = uuid.uuid4().hex
     staging, aside = (f"{path.rstrip('/')}.{what}-{tag}" for what in ("staging", "old"))
-    write_table(df, staging, fmt=fmt)
-    rows = _read(spark, staging, fmt).count()
+    rows = observed_write(df, staging, fmt=fmt)["rows"]
     fs, jpath = _fs(spark, path)
     new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs.create(new_path(f"{staging}/{COMPLETE}"), True).close()
@@ -322,8 +386,14 @@ def _fs(spark: SparkSession, path: str):
     return fs, jpath
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder; one that is not there is no error."""
+    fs, jpath = _fs(spark, path)
+    fs.delete(jpath, True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path and not path.startswith("/"):
+    if not re.match(r"/|[A-Za-z][A-Za-z0-9+.-]+:", path):      # neither absolute nor with a scheme
         path = os.path.abspath(path)
     fs, jpath = _fs(spark, path)
     return bool(fs.exists(jpath))

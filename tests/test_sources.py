@@ -166,3 +166,57 @@ def test_file_order_within_a_split_file(spark, tmp):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(out) == [(str(i), f"{i}" + "z" * 40) for i in range(10)]
+
+
+def test_observed_write_counts_what_it_writes(spark, tmp):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 = 0").withColumn("g", F.col("id") % 5)
+    seen = IO.observed_write(df, os.path.join(tmp, "a"), {"high": F.max("id"), "odd": F.sum(F.col("id") % 2)})
+    assert seen == {"rows": 334, "high": 999, "odd": 167}
+    assert IO.observed_write(df.groupBy("g").count(), os.path.join(tmp, "b"))["rows"] == 5      # behind a shuffle
+    assert IO.observed_write(df.limit(0), os.path.join(tmp, "c"))["rows"] == 0
+    assert IO.write_staged(spark.createDataFrame([], "a int"), os.path.join(tmp, "d")) == 0
+
+
+def test_landed_sources_give_the_same_report_and_rows(spark, tmp):
+    a, b, c = (os.path.join(tmp, f"{n}.csv") for n in "abc")
+    write(a, 'ITEM_SEQ,ITEM_NAME\n1,"가\n나"\n2,다\n2,다\n', "cp949")
+    write(b, "item_name,item_seq\nmark \ufffd here,3\nlast,4\n", "utf-8")      # a genuine U+FFFD decodes
+    with open(c, "wb") as f:
+        f.write("ITEM_SEQ,ITEM_NAME\n5,".encode() + b"\xff\xfe\x81\n")
+    d = os.path.join(tmp, "d.parquet")
+    spark.createDataFrame([("6", "sechs \ufffd")], "ITEM_SEQ string, ITEM_NAME string").write.parquet(d)
+    files = [(2020, a, "cp949"), (2021, b, "csv"), (2022, c, "csv"), (2023, d, "parquet"),
+             (2024, os.path.join(tmp, "none.csv"), "csv")]
+    plain, report = IO.load_sources(spark, files)
+    landed, again = IO.load_sources(spark, files, landing=os.path.join(tmp, "landing"))
+    assert sorted(rows(report)) == sorted(rows(again))
+    assert {r[0]: r[1:] for r in rows(again, "year", "status", "rows_in")} == {
+        2020: ("loaded", 3), 2021: ("loaded", 2), 2022: ("failed", 1), 2023: ("loaded", 1), 2024: ("missing", 0)}
+    for (y, x), (z, w) in zip(plain, landed, strict=True):
+        assert y == z and x.columns == w.columns
+        order = [r[0] for r in rows(x.orderBy("ORD"), "ITEM_NAME")]
+        assert order == [r[0] for r in rows(w.orderBy("ORD"), "ITEM_NAME")]
+    assert all(f"{tmp}/landing" in f for f in landed[0][1].inputFiles())
+
+
+def test_catalogue_from_a_folder_end_to_end(spark, tmp):
+    src, out = os.path.join(tmp, "in"), os.path.join(tmp, "out", "catalogue")
+    os.makedirs(src)
+    write(os.path.join(src, "pills (2021).csv"), "ITEM_SEQ,ITEM_NAME,LENG_LONG\n1,old,1.5\n2,kept,2\n3,,1\n", "cp949")
+    write(os.path.join(src, "pills_2022_.csv"), "item_name,item_seq\nnew,1\n", "cp949")
+    write(os.path.join(src, "notes.csv"), "x\n1\n", "cp949")                 # no year
+    write(os.path.join(src, "2020 to 2021.csv"), "x\n1\n", "cp949")         # two years
+    write(os.path.join(src, "code 120219.csv"), "x\n1\n", "cp949")          # no year of its own
+    files = IO.find_sources(spark, src)
+    assert [(y, os.path.basename(p), f) for y, p, f in files] == [(2021, "pills (2021).csv", "cp949"), (2022, "pills_2022_.csv", "cp949")]
+    csv = os.path.join(tmp, "out", "export")
+    for _ in range(2):      # a second build replaces the first
+        report = J.build_catalogue(spark, files, out, csv_export=csv)
+    assert sorted(rows(report, "year", "status", "rows_in")) == [(2021, "loaded", 3), (2022, "loaded", 1)]
+    got = sorted(rows(spark.read.parquet(out), "ITEM_SEQ", "ITEM_NAME", "SOURCE_YEAR", "LENG_LONG"))
+    assert got == [("1", "new", 2022, 0.0), ("2", "kept", 2021, 2.0)]
+    assert sorted(os.listdir(os.path.join(tmp, "out"))) == ["catalogue", "export"]      # no copies are left
+    assert [r[0] for r in rows(IO.read_csv_text(spark, csv), "ITEM_NAME")] == ["kept", "new"]
+    served = os.path.join(tmp, "serving")
+    assert J.load_serving_table(spark, out, served) and not J.load_serving_table(spark, out, served)
+    assert spark.read.parquet(served).count() == 2
