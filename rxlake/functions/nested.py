@@ -1,12 +1,11 @@
 """JSON, array and struct helpers (N1-N9), JVM-side.
 
-Strictness follows Python's ``json.loads`` where it matters (SURVEY D6):
-single quotes are rejected (the variant parser is strict), and any text after
-the first complete value is rejected by parsing it both as the only element of
-``[...]`` and as the only field of ``{"v": ...}``: what could follow the value in
-one of them is an error in the other (the parser alone stops after the first
-value).  Two deviations remain: a repeated key and the words NaN and Infinity
-make the status ``error``, where Python's parser takes the last key and a float.
+Strictness follows Python's ``json.loads`` (SURVEY D6): single quotes, comments,
+leading zeros, raw control characters and any text after the first complete value
+are errors; of a repeated key the last counts; ``NaN``, ``Infinity`` and ``-Infinity``
+are numbers.  One deviation remains: where the field's own value holds an object with
+a repeated key, the text is an ``error`` even if a later repeat of the field is a
+proper list.
 """
 
 from __future__ import annotations
@@ -24,29 +23,35 @@ def outer_object(c) -> Column:
     return F.regexp_extract(col_(c), OUTER_OBJECT_RE, 0)
 
 
-def single_json(c) -> Column:
-    """Variant of the text when it is exactly one JSON value, else null."""
-    c = col_(c)
-    as_list = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    as_field = F.try_parse_json(F.concat(F.lit('{"v": '), c, F.lit("}")))
-    return F.when(as_list.isNotNull() & as_field.isNotNull(), F.try_parse_json(c))
+_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true", "columnNameOfCorruptRecord": "_corrupt"}
 
 
-def string_list_field(obj: Column, field: str):
-    """Read ``obj[field]`` as a list of strings.
+def _object_field(c: Column, field: str) -> tuple[Column, Column]:
+    """Of a text that starts with ``{``: ``struct(v struct(field variant), _corrupt)`` and
+    whether the text is *one* value.
 
-    Returns ``(names, error)``: a missing field gives ``[]`` (``.get(field, [])``);
-    a field that is not a list of non-null strings is an error.
+    The parser stops after the first complete value.  So the text is parsed as the only field of
+    ``{"v": ...}`` and again as the only element of a list there: what could follow the value in
+    one of them is an error in the other.  A parse by schema takes the last of a repeated key
+    and skips what the schema does not name.
     """
-    path = f"$.{field}"
-    raw = F.try_variant_get(obj, path, "variant")
-    kind = F.schema_of_variant(raw)
-    arr = F.try_variant_get(obj, path, "array<string>")
-    missing = raw.isNull()
-    good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(arr, lambda x: x.isNull())
-    names = F.when(missing, F.array().cast("array<string>")).when(good, arr)
-    error = ~missing & ~F.coalesce(good, F.lit(False))
-    return names, error
+    parsed = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), f"v struct<`{field}`: variant>, _corrupt string", _JSON)
+    listed = F.from_json(F.concat(F.lit('{"v":['), c, F.lit("]}")), f"v array<struct<`{field}`: variant>>, _corrupt string", _JSON)
+    # the parser also takes INF and a plus sign for numbers: looked for outside quoted strings
+    bare = F.regexp_replace(c, r'"(?:[^"\\]|\\.)*+"', '""')
+    foreign = c.rlike(r"INF|\+I") & bare.rlike(r"INF|\+I")
+    return parsed, listed["_corrupt"].isNull() & ~foreign
+
+
+def _names_and_error(parsed: Column, single: Column, field: str) -> tuple[Column, Column]:
+    """The field as a list of strings.  A missing field gives ``[]``
+    (``.get(field, [])``); one that is not a list of non-null strings is an error."""
+    value = parsed["v"][field]
+    arr = F.try_variant_get(value, "$", "array<string>")
+    good = F.schema_of_variant(value).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(arr, lambda x: x.isNull())
+    names = F.when(value.isNull(), F.array().cast("array<string>")).when(good, arr)
+    valid = single & parsed["_corrupt"].isNull() & parsed["v"].isNotNull()
+    return names, ~F.coalesce(valid & (value.isNull() | good), F.lit(False))
 
 
 def parse_name_list(reply, field: str = "medicines"):
@@ -54,13 +59,9 @@ def parse_name_list(reply, field: str = "medicines"):
     ``no_json`` (no braces: empty result, no error), ``error`` (not exactly
     one valid object, or a bad field) or ``ok``."""
     cut = outer_object(reply)
-    obj = single_json(cut)
-    names, bad = string_list_field(obj, field)
-    status = (F.when(cut == "", F.lit("no_json"))
-               .when(obj.isNull() | bad, F.lit("error"))
-               .otherwise(F.lit("ok")))
-    names = F.when(status == "ok", names).otherwise(F.array().cast("array<string>"))
-    return status, names
+    names, bad = _names_and_error(*_object_field(cut, field), field)
+    status = F.when(cut == "", F.lit("no_json")).when(bad, F.lit("error")).otherwise(F.lit("ok"))
+    return status, F.when(status == "ok", names).otherwise(F.array().cast("array<string>"))
 
 
 def with_name_list(df: DataFrame, reply, field: str = "medicines", keep: list | None = None) -> DataFrame:
@@ -72,12 +73,11 @@ def with_name_list(df: DataFrame, reply, field: str = "medicines", keep: list |
     the ``keep`` columns (default: all of ``df``)."""
     keep = list(df.columns) if keep is None else keep
     d = df.select(*keep, outer_object(reply).alias("_cut"))
-    d = d.select(*keep, "_cut", single_json("_cut").alias("_obj"))
-    names, bad = string_list_field(F.col("_obj"), field)
-    d = d.select(*keep, "_cut", "_obj", names.alias("_names"), bad.alias("_bad"))
-    status = (F.when(F.col("_cut") == "", F.lit("no_json"))
-               .when(F.col("_obj").isNull() | F.col("_bad"), F.lit("error"))
-               .otherwise(F.lit("ok")))
+    parsed, single = _object_field(F.col("_cut"), field)
+    d = d.select(*keep, "_cut", parsed.alias("_parsed"), single.alias("_single"))
+    names, bad = _names_and_error(F.col("_parsed"), F.col("_single"), field)
+    d = d.select(*keep, "_cut", names.alias("_names"), bad.alias("_bad"))
+    status = F.when(F.col("_cut") == "", F.lit("no_json")).when(F.col("_bad"), F.lit("error")).otherwise(F.lit("ok"))
     d = d.select(*keep, "_names", status.alias("status"))
     return d.select(*keep, "status", F.when(F.col("status") == "ok", F.col("_names"))
                     .otherwise(F.array().cast("array<string>")).alias("names"))

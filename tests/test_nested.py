@@ -1,5 +1,9 @@
 """JSON reply parsing (N1-N3), OCR response (N4), prompt assembly."""
 
+import json
+import re
+
+from hypothesis import HealthCheck, given, settings, strategies as st_
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -52,3 +56,45 @@ def test_staged_name_list_equals_column_form(spark):
     a = sorted(rows(df.select("i", st.alias("status"), names.alias("names"))))
     b = sorted(rows(N.with_name_list(df, F.col("r"), keep=["i"]), "i", "status", "names"))
     assert a == b
+
+
+def plain(reply):
+    """N1-N3 with ``json.loads``."""
+    if reply is None:       # nothing to search: re.search raises
+        return "error", []
+    m = re.search(r"\{.*\}", reply, re.S)
+    if not m:
+        return "no_json", []
+    try:
+        names = json.loads(m.group()).get("medicines", [])
+    except json.JSONDecodeError:
+        return "error", []
+    good = isinstance(names, list) and all(isinstance(n, str) for n in names)
+    return ("ok", names) if good else ("error", [])
+
+
+EDGES = [
+    None, "", "{}", '{"medicines": ["a"], "medicines": ["b"]}', '{"medicines": null}', '{"medicines": "s"}',
+    '{"x": {"a": 1, "a": 2}, "medicines": ["q"]}', '{"x": NaN, "medicines": ["q"]}', '{"x": -Infinity, "medicines": ["q"]}',
+    '{"x": Infinity, "medicines": ["q"]}', '{"x": +INF, "medicines": ["q"]}', '{"x": INF, "medicines": ["q"]}',
+    '{"x": +Infinity, "medicines": ["q"]}', '{"x": "INF +I", "medicines": ["INF", "+I"]}', '{"medicines": [NaN]}',
+    '{"x": "\\"INF", "medicines": ["q"]}', '{"medicines": ["a"]}}', '{"medicines": ["a"]}, "w": {}', '{"medicines": ["a"]}], "w": [{}',
+    '{"medicines": ["a"]}, {"medicines": ["b"]}', '{"medicines": ["a"]}], "v": [{"medicines": ["b"]}',
+    '{"medicines": ["a"]}, "v": {"medicines": ["b"]}', '{"x": 01, "medicines": ["q"]}', '{"x": "a\tb", "medicines": ["q"]}',
+    '{"x": "\\q", "medicines": ["q"]}', '{"medicines": ["x"] /* c */}', '{"medicines": [["q"]]}', '{"medicines": [null]}',
+    '{"medicines": ["x"], "y": "}"}', '{"y": {"medicines": ["inner"]}}', '{"medicines": ["\\uac00", "\\n"]}', "{medicines: []}",
+    '{"medicines": ["a",]}', '{"medicines": ["a"]', 'x {"medicines": []} y } z', '{"x": 1e999, "medicines": ["q"]}',
+    '{"x": 123456789012345678901234567890123456789012345678, "medicines": ["q"]}', '{"Medicines": ["a"]}', '{"medicines": ["' + "a" * 100_000 + '"]}',
+]
+
+
+def test_replies_equal_json_loads(spark):
+    assert parse(spark, EDGES) == [plain(r) for r in EDGES]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st_.lists(st_.lists(st_.sampled_from(['{', '}', '[', ']', ',', ':', ' ', '"medicines"', '"a"', '"v"', "1", "NaN", "null", '\\', '"',
+                                             '{"medicines":', '["a","b"]', '}, {']), max_size=9).map("".join), min_size=40, max_size=40))
+def test_any_reply_equals_json_loads(spark, replies):
+    replies = ['{"medicines": ["a"]' + r + "}" if i % 2 else r for i, r in enumerate(replies)]
+    assert parse(spark, replies) == [plain(r) for r in replies]
