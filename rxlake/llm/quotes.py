@@ -6,16 +6,18 @@ are the message's own text.  A line of own text that only announces the quote
 after it (``... wrote:`` and the like) is dropped.
 
 Linking.  Passages, and single lines of at least ``LINE_WORDS`` words, are
-normalised (markers removed, blanks collapsed, lower-cased) and hashed.  A level-1
-passage is looked up among the original passages and lines:
+normalised (markers removed, blanks collapsed, lower-cased) and hashed.  A quoted
+passage of any level is looked up among the original passages and lines:
 
-1. in the same conversation: the latest earlier message that has it (a window
-   over the rows of one conversation and hash, not a join);
+1. in the same conversation: the latest earlier message that has it (``latest_before``:
+   frames over ranges of the sorted rows, which carry the latest turn on, not a join);
 2. else anywhere: the first message by (conversation, turn) that has it, from
    one aggregate per hash.  Only a smaller (conversation, turn) may be a parent,
    so the links have no cycle.
 
-The parent of a message is its link with most words, then the nearest (same
+``links`` has the original of every quoted passage.  The parent of a message is found at
+the smallest level that has a link (what it quotes directly, else what was quoted
+in that): the link with most words, then the nearest (same
 conversation, then latest).  A message without a link answers the turn before it
 in its conversation; the first turn is a root.
 
@@ -29,7 +31,8 @@ Defined results: null and empty texts have no quotes and an empty body; rows of
 equal (conversation, turn) are one message if their texts are equal, else the
 smaller text is message and the others keep their own body with the same place;
 rows with a null conversation or turn stand alone, each a root of a thread of no
-id; quotes of nothing known are removed from the body and counted as unlinked.
+id; a text of any length is parsed whole, in one row; an empty table gives an empty
+result; quotes of nothing known are removed from the body and counted as unlinked.
 """
 
 from __future__ import annotations
@@ -86,31 +89,53 @@ def _hashes(texts: Column) -> Column:
         F.xxhash64(x).alias("hash"), _words(x).alias("words"))))
 
 
-def parents(parsed: DataFrame) -> DataFrame:
-    """(conv, turn, p_conv, p_turn, linked words) of messages whose quotes are found."""
-    first_level = F.transform(F.filter("quotes", lambda q: q["level"] == 1), lambda q: q["text"])
-    asks = parsed.where(F.size("quotes") > 0).select("conv", "turn", F.explode(_hashes(first_level)).alias("h")) \
-        .select("conv", "turn", "h.*")
+def latest_before(rows: DataFrame, keys: list[str], order: str, is_event: str, result: str) -> DataFrame:
+    """``rows`` with ``result``: of the events of its key with a smaller ``order``, the largest ``order``.
+
+    Rows are sorted by range over (keys, order); equal rows share a range.  Within a range a frame
+    finds the event, and each range hands its latest on through a table of one row per key and
+    range, so a key of any size is spread over tasks.
+    """
+    placed = written(rows.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "quotes-ranges")
+    event = F.when(F.col(is_event), F.col(order))
+    ranges = placed.groupBy(*keys, "_part").agg(F.max(event).alias("_last"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_carried", F.max("_last").over(earlier)).drop("_last").where("_carried is not null")
+    within = W.partitionBy(*keys, "_part").orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+    return placed.withColumn("_near", F.max(event).over(within)).join(ranges, [*keys, "_part"], "left") \
+        .withColumn(result, F.coalesce("_near", "_carried")).drop("_part", "_near", "_carried")
+
+
+def links(parsed: DataFrame) -> DataFrame:
+    """(conv, turn, level, hash, words, p struct(conv, turn)): every quoted passage, or longer line of one,
+    whose original is found; a passage that a message quotes repeatedly at one level is one row."""
+    asks = parsed.where(F.size("quotes") > 0).select("conv", "turn", F.explode("quotes").alias("q")) \
+        .select("conv", "turn", "q.level", F.explode(_hashes(F.array("q.text"))).alias("h")) \
+        .select("conv", "turn", "level", "h.*").distinct()
     asks = written(asks, "quotes-asked")
     wanted = asks.select("hash").distinct()
     # only what somebody quotes
     has = parsed.select("conv", "turn", F.explode(_hashes(F.col("own"))).alias("h")).select("conv", "turn", "h.hash") \
-        .join(wanted, "hash", "left_semi").groupBy("conv", "turn", "hash").agg(F.lit(1).alias("one")).drop("one")
+        .join(wanted, "hash", "left_semi").distinct()
     has = written(has, "quotes-originals")
-    # latest earlier message of the conversation with the passage
-    both = asks.withColumn("ask", F.lit(True)).unionByName(has.withColumns({"words": F.lit(0), "ask": F.lit(False)}))
-    before = W.partitionBy("conv", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    near = both.withColumn("near", F.max(F.when(~F.col("ask"), F.col("turn"))).over(before)).where("ask").drop("ask")
+    both = asks.withColumn("has", F.lit(False)).unionByName(has.withColumns({"level": F.lit(0), "words": F.lit(0), "has": F.lit(True)}))
+    near = latest_before(both, ["conv", "hash"], "turn", "has", "near").where("not has").drop("has")
     first = has.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("first"))
     here = F.struct("conv", "turn")
     link = F.when(F.col("near").isNotNull(), F.struct("conv", F.col("near").alias("turn"))) \
         .when(F.col("first") < here, F.col("first"))
-    found = near.join(first, "hash", "left").withColumn("p", link).where("p is not null")
-    votes = found.groupBy("conv", "turn", "p").agg(F.sum("words").alias("words"))
+    return near.join(first, "hash", "left").withColumn("p", link).where("p is not null") \
+        .select("conv", "turn", "level", "hash", "words", "p")
+
+
+def parents(parsed: DataFrame) -> DataFrame:
+    """(conv, turn, p_conv, p_turn, linked words, linked level) of messages whose quotes are found."""
+    votes = links(parsed).groupBy("conv", "turn", "level", "p").agg(F.sum("words").alias("words"))
     best = votes.groupBy("conv", "turn").agg(F.max(F.struct(
-        "words", (F.col("p.conv") == F.col("conv")).alias("near"), F.col("p.turn").alias("t"), F.col("p.conv").alias("c"))).alias("b"))
+        (-F.col("level")).alias("up"), "words", (F.col("p.conv") == F.col("conv")).alias("near"), F.col("p.turn").alias("t"),
+        F.col("p.conv").alias("c"))).alias("b"))
     return best.select("conv", "turn", F.col("b.c").alias("p_conv"), F.col("b.t").alias("p_turn"),
-                       F.col("b.words").cast("long").alias("linked_words"))
+                       F.col("b.words").cast("long").alias("linked_words"), (-F.col("b.up")).alias("linked_level"))
 
 
 def roots(tree: DataFrame) -> DataFrame:
@@ -145,7 +170,7 @@ def link(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
 
     Columns: conv_id, turn, role, body, n_quotes (passages of any level),
     max_level, parent_conv, parent_turn, linked_words (0: the parent is the turn
-    before), thread_conv, thread_turn (the root), depth, position.
+    before), linked_level (of the quote that found the parent, else 0), thread_conv, thread_turn (the root), depth, position.
     """
     src = messages.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").alias("role"),
                           F.col(f"`{text}`").alias("_text"))
@@ -159,7 +184,8 @@ def link(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
     tree = by_turn.join(parents(placed), ["conv", "turn"], "left").withColumn("parent", F.when(
         F.col("p_conv").isNotNull(), F.struct(F.col("p_conv").alias("conv"), F.col("p_turn").alias("turn"))).when(
         F.col("before").isNotNull(), F.struct("conv", F.col("before").alias("turn"))))
-    tree = written(tree.select("conv", "turn", "parent", F.coalesce("linked_words", F.lit(0).cast("long")).alias("linked_words")), "quotes-tree")
+    tree = written(tree.select("conv", "turn", "parent", F.coalesce("linked_words", F.lit(0).cast("long")).alias("linked_words"),
+                               F.coalesce("linked_level", F.lit(0)).alias("linked_level")), "quotes-tree")
     spots = roots(tree).select("id.conv", "id.turn", F.col("up").alias("thread"), "depth")
     spots = positions(spots, "thread", ["depth", "conv", "turn"]).join(tree, ["conv", "turn"])
     full = parsed.join(spots, ["conv", "turn"], "left")
@@ -168,5 +194,6 @@ def link(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role
         F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).alias("max_level"),
         F.col("parent.conv").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
         F.coalesce("linked_words", F.lit(0).cast("long")).alias("linked_words"),
+        F.coalesce("linked_level", F.lit(0)).alias("linked_level"),
         F.col("thread.conv").alias("thread_conv"), F.col("thread.turn").alias("thread_turn"),
         F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("position", F.lit(0).cast("long")).alias("position"))

@@ -61,6 +61,33 @@ def test_random_threads_equal_brute_force(spark):
         assert [got[k].position for _, k in order] == list(range(len(order)))
 
 
+def test_deeper_levels_are_linked(spark):
+    inner = "> > The quick brown fox jumps over it.\n> > Second line of some words here.\n> nobody ever wrote this one\nhm"
+    both = "> I agree with that.\n> > The quick brown fox jumps over it.\n> > Second line of some words here.\nyes"
+    rows = [(1, 0, "user", A), (1, 1, "user", "something else"), (1, 2, "user", inner), (1, 3, "user", B), (1, 4, "user", both)]
+    got = run(spark, rows)
+    assert (got[1, 2].parent_turn, got[1, 2].linked_level) == (0, 2)        # only the inner quote is known
+    assert (got[1, 4].parent_turn, got[1, 4].linked_level) == (3, 1)        # what is quoted directly, though it is shorter
+    assert (got[1, 1].parent_turn, got[1, 1].linked_level) == (0, 0)
+    src = Q.parse(frame(spark, rows).selectExpr("conv_id conv", "turn", "role", "text"), ["conv", "turn", "role"], "text")
+    assert {(r.turn, r.level, r.p.turn) for r in Q.links(src).collect()} == {(2, 2, 0), (3, 1, 0), (4, 1, 3), (4, 2, 0)}
+
+
+def test_latest_before_in_a_hot_key(spark):
+    """One key with almost all rows: equal to a plain walk, and no task holds the key."""
+    rnd = random.Random(9)
+    rows = [(1 if rnd.random() < .95 else rnd.randrange(5), 7, rnd.randrange(4000), rnd.random() < .1) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "conv int, hash int, turn int, has boolean").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = Q.latest_before(df, ["conv", "hash"], "turn", "has", "near").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    events = {(c, t) for c, _, t, h in rows if h}
+    want = sorted((c, t, h, max((e for k, e in events if k == c and e < t), default=-1)) for c, _, t, h in rows)
+    assert sorted((r.conv, r.turn, r.has, -1 if r.near is None else r.near) for r in out) == want
+
+
 def test_repeats_and_empty(spark):
     rows = [(1, 0, "user", A), (1, 0, "user", A), (1, 0, "user", "other text at the same place"), (1, 1, "user", B)]
     got = Q.link(frame(spark, rows)).collect()
