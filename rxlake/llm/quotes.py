@@ -22,7 +22,8 @@ conversation, then latest).  A message without a link answers the turn before it
 in its conversation; the first turn is a root.
 
 Threads.  Parent links form trees; roots and depths come from pointer doubling,
-in as many rounds as the logarithm of the deepest reply.  Messages of a thread are
+in as many rounds as the logarithm of the deepest reply; a message whose root is known
+rests.  Messages of a thread are
 ordered by (depth, conversation, turn), a parent always before its replies;
 ``position`` numbers them from 0 with a range partition and per-partition
 offsets, so a thread of any size is spread over tasks.
@@ -139,18 +140,24 @@ def parents(parsed: DataFrame) -> DataFrame:
 
 
 def roots(tree: DataFrame) -> DataFrame:
-    """(conv, turn, root struct, depth) of (conv, turn, parent struct or null) by pointer doubling."""
-    now = written(tree.select(F.struct("conv", "turn").alias("id"), F.coalesce("parent", F.struct("conv", "turn")).alias("up"),
-                              F.col("parent").isNotNull().cast("long").alias("depth")), "threads")
-    while True:
-        # who has not reached a root yet hands its own parent on; both sides grow with the data, so no broadcast
-        above = now.where("up != id").select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        now = written(now.join(above.hint("merge"), "up", "left").select(
+    """(id, up: the root struct, depth) of (conv, turn, parent struct or null) by pointer doubling.
+
+    A message that knows its root rests: each round joins only the others, so a message of depth d
+    is joined about log2(d) + 1 times and a deep thread costs the others nothing.
+    """
+    here = F.struct("conv", "turn")
+    now = written(tree.select(here.alias("id"), F.coalesce("parent", here).alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"),
+                              F.col("parent").isNull().alias("done")), "threads")
+    known, active = now.where("done"), now.where("not done")
+    while not active.isEmpty():
+        # everyone hands its own parent and depth on; both sides grow with the data, so no broadcast
+        above = known.unionByName(active).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"),
+                                                 F.col("done").alias("done2"))
+        now = written(active.drop("done").join(above.hint("merge"), "up", "left").select(
             "id", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            F.col("up2").isNotNull().alias("moved")), "threads")
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+            F.coalesce("done2", F.lit(True)).alias("done")), "threads")
+        known, active = known.unionByName(now.where("done")), now.where("not done")
+    return known.drop("done")
 
 
 def positions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
