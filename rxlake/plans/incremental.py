@@ -105,10 +105,9 @@ def build(docs: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame] |
     # a document may be in the index and in a part (a build stopped after its swap): one row stays
     final = rows.join(current.select("id", "content_hash"), ["id", "content_hash"], "left_semi").dropDuplicates(["id", "content_hash"])
     had = index.count() if index is not None else 0
-    written = IO.write_staged(final.select("id", "document", "embedding", "metadata", "content_hash", "_from"), path)
-    kept = spark.read.parquet(path).where("_from = 0").count()
-    counts.update(kept=kept, resumed=written - kept - embedded, removed=had - kept)
-    IO.write_staged(spark.read.parquet(path).drop("_from"), path)
+    seen = IO.observed_write_staged(final.select("id", "document", "embedding", "metadata", "content_hash", "_from"), path,
+                                    {"kept": F.count_if(F.col("_from") == 0)}, leave_out=("_from",))
+    counts.update(kept=seen["kept"], resumed=seen["rows"] - seen["kept"] - embedded, removed=had - seen["kept"])
     _delete(spark, stage)
     return counts
 

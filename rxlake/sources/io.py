@@ -174,20 +174,26 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     w.save(path)
 
 
-def observed_write(df: DataFrame, path: str, metrics: dict | None = None, fmt: str = "parquet") -> dict:
+def observed_write(df: DataFrame, path: str, metrics: dict | None = None, fmt: str = "parquet", leave_out: tuple = ()) -> dict:
     """A1: write a new table and return ``rows`` and ``metrics`` (name -> aggregate) of what was written.
+    The metrics may read the columns ``leave_out``, which are not written.
 
     The metrics come from the write's own pass (``DataFrame.observe``), right below the
     write: that is the job's last stage, whose tasks count once however often they ran.
     """
     seen = Observation()
-    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (metrics or {}).items()]),
-                path, fmt=fmt)
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (metrics or {}).items()])
+                .drop(*leave_out), path, fmt=fmt)
     return {"rows": 0} | dict.fromkeys(metrics or {}) | seen.get
 
 
 def write_staged(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Overwrite ``path`` even when ``df`` reads from it; returns the rows written.
+    """``observed_write_staged`` without further metrics; returns the rows written."""
+    return observed_write_staged(df, path, fmt=fmt)["rows"]
+
+
+def observed_write_staged(df: DataFrame, path: str, metrics: dict | None = None, fmt: str = "parquet", leave_out: tuple = ()) -> dict:
+    """Overwrite ``path`` even when ``df`` reads from it; returns what ``observed_write`` does.
 
     A staging copy is written next to it, counted by the same pass, and marked complete; then
     the old table is renamed aside, the copy renamed in, and the old one
@@ -197,7 +203,7 @@ def write_staged(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     spark = df.sparkSession
     tag = uuid.uuid4().hex
     staging, aside = (f"{path.rstrip('/')}.{what}-{tag}" for what in ("staging", "old"))
-    rows = observed_write(df, staging, fmt=fmt)["rows"]
+    seen = observed_write(df, staging, metrics, fmt, leave_out)
     fs, jpath = _fs(spark, path)
     new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs.create(new_path(f"{staging}/{COMPLETE}"), True).close()
@@ -210,7 +216,7 @@ def write_staged(df: DataFrame, path: str, fmt: str = "parquet") -> int:
         raise OSError(f"could not rename {staging}")
     if had:
         fs.delete(new_path(aside), True)
-    return rows
+    return seen
 
 
 #: written into a table's folder last; Spark's readers skip names that begin with "_"

@@ -174,6 +174,9 @@ def test_observed_write_counts_what_it_writes(spark, tmp):
     assert seen == {"rows": 334, "high": 999, "odd": 167}
     assert IO.observed_write(df.groupBy("g").count(), os.path.join(tmp, "b"))["rows"] == 5      # behind a shuffle
     assert IO.observed_write(df.limit(0), os.path.join(tmp, "c"))["rows"] == 0
+    p = os.path.join(tmp, "e")
+    assert IO.observed_write_staged(df, p, {"g0": F.count_if(F.col("g") == 0)}, leave_out=("g",)) == {"rows": 334, "g0": 67}
+    assert spark.read.parquet(p).columns == ["id"]
     assert IO.write_staged(spark.createDataFrame([], "a int"), os.path.join(tmp, "d")) == 0
 
 
