@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -64,3 +65,55 @@ def test_few_languages(spark, rows):
     assert got == ({1: "xx", 2: "xx", 6: "und"} if rows else {})
     none = L.predict(df, L.train(df.limit(0))).collect()
     assert all(r.lang_pred == "und" and r.score == 0 for r in none)
+
+
+def plain_predictions(train, asked):
+    """(language, score, wrong bits) of every asked text, one n-gram at a time in plain Python."""
+    def features(text):
+        data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+        for n in L.ORDERS:
+            for i in range(len(data) - n + 1):
+                packed = 0
+                for b in data[i:i + n]:
+                    packed = packed << 8 | b
+                yield int(L.mix(np.array([packed * (2 * n + 1)], np.uint64))[0]) >> (64 - L.BITS)
+
+    names, size = sorted({k for _, k in train}), 1 << L.BITS
+    code = L.codewords(len(names)).tolist()
+    counts = {k: {} for k in names}
+    for text, k in train:
+        for f in features(text):
+            counts[k][f] = counts[k].get(f, 0) + 1
+    share = []
+    for k in names:
+        total = sum(counts[k].values()) + L.SMOOTH * size
+        share.append([(counts[k].get(f, 0) + L.SMOOTH) / total for f in range(size)])
+    weights, trust = [], []
+    for b in range(len(code[0])):
+        plus, minus = ([p for p, c in zip(share, code) if c[b] == s] for s in (1, -1))
+        w = [math.log((sum(p[f] for p in plus) / len(plus)) / (sum(p[f] for p in minus) / len(minus))) for f in range(size)]
+        weights.append(w)
+        trust.append(sum(max(0.0, sum(x * y for x, y in zip(p, w)) * c[b]) for p, c in zip(share, code)) / len(names))
+    trust = [t / sum(trust) for t in trust]
+    out = []
+    for text in asked:
+        found = list(features(text))
+        margin = [sum(w[f] for f in found) / len(L.ORDERS) for w in weights]
+        loss = [sum(t * (max(0.0, -m * x) + math.log1p(math.exp(-abs(m * x)))) for t, m, x in zip(trust, margin, c)) for c in code]
+        best = min(range(len(names)), key=loss.__getitem__)
+        score = 1 / sum(math.exp((loss[best] - x) * len(trust)) for x in loss)
+        out.append((names[best], score, sum(m * x <= 0 for m, x in zip(margin, code[best]))))
+    return out
+
+
+def test_predictions_equal_plain_python(spark):
+    docs = [(t, k) for _, t, k in texts()]
+    mixed = [a[0][:40] + " " + b[0][:40] for a, b in zip(docs[200:230], docs[231:261])]     # two languages in one text
+    asked = [t for t, _ in docs[160:220]] + mixed + ["x", "Ünïcode À la carte", "der the le el", "Que DAS is"]
+    labelled = spark.createDataFrame([(i, *d) for i, d in enumerate(docs[:160])], "doc_id long, text string, lang string").repartition(3)
+    src = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(4)
+    got = sorted(L.predict(src, L.train(labelled)).collect(), key=lambda r: r.doc_id)
+    want = plain_predictions(docs[:160], asked)
+    assert [r.lang_pred for r in got] == [w[0] for w in want]
+    assert [r.bits_wrong for r in got if r.text != "x"] == [w[2] for t, w in zip(asked, want) if t != "x"]
+    assert np.allclose([r.score for r in got], [w[1] for w in want], rtol=1e-4, atol=1e-6)
