@@ -25,13 +25,14 @@ Classes.
    further coordinates and meet new leaders (``LATER_LEADERS``), until none is
    left.
 5. Members of one bucket that these links leave in different components
-   (star contraction) meet in full: those outside the bucket's largest component
-   meet all members of other components, but for pairs whose sizes exclude a
-   link: all sets' sizes, and what is left of them without the shingles that no
-   other node has.  So only pairs that are in one class anyway or cannot be links
-   are left out.
-6. Connected components of all links are the classes, the same as if every
-   bucket had met in full; a class is named by its smallest document id.  A node's
+   (star contraction) may still be links.  Their shingles are put in one order,
+   the rarest first; two sets of similarity ``threshold`` share one of each
+   other's first ones (prefix filter), and what follows the first shared one bounds
+   what they share (positional filter).  So members of different components meet by
+   equal rare shingles, and only pairs that are in one class anyway or cannot be
+   links are left out.
+6. Connected components of all links are the classes, no fewer joined than if
+   every bucket had met in full; a class is named by its smallest document id.  A node's
    number of links is a lower bound: pairs inside a component that the leaders
    joined are not counted unless they met.  It is 0 only for nodes without a link.
 
@@ -204,28 +205,44 @@ def _similar(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
         .select("a", "b")
 
 
+def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
+    """(s, node, root, n, at): of each set (node, root, n, shingles) the rarest shingles that another set has too.
+
+    All sets are put in one order, by how many sets hold a shingle and then by its
+    hash.  Two sets of which each must hold ``threshold`` of the other have one of
+    the first ``n - threshold * n + 1`` in common; ``at`` is the place, from 0.
+    """
+    one = sets.select("node", "root", F.explode("shingles").alias("s"))
+    have = one.groupBy("s").agg(F.count("*").alias("have"))
+    ordered = one.join(have, "s").groupBy("node").agg(
+        F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("have", "s"))).alias("all"))
+    n = F.size("all")
+    reach = F.floor(n - threshold * n + 1e-6).cast("int") + 1
+    return ordered.select("node", "root", n.alias("n"), F.posexplode(F.slice("all", F.lit(1), reach)).alias("at", "e")) \
+        .where("e.have > 1").select("e.s", "node", "root", "n", "at")
+
+
 def _apart(members: DataFrame, roots: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """(node, leader): pairs of a bucket's members (bucket, node) in different components that may be links.
+    """(node, leader): pairs of members (bucket, node) of split buckets, in different components, that may be links.
 
-    Components are ``roots`` (node, root), nodes without a row their own.
+    Components are ``roots`` (node, root), nodes without a row their own.  Every
+    link between such members of a bucket is among the pairs.
     """
     placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "dart-placed")
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("members"))
-    main = parts.groupBy("bucket").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")) \
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    here = placed.join(split.select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
+    rare = written(_rarest(shingles.select("node", "shingles").join(here, "node"), threshold), "dart-apart-rarest")
+    # a shingle's members outside its largest component meet those of other components
+    parts = rare.groupBy("s", "root").agg(F.count("*").alias("members"))
+    main = parts.groupBy("s").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts")) \
         .where("parts > 1").drop("parts")
-    here = written(placed.join(main, "bucket"), "dart-apart")
-    sets = written(shingles.join(here.select("node").distinct(), "node").select("node", "n", "shingles"), "dart-apart-shingles")
-    # shingles of one node alone are in no intersection
-    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("have"), F.min("node").alias("node")) \
-        .where("have = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = sets.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
-    here = written(here.join(sizes, "node"), "dart-apart-sizes")
-    rest = here.where("root != main").select("bucket", F.col("node").alias("leader"), F.col("root").alias("root2"),
-                                             F.col("n").alias("n2"), F.col("c").alias("c2"))
-    common = F.least("c", "c2")         # at most
-    # of two members outside the main component each pair once
-    return here.join(rest, "bucket").where("root != root2 and (root = main or node < leader)") \
+    met = written(rare.join(main, "s"), "dart-apart-met")
+    rest = met.where("root != main").select("s", F.col("node").alias("leader"), F.col("root").alias("root2"),
+                                            F.col("n").alias("n2"), F.col("at").alias("at2"))
+    # at the first shingle in common, what follows in each set bounds all that is in common
+    common = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    return met.join(rest, "s").where("root != root2 and (root = main or node < leader)") \
         .where(common >= threshold * (F.col("n") + F.col("n2") - common)).select("node", "leader")
 
 

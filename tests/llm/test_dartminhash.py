@@ -112,6 +112,29 @@ def test_edited_versions_of_a_large_group(spark):
     assert {degree[i] for i in range(13, len(docs), 2)} == {1}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_apart_members_meet_by_rare_shingles(spark, seed):
+    """Every link between components is among the pairs; pairs that share only what is common do not meet."""
+    rnd = random.Random(seed)
+    sets = []
+    for _ in range(12):
+        base = list(range(rnd.choice([9, 45, 100])))                        # held by all
+        own = rnd.sample(range(1000, 1400), max(1, len(base) // rnd.choice([3, 8])))
+        for _ in range(8):
+            kept = [x for x in base + own if rnd.random() > rnd.choice([0, .02, .1, .2])] or [0]
+            sets.append(sorted(set(kept + rnd.sample(range(5000, 5200), rnd.randrange(3)))))
+    roots = [(i, rnd.randrange(i + 1) if rnd.random() < .3 else i) for i in range(len(sets))]
+    buckets = [(b, i) for i in range(len(sets)) for b in {rnd.randrange(3), 7}]
+    pairs = D._apart(spark.createDataFrame(buckets, "bucket long, node long"),
+                     spark.createDataFrame(roots, "node long, root long"),
+                     spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "node long, n int, shingles array<int>"), 0.8)
+    got = {(min(r), max(r)) for r in map(tuple, pairs.collect())}
+    apart = [(i, j) for j in range(len(sets)) for i in range(j) if roots[i][1] != roots[j][1]]
+    links = {(i, j) for i, j in apart if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert links and links <= got <= set(apart)
+    assert len(got) < len(apart) / 2
+
+
 def test_keep_first_without_ids(spark):
     long = " ".join("a%d" % i for i in range(100))
     near = long.replace("a50", "b")
