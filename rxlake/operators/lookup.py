@@ -124,6 +124,13 @@ def names_index(catalogue: DataFrame, name_fold: str = "name_fold") -> DataFrame
     return build_ngram_index(_streamed(distinct_names(catalogue, name_fold)), [name_fold], name_fold)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a sort-merge join.  Spark sizes an exploded or checkpointed table
+    by the files it comes from, far below its rows, and would send it whole through
+    the driver as a broadcast; with a shuffle a skewed partition is still split."""
+    return df.hint("merge")
+
+
 def _names_ngram(terms: DataFrame, names: DataFrame, name_fold: str, index: DataFrame | None) -> DataFrame:
     if index is None:
         # spread the names before generating grams (AQE would coalesce a few
@@ -142,10 +149,10 @@ def _names_ngram(terms: DataFrame, names: DataFrame, name_fold: str, index: Data
     # term only), so the candidate list is built by one join with the index
     tcols = ["term", "term_fold", "is_wild", "term_re"]
     tg = literal.select(*tcols, "n", F.explode(ngrams(F.col("_lit"), F.col("n"))).alias("gram"))
-    best = (tg.join(freq, ["n", "gram"], "left")
+    best = (tg.join(_shuffled(freq), ["n", "gram"], "left")
               .withColumn("cnt", F.coalesce("cnt", F.lit(0)))
               .groupBy(*tcols, "n").agg(F.min_by("gram", F.struct("cnt", "gram")).alias("gram")))
-    cand = best.join(idx, ["n", "gram"], "inner")
+    cand = best.join(_shuffled(idx), ["n", "gram"], "inner")
     hits = cand.where(like_match(F.col(name_fold), F.col("term_fold"), F.col("is_wild"), F.col("term_re")))
     hits = hits.select("term", name_fold)
     # terms made only of wildcards: LIKE matches every name with at least
@@ -157,7 +164,7 @@ def _names_ngram(terms: DataFrame, names: DataFrame, name_fold: str, index: Data
     if allwild.isEmpty():
         return hits
     by_len = names.select(F.explode(F.sequence(F.lit(0), F.length(name_fold))).alias("_m"), name_fold)
-    wild_hits = allwild.join(by_len, "_m", "inner").select("term", name_fold)
+    wild_hits = allwild.join(_shuffled(by_len), "_m", "inner").select("term", name_fold)
     return hits.unionByName(wild_hits)
 
 
@@ -259,7 +266,7 @@ def substring_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
     if per_name is not None:
         order, k = per_name
         rows = R.first_k(rows, [name_fold], order, k)
-    hits = pairs.join(rows, name_fold, "inner").select("term", *cols)
+    hits = pairs.join(_shuffled(rows), name_fold, "inner").select("term", *cols)
     # the empty term: every named row (or the first k of all), at most once
     every = catalogue.where(F.col(name_fold).isNotNull()).select(*cols)
     if per_name is not None:
@@ -309,7 +316,7 @@ def first_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carr
     if grams is None:
         grams = build_gram_topk(catalogue, carry, order, k, name_fold)
     cols = list(dict.fromkeys([name_fold, *carry]))
-    short = asked.where(is_gram).withColumn("gram", T.fold_ascii("term")).join(grams.where(F.col("rank") <= k), "gram") \
+    short = asked.where(is_gram).withColumn("gram", T.fold_ascii("term")).join(_shuffled(grams.where(F.col("rank") <= k)), "gram") \
         .select("term", *cols, "rank")
     other = asked.where(~is_gram)
     if other.isEmpty():

@@ -190,3 +190,16 @@ def test_single_attribute_search(spark):
     assert seqs(L.search_by_attributes(med, "", "하양", ["item_name"])) == ["1", "2", "4"]
     with pytest.raises(ValueError):
         L.search_by_attributes(med, "", None, ["item_name"])
+
+
+def test_exploded_tables_are_not_broadcast(spark):
+    """The gram tables are far larger than Spark's estimate, which is that of their source."""
+    cat = catalogue(spark, ["alpha beta gamma", "beta delta", "gamma ray"])
+    req = spark.createDataFrame([("beta",), ("a_r",), ("gamma r",)], "term string")
+    hits = L.substring_matches(req, cat, "term", ["item_seq"], strategy="ngram")
+    first = L.first_matches(req, cat, "term", ["item_seq", "item_name"], ["item_name", "item_seq"], 1, strategy="ngram")
+    for df in (hits, first):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin [n" not in plan and "BroadcastHashJoin [gram" not in plan
+        assert "BroadcastHashJoin [name_fold" not in plan
+    assert {t for t, _ in rows(hits, "term", "item_seq")} == {"beta", "a_r", "gamma r"}
