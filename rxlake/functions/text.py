@@ -55,7 +55,8 @@ def clean_text(c) -> Column:
     s = F.regexp_replace(s, "<[^>]+>", " ")          # F1a
     s = F.regexp_replace(s, "&[a-zA-Z]+;", " ")      # F1b
     s = collapse_ws(s)                                # F1c
-    return F.when(F.lower(s).isin(FV.NULL_WORDS), F.lit("")).otherwise(s)  # F1d
+    # F1d, by a one-element transform: both uses read the text that is cleaned once
+    return F.get(F.transform(F.array(s), lambda x: F.when(F.lower(x).isin(FV.NULL_WORDS), F.lit("")).otherwise(x)), F.lit(0))
 
 
 def blank_nan(c) -> Column:

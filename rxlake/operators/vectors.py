@@ -3,7 +3,7 @@
 * V1/V2 encoder plug-in: an iterator-style pandas UDF; the model object is
   created once per Python worker and fed Arrow batches, in inner batches of
   64 texts (``make_encoder``).  No model ships offline, so the default is a
-  deterministic feature-hashing encoder in DataFrame functions (``hash_vector``).
+  deterministic feature-hashing encoder in Arrow batches (``hash_vector``).
 * V3 exact top-k (squared L2, the vector store's default; cosine optional):
   the query set, after a size check, is broadcast; each partition of the
   collection computes distances with numpy and keeps its local top-k per
@@ -24,51 +24,70 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from rxlake import fixed_values as FV
-from rxlake.functions import text as T
 from rxlake.operators import rank as R
 from rxlake.session import shuffle_partitions
 
 QUERY_BROADCAST_BYTES = 64 << 20   # max bytes of query vectors shipped per pass
 TILE_BYTES = 64 << 20              # max bytes of distances held by a worker
+TOKENS_KEPT, TOKEN_KEPT_CHARS = 1 << 18, 64     # of a worker's memory of hashed tokens
 
 
 # ------------------------------------------------------------------ encoders ---
+def _token_numbers(dim: int) -> Callable[[list], list]:
+    """Numbers of a list of tokens: ``coordinate``, or ``dim + coordinate`` for the sign
+    minus.  A worker keeps those of the last ``TOKENS_KEPT`` different tokens at most."""
+    known: dict = {}
+
+    def number(token: str) -> int:
+        if token in known:      # repeated in the text that brought it
+            return known[token]
+        digest = hashlib.md5(token.encode()).hexdigest()
+        n = int(digest[:2], 16) % dim + (0 if int(digest[2], 16) >= 8 else dim)
+        if len(known) >= TOKENS_KEPT:
+            known.clear()
+        if len(token) <= TOKEN_KEPT_CHARS:
+            known[token] = n
+        return n
+
+    def numbers(tokens: list) -> list:
+        found = list(map(known.get, tokens))
+        return [number(t) if n is None else n for t, n in zip(tokens, found)] if None in found else found
+    return numbers
+
+
+def _token_counts(numbers: Callable[[list], list], tokens: list, dim: int) -> np.ndarray:
+    n = np.bincount(np.array(numbers(tokens), np.int64), minlength=2 * dim)
+    return n[:dim] - n[dim:]
+
+
 def hash_vector(text: Column, dim: int = 64, unit: bool = True) -> Column:
     """Feature-hashing vector of a text (stand-in for a sentence model, which
     does not ship offline), from the row's own tokens: no shuffle.
 
     The first two hex digits of a token's MD5 pick the coordinate, the third the
-    sign.  A token becomes the number ``coordinate`` or ``dim + coordinate``; the
-    sorted numbers, with one of each added, hold every count as the distance
-    between two first positions.  ``unit`` scales the vector to length 1; a text
-    without tokens gets zeros.
+    sign.  ``unit`` scales the vector to length 1; a text without tokens gets zeros.
+    Python's ``str.split`` cuts at the characters of ``text.WS``; the text goes to the
+    worker as bytes, so malformed UTF-8 is replaced instead of failing the task.
     """
-    tokens = F.filter(F.split(T.collapse_ws(F.coalesce(text, F.lit(""))), " "), lambda t: t != "")
-
-    def number(t: Column) -> Column:
-        v = F.conv(F.substr(F.md5(t.cast("binary")), F.lit(1), F.lit(3)), 16, 10).cast("int")
-        return F.shiftright(v, 4) % dim + F.when(v % 16 >= 8, 0).otherwise(dim)
-
-    every = F.sequence(F.lit(0), F.lit(2 * dim))
-    # staged with one-element transforms: each inner value is computed once a row
-    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
-    counts = once(
-        F.sort_array(F.concat(F.transform(tokens, number), every)),
-        lambda ordered: once(
-            F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))),
-            lambda first: F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda i: (F.get(first, i + 1) - F.get(first, i) - F.get(first, i + 1 + dim) + F.get(first, i + dim)).cast("double"))))
-    if not unit:
-        return counts
-    return once(counts, lambda v: once(
-        F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)),
-        lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(F.lit(1.0)))))
+    @F.arrow_udf(Ty.ArrayType(Ty.DoubleType()))
+    def vectors(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        numbers = _token_numbers(dim)
+        for texts in it:
+            out = np.zeros((len(texts), dim))
+            for row, value in zip(out, texts):
+                row[:] = _token_counts(numbers, (value.as_py() or b"").decode("utf-8", "replace").split(), dim)
+            if unit:
+                norm = np.sqrt(np.einsum("ij,ij->i", out, out))
+                out /= np.where(norm > 0, norm, 1.0)[:, None]
+            at = np.arange(0, out.size + 1, dim, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(at), pa.array(out.ravel()))
+    return vectors(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def hash_vectors(df: DataFrame, text: str, dim: int = 64, out: str = "embedding", unit: bool = True) -> DataFrame:
@@ -113,13 +132,12 @@ class HashingModel:
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self._numbers = _token_numbers(dim)
 
     def encode(self, texts: list) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts):
-            for token in text.split():
-                digest = hashlib.md5(token.encode()).hexdigest()
-                row[int(digest[:2], 16) % self.dim] += 1 if int(digest[2], 16) >= 8 else -1
+            row[:] = _token_counts(self._numbers, text.split(), self.dim)
         return out
 
 

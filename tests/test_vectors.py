@@ -126,3 +126,33 @@ def test_search_runs_in_as_many_tasks_as_cores(spark):
     q = spark.range(100).selectExpr("id AS qid", "array(CAST(id AS double)) AS qvec").coalesce(1)
     used = V.knn_topk(q, docs, 1).select(F.spark_partition_id().alias("p")).distinct().count()
     assert used >= spark.sparkContext.defaultParallelism
+
+
+def test_hash_vector_remembers_tokens_and_equals_a_plain_version(spark, monkeypatch):
+    import hashlib
+    texts = ["a b a c d\x1ce", "", None, " x\ny ", "w" * 100, "약 a b", " ".join(f"t{i % 9}" for i in range(500))]
+
+    def plain(text):
+        out = [0] * 64
+        for t in (text or "").split():
+            d = hashlib.md5(t.encode()).hexdigest()
+            out[int(d[:2], 16) % 64] += 1 if int(d[2], 16) >= 8 else -1
+        return out
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(rows(V.hash_vectors(df, "t", unit=False), "i", "embedding"))
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    unit = dict(rows(V.hash_vectors(df, "t"), "i", "embedding"))
+    for i, t in enumerate(texts):
+        n = sum(x * x for x in plain(t)) ** 0.5
+        assert unit[i] == [x / (n or 1.0) for x in plain(t)]
+    # hashed once while it is remembered, and again when the memory was full
+    calls, md5 = [], hashlib.md5
+    monkeypatch.setattr(V.hashlib, "md5", lambda b: (calls.append(b), md5(b))[1])
+    model = V.HashingModel()
+    assert model.encode(["a b a", "b a"]).tolist() == [plain("a b a"), plain("b a")]
+    assert set(calls) >= {b"a", b"b"}
+    calls.clear()
+    model.encode(["a b a b"])
+    assert not calls
+    monkeypatch.setattr(V, "TOKENS_KEPT", 2)
+    assert model.encode(["c a", "b a"]).tolist() == [plain("c a"), plain("b a")]
