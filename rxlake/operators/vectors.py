@@ -32,9 +32,11 @@ from pyspark.sql import types as Ty
 from rxlake import fixed_values as FV
 from rxlake.operators import rank as R
 from rxlake.session import shuffle_partitions
+from rxlake.sources import io as IO
 
 QUERY_BROADCAST_BYTES = 64 << 20   # max bytes of query vectors shipped per pass
 TILE_BYTES = 64 << 20              # max bytes of distances held by a worker
+DIRECT_PAIRS = 1 << 30             # query x document pairs above which equal vectors are compared once
 TOKENS_KEPT, TOKEN_KEPT_CHARS = 1 << 18, 64     # of a worker's memory of hashed tokens
 
 
@@ -223,13 +225,23 @@ class Collection:
 
 
 def _topk_partition(bc, k: int, metric: str, id_type: str):
-    """mapInPandas over a collection: the local top-k of every broadcast query."""
+    """mapInPandas over a collection: the partition's top-k of every broadcast query,
+    kept from batch to batch."""
     def run(it):
         qids, queries = bc.value
+        ids = dists = None
         for pdf in it:
             if len(pdf):
                 part = Collection(_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v"), metric)
-                yield part.table(qids, queries, k)[["qid", "doc_id", "dist"]]
+                rows, d = part.nearest(queries, k)
+                found = part.ids[rows]
+                if ids is not None:
+                    found, d = np.concatenate([ids, found], axis=1), np.concatenate([dists, d], axis=1)
+                    best = np.lexsort((found, d), axis=1)[:, :k]
+                    found, d = np.take_along_axis(found, best, 1), np.take_along_axis(d, best, 1)
+                ids, dists = found, d
+        if ids is not None:
+            yield pd.DataFrame({"qid": np.repeat(qids, ids.shape[1]), "doc_id": ids.ravel(), "dist": dists.ravel()})
     return run
 
 
@@ -252,7 +264,8 @@ def _spread(df: DataFrame) -> DataFrame:
 
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid: str = "qid",
              qvec: str = "qvec", doc_id: str = "vec_id", doc_vec: str = "embedding",
-             metric: str = "l2", max_bytes: int = QUERY_BROADCAST_BYTES) -> DataFrame:
+             metric: str = "l2", max_bytes: int = QUERY_BROADCAST_BYTES,
+             direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """V3: exact top-k documents per query; rows ``(qid, rank, doc_id, dist)``.
 
     Ties in distance break by the lower document id.  The smaller side is
@@ -266,6 +279,10 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
     * both large: the query set is cut into chunks that fit, each chunk one
       distributed pass over the collection, its final top-k written to the
       shared checkpoint folder (a small plan per chunk, not a union of all).
+
+    Above ``direct_pairs`` comparisons the collection is first cut to the ``k`` lowest
+    ids of every distinct vector: no other row of a vector can be among a query's
+    first ``k``.  A collection read as a few files is spread over the cores.
     """
     spark = docs.sparkSession
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
@@ -280,6 +297,9 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
         return spark.createDataFrame([], f"qid long, rank int, doc_id {id_type}, dist double")
     dim = max(1, dim)
     per_pass = max(1, max_bytes // (8 * dim))
+    if qn * dn > direct_pairs:
+        d = R.first_k(d, ["_v"], ["_id"], k).checkpoint(eager=True)
+        dn = d.count()
     if dn <= per_pass and dn <= qn:
         pdf = d.toPandas()  # bounded: dn * dim * 8 <= max_bytes
         bc = spark.sparkContext.broadcast(Collection(_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v"), metric))
@@ -293,7 +313,7 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
         pdf = chunk.toPandas()  # bounded by max_bytes, checked above
         bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), _rows_to_matrix(pdf, "qvec")))
         sent.append(bc)
-        local = d.mapInPandas(_topk_partition(bc, k, metric, id_type), schema)
+        local = IO.spread(d).mapInPandas(_topk_partition(bc, k, metric, id_type), schema)
         return R.first_k(local, ["qid"], order, k, rank_col="rank").select("qid", "rank", "doc_id", "dist")
 
     if qn <= per_pass:

@@ -629,7 +629,7 @@ def vector_collections(spark, sf_dir) -> tuple:
     second = sup.select(F.col("s_suppkey").cast("string").alias("id"), F.translate("s_name", "#0", "  ").alias("document"),
                         F.struct(F.col("s_name").alias("name"), *[F.lit(None).cast("string").alias(m) for m in meta[1:]]).alias("metadata"))
     # stored tables in real use: built once, not once per reader
-    return tuple(V.hash_vectors(c, "document", unit=False).checkpoint(eager=True) for c in (first, second))
+    return tuple(V.hash_vectors(IO.spread(c), "document", unit=False).checkpoint(eager=True) for c in (first, second))
 
 
 def chat_context(spark, sf_dir, gate_terms: list) -> DataFrame:

@@ -167,7 +167,8 @@ def message_context(msgs: DataFrame, medicines: DataFrame, keys: list, text_col:
         hits = []
         for number, coll in enumerate(collections):          # first collection's hits come first
             h = V.knn_topk(qv.select("qid", "qvec"), coll.select("id", "embedding"), k, doc_id="id")
-            h = h.join(coll.select(F.col("id").alias("doc_id"), "metadata"), "doc_id") \
+            # merge: a stored collection is larger than Spark's estimate, and would be broadcast
+            h = h.join(coll.select(F.col("id").alias("doc_id"), "metadata").hint("merge"), "doc_id") \
                  .withColumn("ord", F.struct(F.lit(number).alias("collection"), "rank"))
             hits.append(h)
         allh = hits[0].unionByName(hits[1])

@@ -128,6 +128,39 @@ def test_search_runs_in_as_many_tasks_as_cores(spark):
     assert used >= spark.sparkContext.defaultParallelism
 
 
+def test_equal_vectors_compared_once_and_batches_merged(spark):
+    """A collection with many copies of few vectors, in many Arrow batches: the same
+    result with and without the cut to k ids a vector, equal to brute force."""
+    docs = spark.range(300).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("vec_id"), F.array(
+        (F.col("id") % 3).cast("double"), (F.col("id") % 2).cast("double")).alias("embedding")).coalesce(1)
+    q = spark.createDataFrame([(i, [float(i % 4), 0.25 * i]) for i in range(5)], "qid long, qvec array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = sorted(rows(V.knn_topk(q, docs, 4, direct_pairs=0), "qid", "rank", "doc_id", "dist"))
+        whole = sorted(rows(V.knn_topk(q, docs, 4), "qid", "rank", "doc_id", "dist"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    every = [(f"d{i}", (i % 3, i % 2)) for i in range(300)]
+    want = []
+    for qid in range(5):
+        near = sorted(((v[0] - qid % 4) ** 2 + (v[1] - 0.25 * qid) ** 2, d) for d, v in every)[:4]
+        want += [(qid, r, d, dist) for r, (dist, d) in enumerate(near, 1)]
+    assert cut == want and whole == want
+
+
+def test_large_collection_loses_the_copies_before_the_search(spark):
+    docs = spark.range(5000).select("id", F.array((F.col("id") % 2).cast("double")).alias("embedding"))
+    q = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "qid long, qvec array<double>")
+    seen = []
+    run = V._topk_partition
+    V._topk_partition = lambda *a: (seen.append(1), run(*a))[1]
+    try:       # 6 rows are left of 5000; with few queries they are streamed past them
+        got = sorted(rows(V.knn_topk(q, docs, 3, doc_id="id", direct_pairs=1), "qid", "rank", "doc_id"))
+    finally:
+        V._topk_partition = run
+    assert seen and got == [(0, 1, 0), (0, 2, 2), (0, 3, 4), (1, 1, 1), (1, 2, 3), (1, 3, 5)]
+
+
 def test_hash_vector_remembers_tokens_and_equals_a_plain_version(spark, monkeypatch):
     import hashlib
     texts = ["a b a c d\x1ce", "", None, " x\ny ", "w" * 100, "약 a b", " ".join(f"t{i % 9}" for i in range(500))]
