@@ -92,13 +92,13 @@ def prepare_terms(requests: DataFrame, term_col: str) -> DataFrame:
 
 def all_ngrams(c: Column, max_n: int) -> Column:
     """Distinct ``struct(n, gram)`` for every n = 1..max_n (one array, so the
-    index is one pass over the names, not one scan per n)."""
+    index is one pass over the names, not one scan per n).  The copies go while the
+    grams are plain strings, by a hash set; structs would be compared pair by pair."""
     L = F.length(c)
     per_n = F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), L)),
-                        lambda n: F.transform(F.sequence(F.lit(1), L - n + 1),
-                                              lambda i: F.struct(n.alias("n"), F.substring(c, i, n).alias("gram"))))
-    return F.when(L >= 1, F.array_distinct(F.flatten(per_n))) \
-        .otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+                        lambda n: F.transform(F.sequence(F.lit(1), L - n + 1), lambda i: F.substring(c, i, n)))
+    grams = F.when(L >= 1, F.array_distinct(F.flatten(per_n))).otherwise(F.array().cast("array<string>"))
+    return F.transform(grams, lambda g: F.struct(F.length(g).alias("n"), g.alias("gram")))
 
 
 def build_ngram_index(catalogue: DataFrame, carry: list, name_fold: str = "name_fold",

@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,6 +39,10 @@ QUERY_BROADCAST_BYTES = 64 << 20   # max bytes of query vectors shipped per pass
 TILE_BYTES = 64 << 20              # max bytes of distances held by a worker
 DIRECT_PAIRS = 1 << 30             # query x document pairs above which equal vectors are compared once
 TOKENS_KEPT, TOKEN_KEPT_CHARS = 1 << 18, 64     # of a worker's memory of hashed tokens
+COUNTED_ROWS, COUNTED_TOKENS = 256, 1 << 16     # texts (and, but for the last text, tokens) counted together
+FIRST_ROWS = 256                   # of a partition searched without a k-th distance; later blocks are twice as long each
+CLOSE_TILE_BYTES = 16 << 20        # distances held while rows below the k-th distance are looked for
+MANY_CLOSE = 16                    # close rows a query and k, above which a tile is searched by ``nearest``
 
 
 # ------------------------------------------------------------------ encoders ---
@@ -63,9 +68,20 @@ def _token_numbers(dim: int) -> Callable[[list], list]:
     return numbers
 
 
-def _token_counts(numbers: Callable[[list], list], tokens: list, dim: int) -> np.ndarray:
-    n = np.bincount(np.array(numbers(tokens), np.int64), minlength=2 * dim)
-    return n[:dim] - n[dim:]
+def _token_counts(numbers: Callable[[list], list], texts: list, dim: int) -> np.ndarray:
+    """Vectors of texts given as their tokens, texts x dim, by one count for a block of texts."""
+    out = np.zeros((len(texts), dim))
+    at = 0
+    while at < len(texts):
+        end, tokens = at, []
+        while end < len(texts) and (end == at or (end - at < COUNTED_ROWS and len(tokens) < COUNTED_TOKENS)):
+            tokens += texts[end]
+            end += 1
+        row = np.repeat(np.arange(end - at), [len(t) for t in texts[at:end]])
+        n = np.bincount(row * (2 * dim) + np.array(numbers(tokens), np.int64), minlength=(end - at) * 2 * dim).reshape(end - at, 2 * dim)
+        out[at:end] = n[:, :dim] - n[:, dim:]
+        at = end
+    return out
 
 
 def hash_vector(text: Column, dim: int = 64, unit: bool = True) -> Column:
@@ -82,8 +98,9 @@ def hash_vector(text: Column, dim: int = 64, unit: bool = True) -> Column:
         numbers = _token_numbers(dim)
         for texts in it:
             out = np.zeros((len(texts), dim))
-            for row, value in zip(out, texts):
-                row[:] = _token_counts(numbers, (value.as_py() or b"").decode("utf-8", "replace").split(), dim)
+            for i in range(0, len(texts), COUNTED_ROWS):
+                out[i:i + COUNTED_ROWS] = _token_counts(numbers, [(t or b"").decode("utf-8", "replace").split() for t in
+                                                                  texts.slice(i, COUNTED_ROWS).to_pylist()], dim)
             if unit:
                 norm = np.sqrt(np.einsum("ij,ij->i", out, out))
                 out /= np.where(norm > 0, norm, 1.0)[:, None]
@@ -137,10 +154,7 @@ class HashingModel:
         self._numbers = _token_numbers(dim)
 
     def encode(self, texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for row, text in zip(out, texts):
-            row[:] = _token_counts(self._numbers, text.split(), self.dim)
-        return out
+        return _token_counts(self._numbers, [text.split() for text in texts], self.dim).astype(np.float32)
 
 
 # ------------------------------------------------------------------- queries ---
@@ -183,6 +197,12 @@ class Collection:
         self.norms = np.einsum("ij,ij->i", self.x, self.x)
         self.whole = bool((self.x == np.rint(self.x)).all())
 
+    def block(self, at: int, end: int) -> Collection:
+        """Rows ``at`` to ``end`` in the order of ids."""
+        part = copy.copy(self)
+        part.ids, part.x, part.norms = self.ids[at:end], self.x[at:end], self.norms[at:end]
+        return part
+
     def _distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(distances, how far each query's may be off)."""
         if self.metric == "cosine":
@@ -191,6 +211,9 @@ class Collection:
         own = np.einsum("ij,ij->i", q, q)
         most = own + self.norms.max()
         exact = self.whole and bool((q == np.rint(q)).all()) and bool((4 * most < 2 ** 53).all())
+        if exact and (4 * most < 2 ** 24).all():        # whole numbers that single precision holds
+            small = np.float32
+            return own.astype(small)[:, None] - 2 * (q.astype(small) @ self.x.astype(small).T) + self.norms.astype(small)[None], np.zeros(len(q))
         off = np.zeros(len(q)) if exact else 8 * (self.x.shape[1] + 4) * np.finfo(float).eps * most
         return own[:, None] - 2 * (q @ self.x.T) + self.norms[None], off
 
@@ -216,6 +239,48 @@ class Collection:
                 rows[at + j], dists[at + j] = near[best], dist[best]
         return rows, dists
 
+    def closer(self, queries: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query numbers, row numbers, distances) of rows that can be among the first ``k`` when
+        each query has ``k`` rows of lower ids already, the last at distance ``kth``; in the order
+        of queries and rows, a tile of queries at a time.
+
+        Only lower distances count, as a tie goes to the lower id.  So a tile costs one product
+        and one comparison, without a selection; in single precision where that is exact.
+        """
+        n = len(self.ids)
+        own = np.einsum("ij,ij->i", queries, queries)
+        most = (own.max() + self.norms.max()) if len(queries) else 0.0
+        exact = self.metric != "cosine" and self.whole and bool((queries == np.rint(queries)).all()) and bool(4 * most < 2 ** 53)
+        if exact:       # |x|^2 - 2xq < kth - |q|^2
+            kind = np.float32 if 4 * most < 2 ** 24 else np.float64
+            x = np.concatenate([self.x, self.norms[:, None]], axis=1).astype(kind).T
+            asked = np.concatenate([-2 * queries, np.ones((len(queries), 1))], axis=1).astype(kind)
+            bound = (kth - own).astype(kind)
+        size = max(1, CLOSE_TILE_BYTES // (8 * n))
+        for at in range(0, len(queries), size):
+            q, limit = queries[at:at + size], kth[at:at + size]
+            if exact:
+                d = asked[at:at + size] @ x
+                near = np.flatnonzero(d < bound[at:at + size, None])
+            else:
+                d, off = self._distances(q)
+                near = np.flatnonzero((d < limit[:, None]) | ((off > 0)[:, None] & (d <= (limit + 2 * off)[:, None])))
+            if len(near) > MANY_CLOSE * k * len(q):
+                rows, dists = self.nearest(q, k)
+                who, rows, dists = np.repeat(np.arange(len(q)), rows.shape[1]), rows.ravel(), dists.ravel()
+            else:
+                who, rows = np.divmod(near, n)
+                if exact:
+                    dists = d.ravel()[near] + own[at + who]
+                elif off.any():
+                    diff = self.x[rows] - q[who]
+                    dists = np.einsum("ij,ij->i", diff, diff)
+                else:
+                    dists = d.ravel()[near]
+            kept = dists < limit[who]
+            if kept.any():
+                yield at + who[kept], rows[kept], dists[kept]
+
     def table(self, qids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
         """Rows (qid, rank, doc_id, dist)."""
         rows, dists = self.nearest(queries, k)
@@ -224,24 +289,48 @@ class Collection:
                              "doc_id": self.ids[rows.ravel()], "dist": dists.ravel()})
 
 
+class _Nearest:
+    """The first ``k`` rows of every query, of blocks of a collection in the order of their ids."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k, self.ids, self.dists = queries, k, None, None
+
+    def add(self, block: Collection) -> None:
+        if self.ids is None or self.ids.shape[1] < self.k:
+            rows, d = block.nearest(self.queries, self.k)
+            found = block.ids[rows]
+            if self.ids is not None:
+                found, d = np.concatenate([self.ids, found], axis=1), np.concatenate([self.dists, d], axis=1)
+                best = np.argsort(d, axis=1, kind="stable")[:, :self.k]
+                found, d = np.take_along_axis(found, best, 1), np.take_along_axis(d, best, 1)
+            self.ids, self.dists = found, d
+            return
+        for who, rows, d in block.closer(self.queries, self.dists[:, -1].copy(), self.k):
+            asked = np.unique(who)
+            who = np.concatenate([np.repeat(asked, self.k), who])
+            d = np.concatenate([self.dists[asked].ravel(), d])
+            ids = np.concatenate([self.ids[asked].ravel(), block.ids[rows]])
+            order = np.lexsort((d, who))            # stable: those found earlier have the lower ids
+            best = order[np.searchsorted(who[order], asked)[:, None] + np.arange(self.k)]
+            self.ids = self.ids.astype(ids.dtype, copy=False)
+            self.ids[asked], self.dists[asked] = ids[best], d[best]
+
+
 def _topk_partition(bc, k: int, metric: str, id_type: str):
-    """mapInPandas over a collection: the partition's top-k of every broadcast query,
-    kept from batch to batch."""
+    """mapInPandas over a collection in the order of its ids: the partition's top-k of
+    every broadcast query, kept from block to block."""
     def run(it):
         qids, queries = bc.value
-        ids = dists = None
+        top, size = _Nearest(queries, k), FIRST_ROWS
         for pdf in it:
             if len(pdf):
                 part = Collection(_ids(pdf["_id"], id_type), _rows_to_matrix(pdf, "_v"), metric)
-                rows, d = part.nearest(queries, k)
-                found = part.ids[rows]
-                if ids is not None:
-                    found, d = np.concatenate([ids, found], axis=1), np.concatenate([dists, d], axis=1)
-                    best = np.lexsort((found, d), axis=1)[:, :k]
-                    found, d = np.take_along_axis(found, best, 1), np.take_along_axis(d, best, 1)
-                ids, dists = found, d
-        if ids is not None:
-            yield pd.DataFrame({"qid": np.repeat(qids, ids.shape[1]), "doc_id": ids.ravel(), "dist": dists.ravel()})
+                at = 0
+                while at < len(part.ids):
+                    top.add(part.block(at, at + size))
+                    at, size = at + size, min(2 * size, 1 << 20)
+        if top.ids is not None:
+            yield pd.DataFrame({"qid": np.repeat(qids, top.ids.shape[1]), "doc_id": top.ids.ravel(), "dist": top.dists.ravel()})
     return run
 
 
@@ -262,6 +351,15 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(sc.defaultParallelism, shuffle_partitions(df.sparkSession)))
 
 
+def _first_of_equal(d: DataFrame, k: int) -> DataFrame:
+    """The ``k`` lowest ids of every distinct vector.  Vectors are compared as text, written
+    once a row, and by its hash first: a window on the array itself would take it apart
+    anew for every comparison of the sort."""
+    text = F.array_join(F.col("_v").cast("array<string>"), ",", "null")
+    keyed = d.withColumn("_key", text).withColumn("_hash", F.xxhash64("_key"))
+    return R.first_k(keyed, ["_hash", "_key"], ["_id"], k).drop("_hash", "_key")
+
+
 def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid: str = "qid",
              qvec: str = "qvec", doc_id: str = "vec_id", doc_vec: str = "embedding",
              metric: str = "l2", max_bytes: int = QUERY_BROADCAST_BYTES,
@@ -280,9 +378,10 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
       distributed pass over the collection, its final top-k written to the
       shared checkpoint folder (a small plan per chunk, not a union of all).
 
-    Above ``direct_pairs`` comparisons the collection is first cut to the ``k`` lowest
-    ids of every distinct vector: no other row of a vector can be among a query's
-    first ``k``.  A collection read as a few files is spread over the cores.
+    Above ``direct_pairs`` comparisons a collection of copies is first cut to the ``k``
+    lowest ids of every distinct vector: no other row of a vector can be among a
+    query's first ``k``.  Where the vectors differ that would remove little, and
+    is left out.  A collection read as a few files is spread over the cores.
     """
     spark = docs.sparkSession
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
@@ -292,13 +391,14 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
         d = d.withColumn("_id", F.col("_id").cast("long"))
         id_type = "bigint"
     qn = q.count()
-    dn, dim = d.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_v")), F.lit(1))).first()
+    dn, dim, different = d.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_v")), F.lit(1)),
+                               F.approx_count_distinct(F.xxhash64("_v"))).first()
     if qn == 0 or dn == 0:
         return spark.createDataFrame([], f"qid long, rank int, doc_id {id_type}, dist double")
     dim = max(1, dim)
     per_pass = max(1, max_bytes // (8 * dim))
-    if qn * dn > direct_pairs:
-        d = R.first_k(d, ["_v"], ["_id"], k).checkpoint(eager=True)
+    if qn * dn > direct_pairs and 2 * k * different < dn:       # an estimate: it chooses the way, never the rows
+        d = _first_of_equal(d, k).checkpoint(eager=True)
         dn = d.count()
     if dn <= per_pass and dn <= qn:
         pdf = d.toPandas()  # bounded: dn * dim * 8 <= max_bytes
@@ -313,7 +413,8 @@ def knn_topk(queries: DataFrame, docs: DataFrame, k: int = FV.VECTOR_TOP_K, qid:
         pdf = chunk.toPandas()  # bounded by max_bytes, checked above
         bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), _rows_to_matrix(pdf, "qvec")))
         sent.append(bc)
-        local = IO.spread(d).mapInPandas(_topk_partition(bc, k, metric, id_type), schema)
+        by_id = F.coalesce("_id", F.lit("None")) if id_type == "string" else F.col("_id").asc_nulls_last()
+        local = IO.spread(d).sortWithinPartitions(by_id).mapInPandas(_topk_partition(bc, k, metric, id_type), schema)
         return R.first_k(local, ["qid"], order, k, rank_col="rank").select("qid", "rank", "doc_id", "dist")
 
     if qn <= per_pass:

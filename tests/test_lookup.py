@@ -203,3 +203,17 @@ def test_exploded_tables_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin [n" not in plan and "BroadcastHashJoin [gram" not in plan
         assert "BroadcastHashJoin [name_fold" not in plan
     assert {t for t, _ in rows(hits, "term", "item_seq")} == {"beta", "a_r", "gamma r"}
+
+
+def test_grams_lose_their_copies_as_strings(spark):
+    """One hash set a name: Spark compares structs pair by pair, the square of a name's grams."""
+    names = ["abab", "", None, "a", "약약정", "x" * 40]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    out = df.select("i", L.all_ngrams(F.col("name"), 3).alias("g"))
+    for i, grams in rows(out, "i", "g"):
+        s = names[i] or ""
+        want = dict.fromkeys((n, s[j:j + n]) for n in (1, 2, 3) for j in range(len(s) - n + 1))
+        assert [(g["n"], g["gram"]) for g in grams] == list(want)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    inside = plan[plan.index("array_distinct("):]
+    assert "struct" not in inside[:inside.index(" ELSE ")]

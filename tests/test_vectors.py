@@ -1,6 +1,7 @@
 """Vector top-k against numpy brute force, encoder plug-in."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from helpers import SF001, rows
@@ -189,3 +190,53 @@ def test_hash_vector_remembers_tokens_and_equals_a_plain_version(spark, monkeypa
     assert not calls
     monkeypatch.setattr(V, "TOKENS_KEPT", 2)
     assert model.encode(["c a", "b a"]).tolist() == [plain("c a"), plain("b a")]
+
+
+def test_rows_after_the_first_block_are_found_by_one_comparison(spark, monkeypatch):
+    """Blocks in the order of ids: selections run on the first block and on tiles with many
+    close rows only; whole numbers, fractions, cosine, ties and rows that come ever closer."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(V, "FIRST_ROWS", 8)
+    monkeypatch.setattr(V, "CLOSE_TILE_BYTES", 8 * 64 * 5)
+    cases = [(rng.integers(-2, 3, (600, 4)).astype(float), rng.integers(-2, 3, (30, 4)).astype(float), "l2"),
+             (rng.integers(-9000, 9000, (600, 4)).astype(float), rng.integers(-9000, 9000, (30, 4)).astype(float), "l2"),
+             (1e7 + rng.normal(0, 1e-3, (600, 5)), 1e7 + rng.normal(0, 1e-3, (30, 5)), "l2"),
+             (np.arange(600, 0, -1.0)[:, None], np.zeros((30, 1)), "l2"),
+             (rng.normal(0, 1, (600, 4)), rng.normal(0, 1, (30, 4)), "cosine")]
+    for x, q, metric in cases:
+        ids = np.sort(np.array([f"d{i}" for i in range(600)]))
+        bc = spark.sparkContext.broadcast((np.arange(30), q))
+        chosen = []
+        nearest = V.Collection.nearest
+        monkeypatch.setattr(V.Collection, "nearest", lambda self, *a: (chosen.append(len(a[0]) * len(self.ids)), nearest(self, *a))[1])
+        pdfs = [pd.DataFrame({"_id": ids[i:i + 90], "_v": list(x[i:i + 90])}) for i in range(0, 600, 90)]
+        out, = V._topk_partition(bc, 3, metric, "string")(iter(pdfs))
+        monkeypatch.setattr(V.Collection, "nearest", nearest)
+        if metric == "cosine":
+            d = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+        else:
+            d = ((x[None] - q[:, None]) ** 2).sum(axis=2)
+        want = [np.lexsort((ids, row))[:3] for row in d]
+        assert out["doc_id"].tolist() == [ids[i] for w in want for i in w]
+        assert np.allclose(out["dist"], [row[i] for row, w in zip(d, want) for i in w])
+        if len(x[0]) == 4:      # neither ever closer nor lost to cancellation
+            assert sum(chosen) < 30 * 600 / 2
+
+
+def test_cut_to_first_of_equal_vectors_reads_no_array_in_its_sort(spark):
+    """Null and whole components, fractions, signs and NaN keep their vectors apart; the sort is by text."""
+    vecs = [[1.0, None], [1.0], [None, 1.0], [0.1, 0.2], [float("nan"), 1.0], [-1.0, 1.0]]
+    df = spark.createDataFrame([(i, vecs[i % 6]) for i in range(60)], "_id long, _v array<double>")
+    cut = V._first_of_equal(df, 2)
+    assert sorted(r[0] for r in rows(cut, "_id")) == list(range(12))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "_hash" in plan and "normalizenanandzero" not in plan
+
+
+def test_different_vectors_are_not_cut(spark, monkeypatch):
+    """Nothing to gain from a shuffle of all vectors when they differ."""
+    docs = spark.range(2000).select("id", F.array(F.col("id").cast("double")).alias("embedding"))
+    q = spark.createDataFrame([(0, [0.0]), (1, [1999.0])], "qid long, qvec array<double>")
+    monkeypatch.setattr(V, "_first_of_equal", lambda *a: 1 / 0)
+    got = sorted(rows(V.knn_topk(q, docs, 2, doc_id="id", direct_pairs=1), "qid", "rank", "doc_id"))
+    assert got == [(0, 1, 0), (0, 2, 1), (1, 1, 1999), (1, 2, 1998)]
