@@ -276,7 +276,7 @@ def substring_matches(requests: DataFrame, catalogue: DataFrame, term_col: str,
 
 
 def build_gram_topk(catalogue: DataFrame, carry: list, order: list, k: int, name_fold: str = "name_fold",
-                    max_n: int = NGRAM_MAX) -> DataFrame:
+                    max_n: int = NGRAM_MAX, only: DataFrame | None = None) -> DataFrame:
     """Rows ``(gram, rank, name_fold, *carry)``: for every gram of up to ``max_n``
     characters the first ``k`` catalogue rows in ``order`` whose name contains it.
 
@@ -285,11 +285,16 @@ def build_gram_topk(catalogue: DataFrame, carry: list, order: list, k: int, name
     holds every name with the gram.  Only a name's own first ``k`` rows are
     exploded, and the group limit cuts each gram to ``k`` rows per input partition
     before the shuffle.  Build once per catalogue version and keep it as a table.
+    For one set of requests ``only``, distinct grams few enough to broadcast, leaves
+    the others out before the sort.
     """
     cols = list(dict.fromkeys([name_fold, *carry]))
     rows = R.first_k(catalogue.where(F.col(name_fold).isNotNull()).select(*cols), [name_fold], order, k)
     grams = _streamed(rows).select(F.explode(all_ngrams(F.col(name_fold), max_n)).alias("_g"), *cols)
-    return R.first_k(grams.select(F.col("_g.gram").alias("gram"), *cols), ["gram"], order, k, rank_col="rank")
+    grams = grams.select(F.col("_g.gram").alias("gram"), *cols)
+    if only is not None:
+        grams = grams.join(F.broadcast(only), "gram", "left_semi")
+    return R.first_k(grams, ["gram"], order, k, rank_col="rank")
 
 
 def first_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carry: list,
@@ -314,7 +319,9 @@ def first_matches(requests: DataFrame, catalogue: DataFrame, term_col: str, carr
     asked = asked.distinct().checkpoint(eager=True)          # read by both ways
     is_gram = (F.length("term") >= 1) & (F.length("term") <= NGRAM_MAX) & ~F.col("term").rlike(WILD)
     if grams is None:
-        grams = build_gram_topk(catalogue, carry, order, k, name_fold)
+        wanted = asked.where(is_gram).select(T.fold_ascii("term").alias("gram")).distinct()
+        few = wanted.limit(BROADCAST_TERMS_LIMIT + 1).count() <= BROADCAST_TERMS_LIMIT
+        grams = build_gram_topk(catalogue, carry, order, k, name_fold, only=wanted if few else None)
     cols = list(dict.fromkeys([name_fold, *carry]))
     short = asked.where(is_gram).withColumn("gram", T.fold_ascii("term")).join(_shuffled(grams.where(F.col("rank") <= k)), "gram") \
         .select("term", *cols, "rank")

@@ -217,3 +217,19 @@ def test_grams_lose_their_copies_as_strings(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     inside = plan[plan.index("array_distinct("):]
     assert "struct" not in inside[:inside.index(" ELSE ")]
+
+
+def test_only_asked_grams_are_ranked(spark, monkeypatch):
+    """Grams nobody asked for leave before the sort; too many for a broadcast, and all are ranked: equal rows."""
+    cat = spark.createDataFrame([(i, n) for i, n in enumerate(["abcab", "Xab", None, "zzz", "abcab", "b_a"])], "i int, name string") \
+        .withColumn("name_fold", T.fold_ascii("name"))
+    asked = spark.createDataFrame([("AB",), ("b",), ("zz",), ("none",), (None,), ("",), ("_",), ("abcab",)], "t string")
+    build, only = L.build_gram_topk, []
+    monkeypatch.setattr(L, "build_gram_topk", lambda *a, **kw: (only.append(kw["only"]), build(*a, **kw))[1])
+    found = lambda: sorted(rows(L.first_matches(asked, cat, "t", ["i"], ["i"], 2, strategy="ngram"), "term", "rank", "i"))
+    few = found()
+    assert sorted(r[0] for r in rows(only[0], "gram")) == ["ab", "abcab", "b", "none", "zz"]
+    monkeypatch.setattr(L, "BROADCAST_TERMS_LIMIT", 2)
+    assert found() == few and only[1] is None
+    assert few == [("", 1, 0), ("", 2, 1), ("AB", 1, 0), ("AB", 2, 1), ("_", 1, 0), ("_", 2, 1), ("abcab", 1, 0), ("abcab", 2, 4),
+                   ("b", 1, 0), ("b", 2, 1), ("zz", 1, 3)]
