@@ -4,7 +4,7 @@ Writing:
 
 1. documents are range-partitioned and sorted by id, tokenised, and written as
    raw blocks: runs of whole documents of about ``BLOCK`` ids (a longer
-   document is a block of its own);
+   document is a block of its own), compressed by the worker;
 2. ids are counted over all blocks; the counts (one per vocabulary entry, a
    bounded table) give code lengths of at most ``LIMIT`` bits by package-merge,
    and the lengths alone give the canonical codes;
@@ -41,6 +41,8 @@ from rxlake.session import shuffle_partitions
 BLOCK = 1 << 18
 STEP = 128
 LIMIT = 16
+#: one block a Parquet row group, so writers and readers hold one at a time
+GROUP = {"parquet.block.row.count.limit": "1"}
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -161,7 +163,8 @@ def raw_blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, end_id:
                 pa.array([part], pa.int32()), pa.array([block], pa.int32()),
                 pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), pa.concat_arrays(keys)),
                 pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int32())), pa.array([start], pa.int64()),
-                pa.array([len(ids)], pa.int64()), pa.array([(ids if wide else ids.astype("<u2")).tobytes()], pa.binary()),
+                pa.array([len(ids)], pa.int64()),
+                pa.array([pa.compress(ids if wide else ids.astype("<u2"), "zstd", asbytes=True)], pa.binary()),
                 pa.array([wide])], names=schema.names)
 
         for batch in small_batches(batches, "_text", 1 << 20):
@@ -181,14 +184,15 @@ def raw_blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, end_id:
 
 
 def _raw_ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for ids, wide in zip(batch.column("ids"), batch.column("wide").to_pylist()):
-        yield np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2")
+    for ids, n, wide in zip(batch.column("ids"), batch.column("n_ids").to_pylist(), batch.column("wide").to_pylist()):
+        kind = np.dtype("<u4" if wide else "<u2")
+        yield np.frombuffer(pa.decompress(ids.as_buffer(), n * kind.itemsize, "zstd"), kind)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Writes the coded ids of all documents to the folder ``path`` (on any shared store)."""
     spark = docs.sparkSession
-    raw = written(raw_blocks(docs, tokenizer, doc_id, text, end_id), "huffman-raw", "zstd")
+    raw = written(raw_blocks(docs, tokenizer, doc_id, text, end_id), "huffman-raw", "uncompressed", GROUP)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
@@ -202,7 +206,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     # one row per vocabulary entry, one per partition: bounded whatever the corpus
-    rows = raw.select("ids", "wide").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = raw.select("ids", "n_ids", "wide").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=0) + 1, np.int64)
     counts[[r.id for r in rows]] = [r.n for r in rows]
     lengths = code_lengths(counts)
@@ -218,17 +222,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, doc_id: str = "doc_id",
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, sizes, offset = shared.value
         for batch in batches:
-            done = [encode_block(ids, codes, sizes) for ids in _raw_ids(batch)]
-            start = [s + offset[p] for s, p in zip(batch.column("start").to_pylist(), batch.column("part").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("part", "block", "doc_ids", "n_tokens")] + [
-                    pa.array(start, pa.int64()), batch.column("n_ids"),
-                    pa.array([c for _, c in done], pa.list_(pa.int64())), pa.array([p for p, _ in done], pa.binary())],
-                names=["part", "block", "doc_ids", "n_tokens", "start", "n_ids", "checkpoints", "payload"])
+            for i, ids in enumerate(_raw_ids(batch)):
+                row = batch.slice(i, 1)
+                payload, at = encode_block(ids, codes, sizes)
+                start = row.column("start")[0].as_py() + offset[row.column("part")[0].as_py()]
+                yield pa.RecordBatch.from_arrays(
+                    [row.column(c) for c in ("part", "block", "doc_ids", "n_tokens")] + [
+                        pa.array([start], pa.int64()), row.column("n_ids"),
+                        pa.array([at], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
+                    names=["part", "block", "doc_ids", "n_tokens", "start", "n_ids", "checkpoints", "payload"])
 
     kind = raw.schema["doc_ids"].dataType.simpleString()
     raw.mapInArrow(code, f"part int, block int, doc_ids {kind}, n_tokens array<int>, start bigint, n_ids bigint, "
-                         "checkpoints array<bigint>, payload binary").write.parquet(f"{path}/blocks", compression="uncompressed")
+                         "checkpoints array<bigint>, payload binary").write.options(**GROUP).parquet(f"{path}/blocks", compression="uncompressed")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

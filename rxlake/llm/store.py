@@ -22,14 +22,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/rxlake-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     It cuts the lineage like a checkpoint, but is columnar and compressed, and
     a later reader takes only the columns that it needs.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options or {}).parquet(path, compression=compression)
     for made in _recording.get():
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,6 +29,32 @@ def test_ids_equal_the_library(path, monkeypatch):
         assert got == [t.encode(x, add_special_tokens=False).ids for x in texts] + [[]]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_remembered_pieces_are_bounded_in_bytes(path, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(tokens, "RECENT", 50, raising=False)
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdeéK.\n-") for _ in range(n))
+    texts = [" ".join("x" + word(rnd.choice([2, 6, 12])) + "y" for _ in range(40)) for _ in range(60)]
+    texts += [f"a {'中文' * 500}{i} b {'z' * (900 + i)} c" for i in range(60)] + ["a \u212a \u212aa \u212b. İ b"]
+    t = Tokenizer.from_file(path)
+    enc = tokens.Encoder(path)
+    for _ in range(2):
+        for i in range(0, len(texts), 7):
+            got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts[i:i + 7])]
+            assert got == [t.encode(x, add_special_tokens=False).ids for x in texts[i:i + 7]]
+    held = [sum(len(k.encode()) + len(v) for k, v in held.items()) for held in (enc.known, enc.parts)]
+    assert 1_000 < min(held) and max(held) < 40_000
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_long_words_that_end_in_a_digit(path):
+    """They once took time exponential in their length."""
+    text = f"a {'z' * 60}7 b {'é' * 60}.\n{'y' * 60}8, c"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.Encoder(path).encode([text])[0], "<u4").tolist() == want
+
+
 def test_least_cost_equals_brute_force():
     rnd = random.Random(4)
     for _ in range(200):
