@@ -41,8 +41,8 @@ from rxlake.session import shuffle_partitions
 BLOCK = 1 << 18
 STEP = 128
 LIMIT = 16
-#: one block a Parquet row group, so writers and readers hold one at a time
-GROUP = {"parquet.block.row.count.limit": "1"}
+#: blocks of a Parquet row group, which writers and readers hold whole
+GROUP = {"parquet.block.row.count.limit": "4"}
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
